@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from paperloom.plans import filings
+from paperloom.plans import filings, ledger
 
-_MODULES = [filings]
+_MODULES = [filings, ledger]
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
