@@ -121,60 +121,106 @@ def fill_missing(items: DataFrame, filings: DataFrame | None = None) -> DataFram
         "ord", F.coalesce(order[F.col("item_number")], F.lit(99)))
 
 
-def extract_items(texts: DataFrame, html_anchors: DataFrame | None = None) -> DataFrame:
+def _first_words(content: Column) -> Column:
+    return left(strip(left(content, 100)), 50)
+
+
+def _refit(text: Column, r: Column) -> Column:
+    """An item struct with its status tested again and its range where its first words occur."""
+    def place(n: Column) -> Column:
+        at = F.when((n["status"] == "extracted") & (n["words"] != ""), F.instr(text, n["words"]))
+        return let(at, lambda p: F.struct(
+            n["status"].alias("status"), F.when(p > 0, p - 1).otherwise(r["range_start"]).cast("int").alias("range_start"),
+            F.when(p > 0, p - 1 + F.length(r["content_text"])).otherwise(r["range_end"]).cast("int").alias("range_end")))
+
+    status = F.when((r["status"] == "extracted") & (F.length(r["content_text"]) > 0), status_of(r["content_text"])).otherwise(r["status"])
+    return let(F.struct(status.alias("status"), _first_words(r["content_text"]).alias("words")), place)
+
+
+def _issues(text: Column, size: Column, r: Column) -> Column:
+    """Problems of one item, as an array of (check, severity); nothing for placeholders."""
+    content, status = F.coalesce(r["content_text"], F.lit("")), r["status"]
+    extracted = status == "extracted"
+    lo, hi = r["range_start"], r["range_end"]
+    broken = (lo < 0) | (hi > size) | (lo >= hi)
+    excused = r["item_number"].isin([*fixed.OPTIONAL_ITEMS, "1B"])
+
+    def tests(v: Column) -> Column:
+        found = [
+            ("char_range_bounds", "error", broken),
+            ("char_range_content_mismatch", "warning", ~broken & extracted & (content != "") & (v["words"] != "")
+             & ~F.contains(strip(slice_text(text, lo, F.least(hi, lo + 150))), v["words"])),
+            ("empty_content", "error", extracted & (v["size"] < 10) & ~excused),
+            ("very_short_content", "warning", extracted & (v["size"] >= 10) & (v["size"] < 50)),
+            ("html_artifacts", "warning", extracted & rlike(left(content, 500), r"<(?:div|span|table|tr|td|ix:)")),
+            ("status_consistency", "warning", (status == "incorporated_by_reference")
+             & ~contains_any(F.lower(content), ["incorporat", "proxy", "def 14a", "reference"])),
+        ]
+        return F.array_compact(F.array(*[
+            F.when(test, F.struct(F.lit(name).alias("check"), F.lit(sev).alias("severity"))) for name, sev, test in found]))
+
+    facts = F.struct(_first_words(content).alias("words"), F.length(strip(content)).alias("size"))
+    return F.when(status != "not_found", let(facts, tests)).otherwise(F.array().cast("array<struct<check:string,severity:string>>"))
+
+
+def extract_items(texts: DataFrame, html_anchors: DataFrame | None = None, bounds: DataFrame | None = None,
+                  validate: bool = False) -> DataFrame:
     """Texts to the 23 items per filing, in one pass: the best boundaries of a filing and the
-    placeholders for the rest come from the same packed row, so nothing is computed twice."""
-    best = B.best_boundaries(B.boundaries(texts, html_anchors))
+    placeholders for the rest come from the same packed row, so the text is joined once.
+
+    `validate` also refits status and range and adds `issues`, while the text is at hand. `bounds`
+    takes boundaries that were already computed.
+    """
+    best = B.best_boundaries(B.boundaries(texts, html_anchors) if bounds is None else bounds)
     packed = best.groupBy("filing_id").agg(F.collect_list(F.when(F.col("source").isNotNull(), F.struct(
         "item_number", "start_pos", "end_pos", "heading_text", "confidence", "source", "status_hint"))).alias("found"))
-    joined = texts.select("filing_id", "text").join(packed, "filing_id")
-    rows = joined.select("filing_id", "text", F.explode(_standard()).alias("d"), "found").select(
-        "filing_id", "text", "d",
-        F.get(F.filter("found", lambda b: b["item_number"] == F.col("d.item_number")), F.lit(0)).alias("b"))
-    d, b = F.col("d"), F.col("b")
-    present = b.isNotNull()
-    shaped = rows.select(
-        "filing_id", d["part"].alias("part"), d["item_number"].alias("item_number"),
-        F.when(present & (F.coalesce(b["heading_text"], F.lit("")) != ""), b["heading_text"])
-        .otherwise(d["item_title"]).alias("item_title"),
-        F.when(present, _body_of(F.col("text"), b["start_pos"], b["end_pos"])).alias("body"),
-        F.coalesce(b["start_pos"], F.lit(0)).alias("range_start"), F.coalesce(b["end_pos"], F.lit(0)).alias("range_end"),
-        b["confidence"].alias("conf"), _METHOD(b["source"]).alias("extraction_method"),
-        b["status_hint"].alias("status_hint"), d["ord"].alias("ord"), d)
-    found = status_of(F.col("body"))
-    hint = F.col("status_hint")
-    usable = F.coalesce(hint.isin(fixed.STATUSES) & ((found == "extracted") | (hint != "extracted")), F.lit(False))
-    empty = dict(zip(["part", "item_number", "item_title", "content_text", "range_start", "range_end", "confidence",
-                      "extraction_method", "status"], _PLACEHOLDER(d)))
-    has = F.col("body").isNotNull()
-    return shaped.select(
-        "filing_id", "part", "item_number", "item_title",
-        F.when(has, F.col("body")).otherwise(empty["content_text"]).alias("content_text"), "range_start", "range_end",
-        F.when(has, F.col("conf")).otherwise(empty["confidence"]).alias("confidence"), "extraction_method",
-        F.when(~has, empty["status"]).when(usable, hint).otherwise(found).alias("status"), "ord")
+    rows = texts.select("filing_id", "text").join(packed, "filing_id").select(
+        "filing_id", "text", F.length("text").alias("size"), F.explode(_standard()).alias("d"), "found").withColumn(
+        "b", F.get(F.filter("found", lambda b: b["item_number"] == F.col("d.item_number")), F.lit(0)))
+    text, d, b = F.col("text"), F.col("d"), F.col("b")
 
+    def item(body: Column) -> Column:
+        def judged(found: Column) -> Column:
+            hint = b["status_hint"]
+            usable = F.coalesce(hint.isin(fixed.STATUSES) & ((found == "extracted") | (hint != "extracted")), F.lit(False))
+            return F.when(usable, hint).otherwise(found)
 
-def fix_items(items: DataFrame, texts: DataFrame) -> DataFrame:
-    """Re-test the status of extracted items and set the range to where their first words occur.
+        present = F.struct(
+            d["part"].alias("part"), d["item_number"].alias("item_number"),
+            F.when(F.coalesce(b["heading_text"], F.lit("")) != "", b["heading_text"]).otherwise(d["item_title"]).alias("item_title"),
+            body.alias("content_text"), b["start_pos"].alias("range_start"), b["end_pos"].alias("range_end"),
+            b["confidence"].alias("confidence"), _METHOD(b["source"]).alias("extraction_method"), let(status_of(body), judged).alias("status"))
+        return F.when(b.isNotNull(), present).otherwise(F.struct(*_PLACEHOLDER(d)))
 
-    Items with the same filing share one copy of the text: they are packed per filing before the join.
-    """
+    rows = rows.select("filing_id", "text", "size", d["ord"].alias("ord"),
+                       let(F.when(b.isNotNull(), _body_of(text, b["start_pos"], b["end_pos"])), item).alias("r"))
+    names = ["part", "item_number", "item_title", "content_text", "range_start", "range_end", "confidence", "extraction_method", "status"]
+    if not validate:
+        return rows.select("filing_id", "r.*", "ord")
+
+    def checked(r: Column) -> Column:
+        def merged(n: Column) -> Column:
+            new = F.struct(*[(n[c] if c in ("status", "range_start", "range_end") else r[c]).alias(c) for c in names])
+            return let(new, lambda x: F.struct(*[x[c].alias(c) for c in names], _issues(text, F.col("size"), x).alias("issues")))
+
+        return let(_refit(text, r), merged)
+
+    return rows.select("filing_id", "ord", let(F.col("r"), checked).alias("r")).select("filing_id", "r.*", "ord")
+
+
+def _beside_text(items: DataFrame, texts: DataFrame) -> DataFrame:
+    """Items next to their text: packed per filing first, so the text is moved once per filing."""
     cols = [c for c in items.columns if c != "filing_id"]
     packed = items.groupBy("filing_id").agg(F.collect_list(F.struct(*cols)).alias("rows"))
-    rows = packed.join(texts.select("filing_id", "text"), "filing_id").select(
-        "filing_id", "text", F.explode("rows").alias("r"))
-    content = F.col("r.content_text")
-    again = status_of(content)
-    status = F.when((F.col("r.status") == "extracted") & (F.length(content) > 0), again).otherwise(F.col("r.status"))
-    prefix = left(strip(left(content, 100)), 50)
-    rows = rows.withColumn("new_status", status).withColumn(
-        "at", F.when((F.col("new_status") == "extracted") & (prefix != ""), F.instr(F.col("text"), prefix)))
-    moved = F.col("at") > 0
-    keep = [F.col(f"r.{c}").alias(c) for c in cols if c not in ("status", "range_start", "range_end")]
-    return rows.select(
-        "filing_id", *keep, F.col("new_status").alias("status"),
-        F.when(moved, F.col("at") - 1).otherwise(F.col("r.range_start")).cast("int").alias("range_start"),
-        F.when(moved, F.col("at") - 1 + F.length(content)).otherwise(F.col("r.range_end")).cast("int").alias("range_end"))
+    return packed.join(texts.select("filing_id", "text"), "filing_id").select(
+        "filing_id", "text", F.length("text").alias("size"), F.explode("rows").alias("r"))
+
+
+def fix_items(items: DataFrame, texts: DataFrame) -> DataFrame:
+    """Re-test the status of extracted items and set the range to where their first words occur."""
+    rows = _beside_text(items, texts).withColumn("n", _refit(F.col("text"), F.col("r")))
+    keep = [F.col(f"r.{c}").alias(c) for c in items.columns if c not in ("filing_id", "status", "range_start", "range_end")]
+    return rows.select("filing_id", *keep, "n.status", "n.range_start", "n.range_end")
 
 
 def extraction_summary(items: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -218,56 +264,40 @@ def route_filings(bounds: DataFrame, force: bool = False, allowed: bool = True)
 
 def item_issues(items: DataFrame, texts: DataFrame) -> DataFrame:
     """One row per problem of an item: range, content, markup, status (placeholders are skipped)."""
-    cols = ["item_number", "content_text", "range_start", "range_end", "status"]
-    packed = items.filter(F.col("status") != "not_found").groupBy("filing_id").agg(
-        F.collect_list(F.struct(*cols)).alias("rows"))
-    rows = packed.join(texts.select("filing_id", "text"), "filing_id").select(
-        "filing_id", F.length("text").alias("size"), "text", F.explode("rows").alias("r")).select(
-        "filing_id", "size", "r.*",
-        left(slice_text(F.col("text"), F.col("r.range_start"), F.least(F.col("r.range_end"), F.col("r.range_start") + 150)),
-             150).alias("source_head"))
-    content, status = F.coalesce("content_text", F.lit("")), F.col("status")
-    extracted = status == "extracted"
-    broken = (F.col("range_start") < 0) | (F.col("range_end") > F.col("size")) | (F.col("range_start") >= F.col("range_end"))
-    prefix = left(strip(left(content, 100)), 50)
-    length = F.length(strip(content))
-    excused = F.col("item_number").isin([*fixed.OPTIONAL_ITEMS, "1B"])
-    tests = [
-        ("char_range_bounds", "error", broken),
-        ("char_range_content_mismatch", "warning", ~broken & extracted & (content != "") & (prefix != "")
-         & ~F.contains(strip(F.col("source_head")), prefix)),
-        ("empty_content", "error", extracted & (length < 10) & ~excused),
-        ("very_short_content", "warning", extracted & (length >= 10) & (length < 50)),
-        ("html_artifacts", "warning", extracted & rlike(left(content, 500), r"<(?:div|span|table|tr|td|ix:)")),
-        ("status_consistency", "warning", (status == "incorporated_by_reference")
-         & ~contains_any(F.lower(content), ["incorporat", "proxy", "def 14a", "reference"])),
-    ]
-    found = F.array_compact(F.array(*[
-        F.when(test, F.struct(F.lit(name).alias("check"), F.lit(sev).alias("severity"))) for name, sev, test in tests]))
-    return rows.select("filing_id", "item_number", F.explode(found).alias("i")).select(
-        "filing_id", "item_number", "i.check", "i.severity")
-
-
-def validation_report(items: DataFrame, issues: DataFrame) -> DataFrame:
-    """Per filing: coverage, ordering, duplicates and the overall verdict."""
+    cols = ["filing_id", "item_number", "content_text", "range_start", "range_end", "status"]
+    rows = _beside_text(items.filter(F.col("status") != "not_found").select(*cols), texts)
+    return rows.select("filing_id", F.col("r.item_number").alias("item_number"), F.explode(
+        _issues(F.col("text"), F.col("size"), F.col("r"))).alias("i")).select("filing_id", "item_number", "i.check", "i.severity")
+
+
+def validation_report(items: DataFrame, issues: DataFrame | None = None) -> DataFrame:
+    """Per filing: coverage, ordering, duplicates and the overall verdict.
+
+    Items that carry their `issues` need one aggregation; otherwise an issue table is joined.
+    """
     numbers = B.ITEM_NUMBERS
     order = Window.partitionBy("filing_id").orderBy("ord", "item_number")
     position = literal_map([(n, i) for i, n in enumerate(numbers)])
-    walked = items.withColumn("at", position[F.col("item_number")]).withColumn("next_at", F.lead("at").over(order))
+    inline = issues is None
+    problems = F.col("issues") if inline else F.array().cast("array<struct<check:string,severity:string>>")
+    walked = items.select("filing_id", "item_number", "status", "ord", problems.alias("issues")).withColumn(
+        "at", position[F.col("item_number")]).withColumn("next_at", F.lead("at").over(order))
+    severity = lambda s: F.sum(F.size(F.filter("issues", lambda i: i["severity"] == s)))
     per = walked.groupBy("filing_id").agg(
         F.collect_set(F.when(F.col("status") != "not_found", F.col("item_number"))).alias("real"),
         F.count_if(F.col("status") == "not_found").alias("placeholder_not_found"),
         F.count_if(F.col("at") >= F.col("next_at")).alias("out_of_order_pairs"),
-        (F.count(F.lit(1)) - F.count_distinct("item_number")).alias("duplicates"))
+        (F.count(F.lit(1)) - F.count_distinct("item_number")).alias("duplicates"),
+        severity("error").alias("errors"), severity("warning").alias("warnings"))
+    if not inline:
+        counts = issues.groupBy("filing_id").agg(
+            F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+        per = per.drop("errors", "warnings").join(counts, "filing_id", "left").fillna(0, ["errors", "warnings"])
     missing = F.array_except(text_array(numbers), F.col("real"))
     required = F.array_except(missing, text_array(fixed.OPTIONAL_ITEMS))
-    per = per.select(
+    return per.select(
         "filing_id", F.size("real").alias("found"), "placeholder_not_found", F.size(missing).alias("missing"),
         F.array_join(F.array_sort(required), ",").alias("missing_required"),
         ((F.size("real") > 0) & (F.size(required) == 0)).alias("coverage_ok"),
-        (F.col("out_of_order_pairs") == 0).alias("ordering_ok"), (F.col("duplicates") == 0).alias("no_duplicates"))
-    counts = issues.groupBy("filing_id").agg(
-        F.count_if(F.col("severity") == "error").alias("errors"),
-        F.count_if(F.col("severity") == "warning").alias("warnings"))
-    out = per.join(counts, "filing_id", "left").fillna(0, ["errors", "warnings"])
-    return out.withColumn("overall_valid", F.col("coverage_ok") & (F.col("errors") == 0))
+        (F.col("out_of_order_pairs") == 0).alias("ordering_ok"), (F.col("duplicates") == 0).alias("no_duplicates"), "errors", "warnings",
+        ((F.size("real") > 0) & (F.size(required) == 0) & (F.col("errors") == 0)).alias("overall_valid"))

@@ -15,6 +15,7 @@ from paperloom.plans import adapters as A
 from paperloom.plans import filings_oracle as O
 from paperloom.plans.filings import texts
 from paperloom.plans.filings_oracle import q, strip
+from paperloom.session import cut_lineage
 from paperloom.sources import filings as S
 
 NL = "chr(10)"
@@ -84,7 +85,7 @@ def _metrics(spark, folder, year=None):
 def refined(spark, folder):
     """Results of a pretended model run: every doubtful boundary moved by ten characters."""
     t = texts(spark, folder)
-    bounds = B.boundaries(t)
+    bounds = cut_lineage(B.boundaries(t))  # narrow, and used several times
     results = bounds.filter("source is not null and confidence < 0.5").select(
         "filing_id", F.lit("refine").alias("kind"), F.lit(None).cast("string").alias("gap_id"), "item_number", F.lit(True).alias("found"),
         F.lit(True).alias("is_item_heading"), F.lit(210).alias("offset"), F.lit(None).cast("int").alias("start_pos"), "heading_text",
@@ -117,9 +118,9 @@ QUERIES = {
     "refine_queue": lambda s, d: R.refine_queue(B.boundaries(texts(s, d)), texts(s, d)).select(
         "filing_id", "item_number", "start_pos", "source", "ctx_start", F.md5("context").alias("context_md5"), "est_tokens"),
     "forced_queue": lambda s, d: R.refine_queue(B.boundaries(texts(s, d)), texts(s, d), forced=3).select("filing_id", "item_number", "start_pos"),
-    "missing_item_gaps": lambda s, d: R.missing_item_gaps(B.boundaries(texts(s, d)), texts(s, d)).select(
+    "missing_item_gaps": lambda s, d: R.missing_item_gaps(cut_lineage(B.boundaries(texts(s, d))), texts(s, d)).select(
         "filing_id", "prev_item", "next_item", "start_pos", "next_pos", F.md5("sample").alias("sample_md5"), "est_tokens"),
-    "gap_excerpts": lambda s, d: R.gap_excerpts(B.boundaries(texts(s, d)), texts(s, d)).select(
+    "gap_excerpts": lambda s, d: R.gap_excerpts(cut_lineage(B.boundaries(texts(s, d))), texts(s, d)).select(
         "filing_id", "gap_id", "prev_item", "next_item", "gap_start", "gap_end", F.md5("excerpt").alias("excerpt_md5"), "full_doc_mode"),
     "applied_refinements": refined,
 }

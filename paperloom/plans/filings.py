@@ -10,6 +10,7 @@ from paperloom.operators import filing_text as T
 from paperloom.operators import items as I
 from paperloom.plans import adapters as A
 from paperloom.plans import filings_oracle as O
+from paperloom.session import cut_lineage
 
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,24 +84,25 @@ def filled_items(spark, folder):
 
 def fixed_items(spark, folder):
     t = texts(spark, folder)
-    return _digest(I.fix_items(I.extract_items(t), t)).select(
+    return _digest(I.extract_items(t, validate=True)).select(
         "filing_id", "item_number", "status", "range_start", "range_end", "content_md5")
 
 
 def item_issues(spark, folder):
     t = texts(spark, folder)
-    return I.item_issues(I.fix_items(I.extract_items(t), t), t)
+    return I.extract_items(t, validate=True).select("filing_id", "item_number", F.explode("issues").alias("i")).select(
+        "filing_id", "item_number", "i.check", "i.severity")
 
 
 def validation_report(spark, folder):
     t = texts(spark, folder)
-    items = I.fix_items(I.extract_items(t), t)
-    return I.validation_report(items, I.item_issues(items, t))
+    return I.validation_report(I.extract_items(t, validate=True))
 
 
 def extraction_summary(spark, folder):
     t = texts(spark, folder)
-    return I.extraction_summary(I.extract_items(t), B.boundaries(t))
+    bounds = cut_lineage(B.boundaries(t))  # narrow, and used twice
+    return I.extraction_summary(I.extract_items(t, bounds=bounds), bounds)
 
 
 def filing_routes(spark, folder):

@@ -27,12 +27,16 @@ def build_session(app: str = "paperloom", cores: str | int = "*", shuffle: int |
     return builder.getOrCreate()
 
 
+_OWN_FOLDER: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach: the cluster's own, or (in tests) a fresh local one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = tempfile.mkdtemp(prefix="paperloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not _OWN_FOLDER:
+            _OWN_FOLDER.append(tempfile.mkdtemp(prefix="paperloom-"))
+        folder = _OWN_FOLDER[0]
     return folder.rstrip("/")
 
 
