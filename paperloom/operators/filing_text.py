@@ -92,7 +92,7 @@ def normalize_html(df: DataFrame) -> DataFrame:
     schema = df.select("filing_id").schema
     rows = df.select("filing_id", "content").mapInPandas(
         parse, f"filing_id {schema[0].dataType.simpleString()}, text string")
-    t = F.regexp_replace("text", " ", " ")
+    t = F.regexp_replace("text", "\u00a0", " ")
     t = F.regexp_replace(t, r"\n{4,}", "\n\n\n")
     t = F.regexp_replace(t, r"[ \t]{2,}", " ")
     t = F.regexp_replace(F.regexp_replace(t, r" +\n", "\n"), r"\n +", "\n")

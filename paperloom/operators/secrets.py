@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import fixed
 from paperloom.functions.text import extract, left, rlike
 
-_LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"
+_LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 
 
 def _rules(extra: bool) -> list[tuple[str, str, str, str]]:

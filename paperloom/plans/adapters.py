@@ -37,6 +37,14 @@ def duck(sql: str) -> str:
     """The same adapter for DuckDB: bare table names."""
     for t in TABLES:
         sql = sql.replace(f"{{{t}}}", t)
+    return sql.replace("{{", "{").replace("}}", "}")
+
+
+def literal_braces(sql: str) -> str:
+    """Keep braces of JSON texts apart from the braces of table names."""
+    sql = sql.replace("{", "{{").replace("}", "}}")
+    for t in TABLES:
+        sql = sql.replace(f"{{{{{t}}}}}", f"{{{t}}}")
     return sql
 
 
