@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import fixed
 from paperloom.functions.text import LINES_NOCASE, extract, find_spans, left, let, rlike, slice_text, strip
+from paperloom.session import ship_package
 
 
 def format_of(content: Column) -> Column:
@@ -82,6 +83,8 @@ def normalize_html(df: DataFrame) -> DataFrame:
 
     The document tree needs Python; batches of rows are parsed in Arrow-backed tasks.
     """
+    ship_package(df.sparkSession)
+
     def parse(batches):
         from paperloom.functions.markup import visible_lines
 

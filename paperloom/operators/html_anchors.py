@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import fixed
 from paperloom.functions.text import let, literal_map
+from paperloom.session import ship_package
 
 
 def title_index() -> list[tuple[str, str]]:
@@ -40,6 +41,8 @@ def match_title(heading: Column) -> Column:
 
 def heading_candidates(raw: DataFrame) -> DataFrame:
     """(filing_id, content) -> heading-like elements in document order."""
+    ship_package(raw.sparkSession)
+
     def parse(batches):
         from paperloom.functions.markup import heading_candidates as find
 

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from paperloom.functions import fixed
 from paperloom.functions.text import collapse, contains_any, extract, left, rlike, strip
 from paperloom.operators.intents import any_paragraph_request, is_static, selected, site_of
+from paperloom.session import ship_package
 
 
 def _per_page(pages: DataFrame, rows_of, schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Run a page -> rows function in Arrow batches; the page key comes first in every row."""
+    ship_package(pages.sparkSession)
     names = ["page_id"] + [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def run(batches):

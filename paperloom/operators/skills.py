@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import fixed
 from paperloom.functions.ordered import previous_rows, running_sums, time_chunk
 from paperloom.functions.text import contains_any, let, literal_map, strip, text_array
+from paperloom.session import ship_package
 
 
 def repo_language(files: DataFrame) -> DataFrame:
@@ -149,6 +150,7 @@ def reuse_results(requests: DataFrame, ttl_seconds: int = fixed.REUSE_TTL_SECOND
         "_new", (F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") >= ttl_seconds * 1_000_000)).cast("int"))
     parts = running_sums(fresh.select("cache_key", "_us", "_new"), ["cache_key"], ["_us"], slot, {"_part": F.col("_new")})
     ttl = ttl_seconds * 1_000_000
+    ship_package(requests.sparkSession)
 
     def walk(batches):
         key, last = None, 0
