@@ -56,10 +56,14 @@ def parse_intents(tasks: DataFrame) -> DataFrame:
     hi = F.when(r == "range", F.greatest(a, b)).when((r == "first_n") & (first_n > 0), first_n)
     rows = rows.withColumn("paragraph_index", index.cast("int")).withColumn("range_from", lo.cast("int")).withColumn("range_to", hi.cast("int")) \
         .withColumn("paragraphs_all", F.coalesce(r == "all", F.lit(False)))
-    single = (F.size("requested_fields") == 1) & F.col("paragraph_index").isNull() & F.col("range_from").isNull() & ~F.col("paragraphs_all")
-    return rows.withColumn("wants_summary", ~single & (hit(fixed.INTENT_SUMMARY) | rlike(task, fixed.INTENT_CJK_SUMMARY))) \
-        .withColumn("wants_definition", ~single & hit(fixed.INTENT_DEFINITION)) \
-        .withColumn("strict_fields", single | hit(fixed.INTENT_ONLY)).withColumn("top_n", num(fixed.INTENT_TOP_N)).drop("_rule")
+    # A request names a paragraph exactly when one of these rules matched, except for "first 0".
+    placed = r.isNotNull() & ~((r == "first_n") & (first_n <= 0))
+    single = (F.size("requested_fields") == 1) & ~F.coalesce(placed, F.lit(False))
+    return rows.withColumn("_single", single).withColumn(
+        "wants_summary", ~F.col("_single") & (hit(fixed.INTENT_SUMMARY) | rlike(task, fixed.INTENT_CJK_SUMMARY))) \
+        .withColumn("wants_definition", ~F.col("_single") & hit(fixed.INTENT_DEFINITION)) \
+        .withColumn("strict_fields", F.col("_single") | hit(fixed.INTENT_ONLY)).withColumn("top_n", num(fixed.INTENT_TOP_N)) \
+        .drop("_rule", "_single")
 
 
 def any_paragraph_request() -> Column:

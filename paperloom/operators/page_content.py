@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import fixed
-from paperloom.functions.text import collapse, contains_any, extract, left, rlike, strip
+from paperloom.functions.text import collapse, contains_any, extract, left, let, rlike, strip
 from paperloom.operators.intents import any_paragraph_request, is_static, selected, site_of
 from paperloom.session import ship_package
 
@@ -108,10 +108,12 @@ def extract_fields(pages: DataFrame, tasks: DataFrame) -> DataFrame:
     defaults = F.when(F.col("site") == "arxiv.org", F.array(F.lit("title"), F.lit("abstract"))).otherwise(
         F.array(F.lit("title"), F.lit("version"), F.lit("description")))
     known = F.array(*[F.lit(f) for f in ("title", "author", "abstract", "version", "license", "description")])
-    asked = F.array_intersect(F.col("requested_fields"), known)
-    paper = (F.col("site") == "arxiv.org") & any_paragraph_request() & ~F.col("wants_summary") & (F.size(asked) == 0)
-    wanted = tasks.withColumn("_f", F.when(F.size(asked) > 0, asked).when(paper, F.array(F.lit("abstract")))
-                              .when(F.col("wants_summary"), defaults))
+
+    def choose(asked: Column) -> Column:
+        paper = (F.col("site") == "arxiv.org") & any_paragraph_request() & ~F.col("wants_summary")
+        return F.when(F.size(asked) > 0, asked).when(paper, F.array(F.lit("abstract"))).when(F.col("wants_summary"), defaults)
+
+    wanted = tasks.withColumn("_f", let(F.array_intersect(F.col("requested_fields"), known), choose))
     return wanted.select("task_id", "page_id", F.explode("_f").alias("field")).join(page_fields(pages), ["page_id", "field"])
 
 
@@ -236,7 +238,7 @@ def answer_static(tasks: DataFrame, pages: DataFrame) -> DataFrame:
         .when(F.col("site") == "pypi.org", F.contains("target_url", F.lit("/project/")) & (fields("title", "version", "author", "license", "description") | F.col("wants_summary")))
         .when(F.col("site") == "github.com", ask & repo_root).when(F.col("site") == "example.com", True).otherwise(False)
     )
-    asked = tasks.filter(is_static(F.col("task"))).withColumn("site", site).filter(F.col("site").isNotNull()).filter(eligible)
+    asked = tasks.drop("page_id").filter(is_static(F.col("task"))).withColumn("site", site).filter(F.col("site").isNotNull()).filter(eligible)
     routed = asked.join(pages.select("page_id", F.col("url").alias("target_url")), "target_url")
     used = routed.select("page_id", "site").distinct()
     stored = pages.join(used, "page_id")

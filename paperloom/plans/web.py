@@ -20,6 +20,7 @@ from paperloom.plans.filings_oracle import q
 from paperloom.plans.ledger import CALLS, MODEL, USER, _case
 from paperloom.plans.ledger import K as KEY
 from paperloom.plans.ledger import _PRICED
+from paperloom.session import cut_lineage
 
 NL = "chr(10)"
 SITE_URLS = ["https://en.wikipedia.org/wiki/X", "https://arxiv.org/abs/1", "http://news.ycombinator.com", "https://developer.mozilla.org/en/Y", "https://pypi.org/project/z/", "https://GitHub.com/o/r",
@@ -90,7 +91,8 @@ def _parsed(s, d):
 
 
 def _site_tasks(s, d):
-    return I.parse_intents(A.bind(s, d, SITE_TASKS))
+    # Parsed tasks are a table of their own: the joins below would otherwise repeat every pattern.
+    return cut_lineage(I.parse_intents(A.bind(s, d, SITE_TASKS)))
 
 
 def _run_checks(s, d):
