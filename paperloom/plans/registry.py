@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from paperloom.plans import corpus, filings, ledger, repos, web
+from paperloom.plans import corpus, filings, ledger, repos, streams, web
 
-_MODULES = [filings, corpus, ledger, repos, web]
+_MODULES = [filings, corpus, ledger, repos, web, streams]
 
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
