@@ -14,14 +14,20 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The characters the reference semantics treat as white space (Python's str.isspace).
+BLANKS = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+          "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+_BLANK_RUN = r"[\s\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+
+
 def strip(c: Column | str) -> Column:
     """Trim all whitespace, line ends included (Spark's trim only removes spaces)."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+\z", "")
+    return F.btrim(col(c), F.lit(BLANKS))
 
 
 def collapse(c: Column | str) -> Column:
     """Runs of whitespace become one space; ends trimmed."""
-    return F.trim(F.regexp_replace(col(c), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(col(c), _BLANK_RUN, " "))
 
 
 def left(c: Column | str, n: int) -> Column:

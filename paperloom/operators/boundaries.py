@@ -39,12 +39,13 @@ def title_score(item: Column, title: Column) -> Column:
 
 def looks_like_toc(snippet: Column) -> Column:
     """Dot leaders or a trailing page number, or a caption: the look of a contents line."""
-    flat = collapse(snippet)
-    return (
-        rlike(flat, r"\.{2,}\s*\d{1,4}\s*$")
-        | (rlike(flat, r"\s\d{1,4}\s*$") & (F.length(flat) < 140))
-        | F.contains(F.lower(left(snippet, 200)), F.lit("table of contents"))
-    )
+    def numbered(flat: Column) -> Column:
+        return rlike(flat, r"\.{2,}\s*\d{1,4}\s*$") | (rlike(flat, r"\s\d{1,4}\s*$") & (F.length(flat) < 140))
+
+    # Only a text that ends in a digit is worth collapsing.
+    ends_in_digit = rlike(F.right(strip(snippet), F.lit(1)), r"\d")
+    caption = F.contains(F.lower(left(snippet, 200)), F.lit("table of contents"))
+    return F.when(ends_in_digit, let(collapse(snippet), numbered)).otherwise(False) | caption
 
 
 def _title_rows() -> list[tuple[str, str, int, int]]:
@@ -60,7 +61,13 @@ def title_pattern() -> str:
     """One pattern for every stand-alone title in its three letter cases, with table-cell noise."""
     import re
 
-    shapes = "|".join(re.sub(r"([\[\].])", r"\\\1", shape) for shape, *_ in _title_rows())
+    quoted = [re.sub(r"([\[\].])", r"\\\1", shape) for shape, *_ in _title_rows()]
+    # Grouped by first letter, so a line costs a few comparisons and not one per title.
+    first = {}
+    for shape in quoted:
+        head = shape[:2] if shape[0] == "\\" else shape[:1]
+        first.setdefault(head, []).append(shape[len(head):])
+    shapes = "|".join(f"{head}(?:{'|'.join(rest)})" for head, rest in first.items())
     return r"(?:^|\n)\s*(?:\|\s*)*(?:" + shapes + r")(?:\s*\|\s*)*\s*$"
 
 
