@@ -68,6 +68,15 @@ def text_array(words: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
+def is_json(text: Column) -> Column:
+    """Whether a text is one complete JSON value. The parser stops at the end of the first value, so
+    the text is tested inside a list and inside an object: nothing can follow it in both."""
+    listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    keyed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    one = F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.coalesce(listed.isNotNull() & keyed.isNotNull() & one, F.lit(False))
+
+
 def let(value: Column, body) -> Column:
     """Evaluate a value once and use it many times inside an expression."""
     return F.transform(F.array(value), body)[0]

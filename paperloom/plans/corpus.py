@@ -217,4 +217,12 @@ ORACLE = {
       md5(CASE WHEN length(t) <= 53000 THEN t ELSE substr(t, 1, 30000) || chr(10) || chr(10) || '[...' || ((length(t) - 15000) // 2 - 30000) || ' chars omitted...]' || chr(10) || chr(10)
         || substr(t, (length(t) - 15000) // 2 + 1, 15000) || chr(10) || chr(10) || '[...' || (length(t) - (length(t) - 15000) // 2 - 23000) || ' chars omitted...]' || chr(10) || chr(10) || right(t, 8000) END) AS excerpt_md5,
       total_chars <= 1400000 AS full_doc_mode FROM cut""",
+    "applied_refinements": O.chain(*O.DETECT) + """SELECT filing_id, item_number, start_pos, coalesce(lead(start_pos) OVER (PARTITION BY filing_id ORDER BY start_pos, item_number), total_chars) AS end_pos, source, confidence FROM (
+      SELECT e.filing_id, e.item_number, e.total_chars, CASE WHEN d THEN greatest(start_pos - 200, 0) + 210 ELSE start_pos END AS start_pos, CASE WHEN d THEN 'llm_refined' ELSE source END AS source, CASE WHEN d THEN 0.9::DOUBLE ELSE confidence END AS confidence
+      FROM (SELECT *, min(confidence) OVER (PARTITION BY filing_id, item_number) < 0.5 AS d FROM ended) e) x""",
+    "html_anchors": f"""WITH n AS (SELECT filing_id, lower(t) AS t, length(t) AS total_chars FROM (SELECT doc_id AS filing_id, {_clean("array_to_string(flatten([" + _HTML_LINES + "]), chr(10))")} AS t FROM documents) x),
+      {O.DIM}, c AS (SELECT filing_id, total_chars, item_number, ord, CASE WHEN ord % 4 = 3 THEN upper(item_title) ELSE item_title END AS heading_text, t, floor(total_chars * 0.05::DOUBLE)::INT AS lo, floor(total_chars * 0.95::DOUBLE)::INT AS hi,
+        greatest(floor(total_chars * 0.05::DOUBLE), floor(total_chars * 0.12::DOUBLE))::INT AS fr FROM n, dim),
+      l AS (SELECT *, instr(substr(t, fr + 1), lower(heading_text)) AS a, instr(substr(t, lo + 1), lower(heading_text)) AS b FROM c)
+      SELECT filing_id, total_chars, item_number, CASE WHEN a > 0 AND fr + a - 1 < hi THEN fr + a - 1 ELSE lo + b - 1 END AS start_pos, heading_text FROM l WHERE (a > 0 AND fr + a - 1 < hi) OR (b > 0 AND lo + b - 1 < hi)""",
 }

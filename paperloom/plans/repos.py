@@ -246,4 +246,10 @@ ORACLE = {
       SELECT repo, tool, severity, count(*) AS findings, sum(line)::BIGINT AS lines FROM f GROUP BY ALL""",
     "tool_test_counts": f"""SELECT 'u' || user_id AS repo, CASE event_id % 5 WHEN 3 THEN 'jest' ELSE 'pytest' END AS tool, CASE event_id % 5 WHEN 3 THEN 2 ELSE CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) END AS passed, 1 AS failed,
       CASE event_id % 5 WHEN 3 THEN 0 ELSE 2 END AS skipped, 0 AS errors, CASE event_id % 5 WHEN 3 THEN 3 ELSE CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) + 3 END AS total FROM events WHERE event_id % 5 >= 3""",
+    "quality_summary": f"""WITH l AS (SELECT DISTINCT 'u' || user_id AS repo, user_id % 3 AS lang FROM events), r AS (SELECT 'u' || user_id AS repo, event_id % 5 AS t, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events),
+      a AS (SELECT repo, 2 * count(*) FILTER (WHERE t = 0) AS ruff, 2 * count(*) FILTER (WHERE t = 1) AS es, count(*) FILTER (WHERE t = 1) AS es_err, count(*) FILTER (WHERE t >= 3) AS failed,
+        coalesce(sum(CASE WHEN t = 3 THEN 3 WHEN t = 4 THEN k + 3 END), 0)::BIGINT AS total FROM r GROUP BY repo),
+      b AS (SELECT a.*, lang, CASE lang WHEN 0 THEN ruff = 0 WHEN 1 THEN es_err = 0 ELSE true END AS lp, CASE WHEN lang < 2 THEN failed = 0 ELSE true END AS tp FROM a JOIN l ON l.repo = a.repo)
+      SELECT repo, CASE lang WHEN 0 THEN 'python' WHEN 1 THEN 'javascript' ELSE 'unknown' END AS language, lp AS lint_passed, CASE lang WHEN 0 THEN ruff WHEN 1 THEN es ELSE 0 END AS lint_issue_count, tp AS test_passed, total AS test_total, failed AS test_failed,
+        CASE WHEN lang = 2 THEN 'partial' WHEN lp AND tp THEN 'success' WHEN lang = 1 OR lp OR tp THEN 'partial' ELSE 'failed' END AS status FROM b""",
 }

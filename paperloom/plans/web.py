@@ -223,6 +223,11 @@ _RUNCHECK = f"""WITH {_GUARD}, tot AS (SELECT trace_id AS tid, count(*) AS total
     UNION ALL SELECT trace_id, 'must_contain[UNITS]', contains(low, 'units') FROM g WHERE user_id % 4 = 0 UNION ALL SELECT trace_id, 'must_not_contain[cannot]', NOT contains(low, 'cannot') FROM g WHERE user_id % 4 = 1
     UNION ALL SELECT trace_id, 'failure_mode[hedged]', contains(guard_mode, 'hedged') FROM g WHERE user_id % 5 = 0) """
 
+_JSON = f"""WITH j AS (SELECT id, model, k, CASE k WHEN 0 THEN '{{"complete": true, "answer": "x", "confidence": 0.9}}' WHEN 1 THEN '{{"a": {{"b": 1}}}}' WHEN 2 THEN '{{"steps": [{{"action": "goto", "target": "t"}}]}}'
+    WHEN 6 THEN '{{"answer": "smart"}}' WHEN 9 THEN '{{"s": "brace }} inside", "n": {{"k": [1]}}}}' ELSE '' END AS object_json,
+    CASE k WHEN 2 THEN '[{{"action": "goto", "target": "t"}}]' WHEN 3 THEN '[{{"action": "press", "value": "v"}}, {{"target": "w"}}]' WHEN 8 THEN '[1, 2]' WHEN 9 THEN '[1]' ELSE '' END AS array_json
+  FROM (SELECT conv_id || '-' || turn AS id, CASE conv_id % 3 WHEN 0 THEN 'openai/gpt-5.5' WHEN 1 THEN 'z-ai/glm-5.1' ELSE 'qwen/q' END AS model, (conv_id + turn) % 11 AS k FROM conversations) c) """
+
 ORACLE = {
     "routed_pages": f"SELECT page_id, url, CASE {_SUFFIX} ELSE '' END AS site FROM (SELECT *, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS h FROM ({A.duck(PAGES)}) p) x",
     "task_intents": f"WITH {_intents(A.duck(TASKS))} SELECT task_id, paragraph_index, range_from, range_to, paragraphs_all, wants_summary, wants_definition, strict_fields, top_n, fields FROM intents",
@@ -258,4 +263,12 @@ ORACLE = {
         SELECT p.filing_id AS case_id, items_extracted >= p.filing_id % 22 AND s6 = 'reserved' AND ok AND CASE WHEN p.filing_id % 3 = 0 THEN s1 <> 'not_found' AND s7 <> 'not_found' ELSE s1a <> 'not_found' END AS passed,
           CASE WHEN p.filing_id % 3 = 0 THEN 5 ELSE 4 END AS checks, items_returned, items_extracted, n_extracted, n_incorporated_by_reference, n_not_applicable, n_reserved, n_not_found, avg_confidence, missing_items
         FROM per p JOIN verdict v ON v.filing_id = p.filing_id) z""",
+    # What each sample output holds, stated case by case; free text of the table holds no JSON.
+    "parsed_outputs": _JSON + "SELECT id, model, object_json, array_json FROM j",
+    "parse_failure_rates": _JSON + "SELECT model, count(*) AS outputs, count(*) FILTER (WHERE object_json = '' AND array_json = '') AS failures, count(*) FILTER (WHERE object_json = '' AND array_json = '') / count(*) AS failure_rate FROM j GROUP BY model",
+    "output_verdicts": _JSON + """SELECT model, CASE WHEN object_json <> '' THEN k = 0 ELSE k = 4 END AS complete, (CASE WHEN k = 0 THEN 0.9 WHEN object_json <> '' THEN 0.5 WHEN k = 4 THEN 0.7 ELSE 0.3 END)::DOUBLE AS confidence, count(*) AS outputs FROM j GROUP BY ALL""",
+    "planned_steps": _JSON + """SELECT action_type, step_no, count(*) AS steps FROM (SELECT 'navigate' AS action_type, 1 AS step_no FROM j WHERE k = 2 UNION ALL SELECT 'key_press', 1 FROM j WHERE k = 3 UNION ALL SELECT 'click', 2 FROM j WHERE k = 3
+      UNION ALL SELECT 'click', 1 FROM j WHERE k = 5 UNION ALL SELECT 'click', 2 FROM j WHERE k = 5) x GROUP BY ALL""",
+    "page_errors": f"""SELECT host, count(*) AS pages, count(*) FILTER (WHERE doc_id % 7 = 6) AS errors, count(*) FILTER (WHERE doc_id % 7 = 6) AS pages_with_errors
+      FROM (SELECT doc_id, ['en.wikipedia.org', 'arxiv.org', 'news.ycombinator.com', 'developer.mozilla.org', 'pypi.org', 'github.com', 'example.com'][doc_id % 7 + 1] AS host FROM documents) x GROUP BY host""",
 }

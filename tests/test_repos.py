@@ -49,7 +49,7 @@ def test_manifests(spark):
 
 
 def test_tool_reports(spark):
-    rows = [("r", "ruff", '[{"filename": "a.py", "location": {"row": 3, "column": 1}, "code": "E1", "message": "m", "fix": null}]'), ("r", "ruff", "broken ["), ("r", "ruff", ""),
+    rows = [("r", "ruff", '[{"filename": "a.py", "location": {"row": 3, "column": 1}, "code": "E1", "message": "m", "fix": null}]'), ("r", "ruff", "broken ["), ("r", "ruff", '[{"filename": "x", "code": "E2"}] and a crash'), ("r", "ruff", ""),
             ("r", "pytest", "FAILED tests/t.py::x - AssertionError: boom\n5 passed, 1 failed, 2 skipped in 1s"), ("q", "pytest", "no tests ran in 0.1s"),
             ("r", "bandit", '{"results": [{"issue_severity": "LOW", "issue_confidence": "LOW"}, {"issue_severity": "MEDIUM", "filename": "/c/x.py", "test_id": "B101", "issue_text": "assert"}]}')]
     findings, counts = S.ingest_reports(spark.createDataFrame(rows, "repo string, tool string, payload string"), "/c")
