@@ -60,12 +60,19 @@ def extract(c: Column | str, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract(col(c), pattern, group)
 
 
+def sql_literal(value) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return repr(value)
+
+
 def literal_map(pairs) -> Column:
-    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    """A constant lookup table inside an expression (one parsed literal, so plans stay quick to build)."""
+    return F.expr("map(" + ", ".join(sql_literal(x) for pair in pairs for x in pair) + ")")
 
 
 def text_array(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+    return F.expr("array(" + ", ".join(sql_literal(w) for w in words) + ")")
 
 
 def is_json(text: Column) -> Column:

@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import fixed
 from paperloom.functions.text import (LINES, LINES_NOCASE, collapse, extract, find_spans, left, let, literal_map,
-                                      rlike, slice_text, strip, text_array)
+                                      rlike, slice_text, sql_literal, strip, text_array)
 
 ITEM_NUMBERS = [n for _, n, _ in fixed.ITEMS]
 
 
 def _variant_map() -> Column:
-    return F.create_map(*[x for n, words in fixed.TITLE_VARIANTS.items() for x in (F.lit(n), text_array(words))])
+    rows = ", ".join(f"{sql_literal(n)}, array({', '.join(sql_literal(w) for w in words)})" for n, words in fixed.TITLE_VARIANTS.items())
+    return F.expr(f"map({rows})")
 
 
 def _standard_prefix() -> Column:
