@@ -89,14 +89,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def find_spans(text: Column, pattern: str, before: int = 0, after: int = 0) -> Column:
+def find_spans(text: Column, pattern: str, before: int = 0, after: int = 0, shape=None) -> Column:
     """All non-overlapping matches of a pattern, in order: (idx, gap, hit, pre, post).
 
     Two built-in regex passes give the pieces of the text between and inside the matches; `gap` is
     the length of the piece before the match, so an offset is a running sum over (gap, hit) lengths.
     `pre`/`post` hold that many characters of context on either side (at most 60 pieces are joined,
-    which covers 240 characters for matches of 8 and more).
+    which covers 240 characters for matches of 8 and more). `shape` arranges the five columns; the
+    default is a struct of them.
     """
+    shape = shape or (lambda **c: F.struct(*[v.alias(k) for k, v in c.items()]))
 
     def around(pieces: Column, i: Column, pre: bool) -> Column:
         reach = before if pre else after
@@ -116,10 +118,7 @@ def find_spans(text: Column, pattern: str, before: int = 0, after: int = 0) -> C
     def spans(s: Column, pieces: Column) -> Column:
         return F.transform(
             s["h"],
-            lambda h, i: F.struct(
-                i.alias("idx"), F.length(F.get(s["g"], i)).alias("gap"), h.alias("hit"),
-                around(pieces, i, True).alias("pre"), around(pieces, i, False).alias("post"),
-            ),
+            lambda h, i: shape(idx=i, gap=F.length(F.get(s["g"], i)), hit=h, pre=around(pieces, i, True), post=around(pieces, i, False)),
         )
 
     both = F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("h"))

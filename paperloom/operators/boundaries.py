@@ -28,10 +28,10 @@ def _standard_prefix() -> Column:
 
 
 def title_score(item: Column, title: Column) -> Column:
-    """How well a heading's title fits its item number."""
-    low = strip(F.lower(title))
+    """How well a heading's (stripped) title fits its item number."""
+    low = F.lower(title)
     return (
-        F.when(low == "", 0.55)
+        F.when(title == "", 0.55)
         .when(F.exists(_variant_map()[item], lambda v: F.contains(low, v)), 0.95)
         .when(F.contains(low, _standard_prefix()[item]), 0.90)
         .otherwise(0.5)
@@ -40,13 +40,11 @@ def title_score(item: Column, title: Column) -> Column:
 
 def looks_like_toc(snippet: Column) -> Column:
     """Dot leaders or a trailing page number, or a caption: the look of a contents line."""
-    def numbered(flat: Column) -> Column:
-        return rlike(flat, r"\.{2,}\s*\d{1,4}\s*$") | (rlike(flat, r"\s\d{1,4}\s*$") & (F.length(flat) < 140))
-
+    flat = collapse(snippet)
     # Only a text that ends in a digit is worth collapsing.
     ends_in_digit = rlike(F.right(strip(snippet), F.lit(1)), r"\d")
-    caption = F.contains(F.lower(left(snippet, 200)), F.lit("table of contents"))
-    return F.when(ends_in_digit, let(collapse(snippet), numbered)).otherwise(False) | caption
+    numbered = rlike(flat, r"\.{2,}\s*\d{1,4}\s*$") | (rlike(flat, r"\s\d{1,4}\s*$") & (F.length(flat) < 140))
+    return F.when(ends_in_digit, numbered).otherwise(False) | F.contains(F.lower(left(snippet, 200)), F.lit("table of contents"))
 
 
 def _title_rows() -> list[tuple[str, str, int, int]]:
@@ -74,81 +72,81 @@ def title_pattern() -> str:
 
 # --- candidates ---------------------------------------------------------------------------------
 
-def _row(**fields: Column) -> Column:
-    """A candidate with the common layout; missing fields are null."""
-    layout = [("kind", "string"), ("idx", "int"), ("gap", "int"), ("len", "int"), ("base", "int"),
-              ("shift", "int"), ("item_number", "string"), ("heading_text", "string"), ("score", "double"),
-              ("toc_like", "boolean"), ("toc_near", "boolean"), ("mid_sentence", "boolean"), ("rank", "int"),
-              ("case_rank", "int"), ("status_hint", "string"), ("page_note", "string"), ("end_pos", "int")]
-    return F.struct(*[fields.get(n, F.lit(None)).cast(t).alias(n) for n, t in layout])
+_LAYOUT = [("kind", "string"), ("idx", "int"), ("gap", "int"), ("hit", "string"), ("pre", "string"), ("post", "string"),
+           ("base", "int"), ("item_number", "string"), ("heading_text", "string"), ("rank", "int"), ("status_hint", "string"),
+           ("page_note", "string"), ("end_pos", "int")]
 
 
-def _heading_rows(text: Column) -> Column:
-    def kind_of(n: int, flagged: str):
-        def one(s: Column) -> Column:
-            item = F.upper(extract(s["hit"], flagged, 1))
-            title = strip(extract(s["hit"], flagged, 2))
-            near = F.concat(s["pre"], left(F.concat(s["hit"], s["post"]), 200))
-            return _row(kind=F.lit(f"heading{n}"), idx=s["idx"], gap=s["gap"], len=F.length(s["hit"]), base=F.lit(0),
-                        item_number=item, heading_text=title, score=title_score(item, title),
-                        toc_like=looks_like_toc(s["hit"]), toc_near=looks_like_toc(near))
+def _row(**fields: Column) -> Column:
+    """A raw candidate with the common layout; missing fields are null."""
+    return F.struct(*[fields.get(n, F.lit(None)).cast(t).alias(n) for n, t in _LAYOUT])
 
-        return F.transform(find_spans(text, flagged, before=40, after=200), one)
 
-    return F.concat(*[kind_of(n, LINES + pattern) for n, pattern in enumerate(fixed.HEADING_PATTERNS)])
+def _of_kind(kind: str, base: Column):
+    return lambda **c: _row(kind=F.lit(kind), base=base, **c)
 
 
-def _title_candidates(text: Column) -> Column:
-    flagged = LINES + title_pattern()
-    lookup = literal_map([(shape, f"{item}|{rank}|{case}") for shape, item, rank, case in _title_rows()])
+def _heading_rows(text: Column) -> Column:
+    return F.concat(*[
+        find_spans(text, LINES + p, before=40, after=200, shape=_of_kind(f"heading{n}", F.lit(0)))
+        for n, p in enumerate(fixed.HEADING_PATTERNS)])
 
-    def one(s: Column) -> Column:
-        title = F.regexp_replace(s["hit"], r"^[\s|]+|[\s|]+$", "")
-        return let(F.split(lookup[title], r"\|"), lambda key: _row(
-            kind=F.lit("title"), idx=s["idx"], gap=s["gap"], len=F.length(s["hit"]), base=F.lit(0),
-            # The whitespace run before a title belongs to it even when the previous hit took it.
-            shift=F.when((s["gap"] == 0) & (s["idx"] > 0), F.length(extract(s["pre"], r"(\n[\s|]*)$", 1))),
-            item_number=key[0], heading_text=title, rank=key[1].cast("int"), case_rank=key[2].cast("int"),
-            mid_sentence=rlike(strip(s["pre"]), r"[a-z][a-z]{2,}$")))
 
-    return F.transform(find_spans(text, flagged, before=80), one)
+def _title_candidates(text: Column) -> Column:
+    return find_spans(text, LINES + title_pattern(), before=80, shape=_of_kind("title", F.lit(0)))
 
 
 def _part_rows(text: Column) -> Column:
-    flagged = LINES_NOCASE + fixed.PART_PATTERN
-    roman = literal_map([("1", "I"), ("2", "II"), ("3", "III"), ("4", "IV")])
-
-    def one(s: Column) -> Column:
-        raw = F.upper(extract(s["hit"], flagged, 1))
-        return _row(kind=F.lit("part"), idx=s["idx"], gap=s["gap"], len=F.length(s["hit"]), base=F.lit(0),
-                    heading_text=F.coalesce(roman[raw], raw))
-
-    return F.transform(find_spans(text, flagged), one)
+    return find_spans(text, LINES_NOCASE + fixed.PART_PATTERN, shape=_of_kind("part", F.lit(0)))
 
 
 def _end_index_rows(text: Column) -> Column:
-    flagged = LINES_NOCASE + fixed.END_INDEX_PATTERN
     base = F.floor(F.length(text) * F.lit(0.95)).cast("int")
+    return find_spans(slice_text(text, base, F.length(text)), LINES_NOCASE + fixed.END_INDEX_PATTERN, shape=_of_kind("end_index", base))
 
-    def one(s: Column) -> Column:
-        title, third = strip(extract(s["hit"], flagged, 2)), strip(extract(s["hit"], flagged, 3))
-        low = F.lower(third)
-        nil, gone = "(?i)" + fixed.INDEX_NOT_APPLICABLE, "(?i)" + fixed.INDEX_RESERVED
-        status = (
-            F.when(rlike(title, gone), "reserved")
-            .when(rlike(title, nil) | rlike(third, nil), "not_applicable")
-            .when(rlike(third, gone), "reserved")
-            .when(rlike(third, "(?i)" + fixed.INDEX_PAGES) | F.contains(third, F.lit("Pages"))
-                  | rlike(third, r"^\d"), "extracted")
-            .when(F.contains(low, F.lit("incorporat")) | F.contains(low, F.lit("proxy")), "incorporated_by_reference")
-            .otherwise("extracted")
-        )
-        return _row(kind=F.lit("end_index"), idx=s["idx"], gap=s["gap"], len=F.length(s["hit"]), base=base,
-                    item_number=F.upper(extract(s["hit"], flagged, 1)), status_hint=status,
-                    heading_text=F.when(rlike(title, gone), "Reserved").otherwise(left(title, 120)),
-                    page_note=left(third, 120))
 
-    return F.transform(find_spans(slice_text(text, base, F.length(text)), flagged), one)
+def _describe(rows: DataFrame) -> DataFrame:
+    """Read the fields of every candidate off its match. Plain columns after the explode, so they are
+    compiled; each pattern runs only on rows of its own kind."""
+    kind, hit = F.col("kind"), F.col("hit")
+    head, title, part, index = F.startswith(kind, F.lit("heading")), kind == "title", kind == "part", kind == "end_index"
+    from_head = lambda g: F.coalesce(*[
+        F.when(kind == f"heading{n}", extract(hit, LINES + p, g)) for n, p in enumerate(fixed.HEADING_PATTERNS)])
+    end = LINES_NOCASE + fixed.END_INDEX_PATTERN
+    lookup = literal_map([(shape, f"{item}|{rank}|{case}") for shape, item, rank, case in _title_rows()])
+    roman = literal_map([("1", "I"), ("2", "II"), ("3", "III"), ("4", "IV")])
+    rows = (
+        rows.withColumn("_raw", F.when(head, F.upper(from_head(1))).when(index, F.upper(extract(hit, end, 1)))
+                        .when(part, F.upper(extract(hit, LINES_NOCASE + fixed.PART_PATTERN, 1))))
+        .withColumn("_name", F.when(head, strip(from_head(2))).when(index, strip(extract(hit, end, 2)))
+                    .when(title, F.regexp_replace(hit, r"^[\s|]+|[\s|]+$", "")))
+        .withColumn("_third", F.when(index, strip(extract(hit, end, 3))))
+    )
+    name, third = F.col("_name"), F.col("_third")
+    rows = rows.withColumn("_key", F.when(title, F.split(lookup[name], r"\|")))
+    nil, gone = "(?i)" + fixed.INDEX_NOT_APPLICABLE, "(?i)" + fixed.INDEX_RESERVED
+    low = F.lower(third)
+    listed = (
+        F.when(rlike(name, gone), "reserved").when(rlike(name, nil) | rlike(third, nil), "not_applicable").when(rlike(third, gone), "reserved")
+        .when(rlike(third, "(?i)" + fixed.INDEX_PAGES) | F.contains(third, F.lit("Pages")) | rlike(third, r"^\d"), "extracted")
+        .when(F.contains(low, F.lit("incorporat")) | F.contains(low, F.lit("proxy")), "incorporated_by_reference").otherwise("extracted")
+    )
+    item = F.when(head | index, F.col("_raw")).when(title, F.col("_key")[0]).otherwise(F.col("item_number"))
+    near = F.concat(F.col("pre"), left(F.concat(hit, F.col("post")), 200))
+    return rows.select(
+        "filing_id", "total_chars", "kind", "idx", "gap", F.coalesce(F.length(hit), F.lit(0)).alias("len"), "base",
+        # The whitespace run before a title belongs to it even when the previous hit took it.
+        F.when(title & (F.col("gap") == 0) & (F.col("idx") > 0), F.length(extract("pre", r"(\n[\s|]*)$", 1))).alias("shift"),
+        item.alias("item_number"),
+        F.when(head | title, name).when(part, F.coalesce(roman[F.col("_raw")], F.col("_raw")))
+        .when(index, F.when(rlike(name, gone), "Reserved").otherwise(left(name, 120))).otherwise(F.col("heading_text")).alias("heading_text"),
+        F.when(head, title_score(F.col("_raw"), name)).alias("score"),
+        F.when(head, looks_like_toc(hit)).alias("toc_like"), F.when(head, looks_like_toc(near)).alias("toc_near"),
+        F.when(title, rlike(strip("pre"), r"[a-z][a-z]{2,}$")).alias("mid_sentence"),
+        F.when(title, F.col("_key")[1].cast("int")).otherwise(F.col("rank")).alias("rank"),
+        F.when(title, F.col("_key")[2].cast("int")).alias("case_rank"),
+        F.when(index, listed).otherwise(F.col("status_hint")).alias("status_hint"),
+        F.when(index, left(third, 120)).otherwise(F.col("page_note")).alias("page_note"), "end_pos")
 
 
 def _reference_rows(text: Column) -> Column:
@@ -253,11 +251,9 @@ def candidates(texts: DataFrame, only: list[str] | None = None) -> DataFrame:
     t = F.col("text")
     everything = F.concat(
         F.array(_row(kind=F.lit("doc"))), *[fn(t) for name, fn in _DETECTORS.items() if only is None or name in only])
-    rows = (
-        texts.select("filing_id", F.length(t).alias("total_chars"), F.explode(everything).alias("c"))
-        .select("filing_id", "total_chars", "c.*")
-        .repartition("filing_id")
-    )
+    raw = texts.select("filing_id", F.length(t).alias("total_chars"), F.explode(everything).alias("c")).select(
+        "filing_id", "total_chars", "c.*")
+    rows = _describe(raw).repartition("filing_id")
     run = Window.partitionBy("filing_id", "kind").orderBy("idx")
     before = run.rowsBetween(Window.unboundedPreceding, -1)
     pos = (
