@@ -86,6 +86,7 @@ def test_two_percentile_rules(spark):
     df = spark.createDataFrame(rows, "suite string, passed boolean, latency_ms double, cost_usd double, confidence double, failure_type string, cache_hit boolean, llm_calls int, avg_confidence double, self_corrections int")
     m, s = S.eval_metrics(df, ["suite"]).first(), S.suite_summary(df).first()
     assert (m["p50_latency_ms"], m["p95_latency_ms"], s["p95_latency_ms"]) == (10.0, 19.0, 20.0)
+    assert set(S.eval_metrics(df, ["suite"], approximate=True).columns) == set(S.eval_metrics(df, ["suite"]).columns)
 
 
 @pytest.mark.parametrize("raw,category,code,retry", [
