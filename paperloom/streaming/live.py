@@ -6,9 +6,11 @@ batch a key's rows are put in event-time order before its state sees them.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.cloudpickle import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -18,6 +20,10 @@ from paperloom.operators import secrets
 from paperloom.operators.ledger import cap_of, exact
 from paperloom.operators.skills import reuse_key
 
+# State processors travel with their code: the process that prepares a stateful stream does not get
+# the shipped package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DAY_MS = 24 * 3600 * 1000
 _MONEY_UNIT = 10 ** 12  # state keeps money as whole millionths of a millionth of a dollar
 
@@ -96,6 +102,9 @@ def live_stuck_loops(steps: DataFrame) -> DataFrame:
 
 
 class _Breaker(StatefulProcessor):
+    def __init__(self, threshold: int, cooldown_seconds: float) -> None:
+        self.threshold, self.cooldown = threshold, cooldown_seconds * 1_000_000
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("breaker", "failures bigint, last_us bigint", DAY_MS)
 
@@ -104,11 +113,11 @@ class _Breaker(StatefulProcessor):
         out = []
         for r in _ordered(rows, ["us", "event_id"]).itertuples(index=False):
             before = "closed"
-            if failures >= fixed.BREAKER_FAILURES:
-                before = "half_open" if r.us - last > fixed.BREAKER_COOLDOWN_SECONDS * 1_000_000 else "open"
+            if failures >= self.threshold:
+                before = "half_open" if r.us - last > self.cooldown else "open"
             failures = 0 if r.ok else failures + 1
             last = r.us if not r.ok else last
-            out.append((key[0], r.event_id, before, "open" if failures >= fixed.BREAKER_FAILURES else "closed", failures))
+            out.append((key[0], r.event_id, before, "open" if failures >= self.threshold else "closed", failures))
         self.state.update((int(failures), int(last)))
         yield pd.DataFrame(out, columns=["service", "event_id", "state_before", "state_after", "failures"])
 
@@ -116,11 +125,12 @@ class _Breaker(StatefulProcessor):
         pass
 
 
-def live_breaker(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+def live_breaker(events: DataFrame, threshold: int = fixed.BREAKER_FAILURES, cooldown: float = fixed.BREAKER_COOLDOWN_SECONDS,
+                 late: str = "10 minutes") -> DataFrame:
     """(service, event_id, ts, ok) -> breaker state before and after every call."""
     rows = events.withWatermark("ts", late).select("service", "event_id", F.unix_micros("ts").alias("us"), "ok")
     return rows.groupBy("service").transformWithStateInPandas(
-        _Breaker(), "service string, event_id bigint, state_before string, state_after string, failures bigint", "Append", "ProcessingTime")
+        _Breaker(threshold, cooldown), "service string, event_id bigint, state_before string, state_after string, failures bigint", "Append", "ProcessingTime")
 
 
 class _Reuse(StatefulProcessor):
