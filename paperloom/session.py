@@ -60,7 +60,12 @@ def ship_package(spark: SparkSession) -> None:
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="paperloom-pkg-")) / "paperloom_pkg.zip"
+    home = shared_folder(spark)
+    plain = home.removeprefix("file://").removeprefix("file:")
+    # An object store cannot be written with plain files: build beside the driver, Spark serves it.
+    target = Path(tempfile.mkdtemp(prefix="paperloom-pkg-")) if "://" in plain else Path(plain)
+    target.mkdir(parents=True, exist_ok=True)
+    archive = target / f"paperloom-{context.applicationId}.zip"
     with zipfile.ZipFile(archive, "w") as out:
         for file in sorted(root.rglob("*.py")):
             out.write(file, file.relative_to(root.parent))
