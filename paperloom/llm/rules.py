@@ -5,10 +5,12 @@ over the table of vote patterns estimates the accuracy of every rule and the sha
 the posterior probability of good replaces the demand that all rules pass. The pattern table has at most
 3 ** len(RULES) rows, whatever the corpus, so it is folded in one row and joined back as a broadcast.
 
-Model: rule j is right with probability a_j wherever it votes, independent of the others given the
-quality. E-step: log odds = logit(prior) + sum of votes times logit(a_j). M-step: a_j and the prior are
-the posterior-weighted shares, smoothed by SMOOTH pseudo-votes at the starting accuracy. Accuracies are
-kept within [LEAST, MOST] (a rule is never read against its sense).
+Model (two accuracies per rule): where rule j votes, it votes good on a good document with probability
+g_j and bad on a bad one with probability b_j, independent of the others given the quality. An abstention
+says nothing. E-step: log odds = logit(prior) + sum over good votes of log(g_j / (1 - b_j)) + sum over bad
+votes of log((1 - g_j) / b_j). M-step: the posterior-weighted shares, smoothed by SMOOTH pseudo-votes at
+the starting accuracies and kept within limits that forbid reading a rule against its sense (a rule sees
+one kind of junk, so b_j may be small, but a good document seldom draws a bad vote).
 
 Null and empty texts have no words and all measures 0; they fail the base test. Very long texts are
 measured whole. Repeated rows are judged alike; empty tables give empty results. The input row is carried
@@ -28,13 +30,14 @@ MIN_WORDS = 50
 REPEAT_PERCENT = 50
 KEEP_FROM = 0.5
 ROUNDS = 12
-START, PRIOR, SMOOTH = 0.75, 0.8, 10.0
-LEAST, MOST = 0.55, 0.99
+PRIOR, START_GOOD, START_BAD, SMOOTH = 0.8, 0.995, 0.3, 10.0
+GOOD_LIMITS, BAD_LIMITS, PRIOR_LIMITS = (0.9, 0.9999), (0.02, 0.98), (0.01, 0.99)
 
 #: name, measure as an exact fraction (numerator, denominator), good up to, bad from (in thousandths).
 RULES = (
     ("symbols", "n_symbols", "n_words", 20, 100),
-    ("repeated lines", "n_dup_lines", "n_lines", 100, 300),
+    ("symbols per character", "n_symbols", "word_chars", 5, 40),
+    ("repeated lines", "n_dup_lines", "n_lines", 100, 550),
     ("repeated words", "n_repeat_words", "n_words", 100, 300),
     ("capitals", "n_capitals", "word_chars", 200, 400),
     ("outcries", "n_outcries", "n_words", 30, 200),
@@ -93,8 +96,8 @@ def pattern_code() -> str:
     return " + ".join(f"{3 ** j} * (1 + {_vote(*rule[1:])})" for j, rule in enumerate(RULES))
 
 
-def _logit(p: Column) -> Column:
-    return F.log(p / (1 - p))
+def _within(x: Column, limits: tuple[float, float]) -> Column:
+    return F.greatest(F.lit(limits[0]), F.least(F.lit(limits[1]), x))
 
 
 def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -104,36 +107,31 @@ def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     m = len(RULES)
     table = patterns.groupBy().agg(F.array_sort(F.collect_list(F.struct("code", "votes", F.col("n").cast("double").alias("n")))).alias("p"))
 
-    def total(p: Column, f) -> Column:
-        return F.aggregate(p, F.lit(0.0), lambda s, x: s + f(x))
-
-    def log_odds(state: Column, v: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(0), F.lit(m - 1)), _logit(state["prior"]), lambda s, j: s + F.get(v, j) * _logit(F.get(state["acc"], j)))
-
     def posterior(state: Column, v: Column) -> Column:
-        return 1 / (1 + F.exp(-log_odds(state, v)))
-
-    def step(state: Column, _: Column) -> Column:
-        # E-step: weight of good per pattern.
-        good = F.transform(F.col("p"), lambda x: F.struct(x["votes"].alias("votes"), x["n"].alias("n"), (x["n"] * posterior(state, x["votes"])).alias("g")))
-        return F.struct(good.alias("good"))
-
-    start = F.struct(F.lit(PRIOR).alias("prior"), F.array(*[F.lit(START)] * m).alias("acc"))
-
-    def both(state: Column, i: Column) -> Column:
-        good = step(state, i)["good"]
-        # One pass gives, per rule, the weight of right votes and of all votes, then the weights of good and of all.
-        zero = F.array(*[F.lit(0.0)] * (2 * m + 2))
-        sums = F.aggregate(good, zero, lambda s, x: F.concat(
-            F.zip_with(F.slice(s, 1, m), x["votes"], lambda a, v: a + F.when(v > 0, x["g"]).when(v < 0, x["n"] - x["g"]).otherwise(0.0)),
-            F.zip_with(F.slice(s, m + 1, m), x["votes"], lambda a, v: a + F.when(v != 0, x["n"]).otherwise(0.0)),
-            F.array(F.get(s, F.lit(2 * m)) + x["g"], F.get(s, F.lit(2 * m + 1)) + x["n"])))
-        return F.aggregate(F.array(sums), state, lambda _, s: F.struct(
-            F.greatest(F.lit(0.01), F.least(F.lit(0.99), (F.get(s, F.lit(2 * m)) + SMOOTH * PRIOR) / (F.get(s, F.lit(2 * m + 1)) + SMOOTH))).alias("prior"),
-            F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda j: F.greatest(F.lit(LEAST), F.least(F.lit(MOST), (
-                F.get(s, j) + SMOOTH * START) / (F.get(s, j + m) + SMOOTH)))).alias("acc")))
-
-    fitted = table.withColumn("state", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, both))
+        # `say` holds, per rule, what a good and what a bad vote add to the log odds.
+        odds = F.aggregate(F.zip_with(v, state["say"], lambda x, s: F.when(x > 0, s["good"]).when(x < 0, s["bad"]).otherwise(0.0)),
+                           F.log(state["prior"] / (1 - state["prior"])), lambda a, x: a + x)
+        return 1 / (1 + F.exp(-odds))
+
+    def said(good: Column, bad: Column) -> Column:
+        return F.struct(F.log(good / (1 - bad)).alias("good"), F.log((1 - good) / bad).alias("bad"))
+
+    def again(state: Column, _: Column) -> Column:
+        weighed = F.transform(F.col("p"), lambda x: F.struct(x["votes"].alias("votes"), x["n"].alias("n"), (x["n"] * posterior(state, x["votes"])).alias("g")))
+        zero = F.struct(F.array(*[F.struct(*[F.lit(0.0).alias(c) for c in "abcd"])] * m).alias("rules"), F.lit(0.0).alias("g"), F.lit(0.0).alias("n"))
+        # Per rule: a good votes and b all votes on good documents, c bad votes and d all votes on bad ones.
+        sums = F.aggregate(weighed, zero, lambda s, x: F.struct(
+            F.zip_with(s["rules"], x["votes"], lambda r, v: F.struct(
+                (r["a"] + F.when(v > 0, x["g"]).otherwise(0.0)).alias("a"), (r["b"] + F.when(v != 0, x["g"]).otherwise(0.0)).alias("b"),
+                (r["c"] + F.when(v < 0, x["n"] - x["g"]).otherwise(0.0)).alias("c"), (r["d"] + F.when(v != 0, x["n"] - x["g"]).otherwise(0.0)).alias("d"))).alias("rules"),
+            (s["g"] + x["g"]).alias("g"), (s["n"] + x["n"]).alias("n")), lambda s: F.struct(
+            _within((s["g"] + SMOOTH * PRIOR) / (s["n"] + SMOOTH), PRIOR_LIMITS).alias("prior"),
+            F.transform(s["rules"], lambda r: said(_within((r["a"] + SMOOTH * START_GOOD) / (r["b"] + SMOOTH), GOOD_LIMITS),
+                                                   _within((r["c"] + SMOOTH * START_BAD) / (r["d"] + SMOOTH), BAD_LIMITS))).alias("say")))
+        return sums
+
+    start = F.struct(F.lit(PRIOR).alias("prior"), F.array(*[said(F.lit(START_GOOD), F.lit(START_BAD))] * m).alias("say"))
+    fitted = table.withColumn("state", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, again))
     return fitted.select(F.explode("p").alias("x"), "state").select("x.code", posterior(F.col("state"), F.col("x.votes")).alias("posterior"))
 
 
@@ -151,15 +149,18 @@ def judge(docs: DataFrame, text: str = "text", keep_from: float = KEEP_FROM, rou
 def oracle(keep_from: float = KEEP_FROM, rounds: int = ROUNDS) -> str:
     """The same for DuckDB: windows compared as texts, the rounds written out one after the other."""
     w = "[^ \\x09-\\x0D]"
-    lo = lambda s: f"ln({s}.prior / (1 - {s}.prior))" + "".join(f" + v{j} * ln({s}.a{j} / (1 - {s}.a{j}))" for j in range(len(RULES)))
+    m = range(len(RULES))
+    lo = lambda s: f"ln({s}.prior / (1 - {s}.prior))" + "".join(
+        f" + CASE WHEN v{j} > 0 THEN ln({s}.g{j} / (1 - {s}.b{j})) WHEN v{j} < 0 THEN ln((1 - {s}.g{j}) / {s}.b{j}) ELSE 0 END" for j in m)
+    share = lambda top, bottom, start, limits: f"greatest({limits[0]}, least({limits[1]}, (sum({top}) + {SMOOTH * start}) / (sum({bottom}) + {SMOOTH})))"
     v = ", ".join(f"{_vote(*rule[1:])} AS v{j}" for j, rule in enumerate(RULES))
-    steps = [f"s0 AS MATERIALIZED (SELECT CAST({PRIOR} AS DOUBLE) AS prior, " + ", ".join(f"CAST({START} AS DOUBLE) AS a{j}" for j in range(len(RULES))) + ")"]
+    steps = [f"s0 AS MATERIALIZED (SELECT CAST({PRIOR} AS DOUBLE) AS prior, " + ", ".join(
+        f"CAST({START_GOOD} AS DOUBLE) AS g{j}, CAST({START_BAD} AS DOUBLE) AS b{j}" for j in m) + ")"]
     for i in range(rounds):
-        acc = ", ".join(
-            f"greatest({LEAST}, least({MOST}, (sum(CASE WHEN v{j} > 0 THEN g WHEN v{j} < 0 THEN n - g ELSE 0 END) + {SMOOTH * START}) / "
-            f"(sum(CASE WHEN v{j} <> 0 THEN n ELSE 0 END) + {SMOOTH}))) AS a{j}" for j in range(len(RULES)))
-        steps.append(f"s{i + 1} AS MATERIALIZED (SELECT greatest(0.01, least(0.99, (sum(g) + {SMOOTH * PRIOR}) / (sum(n) + {SMOOTH}))) AS prior, {acc} "
-                     f"FROM (SELECT *, n / (1 + exp(-({lo(f's{i}')}))) AS g FROM pat, s{i}))")
+        acc = ", ".join(share(f"CASE WHEN v{j} > 0 THEN g ELSE 0 END", f"CASE WHEN v{j} <> 0 THEN g ELSE 0 END", START_GOOD, GOOD_LIMITS) + f" AS g{j}, "
+                        + share(f"CASE WHEN v{j} < 0 THEN n - g ELSE 0 END", f"CASE WHEN v{j} <> 0 THEN n - g ELSE 0 END", START_BAD, BAD_LIMITS) + f" AS b{j}" for j in m)
+        steps.append(f"s{i + 1} AS MATERIALIZED (SELECT {share('g', 'n', PRIOR, PRIOR_LIMITS)} AS prior, {acc} "
+                     f"FROM (SELECT pat.*, n / (1 + exp(-({lo(f's{i}')}))) AS g FROM pat, s{i}))")
     return f"""
 WITH src AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 toks AS (SELECT r, regexp_extract_all(t, '{w}+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{w}')) AS l FROM src),
