@@ -5,14 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import mixing, packing, rules, url_filters, warc
-from paperloom.llm.common import read
+from paperloom.llm import langid, lm_scoring, mixing, nbsvm, packing, rules, simhash, url_filters, warc
+from paperloom.llm.common import read, remainder
 from paperloom.session import cut_lineage
 
 HOST_RULES = [url_filters.host_rule("net/", "block"), url_filters.host_rule("example.net/en/", "allow"),
               url_filters.host_rule("example.com/de/", "block"), url_filters.host_rule("org/fr/", "allow")]
 
 
+def lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    good = read(spark, folder, "labels").filter("quality = 1").select("doc_id")
+    found = lm_scoring.score(docs, *lm_scoring.fit(docs, good))
+    return found.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
+
+
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def languages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    learned = langid.prototypes(docs.filter(~held_out))
+    return langid.identify(docs, learned).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def quality_model(docs: DataFrame, labels: DataFrame):
+    """Learned from every labelled row outside the held-out fold."""
+    return nbsvm.train(docs, labels.filter(remainder(F.col("doc_id"), 5) != 0))
+
+
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    found = nbsvm.scored(docs, quality_model(docs, read(spark, folder, "labels")))
+    return found.select("row.doc_id", (remainder(F.col("row.doc_id"), 5) == 0).alias("held_out"), "score",
+                        (F.col("score") >= nbsvm.THRESHOLD).cast("int").alias("predicted"))
+
+
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     # The measures are narrow; written once, they serve the pattern counts and the verdicts.
     docs = read(spark, folder, "documents").select("doc_id", "text")
@@ -57,7 +88,11 @@ def packed_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": lm_scores,
+    "op2_simhash_near_duplicates": near_duplicates,
     "op4_revisit_resolution": revisits,
+    "op5_language_id": languages,
+    "op6_quality_classifier": quality_scores,
     "op7_quality_rules": quality_rules,
     "op8_url_filters": url_verdicts,
     "op9_packing": packed_windows,
