@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.llm import lm_scoring, mixing, rules, url_filters, warc
+from paperloom.llm import lm_scoring, mixing, rules, search, url_filters, warc
 from paperloom.llm.queries import CAPTURES, HOST_RULES
 
 
@@ -71,6 +71,7 @@ SELECT doc_id, size, source_size, target, CAST(size * least(whole + CASE WHEN up
 
 ORACLE = {
     "op1_lm_scoring": lm_scoring.oracle(),
+    "op3_exact_search": search.oracle(),
     "op4_revisit_resolution": _revisits(),
     "op7_quality_rules": rules.oracle(),
     "op8_url_filters": _url_filters(),

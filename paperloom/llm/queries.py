@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import langid, lm_scoring, mixing, nbsvm, packing, rules, simhash, url_filters, warc
+from paperloom.llm import langid, lm_scoring, mixing, nbsvm, packing, rules, search, simhash, url_filters, warc
 from paperloom.llm.common import read, remainder
 from paperloom.session import cut_lineage
 
@@ -25,6 +25,11 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def searches(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    return search.search(docs, docs.filter("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"))
+
+
 def languages(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     held_out = remainder(F.col("doc_id"), 3) == 1
@@ -90,6 +95,7 @@ def packed_windows(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_lm_scoring": lm_scores,
     "op2_simhash_near_duplicates": near_duplicates,
+    "op3_exact_search": searches,
     "op4_revisit_resolution": revisits,
     "op5_language_id": languages,
     "op6_quality_classifier": quality_scores,
