@@ -69,12 +69,15 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     split = split.withColumn("pairs", F.array_sort(F.transform(spans, lambda i: F.struct(
         F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).alias("h"), i.alias("i")))))
     long = lambda c: c.cast("long")
-    return split.select(
-        "row", long(F.size("w")).alias("n_words"), long(F.length(F.regexp_replace("t", SPACE, ""))).alias("word_chars"),
+    # The measures leave through a generator of one row: a filter on them, moved below it, would be worked
+    # out from the text again, word by word.
+    measures = F.struct(
+        long(F.size("w")).alias("n_words"), long(F.length(F.regexp_replace("t", SPACE, ""))).alias("word_chars"),
         long(F.regexp_count("t", F.lit("[#*$%&|<>]"))).alias("n_symbols"),
         long(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), _covered(F.col("pairs")).alias("n_repeat_words"),
         long(F.size("lines")).alias("n_lines"), long(F.regexp_count("t", F.lit("[A-ZÀ-ÖØ-Þ]"))).alias("n_capitals"),
         long(F.regexp_count("t", F.lit("!!"))).alias("n_outcries"), long(F.regexp_count("t", F.lit("[|]"))).alias("n_bars"))
+    return split.select("row", F.explode(F.array(measures)).alias("m")).select("row", "m.*")
 
 
 def base_failed(min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT) -> Column:
