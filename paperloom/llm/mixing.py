@@ -36,16 +36,17 @@ MAX_PATTERNS = 20_000
 _BITS, _BUCKET_BITS = 60, 14
 
 
-def targets(sizes: dict, weights: Sequence[float], share: float, repeats: int) -> dict:
-    """Target words per source. `sizes`: source (or None) -> words."""
+def targets(sizes: dict, weights: Sequence[float], share: float, repeats: int, total: float | None = None) -> dict:
+    """Target words per source. `sizes`: source (or None) -> words; `total`: words of all documents, which
+    is less than the sum of the sizes where sources overlap."""
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    left, out, open_ = share * sum(sizes.values()), {}, list(order)
+    left, out, open_ = share * (sum(sizes.values()) if total is None else total), {}, list(order)
     while open_:
-        total = sum(weight[s] for s in open_)
-        above = [s for s in open_ if left * weight[s] / total > repeats * sizes[s]]
+        every = sum(weight[s] for s in open_)
+        above = [s for s in open_ if left * weight[s] / every > repeats * sizes[s]]
         if not above:
-            out.update({s: left * weight[s] / total for s in open_})
+            out.update({s: left * weight[s] / every for s in open_})
             break
         for s in above:
             out[s] = float(repeats * sizes[s])
@@ -132,7 +133,7 @@ def plan(sized: DataFrame, weights: Sequence[float], share: float, repeats: int)
         for n, own in zip(capacity, sets):
             for s in own:
                 sizes[s] = sizes.get(s, 0) + n
-        goal = targets(sizes, weights, share, repeats)
+        goal = targets(sizes, weights, share, repeats, sum(capacity))
         number = {s: i for i, s in enumerate(goal)}
         flow = min_cost_flow(capacity, [[number[s] for s in own] for own in sets], [round(goal[s]) for s in goal], repeats)
         out = []
