@@ -159,28 +159,58 @@ def heading_candidates(html: str) -> list[tuple[str, str]]:
     return out
 
 
-def paragraphs(container: Node, min_len: int, recursive: bool) -> list[str]:
-    """Body paragraphs of a container, page furniture left out."""
-    tags, noise = set(fixed.PARAGRAPH_NOISE_TAGS), set(fixed.PARAGRAPH_NOISE_CLASSES)
-    found = container.find_all("p") if recursive else (
-        c for c in container.children if isinstance(c, Node) and c.tag == "p")
-    out = []
-    for p in found:
-        if noise.intersection(p.classes):
-            continue
-        up, skip = p.parent, False
-        while up is not None and up.tag != container.tag:
-            if up.tag in tags or noise.intersection(up.classes):
-                skip = True
-                break
-            up = up.parent
-        text = p.text()
-        if not skip and len(text) > min_len:
-            out.append(tighten(text))
+def body_paragraphs(container: Node) -> list[tuple[bool, str]]:
+    """(is a direct child, text) of the paragraphs below a container that are not page furniture.
+
+    One walk from the container down: whether furniture encloses a place is known before the place is
+    reached. An element of the container's own tag starts a clean place.
+    """
+    tags, classes = frozenset(fixed.PARAGRAPH_NOISE_TAGS), frozenset(fixed.PARAGRAPH_NOISE_CLASSES)
+    out: list[tuple[bool, str]] = []
+    todo = [(child, False) for child in reversed(container.children) if isinstance(child, Node)]
+    while todo:
+        node, inside = todo.pop()
+        marked = not classes.isdisjoint(node.classes)
+        if node.tag == "p" and not inside and not marked:
+            out.append((node.parent is container, node.text()))
+        below = node.tag != container.tag and (inside or marked or node.tag in tags)
+        todo += [(child, below) for child in reversed(node.children) if isinstance(child, Node)]
     return out
 
 
-def tighten(raw: str) -> str:
-    raw = re.sub(r"\s+([,.;:!?)\]])", r"\1", raw)
-    raw = re.sub(r"([(\[])\s+", r"\1", raw)
-    return re.sub(r"\s{2,}", " ", raw).strip()
+class Strings:
+    """The visible strings of a document in order, and which of them lie below an element: texts of
+    nested elements are slices of one list, and their lengths are known without building them."""
+
+    def __init__(self, root: Node) -> None:
+        self.items: list[str] = []
+        self.ranges: dict[int, tuple[int, int]] = {}
+        stack: list[tuple[Node, int, int]] = [(root, 0, 0)]
+        while stack:
+            node, at, start = stack.pop()
+            if at == 0:
+                start = len(self.items)
+            hidden = node.tag in ("script", "style")
+            while at < len(node.children) and not hidden:
+                child = node.children[at]
+                at += 1
+                if isinstance(child, Node):
+                    stack.append((node, at, start))
+                    stack.append((child, 0, 0))
+                    break
+                text = child.strip()
+                if text:
+                    self.items.append(text)
+            else:
+                self.ranges[id(node)] = (start, len(self.items))
+        self.sizes = [0]
+        for text in self.items:
+            self.sizes.append(self.sizes[-1] + len(text))
+
+    def size(self, node: Node) -> int:
+        a, b = self.ranges.get(id(node), (0, 0))
+        return self.sizes[b] - self.sizes[a] + max(b - a - 1, 0)
+
+    def text(self, node: Node) -> str:
+        a, b = self.ranges.get(id(node), (0, 0))
+        return " ".join(self.items[a:b])

@@ -94,8 +94,8 @@ def find_spans(text: Column, pattern: str, before: int = 0, after: int = 0, shap
 
     Two built-in regex passes give the pieces of the text between and inside the matches; `gap` is
     the length of the piece before the match, so an offset is a running sum over (gap, hit) lengths.
-    `pre`/`post` hold that many characters of context on either side (at most 60 pieces are joined,
-    which covers 240 characters for matches of 8 and more). `shape` arranges the five columns; the
+    `pre`/`post` hold that many characters of context on either side (patterns must
+    not match the empty text). `shape` arranges the five columns; the
     default is a struct of them.
     """
     shape = shape or (lambda **c: F.struct(*[v.alias(k) for k, v in c.items()]))
@@ -112,8 +112,8 @@ def find_spans(text: Column, pattern: str, before: int = 0, after: int = 0, shap
             part = F.transform(F.slice(pieces, 2 * i + 3, F.lit(count)), lambda p: left(p, reach))
             return left(F.array_join(part, ""), reach)
 
-        # A few pieces nearly always suffice; fall back to many for runs of very short ones.
-        return let(near(6), lambda few: F.when(F.length(few) >= reach, few).otherwise(near(60)))
+        # A few pieces nearly always suffice. No match is empty, so 2 * reach + 2 pieces always do.
+        return let(near(6), lambda few: F.when(F.length(few) >= reach, few).otherwise(near(2 * reach + 2)))
 
     def spans(s: Column, pieces: Column) -> Column:
         return F.transform(

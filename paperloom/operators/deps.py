@@ -5,16 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.text import extract, left
+from paperloom.functions.text import extract
 
 _DEP = ["ecosystem", "name", "version"]
 
 
 def version_key(version: Column) -> Column:
-    """Numeric parts of a version, padded to four, for ordering (arrays compare part by part)."""
-    parts = F.transform(F.split(F.regexp_replace(version, "^v", ""), r"\."),
-                        lambda p: F.coalesce(F.regexp_extract(p, r"^(\d+)", 1).try_cast("int"), F.lit(0)))
-    return F.slice(F.concat(parts, F.array_repeat(F.lit(0), 4)), 1, 4)
+    """A version as numbers that order it (arrays compare part by part).
+
+    All numeric parts count, closing zeros do not (1.0 = 1.0.0). Behind the parts stands what the version
+    is: development, alpha, beta, candidate or other pre-release, release, post-release, with its number.
+    Parts are shifted by ten, so a further part is above all of these. Build tags after + are left out.
+    """
+    low = F.regexp_replace(F.lower(version), "^v+", "")
+    base = extract(low, r"^(\d+(?:\.\d+)*)", 1)
+    parts = F.filter(F.transform(F.split(F.regexp_replace(base, r"(\.0+)+$", ""), r"\."), lambda p: p.try_cast("bigint") + 10), lambda p: p.isNotNull())
+    rest = F.substring_index(F.substring(low, F.length(base) + 1, F.length(low)), "+", 1)
+    word = extract(rest, r"([a-z]+)", 1)
+    kind = F.when(word == "dev", 1).when(word.isin("a", "alpha"), 2).when(word.isin("b", "beta"), 3).when(word.isin("c", "rc", "pre", "preview"), 4) \
+        .when(word.isin("post", "rev"), 6).when(F.startswith(rest, F.lit("-")), 1).otherwise(5)
+    number = F.coalesce(extract(rest, r"(\d+)\D*$", 1).try_cast("bigint"), F.lit(0))
+    return F.concat(parts, F.array(kind.cast("bigint"), F.when(kind == 5, 0).otherwise(number)))
 
 
 def merge_deps(deps: DataFrame) -> DataFrame:
@@ -50,26 +61,25 @@ def audit_deps(deps: DataFrame, advisories: DataFrame) -> DataFrame:
     """
     pinned = deps.filter(F.coalesce("version", F.lit("")) != "")
     pairs = pinned.select(*_DEP).distinct().withColumn("_key", version_key(F.col("version")))
-    aff = F.col("a")
-    entries = advisories.select(
-        "id", F.explode("affected").alias("a"), F.col("affected"), "aliases", "summary", "severity", "refs").select(
+    aff, no_ranges = F.col("a"), F.array().cast("array<struct<introduced:string,fixed:string>>")
+    entries = advisories.select("id", F.explode("affected").alias("a")).select(
         "id", aff["ecosystem"].alias("ecosystem"), aff["name"].alias("name"),
         F.coalesce(aff["versions"], F.array().cast("array<string>")).alias("_versions"),
-        F.transform(F.coalesce(aff["ranges"], F.array().cast("array<struct<introduced:string,fixed:string>>")), lambda r: F.struct(
+        F.transform(F.coalesce(aff["ranges"], no_ranges), lambda r: F.struct(
             version_key(F.coalesce(r["introduced"], F.lit("0"))).alias("lo"),
-            F.when(r["fixed"].isNotNull(), version_key(r["fixed"])).alias("hi"))).alias("_ranges"),
-        F.get(F.filter("aliases", lambda x: F.startswith(x, F.lit("CVE-"))), F.lit(0)).alias("cve_id"),
-        left(F.coalesce("summary", F.lit("")), 200).alias("summary"),
-        F.get(F.filter("refs", lambda r: r["type"] == "WEB"), F.lit(0))["url"].alias("reference_url"),
-        advisory_severity(F.col("severity"), F.col("affected")).alias("severity"),
-        F.get(F.filter(F.flatten(F.transform(
-            F.filter("affected", lambda x: F.lower(x["name"]) == F.lower(aff["name"])),
-            lambda x: F.transform(F.coalesce(x["ranges"], F.array().cast("array<struct<introduced:string,fixed:string>>")),
-                                  lambda r: r["fixed"]))), lambda f: f.isNotNull()), F.lit(0)).alias("fixed_version"))
+            F.when(r["fixed"].isNotNull(), version_key(r["fixed"])).alias("hi"))).alias("_ranges"))
     hit = F.array_contains("_versions", F.col("version")) | F.exists("_ranges", lambda r: (F.col("_key") >= r["lo"]) & (
         r["hi"].isNull() | (F.col("_key") < r["hi"])))
-    found = pairs.join(entries, ["ecosystem", "name"]).filter(hit).dropDuplicates([*_DEP, "id"]).select(
-        *_DEP, F.col("id").alias("advisory_id"), F.coalesce("cve_id", F.lit("")).alias("cve_id"), "severity", "summary", "fixed_version",
+    # Only identifiers, names and ranges meet the packages; what the finding tells is joined by identifier.
+    matched = pairs.join(entries, ["ecosystem", "name"]).filter(hit).select(*_DEP, "id").distinct()
+    told = advisories.select(
+        "id", F.get(F.filter("aliases", lambda x: F.startswith(x, F.lit("CVE-"))), F.lit(0)).alias("cve_id"), F.coalesce("summary", F.lit("")).alias("summary"),
+        F.get(F.filter("refs", lambda r: r["type"] == "WEB"), F.lit(0))["url"].alias("reference_url"), advisory_severity(F.col("severity"), F.col("affected")).alias("severity"),
+        F.transform("affected", lambda x: F.struct(F.lower(x["name"]).alias("name"), F.get(F.filter(F.transform(
+            F.coalesce(x["ranges"], no_ranges), lambda r: r["fixed"]), lambda f: f.isNotNull()), F.lit(0)).alias("fixed"))).alias("_fixes")).dropDuplicates(["id"])
+    fixed_version = F.get(F.filter("_fixes", lambda x: (x["name"] == F.lower("name")) & x["fixed"].isNotNull()), F.lit(0))["fixed"]
+    found = matched.join(told, "id").select(
+        *_DEP, F.col("id").alias("advisory_id"), F.coalesce("cve_id", F.lit("")).alias("cve_id"), "severity", "summary", fixed_version.alias("fixed_version"),
         F.coalesce("reference_url", F.lit("")).alias("reference_url"))
     return pinned.select("repo", *_DEP).join(found, _DEP)
 

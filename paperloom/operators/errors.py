@@ -20,13 +20,14 @@ def http_status_of(raw: Column) -> Column:
     return F.coalesce(*[F.when(c.between(400, 599), c) for c in codes])
 
 
-def triage_errors(df: DataFrame) -> DataFrame:
-    """(id, stage, provider, model, raw) -> category, retryable flag, status code and label."""
+def triage_errors(df: DataFrame, keep: int | None = None) -> DataFrame:
+    """(id, stage, provider, model, raw) -> category, retryable flag, status code and label. `keep`: how
+    many characters of the error stay (all by default)."""
     raw = F.col("raw")
     label = literal_map(fixed.STATUS_LABELS)[F.col("status_code")]
     return (
-        df.withColumn("category", category_of(raw)).withColumn("raw_error", left(raw, 600))
-        .withColumn("status_code", http_status_of(left(raw, 600)))
+        df.withColumn("category", category_of(raw)).withColumn("raw_error", raw if keep is None else left(raw, keep))
+        .withColumn("status_code", http_status_of(raw))
         .withColumn("status_label", F.when(F.col("status_code").isNotNull(),
                                            F.concat_ws(" ", F.col("status_code").cast("string"), label)))
         .withColumn("retryable", F.col("category").isin(fixed.RETRYABLE_CATEGORIES)).drop("raw")
@@ -40,6 +41,12 @@ def error_rollup(triaged: DataFrame) -> DataFrame:
         F.count("status_code").alias("with_status")).withColumn("retryable_share", F.col("retryable") / F.col("errors"))
 
 
+def error_counts(triaged: DataFrame) -> DataFrame:
+    """Errors by stage and status code (0 where the text holds none)."""
+    return triaged.groupBy(F.coalesce("stage", F.lit("")).alias("stage"), F.coalesce("status_code", F.lit(0)).alias("status_code")).agg(
+        F.count(F.lit(1)).alias("errors"), F.count_if("retryable").alias("retryable"))
+
+
 def resolve_models(df: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     """(id, model_id, provider_hint) -> provider or the reason there is none.
 

@@ -12,13 +12,13 @@ from paperloom.session import ship_package
 
 
 def format_of(content: Column) -> Column:
-    head = F.lower(left(content, 50_000))
+    head = F.lower(content)
     return let(head, lambda h: F.when(F.contains(h, F.lit("ix:nonnumeric")) | F.contains(h, F.lit("ix:nonfraction")), "xbrl_html")
                .when(F.contains(h, F.lit("<html")) | F.contains(h, F.lit("<body")), "html").otherwise("text"))
 
 
 def detect_format(df: DataFrame) -> DataFrame:
-    """Adds `format` from the first 50 000 characters of `content`."""
+    """Adds `format` from the whole of `content`."""
     return df.withColumn("format", format_of(F.col("content")))
 
 
@@ -30,7 +30,7 @@ def format_census(df: DataFrame) -> DataFrame:
 def split_submissions(df: DataFrame) -> DataFrame:
     """(filing_id, content) -> one row per document block: position, type and body."""
     content = F.col("content")
-    wrapped = F.contains(F.upper(left(content, 80_000)), F.lit("<DOCUMENT>"))
+    wrapped = F.contains(F.upper(content), F.lit("<DOCUMENT>"))
     blocks = F.when(wrapped, F.regexp_extract_all(content, F.lit(r"(?is)<DOCUMENT>(.*?)</DOCUMENT>"), 1))
     body = F.when(rlike(F.col("block"), r"(?is)<TEXT>.*?</TEXT>"), extract("block", r"(?is)<TEXT>(.*?)</TEXT>", 1)) \
         .otherwise(F.col("block"))
@@ -43,7 +43,7 @@ def primary_document(df: DataFrame) -> DataFrame:
     """(filing_id, content) -> the annual report's own text: first block of that type, else first
     block, else the content itself. A filing's blocks stay in its row, so nothing is shuffled."""
     content = F.col("content")
-    wrapped = F.contains(F.upper(left(content, 80_000)), F.lit("<DOCUMENT>"))
+    wrapped = F.contains(F.upper(content), F.lit("<DOCUMENT>"))
     blocks = F.when(wrapped, F.regexp_extract_all(content, F.lit(r"(?is)<DOCUMENT>(.*?)</DOCUMENT>"), 1)).otherwise(
         F.array().cast("array<string>"))
 

@@ -111,16 +111,19 @@ def answer_from_paragraphs(tasks: DataFrame, paragraphs: DataFrame, key: str = "
         "task_id", key, "answer")
 
 
-def digest_text(text: Column, limit: int = 6000) -> Column:
-    """Whitespace collapsed; long texts keep their head and tail."""
+def digest_text(text: Column, limit: int | None = None) -> Column:
+    """Whitespace collapsed. With a limit, longer texts keep their head and tail."""
+    if limit is None:
+        return collapse(text)
     return let(collapse(text), lambda t: F.when(F.length(t) <= limit, t).otherwise(
         F.concat(left(t, limit // 2), F.lit("\n...\n"), F.right(t, F.lit(limit // 4)))))
 
 
-def digest_pages(pages: DataFrame, a11y_limit: int = 8000) -> DataFrame:
+def digest_pages(pages: DataFrame, limit: int | None = None, a11y_limit: int | None = None) -> DataFrame:
     """(page_id, text, a11y) -> digest and what the page offers."""
     tree = F.lower(F.coalesce("a11y", F.lit("")))
     return pages.select(
-        "page_id", digest_text(F.coalesce("text", F.lit(""))).alias("digest"), left("a11y", a11y_limit).alias("accessibility_tree"),
+        "page_id", digest_text(F.coalesce("text", F.lit("")), limit).alias("digest"),
+        (F.col("a11y") if a11y_limit is None else left("a11y", a11y_limit)).alias("accessibility_tree"),
         F.contains(tree, F.lit("button")).alias("has_buttons"), contains_any(tree, ["textbox", "searchbox"]).alias("has_inputs"),
         F.contains(tree, F.lit("link")).alias("has_links"))

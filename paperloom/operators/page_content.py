@@ -17,7 +17,7 @@ from paperloom.session import ship_package
 def _per_page(pages: DataFrame, rows_of, schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Run a page -> rows function in Arrow batches; the page key comes first in every row."""
     ship_package(pages.sparkSession)
-    names = ["page_id"] + [c.strip().split(" ")[0] for c in schema.split(",")]
+    names = ["page_id"] + re.findall(r"(?:^|,)\s*(\w+)\s", schema)
 
     def run(batches):
         for pdf in batches:
@@ -30,77 +30,98 @@ def _per_page(pages: DataFrame, rows_of, schema: str, extra: tuple[str, ...] = (
     return pages.select("page_id", "html", *extra).mapInPandas(run, f"page_id {kind}, {schema}")
 
 
+def tightened(text: Column) -> Column:
+    """No blanks before closing and after opening punctuation; runs of blanks are one."""
+    close = F.regexp_replace(text, r"(?U)\s+([,.;:!?)\]])", "$1")
+    return strip(F.regexp_replace(F.regexp_replace(close, r"(?U)([(\[])\s+", "$1"), r"(?U)\s{2,}", " "))
+
+
+def _numbered(found: list[tuple[bool, str]], direct: int | None, below: int) -> list[tuple[int, str]]:
+    """Direct children longer than `direct`; if there are none, any paragraph longer than `below`."""
+    own = [t for child, t in found if child and direct is not None and len(t) > direct]
+    return list(enumerate(own or [t for _, t in found if len(t) > below], start=1))
+
+
 def page_paragraphs(pages: DataFrame, container: str | None = None) -> DataFrame:
     """Numbered body paragraphs: direct children longer than 80, else any below longer than 40."""
     def rows(html):
-        from paperloom.functions.markup import paragraphs, parse
+        from paperloom.functions.markup import body_paragraphs, parse
 
         root = parse(html)
         box = (root.find(container) if container else root.find("article") or root.find("main") or root.find("body")) or root
-        found = paragraphs(box, 80, False) or paragraphs(box, 40, True)
-        return list(enumerate(found, start=1))
+        return _numbered(body_paragraphs(box), 80, 40)
 
-    return _per_page(pages, rows, "n int, text string")
+    return _per_page(pages, rows, "n int, text string").withColumn("text", tightened(F.col("text")))
 
 
-def site_paragraphs(pages: DataFrame) -> DataFrame:
-    """Paragraphs by each site's own rules (`site` column): article pages, docs pages, repository pages."""
+def site_paragraphs(pages: DataFrame, lead_chars: int | None = None) -> DataFrame:
+    """Paragraphs by each site's own rules (`site` column): article pages, docs pages, repository pages.
+    A repository page without paragraphs gives its whole text as number 0 (`lead_chars` of it, if given)."""
     def rows(html, site):
-        from paperloom.functions.markup import paragraphs, parse
+        from paperloom.functions.markup import body_paragraphs, parse
 
         root = parse(html)
+        articles = lambda cls: next((n for n in root.find_all("article") if cls in n.classes), None)
         if site == "wikipedia.org":
             outer = root.find(id_="mw-content-text")
-            box = outer.find(cls="mw-parser-output") if outer else None
-            found = (paragraphs(box, 80, False) or paragraphs(box, 40, True)) if box else []
-        elif site == "developer.mozilla.org":
+            box = outer and outer.find(cls="mw-parser-output")
+            return _numbered(body_paragraphs(box), 80, 40) if box else []
+        if site == "developer.mozilla.org":
             main = root.find("main")
-            box = next((n for n in root.find_all("article") if "main-page-content" in n.classes), None) or (
-                main.find("article") if main else None) or main
-            found = paragraphs(box, 40, True) if box else []
-        elif site == "github.com":
-            box = next((n for n in root.find_all("article") if "markdown-body" in n.classes), None)
-            found = paragraphs(box, 40, False) if box else []
-            if box and not found:
-                text = box.text()[:1000]
-                return [(0, text)] if len(text) > 80 else []
-        else:
+            box = articles("main-page-content") or (main and main.find("article")) or main
+            return _numbered(body_paragraphs(box), None, 40) if box else []
+        box = articles("markdown-body") if site == "github.com" else None
+        if not box:
             return []
-        return list(enumerate(found, start=1))
+        found = [t for child, t in body_paragraphs(box) if child and len(t) > 40]
+        whole = box.text()[:lead_chars]
+        return list(enumerate(found, start=1)) or ([(0, whole)] if len(whole) > 80 else [])
 
-    return _per_page(pages, rows, "n int, text string", ("site",))
+    return _per_page(pages, rows, "n int, text string", ("site",)).withColumn(
+        "text", F.when(F.col("n") > 0, tightened(F.col("text"))).otherwise(F.col("text")))
 
 
-def page_fields(pages: DataFrame) -> DataFrame:
-    """Long table (page_id, field, value) of paper pages and package pages (`site` column)."""
+#: Where a site keeps what a page says about its subject: site, part, tag, class (None: the whole element).
+_PARTS = [("arxiv.org", "title", "h1", "title"), ("arxiv.org", "author", "div", "authors"), ("arxiv.org", "abstract", "blockquote", "abstract"),
+          ("pypi.org", "name", "h1", "package-header__name"), ("pypi.org", "summary", "p", "package-description__summary"), ("pypi.org", "side", "aside", None)]
+
+
+def page_parts(pages: DataFrame) -> DataFrame:
+    """One row per page of a known site: its named parts as text, a line per string (map part -> text)."""
     def rows(html, site):
         from paperloom.functions.markup import parse
 
+        wanted = [(part, tag, cls) for s, part, tag, cls in _PARTS if s == site]
+        if not wanted:
+            return []
         root = parse(html)
-        out = {}
-        if site == "arxiv.org":
-            for field, tag, cls, label in (("title", "h1", "title", "Title:"), ("author", "div", "authors", "Authors:"),
-                                           ("abstract", "blockquote", "abstract", "Abstract:")):
-                node = root.find(tag, cls)
-                out[field] = re.sub(r"\s{2,}", " ", (node.text() if node else "").removeprefix(label).strip())
-        elif site == "pypi.org":
-            head = root.find("h1", "package-header__name")
-            words = head.text().split() if head else []
-            versioned = len(words) >= 2 and words[-1][0].isdigit()
-            out["title"] = " ".join(words[:-1] if versioned else words)
-            out["version"] = words[-1] if versioned else ""
-            summary = root.find("p", "package-description__summary")
-            out["description"] = summary.text() if summary else ""
-            side = (root.find("aside") or root).text("\n")
-            lic = re.search(r"License\s+Expression:\s*\n?\s*(.+?)(?:\n|$)", side) or re.search(r"License:\s*\n?\s*(.+?)(?:\n|$)", side)
-            author = re.search(r"Author:?\s*\n?\s*(.+?)(?:\n|Maintainer|$)", side)
-            out["license"] = lic.group(1).strip() if lic and lic.group(1).strip().upper() != "UNKNOWN" else ""
-            out["author"] = author.group(1).strip() if author else ""
-            if not (out["title"] or out["description"]):
-                out = {}
-        return [(f, v) for f, v in out.items() if v]
-
-    return _per_page(pages, rows, "field string, value string", ("site",))
+        found = ((part, root.find(tag, cls) or (root if part == "side" else None)) for part, tag, cls in wanted)
+        return [({part: node.text("\n") if node else "" for part, node in found},)]
+
+    return _per_page(pages, rows, "parts map<string,string>", ("site",))
+
+
+def page_fields(pages: DataFrame) -> DataFrame:
+    """Long table (page_id, field, value) of paper pages and package pages (`site` column)."""
+    part = lambda n: F.coalesce(F.col("parts")[n], F.lit(""))
+    line = lambda c: F.replace(c, F.lit("\n"), F.lit(" "))
+    labelled = lambda n, label: F.regexp_replace(strip(F.regexp_replace(line(part(n)), "^" + label, "")), r"(?U)\s{2,}", " ")
+    words = F.filter(F.split(part("name"), r"(?U)\s+"), lambda w: w != "")
+    last = F.element_at(words, -1)
+    versioned = (F.size(words) >= 2) & F.coalesce(last.rlike(r"^\p{Nd}"), F.lit(False))
+    title = F.array_join(F.when(versioned, F.slice(words, F.lit(1), F.size(words) - 1)).otherwise(words), " ")
+    # The side column names a fact on one line and tells it there or on the next.
+    told = lambda label, stop: strip(extract(part("side"), label + r"\s*\n?\s*([^\n]+?)" + stop, 1))
+    spelled, plain = told(r"License\s+Expression:", r"(?:\n|$)"), told("License:", r"(?:\n|$)")
+    license_ = let(F.when(part("side").rlike(r"License\s+Expression:\s*\n?\s*[^\n]"), spelled).otherwise(plain), lambda x: F.when(F.upper(x) != "UNKNOWN", x))
+    summary = line(part("summary"))
+    paper = F.array(*[F.struct(F.lit(f).alias("field"), labelled(f, label).alias("value")) for f, label in (
+        ("title", "Title:"), ("author", "Authors:"), ("abstract", "Abstract:"))])
+    package = F.when((title != "") | (summary != ""), F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(v, F.lit("")).alias("value")) for f, v in (
+        ("title", title), ("version", F.when(versioned, last)), ("description", summary), ("license", license_),
+        ("author", told("Author:?", r"(?:\n|Maintainer|$)")))]))
+    return page_parts(pages).join(pages.select("page_id", "site").distinct(), "page_id").select(
+        "page_id", F.explode(F.when(F.col("site") == "arxiv.org", paper).otherwise(package)).alias("f")).select("page_id", "f.*").filter("value <> ''")
 
 
 def extract_fields(pages: DataFrame, tasks: DataFrame) -> DataFrame:
@@ -122,12 +143,17 @@ def listing_rows(pages: DataFrame) -> DataFrame:
     def rows(html):
         from paperloom.functions.markup import Node, parse
 
-        out = []
-        for row in parse(html).find_all("tr", "athing"):
+        out, after, last = [], {}, {}
+        rows_ = list(parse(html).find_all("tr"))
+        for row in reversed(rows_):  # the next row with the same parent, found from the end
+            after[id(row)] = last.get(id(row.parent))
+            last[id(row.parent)] = row
+        for row in rows_:
+            if "athing" not in row.classes:
+                continue
             span = row.find("span", "titleline")
             link = next((c for c in span.children if isinstance(c, Node) and c.tag == "a"), None) if span else None
-            later = row.parent.children[row.parent.children.index(row) + 1:]
-            below = next((c for c in later if isinstance(c, Node) and c.tag == "tr"), None)
+            below = after[id(row)]
             out.append((len(out) + 1, link.text("") if link else "", link.attrs.get("href", "") if link else "", below.text() if below else ""))
         return out
 
@@ -149,51 +175,68 @@ def listing_top_n(pages: DataFrame, tasks: DataFrame) -> DataFrame:
         F.when(F.col("want_comments"), F.col("comments")).alias("comments"))
 
 
-def page_blocks(pages: DataFrame) -> DataFrame:
-    """Candidate data blocks: info boxes, tables, and short elements that hold a number."""
+#: A value cell or list entry is at most this long; what is longer holds other blocks.
+SHORT_BLOCK = 4000
+
+
+def page_blocks(pages: DataFrame, short: int = SHORT_BLOCK) -> DataFrame:
+    """Candidate data blocks: info boxes, tables, and short elements that hold a number (with the text
+    around them). All texts are slices of one list of the page's strings."""
     def rows(html):
-        from paperloom.functions.markup import parse
+        from paperloom.functions.markup import Strings, parse
 
-        out = []
-        for n in parse(html).walk():
+        root = parse(html)
+        strings, out = Strings(root), []
+        for n in root.walk():
             if "infobox" in n.classes or "infobox-data" in n.classes or (
                     n.attrs.get("role") == "region" and "info" in n.attrs.get("aria-label", "").lower()):
-                out.append((0, len(out), n.text()[:4000], n.text()[:4000]))
+                out.append((0, len(out), strings.text(n), strings.text(n)))
             if n.tag == "table":
-                out.append((1, len(out), n.text(), n.text()[:4000]))
-            if n.tag in ("th", "td", "dt", "dd", "li", "span", "div"):
-                text = n.text()
-                if len(text) <= 4000 and re.search(r"\d{2,}", text):
-                    out.append((2, len(out), text, (n.parent.text() if n.parent else text)[:1500]))
+                out.append((1, len(out), strings.text(n), strings.text(n)))
+            if n.tag in ("th", "td", "dt", "dd", "li", "span", "div") and strings.size(n) <= short:
+                text = strings.text(n)
+                if re.search(r"\d{2,}", text):
+                    near = n.parent is not None and strings.size(n.parent) <= short
+                    out.append((2, len(out), text, strings.text(n.parent) if near else text))
         return out
 
     return _per_page(pages, rows, "kind int, ord int, text string, context string")
 
 
-def extract_blocks(pages: DataFrame, tasks: DataFrame) -> DataFrame:
-    """tasks(task_id, page_id, description) -> the best block: info box, matching table, matching element."""
-    words = F.slice(F.filter(F.split(F.lower("description"), r"\W+"), lambda w: F.length(w) >= 4), 1, 4)
+def extract_blocks(pages: DataFrame, tasks: DataFrame, chars: int | None = None) -> DataFrame:
+    """tasks(task_id, page_id, description) -> the best block: info box, matching table, matching element
+    (`chars` of it, if given). Words of at least four letters are looked for.
+
+    Blocks are chosen by page, kind and place; the chosen block's text is joined afterwards.
+    """
+    words = F.array_distinct(F.filter(F.split(F.lower("description"), r"\W+"), lambda w: F.length(w) >= 4))
     wanted = tasks.select("task_id", "page_id", words.alias("keywords"))
+    blocks = page_blocks(pages)
     hit = (F.col("kind") == 0) | F.exists("keywords", lambda k: F.contains(F.lower("text"), k))
-    best = wanted.join(page_blocks(pages), "page_id").filter(hit).groupBy("task_id", "page_id").agg(
-        F.min_by(F.struct("kind", "context"), F.struct("kind", "ord")).alias("b"))
-    limit = F.when(F.col("b.kind") == 2, 1500).otherwise(3500)
-    kind = F.when(F.col("b.kind") == 0, "extract_infobox").when(F.col("b.kind") == 1, "extract_table").otherwise("extract_kv")
-    return wanted.select("task_id", "page_id").join(best, ["task_id", "page_id"], "left").select(
-        "task_id", "page_id", F.when(F.col("b").isNull(), "extract_no_match").otherwise(kind).alias("kind"),
-        F.substring(F.col("b.context"), F.lit(1), limit).alias("text"))
-
-
-def page_errors(pages: DataFrame, per_page: int = 5) -> DataFrame:
-    """Texts of error-looking elements, selector by selector, at most five per page."""
+    best = wanted.join(blocks.select("page_id", "kind", "ord", "text"), "page_id").filter(hit).groupBy("task_id", "page_id").agg(
+        F.min(F.struct("kind", "ord")).alias("b")).select("task_id", "page_id", "b.*")
+    chosen = best.join(blocks.drop("text"), ["page_id", "kind", "ord"])
+    kind = F.when(F.col("kind") == 0, "extract_infobox").when(F.col("kind") == 1, "extract_table").otherwise("extract_kv")
+    text = F.col("context") if chars is None else left("context", chars)
+    return wanted.select("task_id", "page_id").join(chosen, ["task_id", "page_id"], "left").select(
+        "task_id", "page_id", F.when(F.col("kind").isNull(), "extract_no_match").otherwise(kind).alias("kind"), text.alias("text"))
+
+
+def page_errors(pages: DataFrame, per_page: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """Texts of error-looking elements, selector by selector (at most `per_page` per page and only texts
+    under `max_chars`, where given)."""
     def rows(html):
         from paperloom.functions.markup import parse
 
-        root, out = parse(html), []
+        nodes, out = list(parse(html).walk()), []
+        by_class: dict[str, list] = {}
+        for n in nodes:
+            for cls in dict.fromkeys(n.classes):
+                by_class.setdefault(cls, []).append(n)
         order = fixed.ERROR_CLASSES[:4] + [None] + fixed.ERROR_CLASSES[4:]
         for cls in order:
-            nodes = root.find_all(cls=cls) if cls else (n for n in root.walk() if n.attrs.get("role") == "alert")
-            out += [t for t in (n.text().strip() for n in nodes) if t and len(t) < 200]
+            found = by_class.get(cls, []) if cls else [n for n in nodes if n.attrs.get("role") == "alert"]
+            out += [t for t in (n.text().strip() for n in found) if t and (max_chars is None or len(t) < max_chars)]
         return list(enumerate(out[:per_page], start=1))
 
     return _per_page(pages, rows, "n int, message string")

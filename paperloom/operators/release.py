@@ -15,10 +15,10 @@ def latest_tags(tags: DataFrame) -> DataFrame:
         F.min_by(F.struct("name", "sha"), "ord").alias("t")).select("repo", F.col("t.name").alias("tag"), F.col("t.sha").alias("tag_sha"))
 
 
-def commits_since_tag(commits: DataFrame, tags: DataFrame, max_commits: int | None = 50) -> DataFrame:
+def commits_since_tag(commits: DataFrame, tags: DataFrame, max_commits: int | None = None) -> DataFrame:
     """Commits newer than the tagged one (all, if it is not among them), newest first.
 
-    `max_commits` is the size of the commit page the notes are made from; None takes them all. The
+    `max_commits` limits the notes to the newest commits; None, the default, takes them all. The
     cut is an aggregate joined back, not a window over a repository's whole history.
     """
     latest = latest_tags(tags)
@@ -50,10 +50,10 @@ def changelog_lines(commits: DataFrame) -> DataFrame:
     return commits.select("repo", "ord", section.alias("section"), line.alias("line"))
 
 
-def release_notes(commits: DataFrame, tags: DataFrame, max_commits: int = 50) -> DataFrame:
-    """Per repository: current tag, version step, next version, changelog text.
-
-    The changelog is made of at most `max_commits` lines, so a repository's notes fit one row.
+def release_notes(commits: DataFrame, tags: DataFrame, max_commits: int | None = None) -> DataFrame:
+    """Per repository: current tag, version step, next version, changelog text of all commits since the
+    tag (at most `max_commits`, if given). `changelog_lines` gives the same lines as rows, for histories
+    that no single row should hold.
     """
     since = commits_since_tag(commits, tags, max_commits)
     msg = F.col("message")

@@ -45,7 +45,7 @@ def verify_steps(steps: DataFrame) -> DataFrame:
         .when(has("scroll"), 0.8).when(has("wait"), 0.9).otherwise(F.when(changed, 0.6).otherwise(0.4))
     )
     reason = (
-        F.when(broken, F.concat(F.lit("New errors detected: "), F.array_join(F.slice("new_errors", 1, 2), "; ")))
+        F.when(broken, F.concat(F.lit("New errors detected: "), F.array_join("new_errors", "; ")))
         .when(moves, F.when(F.col("url_changed"), "URL changed").otherwise("URL did not change after navigation"))
         .when(clicks, F.when(changed, "Page state changed after click").otherwise("No observable change after click"))
         .when(has("fill", "type"), "Fill action performed").when(has("extract", "read"), "Extract action — data captured from page state")
@@ -102,7 +102,7 @@ def model_diagnosis(df: DataFrame, column: str = "diagnosis") -> DataFrame:
     cause = F.coalesce(*[F.when(F.contains(low, F.lit(w)), F.lit(c)) for w, c in words], F.lit("unknown"))
     return df.withColumn("root_cause", cause).withColumn("should_retry", F.col("root_cause") != "captcha_detected") \
         .withColumn("confidence", F.lit(0.6)).withColumn(
-        "recovery", F.when(F.length(text) > 300, F.substring(text, 301, 300)).otherwise("Try alternative approach"))
+        "recovery", F.when(strip(F.coalesce(text, F.lit(""))) != "", text).otherwise("Try alternative approach"))
 
 
 def recovery_target(recovery: Column, fallback: Column) -> Column:
@@ -113,8 +113,8 @@ def recovery_target(recovery: Column, fallback: Column) -> Column:
     named = [F.when(rlike(text, p), F.concat_ws(" ", extract(text, p, 1), extract(text, p, 2))) for p in shapes]
     control = (r"(?i)(button|link|textbox|searchbox|field|input|tab|menuitem)\s+(?:labelled|named|with text)?\s*['\"]([^'\"]+)['\"]")
     labelled = F.when(rlike(text, control), F.concat_ws(" ", F.lower(extract(text, control, 1)), extract(text, control, 2)))
-    brief = F.when((F.length(text) < 80) & contains_any(F.lower(text), ["click", "select", "fill", "press"]),
-                   left(F.regexp_replace(text, r"(?i)^(click|tap|select|fill|press)\s+(?:the\s+)?", ""), 60))
+    brief = F.when(contains_any(F.lower(text), ["click", "select", "fill", "press"]),
+                   F.regexp_replace(text, r"(?i)^(click|tap|select|fill|press)\s+(?:the\s+)?", ""))
     return F.when(text == "", fallback).otherwise(F.coalesce(*named, labelled, brief, fallback))
 
 
@@ -171,7 +171,7 @@ def guard_runs(runs: DataFrame, steps: DataFrame) -> DataFrame:
     rows = rows.join(seen, "trace_id", "left")
     ungrounded = (F.size("_nums") > 0) & F.col("_seen").isNotNull() & (F.size("_seen") == 1)
     mode = F.when(F.col("_marker").isNotNull(), F.concat(F.lit("blocked_url:"), F.col("_marker"))).when(F.col("_evasive"), "hedged_answer") \
-        .when(ungrounded, F.concat(F.lit("ungrounded_numbers:["), F.array_join(F.transform(F.slice("_nums", 1, 3), lambda n: F.concat(
+        .when(ungrounded, F.concat(F.lit("ungrounded_numbers:["), F.array_join(F.transform("_nums", lambda n: F.concat(
             F.lit("'"), n, F.lit("'"))), ", "), F.lit("]")))
     guarded = F.when(F.col("_marker").isNotNull() | F.col("_evasive"), "not_found").when(ungrounded, "unverified").otherwise(F.col("status"))
     return rows.withColumn("guard_mode", mode).withColumn("guarded_status", guarded).drop(

@@ -29,7 +29,7 @@ def run_checks(df: DataFrame, required: list[str] = (), non_empty: list[str] = (
         lo, hi = F.col("range_start"), F.col("range_end")
         bad = (lo < 0) | (hi > F.length("source_text")) | (lo >= hi)
         want, got = collapse("content"), collapse(slice_text(F.col("source_text"), lo, hi))
-        ok = ~bad & (F.contains(got, left(want, 200)) | F.contains(want, left(got, 200)))
+        ok = ~bad & (F.contains(got, want) | F.contains(want, got))
         checks.append(_check("char_range", ok, "content at range"))
     checks += [_check(n, c) for n, c in (extra or {}).items()]
     return df.select("id", F.explode(F.array(*checks)).alias("c")).select("id", "c.name", "c.passed", "c.expected", "c.actual")
@@ -48,11 +48,16 @@ def check_coverage(items: DataFrame, expected: list[str], key: str = "item_numbe
 def filing_checks(cases: DataFrame, items: DataFrame, reports: DataFrame) -> DataFrame:
     """cases(case_id, min_items, required_items array, expected_status map) x items -> checks.
 
-    Items are pre-aggregated to one short row per case (23 items at most) before the joins.
+    Items are pre-aggregated to one short row per case before the joins. Of repeated items the first
+    that was found counts, so a duplicate is scored like its first row.
     """
     real = (F.col("status") != "not_found") & ((strip(F.coalesce("content_text", F.lit(""))) != "") | (F.col("status") != "extracted"))
-    per = items.groupBy("case_id").agg(
-        F.count_if(real).alias("extracted"), F.map_from_entries(F.collect_list(F.struct("item_number", "status"))).alias("by_item"))
+    once = items.groupBy("case_id", "item_number").agg(
+        F.count_if(real).alias("n"), F.min_by("status", F.struct((F.col("status") == "not_found").cast("int"), F.coalesce("range_start", F.lit(0)), "status")).alias("status")) \
+        if "range_start" in items.columns else items.groupBy("case_id", "item_number").agg(
+        F.count_if(real).alias("n"), F.min_by("status", F.struct((F.col("status") == "not_found").cast("int"), "status")).alias("status"))
+    per = once.groupBy("case_id").agg(
+        F.sum("n").alias("extracted"), F.map_from_entries(F.collect_list(F.struct("item_number", "status"))).alias("by_item"))
     rows = cases.join(per, "case_id", "left").join(reports.select("case_id", "overall_valid"), "case_id", "left")
     status = lambda n: F.element_at(F.col("by_item"), n)
     checks = F.concat(
@@ -115,8 +120,8 @@ def run_score_checks(cases: DataFrame, runs: DataFrame) -> DataFrame:
         F.when(F.col("allowed_statuses").isNotNull(), F.array(_check(
             "status_in_allowed", F.array_contains("allowed_statuses", F.col("status")),
             F.array_join(F.array_sort("allowed_statuses"), ","), F.col("status")))).otherwise(none),
-        listed("must_contain", lambda s: _check(F.concat(F.lit("must_contain["), left(s, 40), F.lit("]")), present(s), s)),
-        listed("must_not_contain", lambda s: _check(F.concat(F.lit("must_not_contain["), left(s, 40), F.lit("]")), ~present(s), s)),
+        listed("must_contain", lambda s: _check(F.concat(F.lit("must_contain["), s, F.lit("]")), present(s), s)),
+        listed("must_not_contain", lambda s: _check(F.concat(F.lit("must_not_contain["), s, F.lit("]")), ~present(s), s)),
         listed("failure_modes_expected", lambda m: _check(
             F.concat(F.lit("failure_mode["), m, F.lit("]")),
             F.exists(F.coalesce("failure_modes", F.array().cast("array<string>")), lambda x: F.contains(x, m)), m)))

@@ -19,11 +19,11 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     df = spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
-    if name in ("documents", "pages", "conversations"):
-        # Text work is CPU bound; a table that sits in a few small files would run as a few tasks.
-        tasks = spark.sparkContext.defaultParallelism
-        if len(df.inputFiles()) < tasks:
-            df = df.repartition(tasks)
+    # Text work is CPU bound. A local session may ask for more tasks than a small file has row groups; a
+    # cluster leaves the setting unset and reads the tables as they are split.
+    tasks = spark.conf.get("spark.paperloom.textPartitions", None)
+    if tasks and name in ("documents", "pages", "conversations"):
+        df = df.repartition(int(tasks))
     return df
 
 
@@ -61,8 +61,9 @@ def _filings_sql() -> str:
 
     style = doc_id % 6: 0 mixed-case headings after a contents list, 1 upper-case headings, 2 number
     and title on separate lines, 3 titles alone (no numbers), 4 cover table and declaration, 5 titles
-    alone plus an index at the end. The whole text is split over the 23 items, so all of it is used;
-    an item's wording is chosen by (doc_id + 3 * ordinal) % 9.
+    alone plus an index at the end. The whole text is split over the 23 items, so all of it is used:
+    where an item's own wording must stay short, its part of the text stands before its heading and so
+    belongs to the item before it. An item's wording is chosen by (doc_id + 3 * ordinal) % 9.
     """
     style, pick = "(doc_id % 6)", "((doc_id + 3 * {i}) % 9)"
     n = len(fixed.ITEMS)
@@ -81,7 +82,8 @@ def _filings_sql() -> str:
                 f"WHEN 2 THEN 'Item {num}.' || {NL} || {_q(title)} WHEN 4 THEN 'Item {num} ' || {_q(title)} "
                 f"ELSE {'upper(' + _q(title) + ')' if i % 2 else _q(title)} END")
         body.append(
-            f"CASE WHEN {p} = 0 THEN '' ELSE {head} || {NL} END"
+            f"CASE WHEN {p} IN (1, 2, 5) THEN {chunk} || {NL} ELSE '' END"
+            f" || CASE WHEN {p} = 0 THEN '' ELSE {head} || {NL} END"
             f" || CASE {p} WHEN 1 THEN '[Reserved]' WHEN 2 THEN 'None.' WHEN 5 THEN 'Not applicable.' WHEN 4 THEN "
             f"'The information required by this item is incorporated herein by reference to the Proxy Statement.' ELSE '' END"
             f" || {NL} || CASE WHEN {p} IN (1, 2, 5) THEN '' ELSE {chunk} || {NL} END")

@@ -165,9 +165,9 @@ ORACLE = {
     "submission_blocks": f"""SELECT filing_id, i - 1 AS pos, upper({strip("regexp_extract(b, '(?i)<TYPE>\\s*([^\\n\\r<]+)', 1)")}) AS doc_type,
         md5({strip("CASE WHEN regexp_matches(b, '(?is)<TEXT>.*?</TEXT>') THEN regexp_extract(b, '(?is)<TEXT>(.*?)</TEXT>', 1) ELSE b END")}) AS body_md5
       FROM (SELECT filing_id, unnest(bs) AS b, generate_subscripts(bs, 1) AS i FROM (SELECT filing_id, regexp_extract_all(content, '(?is)<DOCUMENT>(.*?)</DOCUMENT>', 1) AS bs
-            FROM ({A.duck(SUBMISSION)}) s WHERE contains(upper(substr(content, 1, 80000)), '<DOCUMENT>')) x) y""",
+            FROM ({A.duck(SUBMISSION)}) s WHERE contains(upper(content), '<DOCUMENT>')) x) y""",
     "primary_documents": f"""WITH s AS ({A.duck(SUBMISSION)}), b AS (SELECT filing_id, unnest(bs) AS b, generate_subscripts(bs, 1) AS i FROM (
-        SELECT filing_id, regexp_extract_all(content, '(?is)<DOCUMENT>(.*?)</DOCUMENT>', 1) AS bs FROM s WHERE contains(upper(substr(content, 1, 80000)), '<DOCUMENT>')) x),
+        SELECT filing_id, regexp_extract_all(content, '(?is)<DOCUMENT>(.*?)</DOCUMENT>', 1) AS bs FROM s WHERE contains(upper(content), '<DOCUMENT>')) x),
       t AS (SELECT filing_id, i, upper({strip("regexp_extract(b, '(?i)<TYPE>\\s*([^\\n\\r<]+)', 1)")}) AS doc_type,
         {strip("CASE WHEN regexp_matches(b, '(?is)<TEXT>.*?</TEXT>') THEN regexp_extract(b, '(?is)<TEXT>(.*?)</TEXT>', 1) ELSE b END")} AS body FROM b),
       p AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY filing_id ORDER BY CASE WHEN doc_type IN ('10-K', '10-K/A') THEN 0 ELSE 1 END, i) = 1)
@@ -178,7 +178,7 @@ ORACLE = {
         CASE i WHEN 0 THEN floor(l_extendedprice) ELSE l_linenumber END::DOUBLE AS val, 2001 + i AS fy, CASE i WHEN 0 THEN l_shipdate::DATE::VARCHAR ELSE '' END AS "end", CASE i WHEN 0 THEN '10-K' ELSE '8-K' END AS form
       FROM lineitem, (VALUES (0), (1)) v(i)""",
     "format_census": f"""SELECT CASE WHEN contains(h, 'ix:nonnumeric') OR contains(h, 'ix:nonfraction') THEN 'xbrl_html' WHEN contains(h, '<html') OR contains(h, '<body') THEN 'html' ELSE 'text' END AS format,
-        count(*) AS filings, sum(length(content))::BIGINT AS chars FROM (SELECT content, lower(substr(content, 1, 50000)) AS h FROM ({A.duck(CENSUS)}) c) x GROUP BY 1""",
+        count(*) AS filings, sum(length(content))::BIGINT AS chars FROM (SELECT content, lower(content) AS h FROM ({A.duck(CENSUS)}) c) x GROUP BY 1""",
     "normalized_text": f"""SELECT filing_id, md5(t) AS text_md5, length(t) AS chars FROM (SELECT filing_id, {strip("regexp_replace(regexp_replace(regexp_replace(replace(content, chr(12), chr(10) || chr(10)), '(?m)^-{20,}$', chr(10), 'g'), '[ \\t]{3,}', '  ', 'g'), '\\n{4,}', chr(10) || chr(10) || chr(10), 'g')")} AS t
       FROM ({A.duck(PLAIN)}) p) x""",
     "normalized_html": f"""SELECT filing_id, md5(t) AS text_md5, length(t) AS chars FROM (SELECT doc_id AS filing_id, {_clean("array_to_string(flatten([" + _HTML_LINES + "]), chr(10))")} AS t FROM documents) x""",

@@ -82,6 +82,13 @@ def _scores(spark, folder):
     return A.bind(spark, folder, SCORES)
 
 
+def _matrix(s, d, value):
+    """Every model of the price list is a column: m0, m1, ... in the list's order."""
+    calls = L.price_calls(A.bind(s, d, CALLS)).withColumn("case_id", F.col("trace_id")).withColumn("cost_usd", F.col("cost_usd").cast("double"))
+    models = [m for m, _, _ in fixed.MODEL_RATES]
+    return S.model_matrix(calls, models, value).toDF("case_id", *[f"m{i}" for i in range(len(models))])
+
+
 QUERIES = {
     "priced_calls": lambda s, d: priced(s, d).select("call_id", "model", F.col("cost_usd").cast("double").alias("cost_usd")),
     "priced_calls_by_table": lambda s, d: L.price_calls(calls(s, d), L.model_rates(s)).groupBy("model").agg(
@@ -114,9 +121,10 @@ QUERIES = {
     "check_pass_rates": lambda s, d: S.check_pass_rates(A.bind(s, d, CHECKS)),
     "variant_comparison": lambda s, d: S.compare_variants(_scores(s, d)),
     "variant_deltas": lambda s, d: S.variant_deltas(_scores(s, d)),
-    "model_matrix": lambda s, d: S.model_matrix(
-        A.bind(s, d, CALLS).withColumn("case_id", F.col("trace_id")), [m for m, _, _ in fixed.MODEL_RATES[:3]], "tokens_in").toDF(
-        "case_id", "gpt", "claude", "gemini"),
+    "model_matrix": lambda s, d: _matrix(s, d, "tokens_in"),
+    "model_matrix_cost": lambda s, d: _matrix(s, d, "cost_usd"),
+    "model_matrix_latency": lambda s, d: _matrix(s, d, "latency_ms"),
+    "error_stages": lambda s, d: X.error_counts(X.triage_errors(A.bind(s, d, ERRORS))),
     "trace_summary": lambda s, d: X.trace_summary(A.bind(s, d, STEPS)),
     "step_failure_rates": lambda s, d: X.step_failure_rates(A.bind(s, d, STEPS)),
 }
@@ -138,6 +146,14 @@ triaged AS (SELECT *, coalesce(CASE status_code {_LABELS} ELSE status_code::VARC
 _SC = f"WITH s AS ({A.duck(SCORES)}) "
 _DMEAN = lambda c: f"sum({c}::DECIMAL(24,6))::DOUBLE / count({c})"
 
+_MODELS = [m for m, _, _ in fixed.MODEL_RATES]
+
+
+def _matrix_sql(value: str) -> str:
+    cells = ", ".join(f"max({value}{'::DOUBLE' if value == 'cost_usd' else ''}) FILTER (WHERE model = {q(m)}) AS m{i}" for i, m in enumerate(_MODELS))
+    return f"SELECT trace_id AS case_id, {cells} FROM priced GROUP BY trace_id"
+
+
 ORACLE = {
     "priced_calls": _PRICED + "SELECT call_id, model, cost_usd::DOUBLE AS cost_usd FROM priced",
     "priced_calls_by_table": _PRICED + "SELECT model, count(*) AS calls, sum(cost_usd)::DOUBLE AS cost_usd FROM priced GROUP BY model",
@@ -157,7 +173,7 @@ ORACLE = {
       FROM g WHERE status = 429 GROUP BY trace_id, grp HAVING count(*) >= 3""",
     "token_estimates": f"""SELECT task, operation, count(*) AS messages, sum(length(prompt) // 4)::BIGINT AS tokens_in, sum(length(response) // 4)::BIGINT AS tokens_out
       FROM ({A.duck(MESSAGES_IN)}) m GROUP BY task, operation""",
-    "error_triage": _TRIAGED + "SELECT id, stage, category, status_code, status_label, retryable, substr(raw, 1, 600) AS raw_error FROM triaged",
+    "error_triage": _TRIAGED + "SELECT id, stage, category, status_code, status_label, retryable, raw AS raw_error FROM triaged",
     "error_rollup": _TRIAGED + """SELECT coalesce(provider, '') AS provider, coalesce(model, '') AS model, coalesce(category, '') AS category,
       grouping(provider, model, category) AS level, count(*) AS errors, count(*) FILTER (WHERE retryable) AS retryable, count(status_code) AS with_status,
       count(*) FILTER (WHERE retryable) / count(*) AS retryable_share FROM triaged GROUP BY ROLLUP (provider, model, category)""",
@@ -174,7 +190,7 @@ ORACLE = {
         trim(regexp_replace(substr(source_text, range_start + 1, range_end - range_start), '\\s+', ' ', 'g')) AS got FROM ({A.duck(OUTPUTS)}) x)
       SELECT id, 'json_schema' AS name, lang IS NOT NULL AND n_chars IS NOT NULL AS passed FROM o
       UNION ALL SELECT id, 'non_empty_source', length(coalesce(source, '')) > 0 FROM o
-      UNION ALL SELECT id, 'char_range', range_end <= length(source_text) AND range_start < range_end AND (contains(got, substr(want, 1, 200)) OR contains(want, substr(got, 1, 200))) FROM o
+      UNION ALL SELECT id, 'char_range', range_end <= length(source_text) AND range_start < range_end AND (contains(got, want) OR contains(want, got)) FROM o
       UNION ALL SELECT id, 'long_enough', length(content) > 500 FROM o""",
     "output_coverage": """SELECT id, 'coverage' AS name, missing = '' AS passed, missing FROM (SELECT user_id AS id,
         concat_ws(',', CASE WHEN bool_or(event_type = 'click') THEN NULL ELSE 'click' END, CASE WHEN bool_or(event_type = 'view') THEN NULL ELSE 'view' END,
@@ -208,9 +224,10 @@ ORACLE = {
       avg(ok::INT) FILTER (WHERE use_vision) - avg(ok::INT) FILTER (WHERE NOT use_vision) AS ok_rate_delta,
       sum(latency_ms::DECIMAL(24,6)) FILTER (WHERE use_vision)::DOUBLE / count(*) FILTER (WHERE use_vision)
        - sum(latency_ms::DECIMAL(24,6)) FILTER (WHERE NOT use_vision)::DOUBLE / count(*) FILTER (WHERE NOT use_vision) AS latency_delta_ms FROM s GROUP BY ALL""",
-    "model_matrix": _PRICED + f"""SELECT trace_id AS case_id, max(tokens_in) FILTER (WHERE model = {q(fixed.MODEL_RATES[0][0])}) AS gpt,
-      max(tokens_in) FILTER (WHERE model = {q(fixed.MODEL_RATES[1][0])}) AS claude, max(tokens_in) FILTER (WHERE model = {q(fixed.MODEL_RATES[2][0])}) AS gemini
-      FROM calls GROUP BY trace_id""",
+    "model_matrix": _PRICED + _matrix_sql("tokens_in"),
+    "model_matrix_cost": _PRICED + _matrix_sql("cost_usd"),
+    "model_matrix_latency": _PRICED + _matrix_sql("latency_ms"),
+    "error_stages": _TRIAGED + """SELECT coalesce(stage, '') AS stage, coalesce(status_code, 0) AS status_code, count(*) AS errors, count(*) FILTER (WHERE retryable) AS retryable FROM triaged GROUP BY ALL""",
     "trace_summary": f"""SELECT trace_id, count(*) AS steps, sum(duration_ms::DECIMAL(24,6))::DOUBLE AS total_duration_ms, sum(retry_count)::BIGINT AS retries,
       bool_or(ends_with(step_name, '_fallback')) AS used_fallback, arg_max(status, step_no) AS final_status FROM ({A.duck(STEPS)}) s GROUP BY trace_id""",
     "step_failure_rates": f"""SELECT step_name, count(*) AS runs, count(*) FILTER (WHERE status = 'failed') AS failed,

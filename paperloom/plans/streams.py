@@ -9,7 +9,7 @@ from paperloom.plans import adapters as A
 from paperloom.plans import corpus, ledger, repos, web  # noqa: F401
 from paperloom.plans.ledger import CALLS
 from paperloom.streaming import live
-from paperloom.streaming.running import run_available, table_stream
+from paperloom.streaming.running import run_available, run_batches, table_stream
 
 
 def _stream(spark, folder, name, sql):
@@ -33,9 +33,9 @@ PROGRESS = f"""SELECT {ledger.USER} || '-' || CAST(event_id % 50 AS STRING) AS t
 
 
 def live_stages(spark, folder):
-    out = run_available(live.stage_durations(_events(spark, folder, PROGRESS), "24 hours"), closing=True)
-    # The tail is still open on a stream: keep the pairs that are complete.
-    return out.filter(~F.col("timed_out")).select("trace_id", "stage", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "outcome")
+    out = run_available(live.live_stage_durations(_events(spark, folder, PROGRESS), "24 hours", NOW), closing=True)
+    return out.select("trace_id", "stage", F.unix_micros("started").alias("started"), F.coalesce(F.unix_micros("ended"), F.lit(0)).alias("ended"),
+                      F.coalesce("outcome", F.lit("")).alias("outcome"), "timed_out")
 
 
 def stage_pairs(spark, folder):
@@ -45,32 +45,58 @@ def stage_pairs(spark, folder):
 
 
 def _steps(spark, folder):
-    return _stream(spark, folder, "events", web.STEPS).withColumn("after", F.struct("url"))
+    return _events(spark, folder, web.STEPS.replace("SELECT ", "SELECT ts, ", 1)).withColumn("after", F.struct("url"))
+
+
+def _finished(spark, folder):
+    """The guard on finished runs: every batch of runs is judged with its recorded steps."""
+    # One run is finished by its latest event; DISTINCT is for the batch form, a stream takes each run's first row.
+    runs = _stream(spark, folder, "events", web.RUNS.replace("SELECT DISTINCT ", "SELECT ")).dropDuplicates(["trace_id"])
+    none = web._steps(spark, folder).schema["after"].dataType
+
+    def steps_of(batch):
+        return web._steps(spark, folder).withColumn("before", F.lit(None).cast(none)).join(batch.select("trace_id").distinct(), "trace_id", "left_semi")
+
+    out = run_batches(lambda home: live.guard_finished_runs(runs, steps_of, home + "/out", home + "/checkpoint"), spark)
+    return out.select("trace_id", "status", "guarded_status", F.coalesce("guard_mode", F.lit("")).alias("guard_mode"))
+
+
+# The whole table is there at once, so the watermark need not wait for stragglers; the closing empty batch
+# releases every row.
+NOW = "0 seconds"
 
 
 QUERIES = {
     "live_ledger": live_ledger,
-    "live_budget_alerts": lambda s, d: run_available(live.live_budget_guard(L.price_calls(_events(s, d, CALLS)))),
-    "live_stuck_loops": lambda s, d: run_available(live.live_stuck_loops(_steps(s, d))),
-    "live_breaker": lambda s, d: run_available(live.live_breaker(_events(s, d, repos.BREAKER))),
+    "live_ledger_sliding": lambda s, d: run_available(live.live_ledger(L.price_calls(_events(s, d, CALLS)), "2 minutes", "1 minute"), "update", ["window_start", "window_end", "task", "model"]).select(
+        F.unix_seconds("window_start").alias("window_start"), "task", "model", "calls", "tokens_in"),
+    "live_budget_alerts": lambda s, d: run_available(live.live_budget_guard(L.price_calls(_events(s, d, CALLS)), NOW), closing=True),
+    "live_stuck_loops": lambda s, d: run_available(live.live_stuck_loops(_steps(s, d), NOW), closing=True),
+    "live_breaker": lambda s, d: run_available(live.live_breaker(_events(s, d, repos.BREAKER), late=NOW), closing=True),
     "live_stage_pairs": live_stages,
     "stage_pairs": stage_pairs,
-    "live_reuse": lambda s, d: run_available(live.live_reuse(_events(s, d, repos.REUSE), 43200)),
+    "live_reuse": lambda s, d: run_available(live.live_reuse(_events(s, d, repos.REUSE), 43200, NOW), closing=True),
+    "live_guarded_runs": _finished,
     "live_secret_scan": lambda s, d: run_available(live.live_secret_scan(_stream(s, d, "documents", repos.FILES), extra=True)).select(
         "repo", "path", "line", "severity", "description", "match_preview"),
 }
 
-_PAIRS = f"""WITH p AS (SELECT *, regexp_replace(event, '_(start|done|failed|skipped)$', '') AS stage FROM ({A.duck(PROGRESS)}) x),
-  j AS (SELECT a.trace_id, a.stage, a.ts AS started, b.ts AS ended, b.event FROM p a LEFT JOIN p b ON b.trace_id = a.trace_id AND b.stage = a.stage AND NOT ends_with(b.event, '_start') AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 24 HOUR WHERE ends_with(a.event, '_start')) """
+_PAIRS = f"""WITH p AS (SELECT *, regexp_replace(event, '_(start|done|failed|skipped)$', '') AS stage, regexp_extract(event, '_(done|failed|skipped)$', 1) AS outcome FROM ({A.duck(PROGRESS)}) x),
+  n AS (SELECT trace_id, stage, outcome, ts AS started, lead(ts) OVER w AS nxt, lead(outcome) OVER w AS nxt_outcome FROM p WINDOW w AS (PARTITION BY trace_id, stage ORDER BY ts, (outcome <> '')::INT)),
+  j AS (SELECT trace_id, stage, started, CASE WHEN nxt_outcome <> '' AND nxt <= started + INTERVAL 24 HOUR THEN nxt END AS ended, nxt, nxt_outcome FROM n WHERE outcome = '') """
 ORACLE = {
     "live_ledger": ledger._PRICED + """SELECT epoch(date_trunc('minute', ts))::BIGINT AS window_start, task, model, count(*) AS calls, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out,
       sum(cost_usd)::DOUBLE AS cost_usd, sum(latency_ms::DECIMAL(24,6))::DOUBLE AS latency_ms FROM priced GROUP BY ALL""",
     "live_budget_alerts": f"SELECT trace_id, call_id, task, cap_usd, cost_usd FROM ({ledger.ORACLE['budget_breaches']}) b",
     "live_stuck_loops": f"""SELECT trace_id, step_number, action, url FROM (SELECT trace_id, step_number, action_type || ': ' || target AS action, url, lag(action_type || ': ' || target) OVER w AS a1, lag(action_type || ': ' || target, 2) OVER w AS a2,
-      lag(url) OVER w AS u1, lag(url, 2) OVER w AS u2 FROM ({A.duck(web.STEPS)}) s WINDOW w AS (PARTITION BY trace_id ORDER BY step_number)) x WHERE action = a1 AND action = a2 AND url = u1 AND url = u2""",
+      lag(url) OVER w AS u1, lag(url, 2) OVER w AS u2 FROM ({A.duck(web.STEPS.replace("SELECT ", "SELECT ts, ", 1))}) s WINDOW w AS (PARTITION BY trace_id ORDER BY ts, step_number)) x WHERE action = a1 AND action = a2 AND url = u1 AND url = u2""",
     "live_breaker": repos.ORACLE["breaker_timeline"],
-    "live_stage_pairs": _PAIRS + "SELECT trace_id, stage, epoch_us(started) AS started, epoch_us(ended) AS ended, regexp_extract(event, '_(done|failed|skipped)$', 1) AS outcome FROM j WHERE ended IS NOT NULL",
+    "live_ledger_sliding": ledger._PRICED + """SELECT epoch(date_trunc('minute', ts) - INTERVAL (k) MINUTE)::BIGINT AS window_start, task, model, count(*) AS calls, sum(tokens_in)::BIGINT AS tokens_in FROM priced, (SELECT unnest([0, 1]) AS k) s GROUP BY ALL""",
+    # A start is out once the stream knows its next event or its timeout has passed.
+    "live_stage_pairs": _PAIRS + f"""SELECT trace_id, stage, epoch_us(started) AS started, coalesce(epoch_us(ended), 0) AS ended, CASE WHEN ended IS NULL THEN '' ELSE nxt_outcome END AS outcome, ended IS NULL AS timed_out FROM j
+      WHERE nxt IS NOT NULL OR epoch_us(started) // 1000 + 86400000 < (SELECT max(epoch_us(ts)) // 1000 FROM ({A.duck(PROGRESS)}) x)""",
     "stage_pairs": _PAIRS + "SELECT trace_id, stage, epoch_us(started) AS started, coalesce(epoch_us(ended), 0) AS ended, ended IS NULL AS timed_out FROM j",
+    "live_guarded_runs": web.ORACLE["guarded_runs"],
     "live_reuse": repos.ORACLE["result_reuse"],
     "live_secret_scan": repos.ORACLE["secret_findings"],
 }

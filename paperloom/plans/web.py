@@ -45,10 +45,26 @@ STEPS = f"""SELECT {USER} AS trace_id, event_id AS step_number, {VERB} AS action
 ANSWERS = ["I cannot find it", "The total is 424242 units", "It shows 17,000 units", "", "Ready after 3 tries", "找不到資料", "Prices 31,000 and 999999.5"]
 RUNS = f"""SELECT DISTINCT {USER} AS trace_id, CASE user_id % 5 WHEN 0 THEN 'partial' WHEN 1 THEN 'failed' ELSE 'success' END AS status, {_case(f'user_id % {len(ANSWERS)}', ANSWERS)} AS final_answer,
   user_id % 6 = 0 AS fast_path_hit, user_id FROM {{events}}"""
-RAW = ['{{"complete": true, "answer": "x", "confidence": 0.9}}', '```json|{{"a": {{"b": 1}}}}|```', 'Here: {{"steps": [{{"action": "goto", "target": "t"}}]}} done', '[{{"action": "press", "value": "v"}}, {{"target": "w"}}]',
-       'Yes, task is complete', '1. Open page|2) Click it', '{{“answer”: “smart”}}', 'broken {{"a": ', 'note [1, 2] end', '{{"s": "brace }} inside", "n": {{"k": [1]}}}} tail']
-OUTPUTS = f"""SELECT CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS id, CASE conv_id % 3 WHEN 0 THEN 'openai/gpt-5.5' WHEN 1 THEN 'z-ai/glm-5.1' ELSE 'qwen/q' END AS model,
-  CASE (conv_id + turn) % {len(RAW) + 1} {' '.join(f"WHEN {i} THEN replace({q(r)}, '|', {NL})" for i, r in enumerate(RAW))} ELSE text END AS raw FROM {{conversations}}"""
+# Every output carries its whole conversation text: as a JSON string (`j`, line ends escaped), in one line (`o`) or as it is.
+_J, _O = f"replace(text, {NL}, chr(92) || 'n')", f"replace(text, {NL}, ' ')"
+_Q = "chr(34)"
+SHAPES = [
+    f"""'{{{{"complete": true, "answer": "' || {_J} || '", "confidence": 0.9}}}}'""",
+    f"""'```json' || {NL} || '{{{{"a": {{{{"b": "' || {_J} || '"}}}}}}}}' || {NL} || '```'""",
+    f"""'Here: {{{{"steps": [{{{{"action": "goto", "target": "' || {_J} || '"}}}}]}}}} done'""",
+    f"""'[{{{{"action": "press", "value": "' || {_J} || '"}}}}, {{{{"target": "w"}}}}]'""",
+    "'Yes, task is complete: ' || text",
+    f"""'1. Open page' || {NL} || '2) Click ' || {_O}""",
+    f"""'{{{{“answer”: “' || {_J} || '”}}}}'""",
+    f"""'broken {{{{"a": ' || text""",
+    "'note [1, 2] end ' || text",
+    f"""'{{{{"s": "brace }}}} inside ' || {_J} || '", "n": {{{{"k": [1]}}}}}}}} tail'""",
+    "text",
+]
+_ID = "CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING)"
+OUTPUTS = f"""SELECT {_ID} AS id, CASE conv_id % 3 WHEN 0 THEN 'openai/gpt-5.5' WHEN 1 THEN 'z-ai/glm-5.1' ELSE 'qwen/q' END AS model,
+  CASE (conv_id + turn) % {len(SHAPES)} {' '.join(f"WHEN {i} THEN {r}" for i, r in enumerate(SHAPES))} END AS raw FROM {{conversations}}"""
+PLAN_TASKS = f"SELECT {_ID} AS id, 'find ' || CAST(turn AS STRING) AS task, CASE WHEN conv_id % 2 = 0 THEN 'https://x.org/' || CAST(conv_id AS STRING) ELSE '' END AS start_url FROM {{conversations}}"
 SITES = f"""SELECT doc_id AS page_id, CASE doc_id % 7 WHEN 0 THEN 'https://en.wikipedia.org/wiki/D' WHEN 1 THEN 'https://arxiv.org/abs/' WHEN 2 THEN 'https://news.ycombinator.com/d' WHEN 3 THEN 'https://developer.mozilla.org/d'
     WHEN 4 THEN 'https://pypi.org/project/d' WHEN 5 THEN 'https://github.com/o/d' ELSE 'https://example.com/d' END || CAST(doc_id AS STRING) AS url,
   '<html><body>' || CASE doc_id % 7 WHEN 0 THEN '<div id="mw-content-text"><div class="mw-parser-output"><table class="infobox"><tr><td>Population 12345</td></tr></table><p>' WHEN 1 THEN '<h1 class="title">Title: On d</h1><div class="authors">Authors: A, B</div><blockquote class="abstract">Abstract: '
@@ -130,10 +146,12 @@ QUERIES = {
     "static_tasks": lambda s, d: I.filter_static(A.bind(s, d, TASKS)).groupBy("task").agg(F.count(F.lit(1)).alias("tasks")),
     "paragraph_answers": lambda s, d: I.answer_from_paragraphs(I.parse_intents(A.bind(s, d, DOC_TASKS)), _paragraphs(s, d)).select(
         "task_id", F.md5(F.coalesce("answer", F.lit("<none>"))).alias("answer_md5")),
-    "page_fields": lambda s, d: P.extract_fields(I.route_pages(A.bind(s, d, SITES)), I.route_pages(_site_tasks(s, d).withColumnRenamed("target_url", "url"))).groupBy(
-        "field").agg(F.count(F.lit(1)).alias("tasks"), F.count_distinct("value").alias("values")),
-    "listing_rows": lambda s, d: P.listing_top_n(A.bind(s, d, SITES), _site_tasks(s, d)),
-    "data_blocks": lambda s, d: P.extract_blocks(A.bind(s, d, SITES), A.bind(s, d, SITE_TASKS)).groupBy("kind").agg(F.count(F.lit(1)).alias("tasks")),
+    "site_paragraphs": lambda s, d: P.site_paragraphs(I.route_pages(A.bind(s, d, SITES))).select("page_id", "n", F.md5("text").alias("text_md5")),
+    "page_fields": lambda s, d: P.extract_fields(I.route_pages(A.bind(s, d, SITES)), I.route_pages(_site_tasks(s, d).withColumnRenamed("target_url", "url"))).select(
+        "task_id", "field", F.md5("value").alias("value_md5")),
+    "listing_rows": lambda s, d: P.listing_top_n(A.bind(s, d, SITES), _site_tasks(s, d)).select(
+        "task_id", "n", "title", "url", F.coalesce("points", F.lit(-1)).alias("points"), F.coalesce("comments", F.lit(-1)).alias("comments")),
+    "data_blocks": lambda s, d: P.extract_blocks(A.bind(s, d, SITES), A.bind(s, d, SITE_TASKS)).select("task_id", "kind", F.coalesce("text", F.lit("")).alias("text")),
     "page_errors": lambda s, d: P.error_counts(A.bind(s, d, SITES)),
     "page_digests": lambda s, d: I.digest_pages(A.bind(s, d, DIGEST)).select("page_id", F.md5("digest").alias("digest_md5"), "has_buttons", "has_inputs", "has_links"),
     "verified_steps": lambda s, d: R.verify_steps(_paired(s, d)).select(
@@ -146,9 +164,15 @@ QUERIES = {
     "stuck_loops": lambda s, d: R.stuck_loops(_steps(s, d), 2),
     "guarded_runs": lambda s, d: _guarded(s, d).fillna("", ["guard_mode"]).select("trace_id", "status", "guarded_status", "guard_mode"),
     "parsed_outputs": lambda s, d: _parsed(s, d).select("id", "model", F.coalesce("object_json", F.lit("")).alias("object_json"), F.coalesce("array_json", F.lit("")).alias("array_json")),
-    "output_verdicts": lambda s, d: M.verdicts(_parsed(s, d)).groupBy("model", "complete", "confidence").agg(F.count(F.lit(1)).alias("outputs")),
+    "output_verdicts": lambda s, d: M.verdicts(_parsed(s, d)).select("id", "model", "complete", "confidence", F.md5("answer").alias("answer_md5")),
+    "block_outputs": lambda s, d: M.parse_blocks(A.bind(s, d, OUTPUTS).withColumn("blocks", F.array(
+        F.struct(F.lit("text").alias("type"), F.substring_index("raw", " ", 1).alias("text"), F.lit(None).cast("string").alias("content")),
+        F.struct(F.lit("other").alias("type"), F.lit(None).cast("string").alias("text"), F.expr("substring(raw, length(substring_index(raw, ' ', 1)) + 1)").alias("content"))).cast(M._BLOCKS))).select(
+        "id", "model", F.coalesce("object_json", F.lit("")).alias("object_json"), F.coalesce("array_json", F.lit("")).alias("array_json")),
+    "executable_plans": lambda s, d: M.executable_plans(A.bind(s, d, PLAN_TASKS), _parsed(s, d)).select("id", "step_no", "action_type", F.md5("target").alias("target_md5"), "success_criteria"),
+    "single_actions": lambda s, d: M.single_actions(_parsed(s, d)).select("id", "action_type", F.md5(F.concat_ws("|", "target", "value")).alias("action_md5")),
     "unwrapped_answers": lambda s, d: M.unwrap_answers(A.bind(s, d, OUTPUTS), "raw").select("id", F.md5("answer").alias("answer_md5")),
-    "planned_steps": lambda s, d: M.plan_steps(_parsed(s, d)).groupBy("action_type", "step_no").agg(F.count(F.lit(1)).alias("steps")),
+    "planned_steps": lambda s, d: M.plan_steps(_parsed(s, d)).select("id", "step_no", "action_type", F.md5(F.concat_ws("|", "target", "value")).alias("step_md5")),
     "parse_failure_rates": lambda s, d: M.parse_failure_rates(_parsed(s, d)),
     "run_summary": lambda s, d: _summary(s, d),
     "fast_path_share": lambda s, d: R.fast_path_share(_summary(s, d)),
@@ -212,7 +236,7 @@ _GUARD = f"""st AS (SELECT * FROM ({A.duck(STEPS)}) x), rn AS (SELECT r.*, l.las
   gg AS (SELECT *, status = 'success' AND marker IS NULL AND final_answer <> '' AS op, ({_HEDGE}) AS hedge FROM gm),
   gu AS (SELECT *, op AND NOT hedge AND len(nums) > 0 AND len(list_filter(nums, lambda n: contains(obs, n) OR contains(replace(obs, ',', ''), replace(n, ',', '')))) = 0 AS ungr FROM gg),
   guarded AS (SELECT *, CASE WHEN marker IS NOT NULL OR (op AND hedge) THEN 'not_found' WHEN ungr THEN 'unverified' ELSE status END AS guarded_status,
-    CASE WHEN marker IS NOT NULL THEN 'blocked_url:' || marker WHEN op AND hedge THEN 'hedged_answer' WHEN ungr THEN 'ungrounded_numbers:[''' || array_to_string(nums[1:3], ''', ''') || ''']' ELSE '' END AS guard_mode FROM gu)"""
+    CASE WHEN marker IS NOT NULL THEN 'blocked_url:' || marker WHEN op AND hedge THEN 'hedged_answer' WHEN ungr THEN 'ungrounded_numbers:[''' || array_to_string(nums, ''', ''') || ''']' ELSE '' END AS guard_mode FROM gu)"""
 _SUMMARY = _PRICED + f""", st AS (SELECT * FROM ({A.duck(STEPS)}) x), rc AS (SELECT trace_id, count(*) AS llm_calls, round(sum(cost_usd), 6)::DOUBLE AS cost_usd FROM priced GROUP BY trace_id),
   sm AS (SELECT r.trace_id, r.status, r.fast_path_hit, s.*, c.llm_calls, c.cost_usd FROM ({A.duck(RUNS)}) r JOIN (SELECT trace_id AS t, count(*) AS total_steps, count(*) FILTER (WHERE healer_activated) AS healer_activations, arg_max(url, step_number) AS final_url,
     sum(duration_ms::DECIMAL(24,6))::DOUBLE AS total_duration_ms, count(*) FILTER (WHERE error <> '') AS failed_steps FROM st GROUP BY trace_id) s ON s.t = r.trace_id JOIN rc c ON c.trace_id = r.trace_id) """
@@ -223,10 +247,17 @@ _RUNCHECK = f"""WITH {_GUARD}, tot AS (SELECT trace_id AS tid, count(*) AS total
     UNION ALL SELECT trace_id, 'must_contain[UNITS]', contains(low, 'units') FROM g WHERE user_id % 4 = 0 UNION ALL SELECT trace_id, 'must_not_contain[cannot]', NOT contains(low, 'cannot') FROM g WHERE user_id % 4 = 1
     UNION ALL SELECT trace_id, 'failure_mode[hedged]', contains(guard_mode, 'hedged') FROM g WHERE user_id % 5 = 0) """
 
-_JSON = f"""WITH j AS (SELECT id, model, k, CASE k WHEN 0 THEN '{{"complete": true, "answer": "x", "confidence": 0.9}}' WHEN 1 THEN '{{"a": {{"b": 1}}}}' WHEN 2 THEN '{{"steps": [{{"action": "goto", "target": "t"}}]}}'
-    WHEN 6 THEN '{{"answer": "smart"}}' WHEN 9 THEN '{{"s": "brace }} inside", "n": {{"k": [1]}}}}' ELSE '' END AS object_json,
-    CASE k WHEN 2 THEN '[{{"action": "goto", "target": "t"}}]' WHEN 3 THEN '[{{"action": "press", "value": "v"}}, {{"target": "w"}}]' WHEN 8 THEN '[1, 2]' WHEN 9 THEN '[1]' ELSE '' END AS array_json
-  FROM (SELECT conv_id || '-' || turn AS id, CASE conv_id % 3 WHEN 0 THEN 'openai/gpt-5.5' WHEN 1 THEN 'z-ai/glm-5.1' ELSE 'qwen/q' END AS model, (conv_id + turn) % 11 AS k FROM conversations) c) """
+# What each output holds, stated shape by shape; the conversations themselves hold no JSON.
+_JSON = f"""WITH j AS (SELECT id, model, k, text, t, o, turn, conv_id, CASE k WHEN 0 THEN '{{"complete": true, "answer": "' || t || '", "confidence": 0.9}}' WHEN 1 THEN '{{"a": {{"b": "' || t || '"}}}}'
+    WHEN 2 THEN '{{"steps": [{{"action": "goto", "target": "' || t || '"}}]}}' WHEN 6 THEN '{{"answer": "' || t || '"}}' WHEN 9 THEN '{{"s": "brace }} inside ' || t || '", "n": {{"k": [1]}}}}' ELSE '' END AS object_json,
+    CASE k WHEN 2 THEN '[{{"action": "goto", "target": "' || t || '"}}]' WHEN 3 THEN '[{{"action": "press", "value": "' || t || '"}}, {{"target": "w"}}]' WHEN 8 THEN '[1, 2]' WHEN 9 THEN '[1]' ELSE '' END AS array_json
+  FROM (SELECT *, conv_id || '-' || turn AS id, CASE conv_id % 3 WHEN 0 THEN 'openai/gpt-5.5' WHEN 1 THEN 'z-ai/glm-5.1' ELSE 'qwen/q' END AS model, (conv_id + turn) % 11 AS k, replace(text, chr(10), chr(92) || 'n') AS t,
+    replace(text, chr(10), ' ') AS o FROM conversations) c) """
+_STEPS_SQL = """SELECT id, 1 AS step_no, 'navigate' AS action_type, text AS target, '' AS value, '' AS success FROM j WHERE k = 2 UNION ALL SELECT id, 1, 'key_press', '', text, '' FROM j WHERE k = 3 UNION ALL SELECT id, 2, 'click', 'w', '', '' FROM j WHERE k = 3
+  UNION ALL SELECT id, 1, 'click', 'Open page', '', '' FROM j WHERE k = 5 UNION ALL SELECT id, 2, 'click', trim('Click ' || o), '', '' FROM j WHERE k = 5"""
+
+_LINES = "lines AS (SELECT doc_id, doc_id % 7 AS k, list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) AS l FROM documents)"
+_TIGHT = r"trim(regexp_replace(regexp_replace(regexp_replace(x, '\s+([,.;:!?)\]])', '\1', 'g'), '([(\[])\s+', '\1', 'g'), '\s{2,}', ' ', 'g'))"
 
 ORACLE = {
     "routed_pages": f"SELECT page_id, url, CASE {_SUFFIX} ELSE '' END AS site FROM (SELECT *, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS h FROM ({A.duck(PAGES)}) p) x",
@@ -236,7 +267,7 @@ ORACLE = {
       an AS (SELECT task_id, CASE WHEN len(p) = 0 THEN NULL WHEN paragraphs_all THEN array_to_string(p, chr(10) || chr(10)) WHEN range_from IS NOT NULL THEN CASE WHEN range_from >= 1 AND range_from <= len(p) THEN array_to_string(p[range_from:range_to], chr(10) || chr(10)) END
         WHEN paragraph_index IS NOT NULL THEN CASE WHEN paragraph_index = -1 THEN p[len(p)] WHEN paragraph_index BETWEEN 1 AND len(p) THEN p[paragraph_index] END WHEN wants_summary OR wants_definition THEN p[1] END AS answer
       FROM intents JOIN ps ON doc_id = page_id) SELECT task_id, md5(coalesce(answer, '<none>')) AS answer_md5 FROM an""",
-    "page_digests": f"""SELECT page_id, md5(CASE WHEN length(t) <= 6000 THEN t ELSE substr(t, 1, 3000) || chr(10) || '...' || chr(10) || right(t, 1500) END) AS digest_md5, contains(a, 'button') AS has_buttons,
+    "page_digests": f"""SELECT page_id, md5(t) AS digest_md5, contains(a, 'button') AS has_buttons,
       contains(a, 'textbox') OR contains(a, 'searchbox') AS has_inputs, contains(a, 'link') AS has_links FROM (SELECT page_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, lower(a11y) AS a FROM ({A.duck(DIGEST)}) d) x""",
     "verified_steps": f"WITH {_VERIFY} SELECT *, confidence < 0.4::DOUBLE AS low_confidence FROM vh",
     "failure_triage": f"WITH {_TRIAGE} SELECT trace_id, step_number, root_cause, should_retry, confidence FROM triaged",
@@ -263,12 +294,34 @@ ORACLE = {
         SELECT p.filing_id AS case_id, items_extracted >= p.filing_id % 22 AND s6 = 'reserved' AND ok AND CASE WHEN p.filing_id % 3 = 0 THEN s1 <> 'not_found' AND s7 <> 'not_found' ELSE s1a <> 'not_found' END AS passed,
           CASE WHEN p.filing_id % 3 = 0 THEN 5 ELSE 4 END AS checks, items_returned, items_extracted, n_extracted, n_incorporated_by_reference, n_not_applicable, n_reserved, n_not_found, avg_confidence, missing_items
         FROM per p JOIN verdict v ON v.filing_id = p.filing_id) z""",
-    # What each sample output holds, stated case by case; free text of the table holds no JSON.
     "parsed_outputs": _JSON + "SELECT id, model, object_json, array_json FROM j",
+    "block_outputs": _JSON + "SELECT id, model, object_json, array_json FROM j",
     "parse_failure_rates": _JSON + "SELECT model, count(*) AS outputs, count(*) FILTER (WHERE object_json = '' AND array_json = '') AS failures, count(*) FILTER (WHERE object_json = '' AND array_json = '') / count(*) AS failure_rate FROM j GROUP BY model",
-    "output_verdicts": _JSON + """SELECT model, CASE WHEN object_json <> '' THEN k = 0 ELSE k = 4 END AS complete, (CASE WHEN k = 0 THEN 0.9 WHEN object_json <> '' THEN 0.5 WHEN k = 4 THEN 0.7 ELSE 0.3 END)::DOUBLE AS confidence, count(*) AS outputs FROM j GROUP BY ALL""",
-    "planned_steps": _JSON + """SELECT action_type, step_no, count(*) AS steps FROM (SELECT 'navigate' AS action_type, 1 AS step_no FROM j WHERE k = 2 UNION ALL SELECT 'key_press', 1 FROM j WHERE k = 3 UNION ALL SELECT 'click', 2 FROM j WHERE k = 3
-      UNION ALL SELECT 'click', 1 FROM j WHERE k = 5 UNION ALL SELECT 'click', 2 FROM j WHERE k = 5) x GROUP BY ALL""",
+    "output_verdicts": _JSON + """SELECT id, model, CASE WHEN object_json <> '' THEN k = 0 ELSE k = 4 END AS complete, (CASE WHEN k = 0 THEN 0.9 WHEN object_json <> '' THEN 0.5 WHEN k = 4 THEN 0.7 ELSE 0.3 END)::DOUBLE AS confidence,
+      md5(CASE WHEN k IN (0, 6) THEN text WHEN object_json <> '' THEN '' WHEN k = 3 THEN array_json WHEN k = 4 THEN trim('Yes, task is complete: ' || text, chr(10) || ' ') WHEN k = 5 THEN trim('1. Open page' || chr(10) || '2) Click ' || o, chr(10) || ' ')
+        WHEN k = 7 THEN trim('broken {"a": ' || text, chr(10) || ' ') WHEN k = 8 THEN trim('note [1, 2] end ' || text, chr(10) || ' ') ELSE trim(text, chr(10) || ' ') END) AS answer_md5 FROM j""",
+    "planned_steps": _JSON + f"SELECT id, step_no, action_type, md5(target || '|' || value) AS step_md5 FROM ({_STEPS_SQL}) x",
+    "executable_plans": _JSON + f""", s AS ({_STEPS_SQL}), url AS (SELECT id, k, conv_id, CASE WHEN conv_id % 2 = 0 THEN 'https://x.org/' || conv_id ELSE 'https://www.google.com/search?q=find+' || turn END AS u, k IN (2, 3, 5) AS has FROM j)
+      SELECT s.id, (s.step_no + CASE WHEN conv_id % 2 = 0 AND k <> 2 THEN 1 ELSE 0 END)::INT AS step_no, action_type, md5(target) AS target_md5, '' AS success_criteria FROM s JOIN url ON url.id = s.id
+      UNION ALL SELECT id, 1, 'navigate', md5(u), 'Page is loaded' FROM url WHERE NOT has OR (conv_id % 2 = 0 AND k <> 2) UNION ALL SELECT id, 2, 'wait', md5('page to load'), 'Page is stable' FROM url WHERE NOT has""",
+    "single_actions": _JSON + """SELECT id, CASE WHEN k = 2 THEN 'navigate' WHEN k = 3 THEN 'key_press' ELSE 'wait' END AS action_type, md5(CASE WHEN k = 2 THEN text || '|' WHEN k = 3 THEN '|' || text ELSE '|' END) AS action_md5 FROM j""",
+    "unwrapped_answers": _JSON + """SELECT id, md5(CASE k WHEN 0 THEN trim(text, chr(10) || ' ') WHEN 1 THEN object_json WHEN 2 THEN 'Here: ' || object_json || ' done' WHEN 3 THEN array_json WHEN 4 THEN trim('Yes, task is complete: ' || text, chr(10) || ' ')
+      WHEN 5 THEN trim('1. Open page' || chr(10) || '2) Click ' || o, chr(10) || ' ') WHEN 6 THEN '{“answer”: “' || t || '”}' WHEN 7 THEN trim('broken {"a": ' || text, chr(10) || ' ') WHEN 8 THEN trim('note [1, 2] end ' || text, chr(10) || ' ')
+      WHEN 9 THEN object_json || ' tail' ELSE trim(text, chr(10) || ' ') END) AS answer_md5 FROM j""",
+    # The pages' text lines in order, as a reader of the page sees them.
+    "site_paragraphs": f"""WITH {_LINES}, p AS (SELECT doc_id, k, l, CASE WHEN k = 0 AND len(list_filter(l, lambda x: length(x) > 80)) > 0 THEN 80 ELSE 40 END AS least FROM lines WHERE k IN (0, 3, 5)),
+      f AS (SELECT doc_id, list_filter(l, lambda x: length(x) > least) AS f, array_to_string(list_filter(l, lambda x: x <> ''), ' ') AS whole, k FROM p)
+      SELECT doc_id AS page_id, unnest(range(1, len(f) + 1))::INT AS n, md5(unnest(list_transform(f, lambda x: {_TIGHT}))) AS text_md5 FROM f
+      UNION ALL SELECT doc_id, 0, md5(whole) FROM f WHERE k = 5 AND len(f) = 0 AND length(whole) > 80""",
+    "page_fields": f"""WITH {_intents(A.duck(SITE_TASKS))}, {_LINES}, w AS (SELECT task_id, doc_id, k, l, list_filter(fl, lambda x: x IN ('title', 'author', 'abstract', 'version', 'license', 'description')) AS asked, wants_summary,
+        paragraph_index IS NOT NULL OR range_from IS NOT NULL OR paragraphs_all OR wants_summary OR wants_definition AS para FROM intents JOIN lines ON doc_id = page_id WHERE k IN (1, 4)),
+      c AS (SELECT *, unnest(CASE WHEN len(asked) > 0 THEN asked WHEN k = 1 AND para AND NOT wants_summary THEN ['abstract'] WHEN wants_summary THEN CASE k WHEN 1 THEN ['title', 'abstract'] ELSE ['title', 'version', 'description'] END ELSE [] END) AS field FROM w),
+      v AS (SELECT task_id, field, CASE WHEN k = 1 THEN CASE field WHEN 'title' THEN 'On d' WHEN 'author' THEN 'A, B' WHEN 'abstract' THEN trim(regexp_replace(array_to_string(list_filter(l, lambda x: x <> ''), ' '), '\\s{{2,}}', ' ', 'g')) END
+        ELSE CASE field WHEN 'title' THEN 'pkg' WHEN 'version' THEN '1.2.3' WHEN 'description' THEN 'A tool' WHEN 'license' THEN 'MIT' WHEN 'author' THEN 'Zed' END END AS value FROM c)
+      SELECT task_id, field, md5(value) AS value_md5 FROM v WHERE value <> ''""",
+    "listing_rows": f"""WITH {_intents(A.duck(SITE_TASKS))}, t AS (SELECT task_id, CASE WHEN top_n > 1 THEN top_n ELSE 1 END AS top, list_contains(fl, 'points') AS wp, list_contains(fl, 'comments') AS wc FROM intents WHERE page_id % 7 = 2)
+      SELECT task_id, n, title, url, CASE WHEN wp AND n = 1 THEN 17 ELSE -1 END AS points, CASE WHEN wc AND n = 1 THEN 4 ELSE -1 END AS comments FROM t, (VALUES (1, 'First', 'u1'), (2, 'Second', 'u2')) r(n, title, url) WHERE n <= top""",
+    "data_blocks": """SELECT doc_id AS task_id, CASE WHEN doc_id % 7 = 0 THEN 'extract_infobox' ELSE 'extract_no_match' END AS kind, CASE WHEN doc_id % 7 = 0 THEN 'Population 12345' ELSE '' END AS text FROM documents""",
     "page_errors": f"""SELECT host, count(*) AS pages, count(*) FILTER (WHERE doc_id % 7 = 6) AS errors, count(*) FILTER (WHERE doc_id % 7 = 6) AS pages_with_errors
       FROM (SELECT doc_id, ['en.wikipedia.org', 'arxiv.org', 'news.ycombinator.com', 'developer.mozilla.org', 'pypi.org', 'github.com', 'example.com'][doc_id % 7 + 1] AS host FROM documents) x GROUP BY host""",
 }

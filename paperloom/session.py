@@ -23,6 +23,7 @@ def build_session(app: str = "paperloom", cores: str | int = "*", shuffle: int |
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.paperloom.textPartitions", str(cpus))
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "8g"))
         .config("spark.sql.streaming.stateStore.providerClass",
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -34,9 +35,13 @@ _OWN_FOLDER: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach: the cluster's own, or (in tests) a fresh local one."""
+    """The folder all executors can reach, as the cluster names it. Only a session whose tasks run in this
+    very process may do without: it gets a fresh local folder. Elsewhere a missing setting is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN_FOLDER:
             _OWN_FOLDER.append(tempfile.mkdtemp(prefix="paperloom-"))
         folder = _OWN_FOLDER[0]

@@ -1,13 +1,14 @@
 """Streaming operators: each has a batch twin that gives the same rows.
 
-Late data: rows behind the watermark are dropped; keyed states expire after an idle time. Within a
-batch a key's rows are put in event-time order before its state sees them.
+Rows behind the watermark are dropped. Keyed operators hold their rows in state until the watermark has
+passed them and only then work on them, in event-time order, so results depend neither on the borders of
+the batches nor on the order of arrival. A key's state stays until it is used up; `ttl` gives it a life
+in processing time instead, after which the key starts anew.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.cloudpickle import cloudpickle
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from paperloom.functions import fixed
+from paperloom.functions.ordered import previous_rows, time_chunk
 from paperloom.operators import secrets
 from paperloom.operators.ledger import cap_of, exact
 from paperloom.operators.skills import reuse_key
@@ -24,7 +26,6 @@ from paperloom.operators.skills import reuse_key
 # the shipped package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-DAY_MS = 24 * 3600 * 1000
 _MONEY_UNIT = 10 ** 12  # state keeps money as whole millionths of a millionth of a dollar
 
 
@@ -39,127 +40,157 @@ def live_ledger(priced: DataFrame, window: str = "1 minute", slide: str | None =
         "cost_usd", "latency_ms")
 
 
-def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable")
+def _ms(us: int) -> int:
+    return us // 1000
 
 
-class _BudgetGuard(StatefulProcessor):
+class _InOrder(StatefulProcessor):
+    """Holds rows (tuples that start with their time in microseconds) until the watermark has passed them.
+
+    Subclasses say what a row holds (`fields`), what is carried (`memory`), and work on released rows.
+    """
+
+    fields, memory, columns = "", "", []
+
+    def __init__(self, ttl_ms: int | None = None) -> None:
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("spent", "units bigint, alerted boolean", DAY_MS)
+        self.handle = handle
+        self.held = handle.getListState("held", f"us bigint, {self.fields}")
+        self.state = handle.getValueState("memory", self.memory, self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        spent, alerted = self.state.get() if self.state.exists() else (0, False)
-        pdf = _ordered(rows, ["ts", "call_id"])
-        running = pdf["units"].cumsum() + spent
-        over = pdf[(pdf["cap"] > 0) & (running > pdf["cap"])]
-        if not alerted and len(over):
-            hit = over.iloc[0]
-            alerted = True
-            yield pd.DataFrame({
-                "trace_id": [key[0]], "call_id": [hit["call_id"]], "task": [hit["task"]], "cap_usd": [round(hit["cap"] / _MONEY_UNIT, 6)],
-                "cost_usd": [round(int(running.loc[over.index[0]]) / _MONEY_UNIT, 6)]})
-        self.state.update((int(spent + pdf["units"].sum()), bool(alerted)))
+        first = None
+        for pdf in rows:  # one Arrow batch at a time
+            held = pdf[["us", *[f.strip().split(" ")[0] for f in self.fields.split(",")]]]
+            self.held.appendList([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in held.itertuples(index=False, name=None)])
+            first = int(pdf["us"].min()) if first is None else min(first, int(pdf["us"].min()))
+        if first is not None:
+            self.handle.registerTimer(_ms(first) - 1)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = timerValues.getCurrentWatermarkInMs()
+        every = [tuple(r) for r in self.held.get()]
+        due, rest = sorted(r for r in every if _ms(r[0]) <= mark), [r for r in every if _ms(r[0]) > mark]
+        if due:
+            self.held.put(rest) if rest else self.held.clear()
+            if rest:
+                self.handle.registerTimer(_ms(min(r[0] for r in rest)) - 1)
+        memory = tuple(self.state.get()) if self.state.exists() else None
+        out, memory = self.work(key, due, memory, mark)
+        self.state.update(memory) if memory is not None else self.state.clear()
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+    def work(self, key, rows: list[tuple], memory: tuple | None, mark: int) -> tuple[list[tuple], tuple | None]:
+        raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
-def live_budget_guard(priced: DataFrame, late: str = "10 minutes") -> DataFrame:
+def _keyed(rows: DataFrame, keys: list[str], processor: _InOrder, schema: str) -> DataFrame:
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+def _clocked(df: DataFrame, late: str, keys: list[str], *columns: Column | str) -> DataFrame:
+    """Keys, time in microseconds, further columns; the event time itself stays, or no row would be late."""
+    return df.withWatermark("ts", late).select(*keys, F.unix_micros("ts").alias("us"), *columns, "ts")
+
+
+class _BudgetGuard(_InOrder):
+    fields, memory = "call_id bigint, task string, units bigint, cap bigint", "units bigint, alerted boolean"
+    columns = ["trace_id", "call_id", "task", "cap_usd", "cost_usd"]
+
+    def work(self, key, rows, memory, mark):
+        spent, alerted = memory or (0, False)
+        out = []
+        for _, call, task, units, cap in rows:
+            spent += units
+            if not alerted and 0 < cap < spent:
+                alerted = True
+                out.append((key[0], call, task, round(cap / _MONEY_UNIT, 6), round(spent / _MONEY_UNIT, 6)))
+        return out, (spent, alerted)
+
+
+def live_budget_guard(priced: DataFrame, late: str = "10 minutes", ttl_ms: int | None = None) -> DataFrame:
     """One alert per trace, at the call whose running cost first passes the cap."""
     units = lambda c: (c * F.lit(_MONEY_UNIT)).cast("bigint")
-    rows = priced.withWatermark("ts", late).select(
-        "trace_id", "call_id", "task", "ts", units(F.col("cost_usd")).alias("units"),
-        units(cap_of(F.col("task")).cast("decimal(12,6)")).alias("cap"))
-    return rows.groupBy("trace_id").transformWithStateInPandas(
-        _BudgetGuard(), "trace_id string, call_id bigint, task string, cap_usd double, cost_usd double", "Append", "ProcessingTime")
+    rows = _clocked(priced, late, ["trace_id"], "call_id", "task", units(F.col("cost_usd")).alias("units"),
+                    units(cap_of(F.col("task")).cast("decimal(12,6)")).alias("cap"))
+    return _keyed(rows, ["trace_id"], _BudgetGuard(ttl_ms), "trace_id string, call_id bigint, task string, cap_usd double, cost_usd double")
 
 
-class _StuckLoop(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getListState("last", "action string, url string", DAY_MS)
+class _StuckLoop(_InOrder):
+    fields, memory = "step_number bigint, action string, url string", "a1 string, u1 string, a2 string, u2 string"
+    columns = ["trace_id", "step_number", "action", "url"]
 
-    def handleInputRows(self, key, rows, timerValues):
-        last = [tuple(r) for r in self.last.get()]
+    def work(self, key, rows, memory, mark):
+        a1, u1, a2, u2 = memory or (None, None, None, None)  # the step before, and the one before that
         out = []
-        for r in _ordered(rows, ["step_number"]).itertuples(index=False):
-            last = (last + [(r.action, r.url)])[-3:]
-            if len(last) == 3 and last[0] == last[1] == last[2]:
-                out.append((key[0], r.step_number, r.action, r.url))
-        self.last.put(last[-2:])
-        if out:
-            yield pd.DataFrame(out, columns=["trace_id", "step_number", "action", "url"])
+        for _, step, action, url in rows:
+            if (action, url) == (a1, u1) == (a2, u2):
+                out.append((key[0], step, action, url))
+            a1, u1, a2, u2 = action, url, a1, u1
+        return out, (a1, u1, a2, u2)
 
-    def close(self) -> None:
-        pass
 
+def live_stuck_loops(steps: DataFrame, late: str = "10 minutes", ttl_ms: int | None = None) -> DataFrame:
+    """A row for every step (trace_id, ts, step_number, ...) that repeats the action and URL of the two
+    steps before it."""
+    rows = _clocked(steps, late, ["trace_id"], F.col("step_number").cast("bigint").alias("step_number"),
+                    F.concat_ws(": ", "action_type", F.coalesce("target", F.lit(""))).alias("action"), F.coalesce(F.col("after.url"), F.lit("")).alias("url"))
+    return _keyed(rows, ["trace_id"], _StuckLoop(ttl_ms), "trace_id string, step_number bigint, action string, url string")
 
-def live_stuck_loops(steps: DataFrame) -> DataFrame:
-    """A row for every step that repeats the action and URL of the two steps before it."""
-    rows = steps.select("trace_id", "step_number", F.concat_ws(": ", "action_type", F.coalesce("target", F.lit(""))).alias("action"),
-                        F.coalesce(F.col("after.url"), F.lit("")).alias("url"))
-    return rows.groupBy("trace_id").transformWithStateInPandas(
-        _StuckLoop(), "trace_id string, step_number bigint, action string, url string", "Append", "ProcessingTime")
 
+class _Breaker(_InOrder):
+    fields, memory = "event_id bigint, ok boolean", "failures bigint, last_us bigint"
+    columns = ["service", "event_id", "state_before", "state_after", "failures"]
 
-class _Breaker(StatefulProcessor):
-    def __init__(self, threshold: int, cooldown_seconds: float) -> None:
+    def __init__(self, threshold: int, cooldown_seconds: float, ttl_ms: int | None) -> None:
+        super().__init__(ttl_ms)
         self.threshold, self.cooldown = threshold, cooldown_seconds * 1_000_000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("breaker", "failures bigint, last_us bigint", DAY_MS)
-
-    def handleInputRows(self, key, rows, timerValues):
-        failures, last = self.state.get() if self.state.exists() else (0, 0)
+    def work(self, key, rows, memory, mark):
+        failures, last = memory or (0, 0)
         out = []
-        for r in _ordered(rows, ["us", "event_id"]).itertuples(index=False):
-            before = "closed"
-            if failures >= self.threshold:
-                before = "half_open" if r.us - last > self.cooldown else "open"
-            failures = 0 if r.ok else failures + 1
-            last = r.us if not r.ok else last
-            out.append((key[0], r.event_id, before, "open" if failures >= self.threshold else "closed", failures))
-        self.state.update((int(failures), int(last)))
-        yield pd.DataFrame(out, columns=["service", "event_id", "state_before", "state_after", "failures"])
-
-    def close(self) -> None:
-        pass
+        for us, event, ok in rows:
+            before = "closed" if failures < self.threshold else "half_open" if us - last > self.cooldown else "open"
+            failures, last = (0, last) if ok else (failures + 1, us)
+            out.append((key[0], event, before, "open" if failures >= self.threshold else "closed", failures))
+        return out, (failures, last)
 
 
 def live_breaker(events: DataFrame, threshold: int = fixed.BREAKER_FAILURES, cooldown: float = fixed.BREAKER_COOLDOWN_SECONDS,
-                 late: str = "10 minutes") -> DataFrame:
+                 late: str = "10 minutes", ttl_ms: int | None = None) -> DataFrame:
     """(service, event_id, ts, ok) -> breaker state before and after every call."""
-    rows = events.withWatermark("ts", late).select("service", "event_id", F.unix_micros("ts").alias("us"), "ok")
-    return rows.groupBy("service").transformWithStateInPandas(
-        _Breaker(threshold, cooldown), "service string, event_id bigint, state_before string, state_after string, failures bigint", "Append", "ProcessingTime")
+    rows = _clocked(events, late, ["service"], F.col("event_id").cast("bigint").alias("event_id"), "ok")
+    return _keyed(rows, ["service"], _Breaker(threshold, cooldown, ttl_ms),
+                  "service string, event_id bigint, state_before string, state_after string, failures bigint")
 
 
-class _Reuse(StatefulProcessor):
-    def __init__(self, ttl_seconds: int) -> None:
-        self.ttl = ttl_seconds * 1_000_000
+class _Reuse(_InOrder):
+    fields, memory, columns = "id bigint", "us bigint", ["id", "cache_key", "cache_hit"]
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        # The state may go once the kept result is too old to serve; idle keys then cost nothing.
-        self.state = handle.getValueState("executed", "us bigint", max(DAY_MS, self.ttl // 1000))
+    def __init__(self, keep_seconds: int, ttl_ms: int | None) -> None:
+        super().__init__(ttl_ms)
+        self.keep = keep_seconds * 1_000_000
 
-    def handleInputRows(self, key, rows, timerValues):
-        last = self.state.get()[0] if self.state.exists() else None
-        pdf, hits = _ordered(rows, ["us", "id"]), []
-        for us in pdf["us"]:
-            hit = last is not None and us - last < self.ttl
-            hits.append(hit)
+    def work(self, key, rows, memory, mark):
+        last, out = memory[0] if memory else None, []
+        for us, request in rows:
+            hit = last is not None and us - last < self.keep
+            out.append((request, key[0], hit))
             last = last if hit else us
-        self.state.update((int(last),))
-        yield pd.DataFrame({"id": pdf["id"], "cache_key": key[0], "cache_hit": hits})
-
-    def close(self) -> None:
-        pass
+        return out, None if last is None else (last,)
 
 
-def live_reuse(requests: DataFrame, ttl_seconds: int = fixed.REUSE_TTL_SECONDS, late: str = "10 minutes") -> DataFrame:
+def live_reuse(requests: DataFrame, ttl_seconds: int = fixed.REUSE_TTL_SECONDS, late: str = "10 minutes", ttl_ms: int | None = None) -> DataFrame:
     """Requests served from a kept result, by the exact rule (hits do not refresh the clock)."""
-    rows = reuse_key(requests.withWatermark("ts", late)).select("id", "cache_key", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("cache_key").transformWithStateInPandas(
-        _Reuse(ttl_seconds), "id bigint, cache_key string, cache_hit boolean", "Append", "ProcessingTime")
+    rows = _clocked(reuse_key(requests), late, ["cache_key"], F.col("id").cast("bigint").alias("id"))
+    return _keyed(rows, ["cache_key"], _Reuse(ttl_seconds, ttl_ms), "id bigint, cache_key string, cache_hit boolean")
 
 
 def live_reuse_cheap(requests: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -171,20 +202,73 @@ def _stage(event: Column) -> Column:
     return F.regexp_replace(event, "_(start|done|failed|skipped)$", "")
 
 
-def stage_durations(events: DataFrame, timeout: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    """Starts joined to their ends by trace and stage (batch or stream); a start without an end inside
-    the timeout comes out with a null end once the watermark has passed it."""
-    marked = events.withColumn("stage", _stage(F.col("event")))
-    start = marked.filter(F.endswith(F.col("event"), F.lit("_start"))).select("trace_id", "stage", F.col("ts").alias("started"))
-    end = marked.filter(F.col("event").rlike("_(done|failed|skipped)$")).select(
-        F.col("trace_id").alias("_t"), F.col("stage").alias("_s"), F.col("ts").alias("ended"), F.col("event").alias("outcome"))
+class _Stages(_InOrder):
+    fields, memory = "closing int, outcome string", "us bigint"
+    columns = ["trace_id", "stage", "started", "ended", "outcome", "duration_ms", "timed_out"]
+
+    def __init__(self, timeout_us: int, ttl_ms: int | None) -> None:
+        super().__init__(ttl_ms)
+        self.timeout = timeout_us
+
+    def work(self, key, rows, memory, mark):
+        open_, out = memory[0] if memory else None, []
+
+        def row(end, outcome):
+            given = end is not None
+            return (*key, pd.Timestamp(open_, unit="us"), pd.Timestamp(end, unit="us") if given else pd.NaT, outcome if given else None,
+                    (end - open_) / 1000 if given else None, not given)
+
+        for us, closing, outcome in rows:
+            if open_ is not None:
+                out.append(row(us, outcome) if closing and us - open_ <= self.timeout else row(None, None))
+            open_ = None if closing else us
+        if open_ is not None and _ms(open_ + self.timeout) < mark:
+            out.append(row(None, None))
+            open_ = None
+        if open_ is not None:
+            self.handle.registerTimer(_ms(open_ + self.timeout))
+        return out, None if open_ is None else (open_,)
+
+
+def _marked(events: DataFrame) -> DataFrame:
+    """Starts and ends of stages; at equal times a start comes before an end."""
+    end = F.regexp_extract("event", "_(done|failed|skipped)$", 1)
+    return events.withColumn("stage", _stage(F.col("event"))).withColumn("outcome", end).withColumn("closing", (end != "").cast("int")).filter(
+        (F.col("closing") == 1) | F.endswith(F.col("event"), F.lit("_start")))
+
+
+def _interval_us(text: str) -> int:
+    return int(pd.Timedelta(text).total_seconds() * 1_000_000)
+
+
+def live_stage_durations(events: DataFrame, timeout: str = "30 minutes", late: str = "10 minutes", ttl_ms: int | None = None) -> DataFrame:
+    """`stage_durations` on a stream: a pair comes out once the watermark has passed its end, a start that
+    stays open once it has passed the timeout."""
+    rows = _clocked(_marked(events), late, ["trace_id", "stage"], "closing", "outcome")
+    return _keyed(rows, ["trace_id", "stage"], _Stages(_interval_us(timeout), ttl_ms),
+                  "trace_id string, stage string, started timestamp, ended timestamp, outcome string, duration_ms double, timed_out boolean")
+
+
+def stage_durations(events: DataFrame, timeout: str = "30 minutes", chunk_seconds: int = 3600) -> DataFrame:
+    """One row per start: paired with the first end at or after it and before the next start, if that is
+    within the timeout; else timed out.
+
+    The row after a start decides about it, so every row looks back at the one before; a key's last start
+    is found by an aggregate. Histories are cut into chunks of time, so no key is one task.
+    """
     if events.isStreaming:
-        start, end = start.withWatermark("started", late), end.withWatermark("ended", late)
-    on = (F.col("trace_id") == F.col("_t")) & (F.col("stage") == F.col("_s")) & (F.col("ended") >= F.col("started")) & (
-        F.col("ended") <= F.col("started") + F.expr(f"interval {timeout}"))
-    return start.join(end, on, "left_outer").select(
-        "trace_id", "stage", "started", "ended", F.regexp_extract("outcome", "_(done|failed|skipped)$", 1).alias("outcome"),
-        ((F.unix_micros("ended") - F.unix_micros("started")) / 1000).alias("duration_ms"), F.col("ended").isNull().alias("timed_out"))
+        return live_stage_durations(events, timeout)
+    keys = ["trace_id", "stage"]
+    rows = _marked(events).select(*keys, "ts", "closing", "outcome")
+    look = previous_rows(rows, keys, ["ts", "closing"], time_chunk("ts", chunk_seconds), ["ts", "closing"], 1).withColumn("before", F.get("previous", F.lit(0)))
+    after = look.filter("before.closing = 0").select(*keys, F.col("before.ts").alias("started"), "closing", F.col("ts").alias("next"), "outcome")
+    last = rows.groupBy(*keys).agg(F.max(F.struct("ts", "closing")).alias("l")).filter("l.closing = 0").select(
+        *keys, F.col("l.ts").alias("started"), F.lit(0).alias("closing"), F.lit(None).cast("timestamp").alias("next"), F.lit("").alias("outcome"))
+    span = F.unix_micros("next") - F.unix_micros("started")
+    paired = F.coalesce((F.col("closing") == 1) & (span <= _interval_us(timeout)), F.lit(False))
+    return after.unionByName(last).select(
+        *keys, "started", F.when(paired, F.col("next")).alias("ended"), F.when(paired, F.col("outcome")).alias("outcome"),
+        F.when(paired, span / 1000).alias("duration_ms"), (~paired).alias("timed_out"))
 
 
 def stage_spans(events: DataFrame) -> DataFrame:

@@ -23,6 +23,15 @@ def table_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFra
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet*").parquet(folder)
 
 
+def run_batches(query, spark: SparkSession) -> DataFrame:
+    """Run a prepared foreachBatch writer over what is available; `query(home)` returns it, writing its
+    batches to `home/out/batch=n`. Gives all rows written."""
+    ship_package(spark)
+    home = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    query(home).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(home + "/out").drop("batch")
+
+
 def run_available(stream: DataFrame, mode: str = "append", keys: list[str] | None = None, closing: bool = False) -> DataFrame:
     """Process everything present, write it to the shared folder, and read it back.
 

@@ -41,3 +41,31 @@ def test_against_sql(spark, name):
     got = sorted(repr(tuple(plain(v) for v in r)) for r in df.select(*cols).collect())
     want = sorted(repr(tuple(plain(r[i]) for i in order)) for r in rel.fetchall())
     assert got == want and got
+
+
+@needs_tables
+def test_whole_texts_reach_the_operators(spark):
+    from paperloom.plans import adapters as A
+    from paperloom.plans import web
+
+    # Every report holds its document's whole text besides its own wording.
+    bare = A.FILINGS.replace("{documents}", "(SELECT doc_id, '' AS text FROM {documents})")
+    lengths = lambda sql: {r["filing_id"]: r["n"] for r in A.bind(spark, FOLDER, sql).selectExpr("filing_id", "length(text) AS n").collect()}
+    sizes = {r["doc_id"]: r["n"] for r in A.table(spark, FOLDER, "documents").selectExpr("doc_id", "length(trim(text)) AS n").collect()}
+    full, empty = lengths(A.FILINGS), lengths(bare)
+    assert {k: full[k] - empty[k] for k in full} == sizes
+    # Every output holds its conversation's words.
+    texts = A.bind(spark, FOLDER, f"SELECT {web._ID} AS id, text FROM {{conversations}}")
+    got = A.bind(spark, FOLDER, web.OUTPUTS).join(texts, "id").selectExpr("replace(raw, '\\\\n', ' ') AS raw", "replace(text, chr(10), ' ') AS text")
+    assert got.filter("NOT contains(replace(raw, chr(10), ' '), text)").count() == 0
+
+
+def test_no_folder_is_an_error_on_a_cluster():
+    from types import SimpleNamespace
+
+    from paperloom.session import shared_folder
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    fake = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        shared_folder(fake)

@@ -58,6 +58,43 @@ def test_tool_reports(spark):
     assert {(r["repo"], r["total"], r["failed"]) for r in counts.collect()} == {("r", 8, 1), ("q", 0, 0)}
 
 
+def test_project_file_shapes(spark):
+    text = """# c
+[build-system]
+requires = ["a"]
+[project]  # main
+name = "x"
+dependencies = [
+  "Flask[async]>=1,<2",  # web ] bracket
+  'rich',
+  "httpx ~= 1",
+]
+[project.optional-dependencies]
+dev = ["pytest"]
+[tool.poetry.dependencies]
+python = "^3.11"
+"attrs" = { version = "^23.1", extras = ["x"] }
+rich = "^9"
+local = { path = "../x" }
+numpy = '>=1.2'
+[tool.poetry.dependencies.pandas]
+version = "2.0"
+[tool.poetry.group.dev.dependencies]
+black = "1"
+"""
+    files = spark.createDataFrame([("r", text), ("n", None), ("e", ""), ("o", "[project]\ndependencies = ['a', 'b'")], "repo string, content string")
+    got = [(r["repo"], r["name"], r["version"], r["pos"]) for r in S.project_deps(files).orderBy("pos").collect()]
+    assert got == [("r", "Flask", "1,<2", 0), ("r", "rich", None, 1), ("r", "httpx", None, 2), ("r", "attrs", "23.1", 3), ("r", "local", None, 4), ("r", "numpy", "1.2", 5), ("r", "pandas", "2.0", 6)]
+
+
+def test_version_order(spark):
+    order = ["1.0.dev1", "1.0a1", "1.0.0b2", "1.0rc1", "1.0rc2", "1", "1.0.post1", "1.0.1", "1.2.3.4.5", "1.2.3.4.6", "1.10", "2-beta", "v2.0.0", "10.0"]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(order)], "i int, v string").withColumn("k", D.version_key(F.col("v"))).orderBy("k", "i").collect()
+    assert [r["v"] for r in rows] == order
+    same = spark.createDataFrame([("1.0.0",), ("v1",), ("1.0+build5",)], "v string").select(D.version_key(F.col("v")).alias("k")).distinct().count()
+    assert same == 1
+
+
 def test_version_ranges(spark):
     deps = spark.createDataFrame([("a", "PyPI", "x", v) for v in ("1.9", "1.10", "2.0", "2.1.5")], "repo string, ecosystem string, name string, version string")
     adv = spark.sql("""SELECT 'A' AS id, array('GHSA', 'CVE-1') AS aliases, 's' AS summary, '' AS severity,
