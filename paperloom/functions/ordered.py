@@ -16,26 +16,40 @@ def time_chunk(ts: str, seconds: int = 3600) -> Column:
     return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000))
 
 
-def running_sums(df: DataFrame, keys: list[str], order: list[str], chunk: Column, sums: dict[str, Column]) -> DataFrame:
-    """Adds, per output name, the sum of the column over the key's rows up to and including this one."""
-    df = df.withColumn("_chunk", chunk)
+def _sums_before(totals: DataFrame, keys: list[str], by: str, names: list[str], out: str) -> DataFrame:
+    """Per row of `totals` the sums of the key's earlier rows (`_t_x` -> `out` + x)."""
+    earlier = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select(*keys, by, *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"{out}{n}") for n in names])
+
+
+def running_sums(df: DataFrame, keys: list[str], order: list[str], chunk: Column, sums: dict[str, Column], fine: Column | None = None) -> DataFrame:
+    """Adds, per output name, the sum of the column over the key's rows up to and including this one.
+
+    `fine` is a second, finer chunk within `chunk` (a second within an hour): rows are then ordered per
+    (key, chunk, fine) only, and the sums of finer chunks are carried within their chunk, those of chunks
+    within their key. So a key with most of its rows in one chunk is still many tasks.
+    """
+    names = list(sums)
+    df = df.withColumn("_chunk", chunk).withColumn("_fine", fine if fine is not None else F.lit(0))
     for name, value in sums.items():
         df = df.withColumn(f"_v_{name}", value)
-    at = keys + ["_chunk"]
-    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*at).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
-    offsets = totals.select(*at, *[F.sum(f"_t_{n}").over(earlier).alias(f"_o_{n}") for n in sums])
+    coarse, at = keys + ["_chunk"], keys + ["_chunk", "_fine"]
+    totals = df.groupBy(*at).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
+    offsets = _sums_before(totals.groupBy(*coarse).agg(*[F.sum(f"_t_{n}").alias(f"_t_{n}") for n in names]), keys, "_chunk", names, "_o_")
+    inner = _sums_before(totals, coarse, "_fine", names, "_i_")
+    offsets = inner.join(offsets, coarse).select(*at, *[(F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(f"_o_{n}") for n in names])
     inside = Window.partitionBy(*at).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.select("*", *[F.sum(f"_v_{n}").over(inside).alias(f"_l_{n}") for n in sums]).join(offsets, at)
-    keep = [c for c in df.columns if c != "_chunk" and not c.startswith("_v_")]
+    rows = df.select("*", *[F.sum(f"_v_{n}").over(inside).alias(f"_l_{n}") for n in names]).join(offsets, at)
+    keep = [c for c in df.columns if c not in ("_chunk", "_fine") and not c.startswith("_v_")]
     return rows.select(*keep, *[
-        (F.coalesce(f"_l_{n}", F.lit(0)) + F.coalesce(f"_o_{n}", F.lit(0))).alias(n) for n in sums])
+        (F.coalesce(f"_l_{n}", F.lit(0)) + F.coalesce(f"_o_{n}", F.lit(0))).alias(n) for n in names])
 
 
-def previous_rows(df: DataFrame, keys: list[str], order: list[str], chunk: Column, cols: list[str], n: int) -> DataFrame:
-    """Adds `previous`: up to n structs of `cols`, the key's rows right before this one, oldest first."""
-    df = df.withColumn("_chunk", chunk)
-    at = keys + ["_chunk"]
+def previous_rows(df: DataFrame, keys: list[str], order: list[str], chunk: Column, cols: list[str], n: int, fine: Column | None = None) -> DataFrame:
+    """Adds `previous`: up to n structs of `cols`, the key's rows right before this one, oldest first.
+    `fine`: as in `running_sums`."""
+    df = df.withColumn("_chunk", chunk).withColumn("_fine", fine if fine is not None else F.lit(0))
+    coarse, at = keys + ["_chunk"], keys + ["_chunk", "_fine"]
     inside = Window.partitionBy(*at).orderBy(*order)
     here = F.collect_list(F.struct(*cols)).over(inside.rowsBetween(-n, -1))
     from_end = Window.partitionBy(*at).orderBy(*[F.col(c).desc() for c in order])
@@ -43,12 +57,16 @@ def previous_rows(df: DataFrame, keys: list[str], order: list[str], chunk: Colum
         df.withColumn("_back", F.row_number().over(from_end)).filter(F.col("_back") <= n).groupBy(*at)
         .agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("_back")).alias("k"), F.struct(*cols).alias("v")))),
                          lambda x: x["v"]).alias("_tail")))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(-n, -1)
-    carried = tails.select(*at, F.flatten(F.collect_list("_tail").over(before)).alias("_carry"))
+    last = lambda c: F.slice(c, F.greatest(F.size(c) - n + 1, F.lit(1)), F.lit(n))
+    # The last n rows before a finer chunk: of the finer chunks before it, then of the chunks before its own.
+    near = tails.select(*at, F.flatten(F.collect_list("_tail").over(Window.partitionBy(*coarse).orderBy("_fine").rowsBetween(-n, -1))).alias("_near"))
+    ranked = tails.withColumn("_back", F.row_number().over(Window.partitionBy(*coarse).orderBy(F.col("_fine").desc()))).filter(F.col("_back") <= n)
+    ends = ranked.groupBy(*coarse).agg(last(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_fine", "_tail"))), lambda x: x["_tail"]))).alias("_tail"))
+    far = ends.select(*coarse, F.flatten(F.collect_list("_tail").over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(-n, -1))).alias("_far"))
+    carried = near.join(far, coarse).select(*at, F.concat("_far", "_near").alias("_carry"))
     rows = df.withColumn("_here", here).join(carried, at)
     both = F.concat(F.col("_carry"), F.col("_here"))
-    last = F.slice(both, F.greatest(F.size(both) - n + 1, F.lit(1)), F.lit(n))
-    return rows.withColumn("previous", last).drop("_chunk", "_here", "_carry")
+    return rows.withColumn("previous", last(both)).drop("_chunk", "_fine", "_here", "_carry")
 
 
 def value_chunk(value: Column) -> Column:

@@ -79,7 +79,7 @@ def request_costs(priced: DataFrame) -> DataFrame:
 def request_operations(calls: DataFrame, order: tuple[str, ...] = ("ts", "call_id"), chunk_seconds: int = 3600) -> DataFrame:
     """Operations of a trace in order, one row each (a trace may have any number of calls)."""
     rows = calls.select("trace_id", "operation", *order)
-    return running_sums(rows, ["trace_id"], list(order), time_chunk(order[0], chunk_seconds), {"seq": F.lit(1)})
+    return running_sums(rows, ["trace_id"], list(order), time_chunk(order[0], chunk_seconds), {"seq": F.lit(1)}, time_chunk(order[0], 1))
 
 
 def cap_of(task: Column, explicit: Column | None = None) -> Column:
@@ -88,7 +88,7 @@ def cap_of(task: Column, explicit: Column | None = None) -> Column:
 
 
 def running_costs(priced: DataFrame, order: tuple[str, ...] = ("ts", "call_id"), chunk_seconds: int = 3600) -> DataFrame:
-    return running_sums(priced, ["trace_id"], list(order), time_chunk(order[0], chunk_seconds), {"running_cost": F.col("cost_usd")})
+    return running_sums(priced, ["trace_id"], list(order), time_chunk(order[0], chunk_seconds), {"running_cost": F.col("cost_usd")}, time_chunk(order[0], 1))
 
 
 def budget_breaches(priced: DataFrame, caps: DataFrame | None = None, inclusive: bool = False,
@@ -115,7 +115,7 @@ def rate_limit_runs(calls: DataFrame, min_run: int = 3, order: tuple[str, ...] =
                     chunk_seconds: int = 3600) -> DataFrame:
     """Runs of rate-limited calls (status 429) per trace; only a success ends a run."""
     rows = running_sums(calls.select("trace_id", "status", *order), ["trace_id"], list(order), time_chunk(order[0], chunk_seconds),
-                        {"successes": (F.col("status") < 400).cast("int")})
+                        {"successes": (F.col("status") < 400).cast("int")}, time_chunk(order[0], 1))
     limited = F.col("status") == 429
     return rows.filter(limited).groupBy("trace_id", "successes").agg(
         F.count(F.lit(1)).alias("run_length"), F.min_by("call_id", F.struct(*order)).alias("first_call"),

@@ -180,10 +180,10 @@ def breaker_timeline(events: DataFrame, threshold: int = fixed.BREAKER_FAILURES,
     previous call, so no sequential pass is needed.
     """
     order = ["ts", "event_id"]
-    rows = running_sums(events, ["service"], order, time_chunk("ts", chunk_seconds), {"_wins": F.col("ok").cast("int")})
-    rows = running_sums(rows, ["service", "_wins"], order, time_chunk("ts", chunk_seconds), {"failures": (~F.col("ok")).cast("int")})
+    rows = running_sums(events, ["service"], order, time_chunk("ts", chunk_seconds), {"_wins": F.col("ok").cast("int")}, time_chunk("ts", 1))
+    rows = running_sums(rows, ["service", "_wins"], order, time_chunk("ts", chunk_seconds), {"failures": (~F.col("ok")).cast("int")}, time_chunk("ts", 1))
     rows = rows.withColumn("state_after", F.when(F.col("failures") >= threshold, "open").otherwise("closed"))
-    rows = previous_rows(rows, ["service"], order, time_chunk("ts", chunk_seconds), ["ts", "state_after"], 1)
+    rows = previous_rows(rows, ["service"], order, time_chunk("ts", chunk_seconds), ["ts", "state_after"], 1, time_chunk("ts", 1))
     before = F.get("previous", F.lit(0))
     waited = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(before["ts"].cast("timestamp"))) / 1e6
     return rows.withColumn("state_before", F.when(before.isNull() | (before["state_after"] == "closed"), "closed")

@@ -260,7 +260,7 @@ def stage_durations(events: DataFrame, timeout: str = "30 minutes", chunk_second
         return live_stage_durations(events, timeout)
     keys = ["trace_id", "stage"]
     rows = _marked(events).select(*keys, "ts", "closing", "outcome")
-    look = previous_rows(rows, keys, ["ts", "closing"], time_chunk("ts", chunk_seconds), ["ts", "closing"], 1).withColumn("before", F.get("previous", F.lit(0)))
+    look = previous_rows(rows, keys, ["ts", "closing"], time_chunk("ts", chunk_seconds), ["ts", "closing"], 1, time_chunk("ts", 1)).withColumn("before", F.get("previous", F.lit(0)))
     after = look.filter("before.closing = 0").select(*keys, F.col("before.ts").alias("started"), "closing", F.col("ts").alias("next"), "outcome")
     last = rows.groupBy(*keys).agg(F.max(F.struct("ts", "closing")).alias("l")).filter("l.closing = 0").select(
         *keys, F.col("l.ts").alias("started"), F.lit(0).alias("closing"), F.lit(None).cast("timestamp").alias("next"), F.lit("").alias("outcome"))

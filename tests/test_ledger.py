@@ -113,3 +113,22 @@ def test_run_checks(spark):
     got = {(r["id"], r["name"]): r["passed"] for r in S.run_checks(df, required=["f"], non_empty=["content"]).collect()}
     assert got == {(1, "json_schema"): True, (1, "non_empty_content"): True, (1, "char_range"): True,
                    (2, "json_schema"): False, (2, "non_empty_content"): True, (2, "char_range"): False}
+
+
+def test_a_key_with_most_rows_in_one_hour(spark):
+    """Chunks within the hour give the sums and neighbours of a plain window."""
+    from paperloom.functions.ordered import previous_rows, running_sums, time_chunk
+
+    rows = [(i, "hot" if i % 10 else f"k{i % 3}", dt.datetime(2024, 1, 1 + i // 900) + dt.timedelta(seconds=(i * 7) % 3600, microseconds=i % 5), i % 13) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id long, key string, ts timestamp, v long")
+    for fine in (None, time_chunk("ts", 1), time_chunk("ts", 60)):
+        sums = running_sums(df, ["key"], ["ts", "id"], time_chunk("ts"), {"s": F.col("v"), "n": F.lit(1)}, fine)
+        got = {r["id"]: (r["s"], r["n"]) for r in sums.collect()}
+        near = {r["id"]: [x["id"] for x in r["previous"]] for r in previous_rows(df, ["key"], ["ts", "id"], time_chunk("ts"), ["id"], 3, fine).collect()}
+        want, before, history = {}, {}, {}
+        for i, k, ts, v in sorted(rows, key=lambda r: (r[2], r[0])):
+            s, n = want.get(("last", k), (0, 0))
+            want[i] = want["last", k] = (s + v, n + 1)
+            before[i] = history.get(k, [])[-3:]
+            history[k] = [*history.get(k, []), i]
+        assert got == {k: v for k, v in want.items() if not isinstance(k, tuple)} and near == before
