@@ -113,13 +113,23 @@ def normalize_filings(df: DataFrame) -> DataFrame:
     )
 
 
+def starts_of(sizes: Column, block: int = 512) -> Column:
+    """Running sum of an array before each element: blocks are summed first, then each block is walked
+    from its start, so the work grows with the array's length times the block."""
+    zero = F.lit(0).cast("bigint")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / block).cast("int")), lambda k: F.slice(sizes, k * block + 1, F.lit(block)))
+    total = lambda a: F.aggregate(a, zero, lambda s, x: s + x)
+    # Each walk carries the next start and the starts so far.
+    walk = lambda a, first: F.aggregate(a, F.struct(first.alias("next"), F.array().cast("array<bigint>").alias("at")), lambda s, x: F.struct(
+        (s["next"] + x).alias("next"), F.concat(s["at"], F.array(s["next"])).alias("at")), lambda s: s["at"])
+    return let(blocks, lambda b: F.flatten(F.zip_with(b, walk(F.transform(b, total), zero), walk)))
+
+
 def to_lines(texts: DataFrame) -> DataFrame:
-    """(filing_id, text) -> line table with 0-based character offsets."""
-    rows = texts.select("filing_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    before = Window.partitionBy("filing_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.select("filing_id", "line_no", "line").withColumn(
-        "start_pos", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)))
-    return offsets
+    """(filing_id, text) -> line table with 0-based character offsets, found inside the filing's row."""
+    lines = texts.select("filing_id", F.split("text", "\n", -1).alias("lines")).withColumn("sizes", F.transform("lines", lambda x: F.length(x).cast("bigint") + 1))
+    rows = lines.select("filing_id", F.posexplode(F.arrays_zip("lines", starts_of(F.col("sizes")).alias("starts"))).alias("line_no", "x"))
+    return rows.select("filing_id", "line_no", F.col("x")["lines"].alias("line"), F.col("x")["starts"].alias("start_pos"))
 
 
 def extract_toc(texts: DataFrame) -> DataFrame:

@@ -174,12 +174,11 @@ def extract_items(texts: DataFrame, html_anchors: DataFrame | None = None, bound
     best = B.best_boundaries(B.boundaries(texts, html_anchors) if bounds is None else bounds)
     packed = best.groupBy("filing_id").agg(F.collect_list(F.when(F.col("source").isNotNull(), F.struct(
         "item_number", "start_pos", "end_pos", "heading_text", "confidence", "source", "status_hint"))).alias("found"))
-    rows = texts.select("filing_id", "text").join(packed, "filing_id").select(
-        "filing_id", "text", F.length("text").alias("size"), F.explode(_standard()).alias("d"), "found").withColumn(
-        "b", F.get(F.filter("found", lambda b: b["item_number"] == F.col("d.item_number")), F.lit(0)))
-    text, d, b = F.col("text"), F.col("d"), F.col("b")
+    rows = texts.select("filing_id", "text").join(packed, "filing_id").select("filing_id", "text", F.length("text").alias("size"), "found")
+    text = F.col("text")
+    names = ["part", "item_number", "item_title", "content_text", "range_start", "range_end", "confidence", "extraction_method", "status"]
 
-    def item(body: Column) -> Column:
+    def item(d: Column, b: Column, body: Column) -> Column:
         def judged(found: Column) -> Column:
             hint = b["status_hint"]
             usable = F.coalesce(hint.isin(fixed.STATUSES) & ((found == "extracted") | (hint != "extracted")), F.lit(False))
@@ -192,12 +191,6 @@ def extract_items(texts: DataFrame, html_anchors: DataFrame | None = None, bound
             b["confidence"].alias("confidence"), _METHOD(b["source"]).alias("extraction_method"), let(status_of(body), judged).alias("status"))
         return F.when(b.isNotNull(), present).otherwise(F.struct(*_PLACEHOLDER(d)))
 
-    rows = rows.select("filing_id", "text", "size", d["ord"].alias("ord"),
-                       let(F.when(b.isNotNull(), _body_of(text, b["start_pos"], b["end_pos"])), item).alias("r"))
-    names = ["part", "item_number", "item_title", "content_text", "range_start", "range_end", "confidence", "extraction_method", "status"]
-    if not validate:
-        return rows.select("filing_id", "r.*", "ord")
-
     def checked(r: Column) -> Column:
         def merged(n: Column) -> Column:
             new = F.struct(*[(n[c] if c in ("status", "range_start", "range_end") else r[c]).alias(c) for c in names])
@@ -205,7 +198,13 @@ def extract_items(texts: DataFrame, html_anchors: DataFrame | None = None, bound
 
         return let(_refit(text, r), merged)
 
-    return rows.select("filing_id", "ord", let(F.col("r"), checked).alias("r")).select("filing_id", "r.*", "ord")
+    def one(d: Column) -> Column:
+        best_of = F.get(F.filter("found", lambda b: b["item_number"] == d["item_number"]), F.lit(0))
+        made = let(best_of, lambda b: let(F.when(b.isNotNull(), _body_of(text, b["start_pos"], b["end_pos"])), lambda body: item(d, b, body)))
+        return F.struct((let(made, checked) if validate else made).alias("r"), d["ord"].alias("ord"))
+
+    # All items are cut inside the filing's own row; only the cut pieces leave it.
+    return rows.select("filing_id", F.explode(F.transform(_standard(), one)).alias("x")).select("filing_id", "x.r.*", "x.ord")
 
 
 def _beside_text(items: DataFrame, texts: DataFrame) -> DataFrame:
