@@ -66,8 +66,10 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     split = rows.withColumn("w", words(F.col("t"))).withColumn(
         "lines", F.filter(F.split("t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
     spans = F.when(F.size("w") < 3, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.size("w") - 3))
-    split = split.withColumn("pairs", F.array_sort(F.transform(spans, lambda i: F.struct(
-        F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).alias("h"), i.alias("i")))))
+    split = split.withColumn("h", F.transform(spans, lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))))
+    # Most texts repeat no window; only the others are sorted.
+    split = split.withColumn("pairs", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(
+        F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
     long = lambda c: c.cast("long")
     # The measures leave through a generator of one row: a filter on them, moved below it, would be worked
     # out from the text again, word by word.
