@@ -41,13 +41,14 @@ def _anchors(bounds: DataFrame) -> DataFrame:
         F.lead("item_number").over(order).alias("next_item"), F.lead("start_pos").over(order).alias("next_pos"))
 
 
-def missing_item_gaps(bounds: DataFrame, texts: DataFrame) -> DataFrame:
-    """Long stretches (over 2000 characters) between neighbours, where items are missing; 3000 sampled."""
+def missing_item_gaps(bounds: DataFrame, texts: DataFrame, sample_chars: int | None = None) -> DataFrame:
+    """Long stretches (over 2000 characters) between neighbours, where items are missing, with their text
+    (its first `sample_chars`, if given)."""
     per = bounds.groupBy("filing_id").agg(F.collect_set("item_number").alias("have"))
     lacking = per.filter(F.size(F.array_except(F.array(*[F.lit(n) for n in ITEM_NUMBERS]), F.col("have"))) > 0).select("filing_id")
     gaps = _anchors(bounds).filter(F.col("next_pos") - F.col("start_pos") > 2000).join(lacking, "filing_id", "left_semi")
     rows = _with_text(gaps, texts, ["item_number", "next_item", "start_pos", "next_pos"])
-    sample = slice_text(F.col("text"), F.col("start_pos"), F.least(F.col("next_pos"), F.col("start_pos") + 3000))
+    sample = slice_text(F.col("text"), F.col("start_pos"), F.col("next_pos") if sample_chars is None else F.least(F.col("next_pos"), F.col("start_pos") + sample_chars))
     return rows.select("filing_id", F.col("item_number").alias("prev_item"), "next_item", "start_pos", "next_pos",
                        sample.alias("sample"), F.floor(F.length(sample) / 4).alias("est_tokens"))
 
@@ -73,24 +74,33 @@ def gap_ranges(bounds: DataFrame) -> DataFrame:
         pct(0.05).alias("gap_start"), pct(0.95).alias("gap_end")))
 
 
-def excerpt(gap: Column) -> Column:
-    """Head, middle and tail of a long gap, with markers that tell how much was left out."""
+#: Head, middle and tail of an excerpt for a model with a small window.
+SMALL_WINDOW = (fixed.GAP_HEAD, fixed.GAP_MID, fixed.GAP_TAIL)
+
+
+def excerpt(gap: Column, window: tuple[int, int, int] | None = None) -> Column:
+    """The whole gap; with a window, head, middle and tail of longer ones, with markers that tell how much
+    was left out."""
+    if window is None:
+        return gap
+    head, middle, tail = window
+
     def cut(g: Column) -> Column:
         size = F.length(g)
-        mid = F.floor((size - fixed.GAP_MID) / 2).cast("int")
+        mid = F.floor((size - middle) / 2).cast("int")
         note = lambda n: F.concat(F.lit("\n\n[..."), n.cast("string"), F.lit(" chars omitted...]\n\n"))
-        return F.when(size <= fixed.GAP_HEAD + fixed.GAP_MID + fixed.GAP_TAIL, g).otherwise(F.concat(
-            left(g, fixed.GAP_HEAD), note(mid - fixed.GAP_HEAD), slice_text(g, mid, mid + fixed.GAP_MID),
-            note(size - mid - fixed.GAP_MID - fixed.GAP_TAIL), F.right(g, F.lit(fixed.GAP_TAIL))))
+        return F.when(size <= head + middle + tail, g).otherwise(F.concat(
+            left(g, head), note(mid - head), slice_text(g, mid, mid + middle), note(size - mid - middle - tail), F.right(g, F.lit(tail))))
 
     return let(gap, cut)
 
 
-def gap_excerpts(bounds: DataFrame, texts: DataFrame) -> DataFrame:
+def gap_excerpts(bounds: DataFrame, texts: DataFrame, window: tuple[int, int, int] | None = None, full_doc_chars: int = fixed.FULL_DOC_CHARS) -> DataFrame:
+    """Every gap with its text (`window`: see `excerpt`), and whether the document fits a model whole."""
     cols = ["gap_id", "prev_item", "next_item", "gap_start", "gap_end"]
     rows = _with_text(gap_ranges(bounds), texts, cols)
-    return rows.select("filing_id", *cols, excerpt(slice_text(F.col("text"), F.col("gap_start"), F.col("gap_end"))).alias("excerpt"),
-                       (F.length("text") <= fixed.FULL_DOC_CHARS).alias("full_doc_mode"))
+    return rows.select("filing_id", *cols, excerpt(slice_text(F.col("text"), F.col("gap_start"), F.col("gap_end")), window).alias("excerpt"),
+                       (F.length("text") <= full_doc_chars).alias("full_doc_mode"))
 
 
 def excerpt_to_text(ex: Column, at: Column, gap_start: Column) -> Column:
@@ -113,12 +123,13 @@ def _hint(status: Column) -> Column:
     return F.when(~s.isin("", "not_found"), s)
 
 
-def apply_refinements(bounds: DataFrame, results: DataFrame, texts: DataFrame) -> DataFrame:
+def apply_refinements(bounds: DataFrame, results: DataFrame, texts: DataFrame, window: tuple[int, int, int] | None = None) -> DataFrame:
     """Merge a model run's rows into the boundaries and set the ends anew.
 
     results(filing_id, kind, gap_id, item_number, found, is_item_heading, offset, start_pos,
     heading_text, confidence, status). `refine` rows move the boundary of their own item; `gap` rows
-    add an item that is missing, found in a known gap; `full` rows are located by heading text.
+    add an item that is missing, found in a known gap; `full` rows are located by heading text. `window`
+    must be the one the excerpts were made with.
     """
     have = bounds.filter(F.col("source").isNotNull())
     refine = results.filter("kind = 'refine' and is_item_heading").select(
@@ -139,7 +150,7 @@ def apply_refinements(bounds: DataFrame, results: DataFrame, texts: DataFrame) -
         .join(have.select("filing_id", "item_number"), ["filing_id", "item_number"], "left_anti")
     heading = F.coalesce("heading_text", F.lit(""))
 
-    gaps = gap_excerpts(bounds, texts).select("filing_id", "gap_id", "gap_start", "gap_end", "excerpt")
+    gaps = gap_excerpts(bounds, texts, window).select("filing_id", "gap_id", "gap_start", "gap_end", "excerpt")
     g = absent.filter("kind = 'gap'").join(gaps, ["filing_id", "gap_id"])
     named = F.when(heading != "", F.instr(F.col("excerpt"), heading) - 1)
     at = F.when(named >= 0, named).otherwise(F.col("offset").cast("int"))

@@ -83,13 +83,24 @@ def _metrics(spark, folder, year=None):
 
 
 def refined(spark, folder):
-    """Results of a pretended model run: every doubtful boundary moved by ten characters."""
+    """Results of a pretended model run: every doubtful boundary moved by ten characters, item 1C found in the
+    middle of every gap, item 16 located by the words that open the second half of the text."""
     t = texts(spark, folder)
     bounds = cut_lineage(B.boundaries(t))  # narrow, and used several times
-    results = bounds.filter("source is not null and confidence < 0.5").select(
-        "filing_id", F.lit("refine").alias("kind"), F.lit(None).cast("string").alias("gap_id"), "item_number", F.lit(True).alias("found"),
-        F.lit(True).alias("is_item_heading"), F.lit(210).alias("offset"), F.lit(None).cast("int").alias("start_pos"), "heading_text",
-        F.lit(0.9).alias("confidence"), F.lit("").alias("status")).dropDuplicates(["filing_id", "item_number"])
+    row = lambda **c: [c.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in (
+        ("filing_id", "bigint"), ("kind", "string"), ("gap_id", "string"), ("item_number", "string"), ("found", "boolean"), ("is_item_heading", "boolean"),
+        ("offset", "int"), ("start_pos", "int"), ("heading_text", "string"), ("confidence", "double"), ("status", "string"))]
+    yes, key = F.lit(True), F.col("filing_id")
+    moved = bounds.filter("source is not null and confidence < 0.5").select(*row(
+        filing_id=key, kind=F.lit("refine"), item_number=F.col("item_number"), found=yes, is_item_heading=yes, offset=F.lit(210), heading_text=F.col("heading_text"),
+        confidence=F.lit(0.9), status=F.lit(""))).dropDuplicates(["filing_id", "item_number"])
+    gaps = R.gap_ranges(bounds).groupBy("filing_id").agg(F.min("gap_id").alias("gap_id"))
+    placed = R.gap_ranges(bounds).join(gaps, ["filing_id", "gap_id"]).select(*row(
+        filing_id=key, kind=F.lit("gap"), gap_id=F.col("gap_id"), item_number=F.lit("1c "), found=yes, offset=F.floor((F.col("gap_end") - F.col("gap_start")) / 2),
+        heading_text=F.lit(""), status=F.lit("reserved")))
+    named = t.select(*row(filing_id=key, kind=F.lit("full"), item_number=F.lit("16"), found=yes, start_pos=F.lit(5),
+                          heading_text=F.substring("text", (F.floor(F.length("text") / 2) + 1).cast("int"), F.lit(40)), confidence=F.lit(0.6), status=F.lit("not_found")))
+    results = moved.unionByName(placed).unionByName(named)
     return R.apply_refinements(bounds, results, t).select("filing_id", "item_number", "start_pos", "end_pos", "source", "confidence")
 
 
@@ -157,6 +168,13 @@ _HTML_LINES = ", ".join(
 _ANCHORS = f"""a AS (SELECT *, row_number() OVER w AS n, lead(item_number) OVER w AS next_item, lead(start_pos) OVER w AS next_pos FROM ended
    WINDOW w AS (PARTITION BY filing_id ORDER BY start_pos, doc_order))"""
 
+_GAPS = """g AS (
+      SELECT filing_id, 'gap_0' AS gap_id, 'START' AS prev_item, item_number AS next_item, floor(total_chars * 0.05::DOUBLE)::INT AS gap_start, start_pos AS gap_end FROM a
+        WHERE n = 1 AND start_pos > 200 AND start_pos > floor(total_chars * 0.05::DOUBLE)::INT
+      UNION ALL SELECT filing_id, 'gap_' || n, item_number, next_item, start_pos + 100, next_pos FROM a WHERE next_pos IS NOT NULL AND next_pos - start_pos - 100 >= 500
+      UNION ALL SELECT filing_id, 'gap_' || n, item_number, 'END', start_pos + 100, floor(total_chars * 0.92::DOUBLE)::INT FROM a WHERE next_pos IS NULL AND floor(total_chars * 0.92::DOUBLE)::INT - start_pos - 100 > 500
+      UNION ALL SELECT filing_id, 'gap_0', 'START', 'END', floor(total_chars * 0.05::DOUBLE)::INT, floor(total_chars * 0.95::DOUBLE)::INT FROM f WHERE NOT EXISTS (SELECT 1 FROM ended e WHERE e.filing_id = f.filing_id))"""
+
 ORACLE = {
     "url_metadata": f"""SELECT page_id, CASE WHEN c = '' THEN '' ELSE lpad(c, greatest(10, length(c))::INT, '0') END AS cik, CASE WHEN c = '' THEN '' WHEN regexp_extract(f, '(\\d{{10}}-\\d{{2}}-\\d{{6}})', 1) <> '' THEN regexp_extract(f, '(\\d{{10}}-\\d{{2}}-\\d{{6}})', 1)
         WHEN length(a) = 18 THEN substr(a, 1, 10) || '-' || substr(a, 11, 2) || '-' || substr(a, 13, 6) ELSE '' END AS accession_number, f AS primary_document
@@ -205,21 +223,23 @@ ORACLE = {
       FROM ended e JOIN f ON f.filing_id = e.filing_id WHERE confidence < 0.5) x""",
     "forced_queue": O.chain(*O.DETECT) + "SELECT filing_id, item_number, start_pos FROM ended QUALIFY row_number() OVER (PARTITION BY filing_id ORDER BY confidence, start_pos, item_number) <= 3",
     "missing_item_gaps": O.chain(*O.DETECT, _ANCHORS) + """SELECT filing_id, prev_item, next_item, start_pos, next_pos, md5(s) AS sample_md5, length(s) // 4 AS est_tokens FROM (
-      SELECT a.filing_id, a.item_number AS prev_item, next_item, start_pos, next_pos, substr(f.text, start_pos + 1, least(next_pos - start_pos, 3000)) AS s
+      SELECT a.filing_id, a.item_number AS prev_item, next_item, start_pos, next_pos, substr(f.text, start_pos + 1, next_pos - start_pos) AS s
       FROM a JOIN f ON f.filing_id = a.filing_id WHERE next_pos - start_pos > 2000 AND (SELECT count(DISTINCT item_number) FROM ended e WHERE e.filing_id = a.filing_id) < 23) x""",
-    "gap_excerpts": O.chain(*O.DETECT, _ANCHORS, """g AS (
-      SELECT filing_id, 'gap_0' AS gap_id, 'START' AS prev_item, item_number AS next_item, floor(total_chars * 0.05::DOUBLE)::INT AS gap_start, start_pos AS gap_end FROM a
-        WHERE n = 1 AND start_pos > 200 AND start_pos > floor(total_chars * 0.05::DOUBLE)::INT
-      UNION ALL SELECT filing_id, 'gap_' || n, item_number, next_item, start_pos + 100, next_pos FROM a WHERE next_pos IS NOT NULL AND next_pos - start_pos - 100 >= 500
-      UNION ALL SELECT filing_id, 'gap_' || n, item_number, 'END', start_pos + 100, floor(total_chars * 0.92::DOUBLE)::INT FROM a WHERE next_pos IS NULL AND floor(total_chars * 0.92::DOUBLE)::INT - start_pos - 100 > 500
-      UNION ALL SELECT filing_id, 'gap_0', 'START', 'END', floor(total_chars * 0.05::DOUBLE)::INT, floor(total_chars * 0.95::DOUBLE)::INT FROM f WHERE NOT EXISTS (SELECT 1 FROM ended e WHERE e.filing_id = f.filing_id))""",
+    "gap_excerpts": O.chain(*O.DETECT, _ANCHORS, _GAPS,
         """cut AS (SELECT g.*, substr(f.text, gap_start + 1, gap_end - gap_start) AS t, f.total_chars FROM g JOIN f ON f.filing_id = g.filing_id)""") + """SELECT filing_id, gap_id, prev_item, next_item, gap_start, gap_end,
-      md5(CASE WHEN length(t) <= 53000 THEN t ELSE substr(t, 1, 30000) || chr(10) || chr(10) || '[...' || ((length(t) - 15000) // 2 - 30000) || ' chars omitted...]' || chr(10) || chr(10)
-        || substr(t, (length(t) - 15000) // 2 + 1, 15000) || chr(10) || chr(10) || '[...' || (length(t) - (length(t) - 15000) // 2 - 23000) || ' chars omitted...]' || chr(10) || chr(10) || right(t, 8000) END) AS excerpt_md5,
+      md5(t) AS excerpt_md5,
       total_chars <= 1400000 AS full_doc_mode FROM cut""",
-    "applied_refinements": O.chain(*O.DETECT) + """SELECT filing_id, item_number, start_pos, coalesce(lead(start_pos) OVER (PARTITION BY filing_id ORDER BY start_pos, item_number), total_chars) AS end_pos, source, confidence FROM (
-      SELECT e.filing_id, e.item_number, e.total_chars, CASE WHEN d THEN greatest(start_pos - 200, 0) + 210 ELSE start_pos END AS start_pos, CASE WHEN d THEN 'llm_refined' ELSE source END AS source, CASE WHEN d THEN 0.9::DOUBLE ELSE confidence END AS confidence
-      FROM (SELECT *, min(confidence) OVER (PARTITION BY filing_id, item_number) < 0.5 AS d FROM ended) e) x""",
+    "applied_refinements": O.chain(*O.DETECT, _ANCHORS, _GAPS, """mv AS (
+        SELECT e.filing_id, e.item_number, e.total_chars, CASE WHEN d THEN greatest(start_pos - 200, 0) + 210 ELSE start_pos END AS start_pos, CASE WHEN d THEN 'llm_refined' ELSE source END AS source, CASE WHEN d THEN 0.9::DOUBLE ELSE confidence END AS confidence
+        FROM (SELECT *, min(confidence) OVER (PARTITION BY filing_id, item_number) < 0.5 AS d FROM ended) e)""",
+        """gp AS (SELECT g.filing_id, '1C' AS item_number, f.total_chars, (gap_start + (gap_end - gap_start) // 2)::INT AS start_pos, 'llm_anchor_gap_fill' AS source, 0.7::DOUBLE AS confidence
+        FROM (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY filing_id ORDER BY gap_id) = 1) g JOIN f ON f.filing_id = g.filing_id WHERE gap_end > gap_start
+          AND NOT EXISTS (SELECT 1 FROM ended e WHERE e.filing_id = g.filing_id AND e.item_number = '1C'))""",
+        """hd AS (SELECT filing_id, total_chars, text, trim(substr(text, (length(text) // 2 + 1)::INT, 40), ' ') AS h FROM f),
+        fu AS (SELECT filing_id, '16' AS item_number, total_chars, CASE WHEN length(h) >= 4 THEN instr(text, h) - 1 ELSE 5 END AS start_pos, 'llm_full_doc_extract' AS source, 0.6::DOUBLE AS confidence FROM hd
+          WHERE NOT EXISTS (SELECT 1 FROM ended e WHERE e.filing_id = hd.filing_id AND e.item_number = '16'))""") + """SELECT filing_id, item_number, start_pos::INT AS start_pos,
+        coalesce(lead(start_pos) OVER (PARTITION BY filing_id ORDER BY start_pos, item_number), total_chars)::INT AS end_pos, source, confidence
+      FROM (SELECT * FROM mv UNION ALL SELECT * FROM gp UNION ALL SELECT * FROM fu) x""",
     "html_anchors": f"""WITH n AS (SELECT filing_id, lower(t) AS t, length(t) AS total_chars FROM (SELECT doc_id AS filing_id, {_clean("array_to_string(flatten([" + _HTML_LINES + "]), chr(10))")} AS t FROM documents) x),
       {O.DIM}, c AS (SELECT filing_id, total_chars, item_number, ord, CASE WHEN ord % 4 = 3 THEN upper(item_title) ELSE item_title END AS heading_text, t, floor(total_chars * 0.05::DOUBLE)::INT AS lo, floor(total_chars * 0.95::DOUBLE)::INT AS hi,
         greatest(floor(total_chars * 0.05::DOUBLE), floor(total_chars * 0.12::DOUBLE))::INT AS fr FROM n, dim),

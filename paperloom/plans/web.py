@@ -65,6 +65,8 @@ _ID = "CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING)"
 OUTPUTS = f"""SELECT {_ID} AS id, CASE conv_id % 3 WHEN 0 THEN 'openai/gpt-5.5' WHEN 1 THEN 'z-ai/glm-5.1' ELSE 'qwen/q' END AS model,
   CASE (conv_id + turn) % {len(SHAPES)} {' '.join(f"WHEN {i} THEN {r}" for i, r in enumerate(SHAPES))} END AS raw FROM {{conversations}}"""
 PLAN_TASKS = f"SELECT {_ID} AS id, 'find ' || CAST(turn AS STRING) AS task, CASE WHEN conv_id % 2 = 0 THEN 'https://x.org/' || CAST(conv_id AS STRING) ELSE '' END AS start_url FROM {{conversations}}"
+DIAGNOSES = f"""SELECT {_ID} AS id, CASE (conv_id + turn) % 7 WHEN 0 THEN '' WHEN 1 THEN 'The Selector moved. ' || text WHEN 2 THEN text || ' page not loaded' WHEN 3 THEN 'Captcha, then a popup: ' || text
+  WHEN 4 THEN 'an overlay hides it ' || text WHEN 5 THEN 'Timeout; network slow ' || text ELSE text END AS diagnosis FROM {{conversations}}"""
 SITES = f"""SELECT doc_id AS page_id, CASE doc_id % 7 WHEN 0 THEN 'https://en.wikipedia.org/wiki/D' WHEN 1 THEN 'https://arxiv.org/abs/' WHEN 2 THEN 'https://news.ycombinator.com/d' WHEN 3 THEN 'https://developer.mozilla.org/d'
     WHEN 4 THEN 'https://pypi.org/project/d' WHEN 5 THEN 'https://github.com/o/d' ELSE 'https://example.com/d' END || CAST(doc_id AS STRING) AS url,
   '<html><body>' || CASE doc_id % 7 WHEN 0 THEN '<div id="mw-content-text"><div class="mw-parser-output"><table class="infobox"><tr><td>Population 12345</td></tr></table><p>' WHEN 1 THEN '<h1 class="title">Title: On d</h1><div class="authors">Authors: A, B</div><blockquote class="abstract">Abstract: '
@@ -157,6 +159,7 @@ QUERIES = {
     "verified_steps": lambda s, d: R.verify_steps(_paired(s, d)).select(
         "trace_id", "step_number", "url_changed", "dom_changed", "success", "confidence", "reason", "low_confidence"),
     "failure_triage": lambda s, d: R.triage_failures(_paired(s, d)).select("trace_id", "step_number", "root_cause", "should_retry", "confidence"),
+    "model_diagnosis": lambda s, d: R.model_diagnosis(A.bind(s, d, DIAGNOSES)).select("id", "root_cause", "should_retry", "confidence", F.md5("recovery").alias("recovery_md5")),
     "triage_counts": lambda s, d: R.triage_counts(R.triage_failures(_paired(s, d))),
     "recovery_actions": lambda s, d: R.recovery_actions(R.triage_failures(_paired(s, d)).withColumn("recovery", F.when(
         F.col("step_number") % 3 == 0, "Click [button] 'Submit'").when(F.col("step_number") % 3 == 1, "role=textbox name='Customer'").otherwise("Try again"))).fillna(
@@ -259,7 +262,37 @@ _STEPS_SQL = """SELECT id, 1 AS step_no, 'navigate' AS action_type, text AS targ
 _LINES = "lines AS (SELECT doc_id, doc_id % 7 AS k, list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) AS l FROM documents)"
 _TIGHT = r"trim(regexp_replace(regexp_replace(regexp_replace(x, '\s+([,.;:!?)\]])', '\1', 'g'), '([(\[])\s+', '\1', 'g'), '\s{2,}', ' ', 'g'))"
 
+_PICK = """CASE WHEN len(p) = 0 THEN NULL WHEN paragraphs_all THEN array_to_string(p, chr(10) || chr(10)) WHEN range_from IS NOT NULL THEN CASE WHEN range_from >= 1 AND range_from <= len(p) THEN array_to_string(p[range_from:range_to], chr(10) || chr(10)) END
+  WHEN paragraph_index IS NOT NULL THEN CASE WHEN paragraph_index = -1 THEN p[len(p)] WHEN paragraph_index BETWEEN 1 AND len(p) THEN p[paragraph_index] END WHEN wants_summary OR wants_definition THEN p[1] END"""
+# Every task is answered by its own page; each site's rule says what it may ask and what the page gives.
+_STATIC = f"""WITH {_intents(A.duck(SITE_TASKS))}, {_LINES},
+  q AS (SELECT i.*, l.k, l.l, list_filter(l.l, lambda x: x <> '') AS words, paragraph_index IS NOT NULL OR range_from IS NOT NULL OR paragraphs_all OR wants_summary OR wants_definition AS ask,
+    task <> '' AND NOT {_rx('task', '(?i)' + fixed.ACTION_WORDS)} AND NOT {_any('task', *fixed.ACTION_MARKERS)} AS plain, CASE WHEN top_n > 1 THEN top_n ELSE 1 END AS top FROM intents i JOIN lines l ON l.doc_id = i.page_id),
+  e AS (SELECT *, plain AND CASE k WHEN 0 THEN ask AND NOT {_any('low', *fixed.INFOBOX_TERMS)} WHEN 1 THEN ask OR len(list_intersect(fl, ['title', 'author', 'abstract'])) > 0
+      WHEN 2 THEN list_contains(fl, 'headline') OR top_n IS NOT NULL OR contains(low, 'story') WHEN 3 THEN ask WHEN 4 THEN wants_summary OR len(list_intersect(fl, ['title', 'version', 'author', 'license', 'description'])) > 0
+      WHEN 5 THEN ask ELSE true END AS eligible, list_filter(l, lambda x: length(x) > CASE WHEN k = 0 AND len(list_filter(l, lambda y: length(y) > 80)) > 0 THEN 80 ELSE 40 END) AS raw,
+    list_filter(fl, lambda x: x IN ('title', 'author', 'abstract', 'version', 'license', 'description')) AS asked, len(list_filter(fl, lambda x: x IN ('title', 'version', 'author', 'license', 'description'))) = 0 AS general FROM q),
+  pr AS (SELECT *, list_transform(raw, lambda x: {_TIGHT}) AS p, array_to_string(words, ' ') AS whole,
+    CASE WHEN len(asked) > 0 THEN asked WHEN k = 1 AND ask AND NOT wants_summary THEN ['abstract'] WHEN wants_summary THEN CASE k WHEN 1 THEN ['title', 'abstract'] ELSE ['title', 'version', 'description'] END ELSE [] END AS wanted FROM e),
+  an AS (SELECT *, CASE WHEN NOT eligible THEN NULL WHEN k IN (0, 3) THEN {_PICK} WHEN k = 5 THEN CASE WHEN len(p) = 0 THEN CASE WHEN length(whole) > 80 THEN whole END ELSE {_PICK} END
+    WHEN k = 1 THEN array_to_string(list_filter([CASE WHEN list_contains(wanted, 'title') THEN 'Title: On d' END, CASE WHEN list_contains(wanted, 'author') THEN 'Authors: A, B' END,
+      CASE WHEN list_contains(wanted, 'abstract') AND trim(whole) <> '' THEN 'Abstract: ' || trim(regexp_replace(whole, '\\s{{2,}}', ' ', 'g')) END], lambda x: x IS NOT NULL), chr(10))
+    WHEN k = 4 THEN array_to_string(list_filter([CASE WHEN list_contains(wanted, 'title') THEN CASE WHEN general THEN 'Package' ELSE 'Title' END || ': pkg' END, CASE WHEN list_contains(wanted, 'version') THEN 'Version: 1.2.3' END,
+      CASE WHEN list_contains(wanted, 'author') THEN 'Author: Zed' END, CASE WHEN list_contains(wanted, 'license') THEN 'License: MIT' END,
+      CASE WHEN list_contains(wanted, 'description') THEN CASE WHEN general THEN 'Summary' ELSE 'Description' END || ': A tool' END], lambda x: x IS NOT NULL), chr(10))
+    WHEN k = 2 THEN CASE WHEN top > 1 THEN '1. ' ELSE 'Top story: ' END || 'First' || chr(10) || '   URL: u1' || CASE WHEN list_contains(fl, 'points') THEN chr(10) || '   Points: 17' ELSE '' END || CASE WHEN list_contains(fl, 'comments') THEN chr(10) || '   Comments: 4' ELSE '' END
+      || CASE WHEN top > 1 THEN chr(10) || '2. Second' || chr(10) || '   URL: u2' ELSE '' END
+    ELSE CASE WHEN {_any('low', *fixed.PLACEHOLDER_TERMS)} THEN {q(fixed.PLACEHOLDER_ANSWER)} WHEN length('Oops ' || page_id || CASE WHEN whole <> '' THEN ' ' || whole ELSE '' END) > 40 THEN 'Oops ' || page_id || CASE WHEN whole <> '' THEN ' ' || whole ELSE '' END END END AS answer FROM pr),
+  st AS (SELECT task_id, ['wikipedia.org', 'arxiv.org', 'news.ycombinator.com', 'developer.mozilla.org', 'pypi.org', 'github.com', 'example.com'][k + 1] AS site, CASE WHEN trim(coalesce(answer, '')) <> '' THEN answer END AS answer FROM an),
+  sv AS (SELECT *, CASE WHEN answer IS NULL THEN 'unanswered' WHEN starts_with(lower(trim(answer)), 'not_found:') THEN 'not_found' ELSE 'success' END AS status FROM st) """
+
 ORACLE = {
+    "static_answers": _STATIC + "SELECT task_id, site, status, md5(coalesce(answer, '')) AS answer_md5 FROM sv",
+    "static_shares": _STATIC + """SELECT site, count(*) AS tasks, count(*) FILTER (WHERE status <> 'unanswered') AS hits, count(*) FILTER (WHERE status = 'not_found') AS not_found,
+      count(*) FILTER (WHERE status <> 'unanswered') / count(*) AS hit_share FROM sv GROUP BY site""",
+    "model_diagnosis": f"""SELECT id, CASE k WHEN 1 THEN 'selector_changed' WHEN 2 THEN 'page_not_loaded' WHEN 3 THEN 'captcha_detected' WHEN 4 THEN 'unexpected_popup' WHEN 5 THEN 'network_error' ELSE 'unknown' END AS root_cause,
+      k <> 3 AS should_retry, 0.6::DOUBLE AS confidence, md5(CASE WHEN trim(diagnosis, ' ' || chr(10)) = '' THEN 'Try alternative approach' ELSE diagnosis END) AS recovery_md5
+      FROM (SELECT d.*, (split_part(id, '-', 1)::BIGINT + split_part(id, '-', 2)::BIGINT) % 7 AS k FROM ({A.duck(DIAGNOSES)}) d) x""",
     "routed_pages": f"SELECT page_id, url, CASE {_SUFFIX} ELSE '' END AS site FROM (SELECT *, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS h FROM ({A.duck(PAGES)}) p) x",
     "task_intents": f"WITH {_intents(A.duck(TASKS))} SELECT task_id, paragraph_index, range_from, range_to, paragraphs_all, wants_summary, wants_definition, strict_fields, top_n, fields FROM intents",
     "static_tasks": f"SELECT task, count(*) AS tasks FROM ({A.duck(TASKS)}) t WHERE task <> '' AND NOT {_rx('task', '(?i)' + fixed.ACTION_WORDS)} AND NOT {_any('task', *fixed.ACTION_MARKERS)} GROUP BY task",

@@ -181,7 +181,7 @@ def test_value_renderings(spark):
 
 def test_excerpt_positions_map_back(spark):
     gap = "a" * 30_000 + "b" * 15_000 + "c" * 15_000 + "d" * 15_000 + "HEADING" + "e" * 7_993
-    df = spark.createDataFrame([(gap,)], "g string").withColumn("x", R.excerpt(F.col("g")))
+    df = spark.createDataFrame([(gap,)], "g string").withColumn("x", R.excerpt(F.col("g"), R.SMALL_WINDOW))
     row = df.withColumn("at", F.instr("x", "HEADING") - 1).withColumn("pos", R.excerpt_to_text(F.col("x"), F.col("at"), F.lit(100))).first()
     assert "chars omitted" in row["x"]
     # Only the brackets are skipped: the four line ends around each of the two markers count as text.

@@ -184,3 +184,41 @@ def test_filing_urls(spark):
     rows = [(base + "000032019323000106/aapl.htm",), (base + "12/0000320193-23-000106.txt?x",), ("https://x.org/a",)]
     got = [(r["cik"], r["accession_number"], r["primary_document"]) for r in SF.url_metadata(spark.createDataFrame(rows, "url string")).collect()]
     assert got == [("0000320193", "0000320193-23-000106", "aapl.htm"), ("0000320193", "0000320193-23-000106", "0000320193-23-000106.txt"), (None, None, None)]
+
+
+def test_readers_of_files(spark, tmp_path):
+    """Filings, submission indexes, score and case files, read from a folder; the report written to one."""
+    import json
+
+    from paperloom.sources import evals as E
+    from paperloom.operators import filing_text as T
+
+    at = tmp_path / "Archives/edgar/data/320193/000032019323000106"
+    at.mkdir(parents=True)
+    (at / "a.txt").write_text("Item 1. Business\n\n\n\n\n\nwide   gap\n", encoding="utf-8")
+    (at / "b.htm").write_text("<html><body><p>Item 1.</p><p>Business</p></body></html>", encoding="utf-8")
+    filings = SF.read_filings(spark, str(tmp_path / "Archives"))
+    rows = {r["primary_document"]: (r["cik"], r["accession"], r["content"][:6]) for r in filings.collect()}
+    assert rows == {"a.txt": ("0000320193", "0000320193-23-000106", "Item 1"), "b.htm": ("0000320193", "0000320193-23-000106", "<html>")}
+    texts = {r["format"]: r["text"] for r in T.normalize_filings(filings.select("filing_id", "content")).collect()}
+    assert texts["html"].split() == ["Item", "1.", "Business"] and texts["text"].startswith("Item 1. Business") and "\n\n\n\n" not in texts["text"]
+
+    index = {"cik": "1", "filings": {"recent": {"form": ["10-K", "8-K"], "filingDate": ["2020-01-01", "2020-02-01"], "accessionNumber": ["a", "b"], "primaryDocument": ["x.htm"], "primaryDocDescription": []}}}
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub/1.json").write_text(json.dumps(index, indent=1))
+    got = [(r["ord"], r["form"], r["primary_document"]) for r in SF.read_submissions(spark, str(tmp_path / "sub")).orderBy("ord").collect()]
+    assert got == [(0, "10-K", "x.htm"), (1, "8-K", "")]
+
+    (tmp_path / "scores").mkdir()
+    score = {"case_id": "c1", "passed": True, "latency_ms": 2.5, "llm_calls": 1, "avg_confidence": 0.5, "checks": [{"name": "n", "passed": True, "expected": "e", "actual": "a"}]}
+    (tmp_path / "scores/run.json").write_text(json.dumps({"scores": [score, {"case_id": "c2", "passed": False, "failure_type": "parsing_error"}]}, indent=1))
+    scores = E.read_scores(spark, str(tmp_path / "scores"), "s")
+    assert {(r["case_id"], r["passed"], r["suite"]) for r in scores.collect()} == {("c1", True, "s"), ("c2", False, "s")}
+    E.write_report(scores.groupBy("suite").count(), scores, str(tmp_path / "report"))
+    lines = {r["value"] for r in spark.read.text(str(tmp_path / "report/report")).collect()}
+    assert any("PASS `c1`" in x for x in lines) and spark.read.json(str(tmp_path / "report/summary")).first()["count"] == 2
+
+    (tmp_path / "cases").mkdir()
+    (tmp_path / "cases/c.json").write_text(json.dumps([{"case_id": "k", "task": "t", "input_data": {"a": 1}}, {"case_id": "l", "difficulty": "hard", "tags": ["x"]}]))
+    flat = {r["case_id"]: (r["inputs"], r["outputs"]["difficulty"], r["outputs"]["tags"]) for r in E.flatten_cases(E.read_cases(spark, str(tmp_path / "cases"))).collect()}
+    assert flat == {"k": ('{"a":1}', "normal", []), "l": (None, "hard", ["x"])}
