@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,15 +39,11 @@ def parse_intents(tasks: DataFrame) -> DataFrame:
     )
     a, b = num(fixed.INTENT_RANGE, 1), num(fixed.INTENT_RANGE, 2)
 
-    def synonym(s: str) -> Column:
-        plain = " " in s or ";" in s or "/" in s
-        return F.contains(low, F.lit(s)) if plain else rlike(low, rf"\b{s}\b")
-
     def named(words: list[str]) -> Column:
-        test = F.lit(False)
-        for w in words:
-            test = test | synonym(w)
-        return test
+        """One pattern per field: single words stand alone, phrases anywhere."""
+        phrases = [w for w in words if " " in w or ";" in w or "/" in w]
+        single = [w for w in words if w not in phrases]
+        return rlike(low, "|".join(([rf"\b(?:{'|'.join(single)})\b"] if single else []) + [re.escape(p) for p in phrases]))
 
     fields = F.array_compact(F.array(*[F.when(named(words), F.lit(f)) for f, words in fixed.FIELD_SYNONYMS]))
     rows = tasks.withColumn("_rule", rule).withColumn("requested_fields", fields)
