@@ -69,3 +69,17 @@ def test_no_folder_is_an_error_on_a_cluster():
     fake = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"))
     with pytest.raises(RuntimeError):
         shared_folder(fake)
+
+
+def test_entry_without_the_training_data_operators(tmp_path):
+    """Deleting the subpackage and the pipeline leaves every other query in place."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "paperloom"), tmp_path / "paperloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; names = set(e.queries()); assert len(names) > 100 and 'pipeline' not in names and not any(n.startswith('op1') for n in names); assert set(e.oracle_sql()) <= names"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
