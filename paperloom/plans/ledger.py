@@ -113,8 +113,7 @@ QUERIES = {
         A.bind(s, d, "SELECT user_id AS id, event_type AS item_number FROM {events}"), ["click", "view", "refund", "error"]),
     "skill_scores": lambda s, d: S.skill_score_checks(
         A.bind(s, d, f"SELECT case_id, skill_name, difficulty, dry_run FROM ({SKILL_RESULTS}) x"),
-        A.bind(s, d, f"SELECT case_id, status, skill, has_payload, tag_created, error, summary FROM ({SKILL_RESULTS}) x")).groupBy(
-        "name").agg(F.count(F.lit(1)).alias("runs"), F.count_if("passed").alias("passed")),
+        A.bind(s, d, f"SELECT case_id, status, skill, has_payload, tag_created, error, summary FROM ({SKILL_RESULTS}) x")).select("case_id", "name", "passed"),
     "eval_metrics": lambda s, d: S.eval_metrics(_scores(s, d), ["suite"]),
     "failure_distribution": lambda s, d: S.failure_distribution(_scores(s, d), ["suite"]),
     "suite_summary": lambda s, d: S.suite_summary(_scores(s, d)),
@@ -196,13 +195,13 @@ ORACLE = {
         concat_ws(',', CASE WHEN bool_or(event_type = 'click') THEN NULL ELSE 'click' END, CASE WHEN bool_or(event_type = 'view') THEN NULL ELSE 'view' END,
           'refund', CASE WHEN bool_or(event_type = 'error') THEN NULL ELSE 'error' END) AS missing FROM events GROUP BY user_id) x""",
     "skill_scores": f"""WITH r AS (SELECT *, lower(replace(skill_name, '_', '-')) AS want, coalesce(skill, '') AS got FROM ({A.duck(SKILL_RESULTS)}) x),
-      c AS (SELECT 'no_crash' AS name, true AS passed FROM r
-        UNION ALL SELECT 'error_case_detected', status = 'failed' AND error <> '' FROM r WHERE difficulty = 'edge_case'
-        UNION ALL SELECT 'has_result', status = 'success' AND has_payload FROM r WHERE difficulty <> 'edge_case'
-        UNION ALL SELECT 'correct_skill', got = want OR contains(got, want) OR contains(want, got) FROM r WHERE difficulty <> 'edge_case'
-        UNION ALL SELECT 'dry_run_no_tag', NOT dry_run OR NOT tag_created FROM r WHERE difficulty <> 'edge_case' AND (contains(want, 'build') OR contains(want, 'release'))
-        UNION ALL SELECT 'has_summary', length(summary) > 10 FROM r WHERE difficulty <> 'edge_case')
-      SELECT name, count(*) AS runs, count(*) FILTER (WHERE passed) AS passed FROM c GROUP BY name""",
+      c AS (SELECT case_id, 'no_crash' AS name, true AS passed FROM r
+        UNION ALL SELECT case_id, 'error_case_detected', status = 'failed' AND error <> '' FROM r WHERE difficulty = 'edge_case'
+        UNION ALL SELECT case_id, 'has_result', status = 'success' AND has_payload FROM r WHERE difficulty <> 'edge_case'
+        UNION ALL SELECT case_id, 'correct_skill', got = want OR contains(got, want) OR contains(want, got) FROM r WHERE difficulty <> 'edge_case'
+        UNION ALL SELECT case_id, 'dry_run_no_tag', NOT dry_run OR NOT tag_created FROM r WHERE difficulty <> 'edge_case' AND (contains(want, 'build') OR contains(want, 'release'))
+        UNION ALL SELECT case_id, 'has_summary', length(summary) > 10 FROM r WHERE difficulty <> 'edge_case')
+      SELECT case_id, name, passed FROM c""",
     "eval_metrics": _SC + f""", l AS (SELECT suite, list(latency_ms ORDER BY latency_ms) AS v, count(*) AS n FROM s GROUP BY suite)
       SELECT s.suite, count(*) AS total_cases, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE NOT passed) AS failed,
         count(*) FILTER (WHERE passed) / count(*) AS success_rate, {_DMEAN('latency_ms')} AS avg_latency_ms,

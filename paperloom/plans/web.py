@@ -145,7 +145,7 @@ QUERIES = {
     "task_intents": lambda s, d: I.parse_intents(A.bind(s, d, TASKS)).select(
         "task_id", "paragraph_index", "range_from", "range_to", "paragraphs_all", "wants_summary", "wants_definition", "strict_fields", "top_n",
         F.array_join(F.array_sort("requested_fields"), ",").alias("fields")),
-    "static_tasks": lambda s, d: I.filter_static(A.bind(s, d, TASKS)).groupBy("task").agg(F.count(F.lit(1)).alias("tasks")),
+    "static_tasks": lambda s, d: I.filter_static(A.bind(s, d, TASKS)).select("task_id", "task"),
     "paragraph_answers": lambda s, d: I.answer_from_paragraphs(I.parse_intents(A.bind(s, d, DOC_TASKS)), _paragraphs(s, d)).select(
         "task_id", F.md5(F.coalesce("answer", F.lit("<none>"))).alias("answer_md5")),
     "site_paragraphs": lambda s, d: P.site_paragraphs(I.route_pages(A.bind(s, d, SITES))).select("page_id", "n", F.md5("text").alias("text_md5")),
@@ -181,7 +181,7 @@ QUERIES = {
     "fast_path_share": lambda s, d: R.fast_path_share(_summary(s, d)),
     "static_answers": lambda s, d: P.answer_static(_site_tasks(s, d), A.bind(s, d, SITES)).select("task_id", "site", "status", F.md5(F.coalesce("answer", F.lit(""))).alias("answer_md5")),
     "static_shares": lambda s, d: P.static_shares(P.answer_static(_site_tasks(s, d), A.bind(s, d, SITES))),
-    "run_score_checks": lambda s, d: _run_checks(s, d).groupBy("name").agg(F.count(F.lit(1)).alias("runs"), F.count_if("passed").alias("passed")),
+    "run_score_checks": lambda s, d: _run_checks(s, d).select("case_id", "name", "passed"),
     "run_scores": lambda s, d: S.score_from_checks(_run_checks(s, d)),
     "filing_scores": _filing_scores,
 }
@@ -295,7 +295,7 @@ ORACLE = {
       FROM (SELECT d.*, (split_part(id, '-', 1)::BIGINT + split_part(id, '-', 2)::BIGINT) % 7 AS k FROM ({A.duck(DIAGNOSES)}) d) x""",
     "routed_pages": f"SELECT page_id, url, CASE {_SUFFIX} ELSE '' END AS site FROM (SELECT *, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS h FROM ({A.duck(PAGES)}) p) x",
     "task_intents": f"WITH {_intents(A.duck(TASKS))} SELECT task_id, paragraph_index, range_from, range_to, paragraphs_all, wants_summary, wants_definition, strict_fields, top_n, fields FROM intents",
-    "static_tasks": f"SELECT task, count(*) AS tasks FROM ({A.duck(TASKS)}) t WHERE task <> '' AND NOT {_rx('task', '(?i)' + fixed.ACTION_WORDS)} AND NOT {_any('task', *fixed.ACTION_MARKERS)} GROUP BY task",
+    "static_tasks": f"SELECT task_id, task FROM ({A.duck(TASKS)}) t WHERE task <> '' AND NOT {_rx('task', '(?i)' + fixed.ACTION_WORDS)} AND NOT {_any('task', *fixed.ACTION_MARKERS)}",
     "paragraph_answers": f"""WITH {_intents(A.duck(DOC_TASKS))}, ps AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS p FROM documents),
       an AS (SELECT task_id, CASE WHEN len(p) = 0 THEN NULL WHEN paragraphs_all THEN array_to_string(p, chr(10) || chr(10)) WHEN range_from IS NOT NULL THEN CASE WHEN range_from >= 1 AND range_from <= len(p) THEN array_to_string(p[range_from:range_to], chr(10) || chr(10)) END
         WHEN paragraph_index IS NOT NULL THEN CASE WHEN paragraph_index = -1 THEN p[len(p)] WHEN paragraph_index BETWEEN 1 AND len(p) THEN p[paragraph_index] END WHEN wants_summary OR wants_definition THEN p[1] END AS answer
@@ -315,7 +315,7 @@ ORACLE = {
     "run_summary": _SUMMARY + "SELECT trace_id, status, fast_path_hit, total_steps, healer_activations, final_url, total_duration_ms, failed_steps, llm_calls, cost_usd, healer_activations AS self_corrections FROM sm",
     "fast_path_share": _SUMMARY + """SELECT count(*) AS runs, count(*) FILTER (WHERE fast_path_hit) AS fast_path_runs, count(*) FILTER (WHERE fast_path_hit) / count(*) AS fast_path_share,
       round(avg(cost_usd) FILTER (WHERE NOT fast_path_hit) * count(*) FILTER (WHERE fast_path_hit), 6) AS cost_saved_usd FROM sm""",
-    "run_score_checks": _RUNCHECK + "SELECT name, count(*) AS runs, count(*) FILTER (WHERE passed) AS passed FROM ck GROUP BY name",
+    "run_score_checks": _RUNCHECK + "SELECT case_id, name, passed FROM ck",
     "run_scores": _RUNCHECK + "SELECT case_id, bool_and(passed) AS passed, count(*) AS checks, count(*) FILTER (WHERE NOT passed) AS failed_checks FROM ck GROUP BY case_id",
     "filing_scores": O.chain(*O.FULL, O.FIXED, O.ISSUES, O.REPORT, """verdict AS (SELECT c.filing_id, found > 0 AND coalesce(n_required, 0) = 0 AND coalesce(errors, 0) = 0 AS ok FROM coverage c LEFT JOIN gone g ON g.filing_id = c.filing_id LEFT JOIN tally t ON t.filing_id = c.filing_id)""",
         """per AS (SELECT filing_id, count(*) AS items_returned, count(*) FILTER (WHERE status <> 'not_found' AND (trim(content_text) <> '' OR status <> 'extracted')) AS items_extracted, count(*) FILTER (WHERE status = 'extracted') AS n_extracted,
