@@ -89,14 +89,17 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+# Characters that no text may hold; they stand around matches for a moment.
+_OPEN, _SHUT = "\ufdd0", "\ufdd1"
+
+
 def find_spans(text: Column, pattern: str, before: int = 0, after: int = 0, shape=None) -> Column:
     """All non-overlapping matches of a pattern, in order: (idx, gap, hit, pre, post).
 
-    Two built-in regex passes give the pieces of the text between and inside the matches; `gap` is
-    the length of the piece before the match, so an offset is a running sum over (gap, hit) lengths.
-    `pre`/`post` hold that many characters of context on either side (patterns must
-    not match the empty text). `shape` arranges the five columns; the
-    default is a struct of them.
+    One pass of the pattern marks the matches; a split at the marks gives the pieces of the text between
+    and inside them in turn. `gap` is the length of the piece before the match, so an offset is a running
+    sum over (gap, hit) lengths. `pre`/`post` hold that many characters of context on either side (patterns
+    must not match the empty text). `shape` arranges the five columns; the default is a struct of them.
     """
     shape = shape or (lambda **c: F.struct(*[v.alias(k) for k, v in c.items()]))
 
@@ -104,6 +107,7 @@ def find_spans(text: Column, pattern: str, before: int = 0, after: int = 0, shap
         reach = before if pre else after
         if not reach:
             return F.lit("")
+
         def near(count: int) -> Column:
             if pre:
                 first = F.greatest(2 * i + 2 - count, F.lit(1))
@@ -112,15 +116,18 @@ def find_spans(text: Column, pattern: str, before: int = 0, after: int = 0, shap
             part = F.transform(F.slice(pieces, 2 * i + 3, F.lit(count)), lambda p: left(p, reach))
             return left(F.array_join(part, ""), reach)
 
-        # A few pieces nearly always suffice. No match is empty, so 2 * reach + 2 pieces always do.
-        return let(near(6), lambda few: F.when(F.length(few) >= reach, few).otherwise(near(2 * reach + 2)))
-
-    def spans(s: Column, pieces: Column) -> Column:
-        return F.transform(
-            s["h"],
-            lambda h, i: shape(idx=i, gap=F.length(F.get(s["g"], i)), hit=h, pre=around(pieces, i, True), post=around(pieces, i, False)),
-        )
-
-    both = F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("h"))
-    weave = lambda s: F.flatten(F.zip_with(s["g"], s["h"], lambda g, h: F.array(g, F.coalesce(h, F.lit("")))))
-    return let(both, lambda s: let(weave(s), lambda pieces: spans(s, pieces)) if before or after else spans(s, F.lit(None)))
+        # The neighbouring piece mostly suffices, a few pieces nearly always, 2 * reach + 2 always, as no match is empty.
+        beside = F.get(pieces, 2 * i) if pre else F.get(pieces, 2 * i + 2)
+        more = let(near(6), lambda few: F.when(F.length(few) >= reach, few).otherwise(near(2 * reach + 2)))
+        return F.when(F.length(beside) >= reach, F.right(beside, F.lit(reach)) if pre else left(beside, reach)).otherwise(more)
+
+    def spans(pieces: Column) -> Column:
+        places = F.when(F.size(pieces) > 1, F.sequence(F.lit(0), F.floor(F.size(pieces) / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: shape(
+            idx=i, gap=F.length(F.get(pieces, 2 * i)), hit=F.get(pieces, 2 * i + 1), pre=around(pieces, i, True), post=around(pieces, i, False)))
+
+    marked = F.split(F.regexp_replace(text, pattern, f"{_OPEN}$0{_SHUT}"), f"[{_OPEN}{_SHUT}]", -1)
+    # A text that does hold the marks is cut by two passes of the pattern instead.
+    twice = F.struct(F.split(text, pattern, -1).alias("g"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("h"))
+    woven = let(twice, lambda s: F.flatten(F.zip_with(s["g"], s["h"], lambda g, h: F.when(h.isNull(), F.array(g)).otherwise(F.array(g, h)))))
+    return let(F.when(F.contains(text, F.lit(_OPEN)) | F.contains(text, F.lit(_SHUT)), woven).otherwise(marked), spans)

@@ -197,3 +197,19 @@ def test_refinement_keeps_its_item(texts, spark):
     rows = {r["item_number"]: r for r in R.apply_refinements(bounds, results, texts).collect()}
     assert (rows["3"]["start_pos"], rows["3"]["source"], rows["3"]["status_hint"]) == (start + 5, "llm_refined", "not_applicable")
     assert rows["2"]["start_pos"] == BODY.index("PART II") and rows["2"]["source"] == "llm_full_doc_extract"
+
+
+def test_spans_and_their_context(spark):
+    """Matches, offsets and context against plain Python, also for texts that hold the marks themselves."""
+    import re
+
+    from paperloom.functions.text import find_spans
+
+    texts = ["", "no match", "a1b22c", "1", "11 22", "x" * 30 + "7" + "y" * 3 + "8" + "z" * 30, "a﷐1b﷑2c", "é\U0001f6003中4"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").withColumn("s", find_spans(F.col("t"), r"\d+", 10, 5))
+    for r in df.collect():
+        at, want = 0, []
+        for i, m in enumerate(re.finditer(r"\d+", r["t"])):
+            want.append((i, m.start() - at, m[0], r["t"][max(m.start() - 10, 0) : m.start()], r["t"][m.end() : m.end() + 5]))
+            at = m.end()
+        assert [tuple(x) for x in r["s"]] == want, r["t"]
