@@ -12,6 +12,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.functions import fixed
+from paperloom.session import text_partitions
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -19,11 +20,11 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     df = spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
-    # Text work is CPU bound. A local session may ask for more tasks than a small file has row groups; a
-    # cluster leaves the setting unset and reads the tables as they are split.
-    tasks = spark.conf.get("spark.paperloom.textPartitions", None)
-    if tasks and name in ("documents", "pages", "conversations"):
-        df = df.repartition(int(tasks))
+    if name in ("documents", "pages", "conversations"):
+        # Text work is CPU bound, and a local file may have fewer row groups than the session has cores.
+        tasks = text_partitions(spark)
+        if tasks:
+            df = df.repartition(tasks)
     return df
 
 

@@ -23,7 +23,6 @@ def build_session(app: str = "paperloom", cores: str | int = "*", shuffle: int |
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.paperloom.textPartitions", str(cpus))
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "8g"))
         .config("spark.sql.streaming.stateStore.providerClass",
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -39,8 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
     very process may do without: it gets a fresh local folder. Elsewhere a missing setting is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
+        if not _is_local(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN_FOLDER:
             _OWN_FOLDER.append(tempfile.mkdtemp(prefix="paperloom-"))
@@ -48,6 +46,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def text_partitions(spark: SparkSession) -> int | None:
+    """Tasks that text tables are dealt to right after the scan: as the session asks for
+    (`spark.paperloom.textPartitions`), else one per core where all tasks run in this process, whatever
+    the size of the table. On a cluster tables are read as they are split."""
+    asked = spark.conf.get("spark.paperloom.textPartitions", None)
+    return int(asked) if asked else spark.sparkContext.defaultParallelism if _is_local(spark) else None
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of an executor, unlike a local one."""
     context = df.sparkSession.sparkContext
