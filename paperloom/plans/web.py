@@ -172,7 +172,8 @@ QUERIES = {
         F.struct(F.lit("text").alias("type"), F.substring_index("raw", " ", 1).alias("text"), F.lit(None).cast("string").alias("content")),
         F.struct(F.lit("other").alias("type"), F.lit(None).cast("string").alias("text"), F.expr("substring(raw, length(substring_index(raw, ' ', 1)) + 1)").alias("content"))).cast(M._BLOCKS))).select(
         "id", "model", F.coalesce("object_json", F.lit("")).alias("object_json"), F.coalesce("array_json", F.lit("")).alias("array_json")),
-    "executable_plans": lambda s, d: M.executable_plans(A.bind(s, d, PLAN_TASKS), _parsed(s, d)).select("id", "step_no", "action_type", F.md5("target").alias("target_md5"), "success_criteria"),
+    "executable_plans": lambda s, d: M.executable_plans(A.bind(s, d, PLAN_TASKS), _parsed(s, d)).select(
+        "id", "step_no", "action_type", F.md5(F.concat_ws("|", "target", "value")).alias("step_md5"), "success_criteria"),
     "single_actions": lambda s, d: M.single_actions(_parsed(s, d)).select("id", "action_type", F.md5(F.concat_ws("|", "target", "value")).alias("action_md5")),
     "unwrapped_answers": lambda s, d: M.unwrap_answers(A.bind(s, d, OUTPUTS), "raw").select("id", F.md5("answer").alias("answer_md5")),
     "planned_steps": lambda s, d: M.plan_steps(_parsed(s, d)).select("id", "step_no", "action_type", F.md5(F.concat_ws("|", "target", "value")).alias("step_md5")),
@@ -334,10 +335,13 @@ ORACLE = {
       md5(CASE WHEN k IN (0, 6) THEN text WHEN object_json <> '' THEN '' WHEN k = 3 THEN array_json WHEN k = 4 THEN trim('Yes, task is complete: ' || text, chr(10) || ' ') WHEN k = 5 THEN trim('1. Open page' || chr(10) || '2) Click ' || o, chr(10) || ' ')
         WHEN k = 7 THEN trim('broken {"a": ' || text, chr(10) || ' ') WHEN k = 8 THEN trim('note [1, 2] end ' || text, chr(10) || ' ') ELSE trim(text, chr(10) || ' ') END) AS answer_md5 FROM j""",
     "planned_steps": _JSON + f"SELECT id, step_no, action_type, md5(target || '|' || value) AS step_md5 FROM ({_STEPS_SQL}) x",
-    "executable_plans": _JSON + f""", s AS ({_STEPS_SQL}), url AS (SELECT id, k, conv_id, CASE WHEN conv_id % 2 = 0 THEN 'https://x.org/' || conv_id ELSE 'https://www.google.com/search?q=find+' || turn END AS u, k IN (2, 3, 5) AS has FROM j)
-      SELECT s.id, (s.step_no + CASE WHEN conv_id % 2 = 0 AND k <> 2 THEN 1 ELSE 0 END)::INT AS step_no, action_type, md5(target) AS target_md5, '' AS success_criteria FROM s JOIN url ON url.id = s.id
-      UNION ALL SELECT id, 1, 'navigate', md5(u), 'Page is loaded' FROM url WHERE NOT has OR (conv_id % 2 = 0 AND k <> 2) UNION ALL SELECT id, 2, 'wait', md5('page to load'), 'Page is stable' FROM url WHERE NOT has""",
-    "single_actions": _JSON + """SELECT id, CASE WHEN k = 2 THEN 'navigate' WHEN k = 3 THEN 'key_press' ELSE 'wait' END AS action_type, md5(CASE WHEN k = 2 THEN text || '|' WHEN k = 3 THEN '|' || text ELSE '|' END) AS action_md5 FROM j""",
+    "executable_plans": _JSON + f""", s AS ({_STEPS_SQL}), url AS (SELECT id, k, conv_id, CASE WHEN conv_id % 2 = 0 THEN 'https://x.org/' || conv_id END AS u, 'https://www.bing.com/search?q=find+' || turn AS web, k IN (2, 3, 5) AS has FROM j)
+      SELECT s.id, (s.step_no + CASE WHEN conv_id % 2 = 0 AND k <> 2 THEN 1 ELSE 0 END)::INT AS step_no, action_type, md5(target || '|' || value) AS step_md5, '' AS success_criteria FROM s JOIN url ON url.id = s.id
+      UNION ALL SELECT id, 1, 'navigate', md5('Navigate to ' || u || '|' || u), 'Page loads successfully' FROM url WHERE u IS NOT NULL AND k <> 2
+      UNION ALL SELECT id, 1, 'navigate', md5('Search the web for the requested page/data|' || web), 'Search results loaded' FROM url WHERE NOT has AND u IS NULL
+      UNION ALL SELECT id, 2, 'wait', md5('Search results|1200'), 'Search page is stable enough to observe' FROM url WHERE NOT has AND u IS NULL""",
+    "single_actions": _JSON + """SELECT id, CASE WHEN k = 3 THEN 'key_press' ELSE 'done' END AS action_type, md5(CASE WHEN k = 3 THEN 'w|' || t WHEN object_json = '' AND (contains(lower(raw), 'done') OR contains(lower(raw), 'task complete') OR contains(lower(raw), 'finished'))
+      THEN '|' || trim(raw, chr(10) || ' ') ELSE '|' END) AS action_md5 FROM (SELECT *, CASE k WHEN 4 THEN 'Yes, task is complete: ' || text WHEN 5 THEN '1. Open page' || chr(10) || '2) Click ' || o WHEN 7 THEN 'broken {"a": ' || text WHEN 8 THEN 'note [1, 2] end ' || text ELSE text END AS raw FROM j) r""",
     "unwrapped_answers": _JSON + """SELECT id, md5(CASE k WHEN 0 THEN trim(text, chr(10) || ' ') WHEN 1 THEN object_json WHEN 2 THEN 'Here: ' || object_json || ' done' WHEN 3 THEN array_json WHEN 4 THEN trim('Yes, task is complete: ' || text, chr(10) || ' ')
       WHEN 5 THEN trim('1. Open page' || chr(10) || '2) Click ' || o, chr(10) || ' ') WHEN 6 THEN '{“answer”: “' || t || '”}' WHEN 7 THEN trim('broken {"a": ' || text, chr(10) || ' ') WHEN 8 THEN trim('note [1, 2] end ' || text, chr(10) || ' ')
       WHEN 9 THEN object_json || ' tail' ELSE trim(text, chr(10) || ' ') END) AS answer_md5 FROM j""",

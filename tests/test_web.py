@@ -178,3 +178,26 @@ def test_answers_and_plans(spark):
     df = M.plan_steps(M.parse_outputs(spark.createDataFrame([(i, r) for i, r in enumerate(plans)], "id int, raw string")))
     got = [(r["id"], r["step_no"], r["action_type"], r["target"]) for r in df.orderBy("id", "step_no").collect()]
     assert got == [(0, 1, "navigate", "a"), (0, 2, "click", ""), (1, 1, "fill", ""), (2, 1, "click", "Open it"), (2, 2, "click", "Read it")]
+
+
+def test_plans_without_a_model_answer(spark):
+    from urllib.parse import quote_plus
+
+    tasks = [("a", "open https://x.org/p?q=1). now", ""), ("b", "find ~tilde* & more ü", None), ("c", "TAIEX today", ""), ("d", "  ", ""), ("e", "t", "https://s.org"), ("f", "t", "https://s.org"), ("g", "t", "")]
+    outputs = [("e", '[{"action": "click", "target": "b"}]'), ("f", '[{"action": "goto", "target": "p"}]'), ("g", "1. Click it"), ("a", "nothing"), ("b", ""), ("c", "x"), ("d", "x")]
+    parsed = M.parse_outputs(spark.createDataFrame(outputs, "id string, raw string"))
+    rows = M.executable_plans(spark.createDataFrame(tasks, "id string, task string, start_url string"), parsed).orderBy("id", "step_no").collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r["id"], []).append((r["action_type"], r["value"] if r["action_type"] == "navigate" else r["target"]))
+    search = "https://www.bing.com/search?q="
+    assert got == {"a": [("navigate", "https://x.org/p?q=1")], "b": [("navigate", search + quote_plus("find ~tilde* & more ü")), ("wait", "Search results")],
+                   "c": [("navigate", "https://tw.stock.yahoo.com/quote/%5ETWII"), ("wait", "Search results")], "d": [("navigate", search + "browser+automation+task"), ("wait", "Search results")],
+                   "e": [("navigate", "https://s.org"), ("click", "b")], "f": [("navigate", "")], "g": [("click", "Click it")]}
+
+
+def test_single_actions(spark):
+    raws = ['{"action": "type", "target": "box", "value": "x"}', 'so {"action_type": "Click", "target_description": "ok"} then', '{"action": "fill", "target": "cut of', "I am done here ", "no idea", '{"note": 1}', None]
+    rows = M.single_actions(M.parse_outputs(spark.createDataFrame(list(enumerate(raws)), "id int, raw string"))).collect()
+    got = {r["id"]: (r["action_type"], r["target"], r["value"]) for r in rows}
+    assert got == {0: ("fill", "box", "x"), 1: ("click", "ok", ""), 2: ("fill", "", ""), 3: ("done", "", "I am done here"), 4: ("done", "", ""), 5: ("done", "", ""), 6: ("done", "", "")}
