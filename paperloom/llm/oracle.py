@@ -71,6 +71,7 @@ SELECT doc_id, size, source_size, target, CAST(size * least(whole + CASE WHEN up
 
 ORACLE = {
     "op1_lm_scoring": lm_scoring.oracle(),
+    "op1_lm_scoring_whole": lm_scoring.oracle(0.0, 0.0),
     "op3_exact_search": search.oracle(),
     "op4_revisit_resolution": _revisits(),
     "op7_quality_rules": rules.oracle(),

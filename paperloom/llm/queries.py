@@ -20,6 +20,12 @@ def lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
 
 
+def whole_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    good = read(spark, folder, "labels").filter("quality = 1").select("doc_id")
+    found = lm_scoring.score_whole(read(spark, folder, "documents"), good)
+    return found.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
+
+
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -94,6 +100,7 @@ def packed_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_lm_scoring": lm_scores,
+    "op1_lm_scoring_whole": whole_lm_scores,
     "op2_simhash_near_duplicates": near_duplicates,
     "op3_exact_search": searches,
     "op4_revisit_resolution": revisits,

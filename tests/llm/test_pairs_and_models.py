@@ -229,3 +229,38 @@ def test_lm_prefers_the_target(spark):
     assert max(got[i] for i in range(30)) < 0 < min(got[100 + i] for i in range(30))
     none = lm_scoring.score(docs, *lm_scoring.fit(docs, ids.limit(0))).collect()
     assert all(r["score"] == 0 for r in none)
+
+
+def test_whole_lm_knows_every_pair(spark):
+    # 70 000 words that occur once each: no share of all tokens may leave any of them out.
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(700)) + " the end") for i in range(100)] + [(None, None), (7, "the end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(50)], "doc_id long")
+    n, t = ({}, {}), ({}, {})
+    for d, text in rows:
+        w = (text or "").split()
+        for into in (n, t) if d in range(50) else (n,):
+            for h, x in zip(["", *w], w):
+                into[0][h, x] = into[0].get((h, x), 0) + 1
+    words = {x for _, x in n[0]}
+    assert len(words) > 1 << 16
+    single, after = [{}, {}], [{}, {}]
+    for k, into in enumerate((t, n)):
+        for (h, x), c in into[0].items():
+            single[k][x], after[k][h] = single[k].get(x, 0) + c, after[k].get(h, 0) + c
+    totals = [sum(s.values()) for s in single]
+    factor = [1.0, totals[0] / totals[1]]
+
+    def loss(k, h, x):
+        p = (single[k].get(x, 0) * factor[k] + lm_scoring.ADD) / (totals[0] + lm_scoring.ADD * (len(words) + 1))
+        return -np.log(((t, n)[k][0].get((h, x), 0) * factor[k] + lm_scoring.PRIOR * p) / (after[k].get(h, 0) * factor[k] + lm_scoring.PRIOR))
+
+    want = []
+    for d, text in rows:
+        w = (text or "").split()
+        a, b = (np.mean([loss(k, h, x) for h, x in zip(["", *w], w)]) if w else 0 for k in (0, 1))
+        want.append((d or 0, len(w), round(float(a), 6), round(float(b), 6)))
+    got = [(r["doc_id"] or 0, r["n_tokens"], round(r["target_loss"] or 0, 6), round(r["background_loss"] or 0, 6)) for r in lm_scoring.score_whole(docs, ids).collect()]
+    assert sorted(got) == sorted(want)
+    none = lm_scoring.score_whole(docs, ids.limit(0)).collect()
+    assert len(none) == len(rows) and all(not r["score"] for r in none)
