@@ -60,16 +60,18 @@ def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * ones > count).tolist())
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`doc_id`, `fp` (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+    """`doc_id`, `fp` (the fingerprint as a signed long), and the text's `digest` if asked for."""
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    more = [F.xxhash64(F.col(f"`{text}`")).alias("digest")] if digest else []
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *more) \
+        .mapInArrow(run, "doc_id long, fp long" + ", digest long" * digest)
 
 
 class _Union:
@@ -241,21 +243,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET) -> DataFrame:
-    """`docs` with one document of every component: the one with the smallest identifier. Of rows that
-    share this identifier one stays. A component without any identifier keeps one row (the least digest)."""
-    key = F.col(f"`{doc_id}`").cast("long")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    marked = cut_lineage(fingerprints(docs, doc_id, text))
-    found = cut_lineage(classes(marked, budget))
-
-    def first(rows: DataFrame, stay: DataFrame, own: Column) -> DataFrame:
-        # The identifier's shuffle serves both the join and the choice among rows that share it.
-        met = rows.select(F.struct(*columns).alias("row"), own.alias("key"), F.xxhash64(F.col(f"`{text}`")).alias("digest")).join(stay, "key")
-        order = Window.partitionBy("key").orderBy("digest")
-        return met.withColumn("n", F.row_number().over(order)).filter("n = 1").select("row.*")
-
-    named = first(docs, found.filter("component_id is not null").select(F.col("component_id").alias("key")).distinct(), key)
-    nameless = docs.filter(key.isNull())
-    digests = fingerprints(nameless.withColumn("__digest", F.xxhash64(F.col(f"`{text}`"))), "__digest", text)
-    alone = digests.join(found.filter("component_id is null"), "fp").groupBy("label").agg(F.min("doc_id").alias("key")).select("key").distinct()
-    return named.unionByName(first(nameless, alone, F.xxhash64(F.col(f"`{text}`"))))
+    """`docs` with one row of every component: of its rows with the smallest identifier (the rows without any,
+    if none has one) the one with the least digest of the text. An identifier that several components share
+    stays once in each where it is the smallest."""
+    key, digest = F.col(f"`{doc_id}`").cast("long"), F.xxhash64(F.col(f"`{text}`"))
+    marked = cut_lineage(fingerprints(docs, doc_id, text, digest=True))
+    # One row per fingerprint before the join, so exact copies are no hot key.
+    least = marked.groupBy("fp").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", F.lit(0)).alias("key"), "digest")).alias("x"))
+    stay = least.join(classes(marked, budget), "fp").groupBy("label").agg(F.min("x").alias("x")).select("x.nameless", "x.key", "x.digest")
+    # One shuffle serves both the join and the choice among rows of one identifier and text.
+    same = ["nameless", "key", "digest"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.isNull().alias("nameless"), F.coalesce(key, F.lit(0)).alias("key"), digest.alias("digest"))
+    order = Window.partitionBy(*same).orderBy("digest")
+    return rows.join(stay, same).withColumn("n", F.row_number().over(order)).filter("n = 1").select("row.*")

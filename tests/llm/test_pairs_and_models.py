@@ -109,6 +109,16 @@ def test_one_of_each_without_identifiers(spark):
     assert simhash.one_of_each(docs).count() == 3
 
 
+def test_one_of_each_by_component_where_identifiers_repeat(spark):
+    def kept(*rows):
+        return sorted(map(tuple, simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+
+    for a, b in ((prose(90, 1), prose(90, 2)), (prose(90, 2), prose(90, 1))):
+        assert kept((1, a), (5, a), (5, b)) == sorted([(1, a), (5, b)])
+        assert kept((5, a), (5, b), (5, a)) == sorted([(5, a), (5, b)])
+        assert kept((None, a), (5, a), (0, b), (0, b)) == sorted([(5, a), (0, b)])
+
+
 def plain_bm25(docs, query, n, mean, df):
     import math
 
