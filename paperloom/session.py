@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
-
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -67,6 +67,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for written intermediate tables, where all executors reach it."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, *folders: str) -> None:
+    """Remove written intermediate tables that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 _SHIPPED: set[str] = set()
 
 
