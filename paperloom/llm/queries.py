@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import langid, lm_scoring, mixing, nbsvm, packing, rules, search, simhash, url_filters, warc
+from paperloom.llm import collocations, langid, lm_scoring, mixing, nbsvm, packing, rules, search, simhash, url_filters, warc
 from paperloom.llm.common import read, remainder
 from paperloom.session import cut_lineage
 
@@ -98,6 +98,11 @@ def packed_windows(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"))
 
 
+def collocated_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    found = collocations.mine(read(spark, folder, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES = {
     "op1_lm_scoring": lm_scores,
     "op1_lm_scoring_whole": whole_lm_scores,
@@ -110,4 +115,5 @@ QUERIES = {
     "op8_url_filters": url_verdicts,
     "op9_packing": packed_windows,
     "op10_source_mixing": mixed_sources,
+    "op11_collocations": collocated_phrases,
 }
