@@ -1,9 +1,9 @@
 """Item boundaries of annual reports: detection, merging, ends, best boundary per item.
 
 One scan of the text yields a narrow row per candidate (heading, stand-alone title, cover-table
-row, end-index row, by-reference declaration). The candidates are shuffled once by filing and every
-later step is a window on filing-prefixed keys, so it reuses that exchange; the text itself is
-never shuffled here.
+row, end-index row, by-reference declaration). The candidates are shuffled once by filing (not at all
+over a stored corpus) and every later step is a window on filing-prefixed keys, so it reuses that
+exchange; the text itself is never shuffled here.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import fixed
 from paperloom.functions.text import (LINES, LINES_NOCASE, collapse, extract, find_spans, left, let, literal_map,
                                       rlike, slice_text, sql_literal, strip, text_array)
+from paperloom.session import dealt_by
 
 ITEM_NUMBERS = [n for _, n, _ in fixed.ITEMS]
 
@@ -253,7 +254,8 @@ def candidates(texts: DataFrame, only: list[str] | None = None) -> DataFrame:
         F.array(_row(kind=F.lit("doc"))), *[fn(t) for name, fn in _DETECTORS.items() if only is None or name in only])
     raw = texts.select("filing_id", F.length(t).alias("total_chars"), F.explode(everything).alias("c")).select(
         "filing_id", "total_chars", "c.*")
-    rows = _describe(raw).repartition("filing_id")
+    # One exchange by filing for every later step; none where the texts lie by filing already.
+    rows = _describe(raw) if dealt_by(texts, "filing_id") else _describe(raw).repartition("filing_id")
     run = Window.partitionBy("filing_id", "kind").orderBy("idx")
     before = run.rowsBetween(Window.unboundedPreceding, -1)
     pos = (

@@ -75,14 +75,14 @@ def slice_items(best: DataFrame, texts: DataFrame) -> DataFrame:
         best.filter(F.col("source").isNotNull()).groupBy("filing_id")
         .agg(F.collect_list(F.struct("item_number", "start_pos", "end_pos", "heading_text", "confidence", "source",
                                      "status_hint")).alias("found")))
-    rows = texts.select("filing_id", "text").join(packed, "filing_id").select(
-        "filing_id", "text", F.explode("found").alias("b"))
+    cut = lambda b: F.struct(b.alias("b"), _body_of(F.col("text"), b["start_pos"], b["end_pos"]).alias("body"))
+    rows = texts.select("filing_id", "text").join(packed, "filing_id").select("filing_id", F.explode(F.transform("found", cut)).alias("x")).select("filing_id", "x.*")
     title = literal_map([(n, t) for _, n, t in fixed.ITEMS])
     out = rows.select(
         "filing_id", _part_of(F.col("b.item_number")).alias("part"), F.col("b.item_number").alias("item_number"),
         F.when(F.coalesce(F.col("b.heading_text"), F.lit("")) != "", F.col("b.heading_text"))
         .otherwise(title[F.col("b.item_number")]).alias("item_title"),
-        _body_of(F.col("text"), F.col("b.start_pos"), F.col("b.end_pos")).alias("content_text"),
+        F.col("body").alias("content_text"),
         F.col("b.start_pos").alias("range_start"), F.col("b.end_pos").alias("range_end"),
         F.col("b.confidence").alias("confidence"), _METHOD(F.col("b.source")).alias("extraction_method"),
         F.col("b.status_hint").alias("status_hint"))
@@ -207,17 +207,18 @@ def extract_items(texts: DataFrame, html_anchors: DataFrame | None = None, bound
     return rows.select("filing_id", F.explode(F.transform(_standard(), one)).alias("x")).select("filing_id", "x.r.*", "x.ord")
 
 
-def _beside_text(items: DataFrame, texts: DataFrame) -> DataFrame:
-    """Items next to their text: packed per filing first, so the text is moved once per filing."""
+def _beside_text(items: DataFrame, texts: DataFrame, made) -> DataFrame:
+    """What `made` makes of every item beside its filing's text. Items are packed per filing first, so the text
+    meets one row per filing, and only the results leave it."""
     cols = [c for c in items.columns if c != "filing_id"]
     packed = items.groupBy("filing_id").agg(F.collect_list(F.struct(*cols)).alias("rows"))
-    return packed.join(texts.select("filing_id", "text"), "filing_id").select(
-        "filing_id", "text", F.length("text").alias("size"), F.explode("rows").alias("r"))
+    rows = packed.join(texts.select("filing_id", "text"), "filing_id").withColumn("size", F.length("text"))
+    return rows.select("filing_id", F.explode(F.transform("rows", made)).alias("x")).select("filing_id", "x.*")
 
 
 def fix_items(items: DataFrame, texts: DataFrame) -> DataFrame:
     """Re-test the status of extracted items and set the range to where their first words occur."""
-    rows = _beside_text(items, texts).withColumn("n", _refit(F.col("text"), F.col("r")))
+    rows = _beside_text(items, texts, lambda r: F.struct(r.alias("r"), _refit(F.col("text"), r).alias("n")))
     keep = [F.col(f"r.{c}").alias(c) for c in items.columns if c not in ("filing_id", "status", "range_start", "range_end")]
     return rows.select("filing_id", *keep, "n.status", "n.range_start", "n.range_end")
 
@@ -264,9 +265,9 @@ def route_filings(bounds: DataFrame, force: bool = False, allowed: bool = True)
 def item_issues(items: DataFrame, texts: DataFrame) -> DataFrame:
     """One row per problem of an item: range, content, markup, status (placeholders are skipped)."""
     cols = ["filing_id", "item_number", "content_text", "range_start", "range_end", "status"]
-    rows = _beside_text(items.filter(F.col("status") != "not_found").select(*cols), texts)
-    return rows.select("filing_id", F.col("r.item_number").alias("item_number"), F.explode(
-        _issues(F.col("text"), F.col("size"), F.col("r"))).alias("i")).select("filing_id", "item_number", "i.check", "i.severity")
+    rows = _beside_text(items.filter(F.col("status") != "not_found").select(*cols), texts, lambda r: F.struct(
+        r["item_number"].alias("item_number"), _issues(F.col("text"), F.col("size"), r).alias("issues")))
+    return rows.select("filing_id", "item_number", F.explode("issues").alias("i")).select("filing_id", "item_number", "i.check", "i.severity")
 
 
 def validation_report(items: DataFrame, issues: DataFrame | None = None) -> DataFrame:

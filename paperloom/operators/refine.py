@@ -6,72 +6,87 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import fixed
-from paperloom.functions.text import left, let, slice_text
+from paperloom.functions.text import left, let, slice_text, text_array
 from paperloom.operators.boundaries import ITEM_NUMBERS
 
 _ROW = ["item_number", "start_pos", "heading_text", "confidence", "source"]
 
 
-def _with_text(rows: DataFrame, texts: DataFrame, cols: list[str]) -> DataFrame:
-    """Join rows to their text, packed so that a filing's text is moved once."""
-    packed = rows.groupBy("filing_id").agg(F.collect_list(F.struct(*cols)).alias("_rows"))
-    return texts.select("filing_id", "text").join(packed, "filing_id").select("filing_id", "text", F.explode("_rows").alias("r")) \
-        .select("filing_id", "text", "r.*")
+def _packed(bounds: DataFrame) -> DataFrame:
+    """One short row per filing: its size and its anchors in document order."""
+    anchor = F.struct("start_pos", "doc_order", "item_number", "heading_text", "confidence", "source", "status_hint")
+    return bounds.groupBy("filing_id").agg(
+        F.max("total_chars").alias("total_chars"), F.array_sort(F.collect_list(F.when(F.col("source").isNotNull(), anchor))).alias("anchors"))
+
+
+def _pieces(packed: DataFrame, texts: DataFrame, found: Column, cut) -> DataFrame:
+    """What `cut` makes of every entry of `found`, beside its text: one join per filing, and only the pieces leave the
+    filing's row. Over a stored corpus the text is not moved for it."""
+    rows = texts.select("filing_id", "text").join(packed.select("filing_id", found.alias("_found")), "filing_id")
+    return rows.select("filing_id", F.explode(F.transform("_found", cut)).alias("p")).select("filing_id", "p.*")
 
 
 def refine_queue(bounds: DataFrame, texts: DataFrame, threshold: float = 0.5, forced: int | None = None) -> DataFrame:
     """Doubtful boundaries with the text around them. `forced`: the k least certain of every filing."""
-    rows = bounds.filter(F.col("source").isNotNull())
     if forced is None:
-        rows = rows.filter(F.col("confidence") < threshold)
+        doubtful = F.filter("anchors", lambda a: a["confidence"] < threshold)
     else:
-        order = Window.partitionBy("filing_id").orderBy("confidence", "start_pos", "item_number")
-        rows = rows.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= max(1, forced))
-    start = F.greatest(F.col("start_pos") - 200, F.lit(0))
-    context = slice_text(F.col("text"), start, F.least(F.length("text"), F.col("start_pos") + 800))
-    return _with_text(rows, texts, _ROW).select(
-        "filing_id", *_ROW, start.alias("ctx_start"), context.alias("context"),
-        F.floor(F.length(context) / 4).alias("est_tokens"))
+        least_first = F.array_sort(F.transform("anchors", lambda a: F.struct(a["confidence"].alias("c"), a["start_pos"].alias("s"), a["item_number"].alias("i"), a.alias("a"))))
+        doubtful = F.transform(F.slice(least_first, 1, max(1, forced)), lambda x: x["a"])
 
+    def cut(a: Column) -> Column:
+        start = F.greatest(a["start_pos"] - 200, F.lit(0))
+        context = slice_text(F.col("text"), start, F.least(F.length("text"), a["start_pos"] + 800))
+        return F.struct(*[a[c].alias(c) for c in _ROW], start.alias("ctx_start"), context.alias("context"))
 
-def _anchors(bounds: DataFrame) -> DataFrame:
-    order = Window.partitionBy("filing_id").orderBy("start_pos", "doc_order")
-    return bounds.filter(F.col("source").isNotNull()).select(
-        "filing_id", "total_chars", "item_number", "start_pos", F.row_number().over(order).alias("n"),
-        F.lead("item_number").over(order).alias("next_item"), F.lead("start_pos").over(order).alias("next_pos"))
+    return _pieces(_packed(bounds), texts, doubtful, cut).withColumn("est_tokens", F.floor(F.length("context") / 4))
 
 
 def missing_item_gaps(bounds: DataFrame, texts: DataFrame, sample_chars: int | None = None) -> DataFrame:
     """Long stretches (over 2000 characters) between neighbours, where items are missing, with their text
     (its first `sample_chars`, if given)."""
-    per = bounds.groupBy("filing_id").agg(F.collect_set("item_number").alias("have"))
-    lacking = per.filter(F.size(F.array_except(F.array(*[F.lit(n) for n in ITEM_NUMBERS]), F.col("have"))) > 0).select("filing_id")
-    gaps = _anchors(bounds).filter(F.col("next_pos") - F.col("start_pos") > 2000).join(lacking, "filing_id", "left_semi")
-    rows = _with_text(gaps, texts, ["item_number", "next_item", "start_pos", "next_pos"])
-    sample = slice_text(F.col("text"), F.col("start_pos"), F.col("next_pos") if sample_chars is None else F.least(F.col("next_pos"), F.col("start_pos") + sample_chars))
-    return rows.select("filing_id", F.col("item_number").alias("prev_item"), "next_item", "start_pos", "next_pos",
-                       sample.alias("sample"), F.floor(F.length(sample) / 4).alias("est_tokens"))
+    lacking = F.size(F.array_except(text_array(ITEM_NUMBERS), F.transform("anchors", lambda a: a["item_number"]))) > 0
+
+    def pair(a: Column, i: Column) -> Column:
+        after = F.get(F.col("anchors"), i + 1)
+        return F.struct(a["item_number"].alias("prev_item"), after["item_number"].alias("next_item"), a["start_pos"].alias("start_pos"), after["start_pos"].alias("next_pos"))
+
+    gaps = F.filter(F.transform("anchors", pair), lambda g: lacking & (g["next_pos"] - g["start_pos"] > 2000))
+
+    def cut(g: Column) -> Column:
+        end = g["next_pos"] if sample_chars is None else F.least(g["next_pos"], g["start_pos"] + sample_chars)
+        return F.struct(*[g[c].alias(c) for c in ("prev_item", "next_item", "start_pos", "next_pos")], slice_text(F.col("text"), g["start_pos"], end).alias("sample"))
+
+    return _pieces(_packed(bounds), texts, gaps, cut).withColumn("est_tokens", F.floor(F.length("sample") / 4))
+
+
+_GAP = ["gap_id", "prev_item", "next_item", "gap_start", "gap_end"]
+
+
+def _gaps() -> Column:
+    """The stretches between the anchors of a packed row, before the first and after the last one."""
+    size, anchors = F.col("total_chars"), F.col("anchors")
+    pct = lambda p: F.floor(size * F.lit(p)).cast("int")
+    gap = lambda *values: F.struct(*[v.alias(c) for c, v in zip(_GAP, values)])
+
+    def beside(a: Column, i: Column) -> Column:
+        after = F.get(anchors, i + 1)
+        last = after.isNull()
+        lead_in = F.when((i == 0) & (a["start_pos"] > 200) & (a["start_pos"] > pct(0.05)),
+                         gap(F.lit("gap_0"), F.lit("START"), a["item_number"], pct(0.05), a["start_pos"]))
+        end = F.when(last, pct(0.92)).otherwise(after["start_pos"])
+        room = end - (a["start_pos"] + 100)
+        body = F.when(F.when(last, room > 500).otherwise(room >= 500), gap(
+            F.concat(F.lit("gap_"), (i + 1).cast("string")), a["item_number"], F.coalesce(after["item_number"], F.lit("END")), a["start_pos"] + 100, end))
+        return F.array_compact(F.array(lead_in, body))
+
+    bare = F.array(gap(F.lit("gap_0"), F.lit("START"), F.lit("END"), pct(0.05), pct(0.95)))
+    return F.when(F.size(anchors) == 0, bare).otherwise(F.flatten(F.transform(anchors, beside)))
 
 
 def gap_ranges(bounds: DataFrame) -> DataFrame:
-    """Stretches between anchors, before the first and after the last (narrow; `doc` rows cover empty filings)."""
-    size = F.col("total_chars")
-    pct = lambda p: F.floor(size * F.lit(p)).cast("int")
-    a = _anchors(bounds)
-    first, last = F.col("n") == 1, F.col("next_pos").isNull()
-    lead_in = F.when(first & (F.col("start_pos") > 200) & (F.col("start_pos") > pct(0.05)), F.struct(
-        F.lit("gap_0").alias("gap_id"), F.lit("START").alias("prev_item"), F.col("item_number").alias("next_item"),
-        pct(0.05).alias("gap_start"), F.col("start_pos").alias("gap_end")))
-    end = F.when(last, pct(0.92)).otherwise(F.col("next_pos"))
-    room = end - (F.col("start_pos") + 100)
-    body = F.when(F.when(last, room > 500).otherwise(room >= 500), F.struct(
-        F.concat(F.lit("gap_"), F.col("n").cast("string")).alias("gap_id"), F.col("item_number").alias("prev_item"),
-        F.coalesce("next_item", F.lit("END")).alias("next_item"), (F.col("start_pos") + 100).alias("gap_start"), end.alias("gap_end")))
-    between = a.select("filing_id", F.explode(F.array_compact(F.array(lead_in, body))).alias("g")).select("filing_id", "g.*")
-    bare = bounds.groupBy("filing_id").agg(F.max("total_chars").alias("total_chars"), F.count("source").alias("k")).filter("k = 0")
-    return between.unionByName(bare.select(
-        "filing_id", F.lit("gap_0").alias("gap_id"), F.lit("START").alias("prev_item"), F.lit("END").alias("next_item"),
-        pct(0.05).alias("gap_start"), pct(0.95).alias("gap_end")))
+    """Stretches between anchors, before the first and after the last (narrow; filings without anchors have one)."""
+    return _packed(bounds).select("filing_id", F.explode(_gaps()).alias("g")).select("filing_id", "g.*")
 
 
 #: Head, middle and tail of an excerpt for a model with a small window.
@@ -97,10 +112,11 @@ def excerpt(gap: Column, window: tuple[int, int, int] | None = None) -> Column:
 
 def gap_excerpts(bounds: DataFrame, texts: DataFrame, window: tuple[int, int, int] | None = None, full_doc_chars: int = fixed.FULL_DOC_CHARS) -> DataFrame:
     """Every gap with its text (`window`: see `excerpt`), and whether the document fits a model whole."""
-    cols = ["gap_id", "prev_item", "next_item", "gap_start", "gap_end"]
-    rows = _with_text(gap_ranges(bounds), texts, cols)
-    return rows.select("filing_id", *cols, excerpt(slice_text(F.col("text"), F.col("gap_start"), F.col("gap_end")), window).alias("excerpt"),
-                       (F.length("text") <= full_doc_chars).alias("full_doc_mode"))
+    def cut(g: Column) -> Column:
+        return F.struct(*[g[c].alias(c) for c in _GAP], excerpt(slice_text(F.col("text"), g["gap_start"], g["gap_end"]), window).alias("excerpt"),
+                        (F.length("text") <= full_doc_chars).alias("full_doc_mode"))
+
+    return _pieces(_packed(bounds), texts, _gaps(), cut)
 
 
 def excerpt_to_text(ex: Column, at: Column, gap_start: Column) -> Column:
@@ -129,53 +145,82 @@ def apply_refinements(bounds: DataFrame, results: DataFrame, texts: DataFrame, w
     results(filing_id, kind, gap_id, item_number, found, is_item_heading, offset, start_pos,
     heading_text, confidence, status). `refine` rows move the boundary of their own item; `gap` rows
     add an item that is missing, found in a known gap; `full` rows are located by heading text. `window`
-    must be the one the excerpts were made with.
+    must be the one the excerpts were made with. Boundaries and results are packed to one short row per filing
+    each and meet the text there, so all of it is two joins on the filing.
     """
-    have = bounds.filter(F.col("source").isNotNull())
-    refine = results.filter("kind = 'refine' and is_item_heading").select(
-        "filing_id", F.upper("item_number").alias("item_number"), F.col("offset").alias("_offset"), F.col("heading_text").alias("_head"),
-        F.col("confidence").alias("_conf"), F.trim(F.coalesce("status", F.lit(""))).alias("_status"))
-    joined = have.join(refine, ["filing_id", "item_number"], "left")
-    hit = F.col("_status").isNotNull()
-    origin = F.greatest(F.col("start_pos") - 200, F.lit(0))
-    moved = joined.select(
-        "filing_id", "total_chars", "item_number",
-        F.when(hit, F.coalesce(origin + F.col("_offset"), F.col("start_pos"))).otherwise(F.col("start_pos")).cast("int").alias("start_pos"),
-        F.when(hit, F.coalesce("_head", "heading_text")).otherwise(F.col("heading_text")).alias("heading_text"),
-        F.when(hit, F.coalesce("_conf", F.lit(0.8))).otherwise(F.col("confidence")).alias("confidence"),
-        F.when(hit, "llm_refined").otherwise(F.col("source")).alias("source"),
-        F.when(hit, F.when(F.col("_status") != "", F.col("_status"))).otherwise(F.col("status_hint")).alias("status_hint"))
-    absent = results.filter("kind <> 'refine' and found").withColumn("item_number", F.upper(F.trim("item_number"))) \
-        .filter(F.col("item_number").isin(ITEM_NUMBERS)) \
-        .join(have.select("filing_id", "item_number"), ["filing_id", "item_number"], "left_anti")
-    heading = F.coalesce("heading_text", F.lit(""))
-
-    gaps = gap_excerpts(bounds, texts, window).select("filing_id", "gap_id", "gap_start", "gap_end", "excerpt")
-    g = absent.filter("kind = 'gap'").join(gaps, ["filing_id", "gap_id"])
-    named = F.when(heading != "", F.instr(F.col("excerpt"), heading) - 1)
-    at = F.when(named >= 0, named).otherwise(F.col("offset").cast("int"))
-    g = g.filter((F.col("offset") >= 0) & (F.col("offset") < F.length("excerpt"))).withColumn("_at", at)
-    g = g.withColumn("pos", excerpt_to_text(F.col("excerpt"), F.col("_at"), F.col("gap_start"))).filter(
-        (F.col("pos") >= F.col("gap_start")) & (F.col("pos") < F.col("gap_end")))
-    from_gap = g.select("filing_id", "item_number", F.col("pos").alias("start_pos"), heading.alias("heading_text"),
-                        F.coalesce("confidence", F.lit(0.7)).alias("confidence"), F.lit("llm_anchor_gap_fill").alias("source"),
-                        _hint(F.col("status")).alias("status_hint"))
-
-    f = absent.filter("kind = 'full'").select(
-        "filing_id", "item_number", F.col("start_pos").alias("given"), F.trim(heading).alias("head"), "confidence", "status")
-    f = _with_text(f, texts, ["item_number", "given", "head", "confidence", "status"])
-    exact = F.instr(F.col("text"), F.col("head")) - 1
-    loose = F.instr(F.lower("text"), F.lower("head")) - 1
-    pos = F.when((F.length("head") >= 4) & (exact >= 0), exact).when((F.length("head") >= 4) & (loose >= 0), loose).otherwise(F.col("given"))
-    f = f.withColumn("pos", pos).filter((F.col("pos") >= 0) & (F.col("pos") < F.length("text")))
-    from_doc = f.select("filing_id", "item_number", F.col("pos").cast("int").alias("start_pos"),
-                        F.when(F.col("head") != "", F.col("head")).otherwise(F.col("item_number")).alias("heading_text"),
-                        F.coalesce("confidence", F.lit(0.7)).alias("confidence"), F.lit("llm_full_doc_extract").alias("source"),
-                        _hint(F.col("status")).alias("status_hint"))
-
-    sizes = bounds.groupBy("filing_id").agg(F.max("total_chars").alias("total_chars"))
-    added = from_gap.unionByName(from_doc).join(sizes, "filing_id")
+    given = results.groupBy("filing_id").agg(F.collect_list(F.struct(
+        "kind", "gap_id", "item_number", "found", "is_item_heading", "offset", "start_pos", "heading_text", "confidence", "status")).alias("results"))
+    packed = _packed(bounds)
+    rows = packed.withColumn("gaps", _gaps()).join(given, "filing_id", "left").join(texts.select("filing_id", "text"), "filing_id", "left") \
+        .withColumn("results", F.coalesce("results", F.expr("array()").cast(given.schema["results"].dataType)))
+    made = _moved(), _from_gaps(window), _from_whole()
     order = Window.partitionBy("filing_id").orderBy("start_pos", "item_number")
-    return moved.unionByName(added).withColumn(
+    return rows.select("filing_id", "total_chars", F.explode(F.concat(*made)).alias("b")).select("filing_id", "total_chars", "b.*").withColumn(
         "end_pos", F.coalesce(F.lead("start_pos").over(order), F.col("total_chars")).cast("int")).withColumn(
         "doc_order", F.row_number().over(order))
+
+
+def _bound(item: Column, start: Column, heading: Column, confidence: Column, source: str | Column, hint: Column) -> Column:
+    return F.struct(item.alias("item_number"), start.cast("int").alias("start_pos"), heading.alias("heading_text"), confidence.cast("double").alias("confidence"),
+                    (F.lit(source) if isinstance(source, str) else source).alias("source"), hint.alias("status_hint"))
+
+
+def _moved() -> Column:
+    """The anchors of a packed row, each as its own `refine` results move it."""
+    def one(a: Column) -> Column:
+        hits = F.filter("results", lambda r: (r["kind"] == "refine") & r["is_item_heading"] & (F.upper(r["item_number"]) == a["item_number"]))
+        origin = F.greatest(a["start_pos"] - 200, F.lit(0))
+
+        def moved(r: Column) -> Column:
+            status = F.trim(F.coalesce(r["status"], F.lit("")))
+            return _bound(a["item_number"], F.coalesce(origin + r["offset"], a["start_pos"]), F.coalesce(r["heading_text"], a["heading_text"]),
+                          F.coalesce(r["confidence"], F.lit(0.8)), "llm_refined", F.when(status != "", status))
+
+        kept = _bound(a["item_number"], a["start_pos"], a["heading_text"], a["confidence"], a["source"], a["status_hint"])
+        return let(hits, lambda h: F.when(F.size(h) == 0, F.array(kept)).otherwise(F.transform(h, moved)))
+
+    return F.flatten(F.transform("anchors", one))
+
+
+def _absent(kind: str) -> Column:
+    """The results of a kind that name an item no anchor has."""
+    item = lambda r: F.upper(F.trim(r["item_number"]))
+    return F.filter("results", lambda r: (r["kind"] == kind) & r["found"] & F.array_contains(text_array(ITEM_NUMBERS), item(r))
+                    & ~F.exists("anchors", lambda a: a["item_number"] == item(r)))
+
+
+def _from_gaps(window: tuple[int, int, int] | None) -> Column:
+    """Boundaries that results place inside an excerpt of a known gap."""
+    def place(r: Column) -> Column:
+        def inside(g: Column) -> Column:
+            def at(ex: Column) -> Column:
+                heading = F.coalesce(r["heading_text"], F.lit(""))
+                named = F.when(heading != "", F.instr(ex, heading) - 1)
+                pos = let(F.when(named >= 0, named).otherwise(r["offset"].cast("int")), lambda x: excerpt_to_text(ex, x, g["gap_start"]))
+                fits = (r["offset"] >= 0) & (r["offset"] < F.length(ex))
+                return let(pos, lambda p: F.when(fits & (p >= g["gap_start"]) & (p < g["gap_end"]), _bound(
+                    F.upper(F.trim(r["item_number"])), p, heading, F.coalesce(r["confidence"], F.lit(0.7)), "llm_anchor_gap_fill", _hint(r["status"]))))
+
+            return let(excerpt(slice_text(F.col("text"), g["gap_start"], g["gap_end"]), window), at)
+
+        return F.transform(F.filter("gaps", lambda g: g["gap_id"] == r["gap_id"]), inside)
+
+    return F.array_compact(F.flatten(F.transform(_absent("gap"), place)))
+
+
+def _from_whole() -> Column:
+    """Boundaries that results name by heading text, or by position, in the whole document."""
+    text = F.col("text")
+
+    def place(r: Column) -> Column:
+        def at(head: Column) -> Column:
+            exact, loose = F.instr(text, head) - 1, F.instr(F.lower(text), F.lower(head)) - 1
+            long = F.length(head) >= 4
+            pos = F.when(long & (exact >= 0), exact).when(long & (loose >= 0), loose).otherwise(r["start_pos"])
+            item = F.upper(F.trim(r["item_number"]))
+            return let(pos, lambda p: F.when((p >= 0) & (p < F.length(text)), _bound(
+                item, p, F.when(head != "", head).otherwise(item), F.coalesce(r["confidence"], F.lit(0.7)), "llm_full_doc_extract", _hint(r["status"]))))
+
+        return let(F.trim(F.coalesce(r["heading_text"], F.lit(""))), at)
+
+    return F.array_compact(F.transform(_absent("full"), place))

@@ -67,6 +67,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt_by(df: DataFrame, key: str) -> bool:
+    """Whether rows with equal keys already lie together (a bucketed table, read as such)."""
+    return df._jdf.queryExecution().sparkPlan().outputPartitioning().toString().startswith(f"hashpartitioning({key}#")
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for written intermediate tables, where all executors reach it."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
