@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.llm import collocations, lm_scoring, mixing, rules, search, url_filters, warc
+from paperloom.llm import collocations, lm_scoring, mixing, resampling, rules, search, url_filters, warc
 from paperloom.llm.queries import CAPTURES, HOST_RULES
 
 
@@ -78,4 +78,5 @@ ORACLE = {
     "op8_url_filters": _url_filters(),
     "op10_source_mixing": _mixing(),
     "op11_collocations": collocations.oracle(),
+    "op12_importance_resampling": resampling.oracle(),
 }

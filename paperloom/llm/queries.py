@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import collocations, langid, lm_scoring, mixing, nbsvm, packing, rules, search, simhash, url_filters, warc
+from paperloom.llm import collocations, langid, lm_scoring, mixing, nbsvm, packing, resampling, rules, search, secret_layers, simhash, url_filters, warc
 from paperloom.llm.common import read, remainder
 from paperloom.session import cut_lineage
 
@@ -103,6 +103,18 @@ def collocated_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
+def resampled(spark: SparkSession, folder: str) -> DataFrame:
+    found = resampling.resample(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def layered_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_layers.scan(read(spark, folder, "documents").select("doc_id", "text"))
+    shown = secret_layers.base(F.col("found"))
+    return found.select("row.doc_id", *[secret_layers.count_of(shown, k).alias(f"n_{k}") for k in secret_layers.KINDS],
+                        F.sha2(secret_layers.listed(shown), 256).alias("base_sha256"), secret_layers.listed(F.col("found")).alias("spans"))
+
+
 QUERIES = {
     "op1_lm_scoring": lm_scores,
     "op1_lm_scoring_whole": whole_lm_scores,
@@ -116,4 +128,6 @@ QUERIES = {
     "op9_packing": packed_windows,
     "op10_source_mixing": mixed_sources,
     "op11_collocations": collocated_phrases,
+    "op12_importance_resampling": resampled,
+    "op13_layered_secrets": layered_secrets,
 }
