@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.functions.ordered import running_sums
 from paperloom.functions.text import extract
 
 _DEP = ["ecosystem", "name", "version"]
@@ -53,25 +54,71 @@ def advisory_severity(database_severity: Column, affected: Column) -> Column:
     return F.coalesce(F.when(F.coalesce(database_severity, F.lit("")) != "", F.lower(database_severity)), by_score, F.lit("unknown"))
 
 
+_PACKAGE = ["ecosystem", "name"]
+
+
+def _dyadic(first: Column, end: Column) -> Column:
+    """The numbers [first, end) as blocks (level, block) of 2^level numbers, two per level at most."""
+    blocks = "array<struct<level:int,block:bigint>>"
+
+    def step(acc: Column, level: Column) -> Column:
+        lo, hi = acc["lo"], acc["hi"]
+        block = lambda at: F.array(F.struct(level.alias("level"), at.alias("block")))
+        low, high = (lo < hi) & (lo % 2 == 1), (lo < hi) & (hi % 2 == 1)
+        out = F.concat(acc["out"], F.when(low, block(lo)).otherwise(F.array().cast(blocks)), F.when(high, block(hi - 1)).otherwise(F.array().cast(blocks)))
+        return F.struct(F.shiftright(lo + F.when(low, 1).otherwise(0), 1).alias("lo"), F.shiftright(hi - F.when(high, 1).otherwise(0), 1).alias("hi"), out.alias("out"))
+
+    start = F.struct(first.cast("bigint").alias("lo"), end.cast("bigint").alias("hi"), F.array().cast(blocks).alias("out"))
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(end, F.lit(1)).cast("double"))).cast("int") + 1)
+    return F.aggregate(levels, start, step)["out"]
+
+
+def versions_in_ranges(pairs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(ecosystem, name, version) and (ecosystem, name, introduced, fixed, id) -> the versions inside [introduced, fixed)
+    with the range's id, each once. No `introduced`: from the first version on; no `fixed`: no end.
+
+    A package's versions are numbered in their order, and one sweep over versions and ends of ranges
+    turns ranges into ranges of these numbers. A range of numbers is a few blocks of 2^n numbers, a version is
+    in one block per n: the two meet by equality, so no version is compared with a range it is not in, and
+    a package with most of the rows is many keys.
+    """
+    versions = pairs.withColumn("_key", version_key(F.col("version")))
+    bound = lambda c: F.coalesce(F.col(c), F.lit("0"))
+    ends = ranges.select(*_PACKAGE, "id", version_key(bound("introduced")).alias("_lo"), F.when(F.col("fixed").isNotNull(), version_key(F.col("fixed"))).alias("_hi"))
+    # Only packages that both sides know are swept.
+    known = ends.select(*_PACKAGE).distinct()
+    keys = versions.select(*_PACKAGE, "_key").distinct().join(known, _PACKAGE, "left_semi")
+    cuts = ends.select(*_PACKAGE, F.explode(F.array_compact(F.array("_lo", "_hi"))).alias("_key")).distinct()
+    points = keys.withColumn("_own", F.lit(1)).unionByName(cuts.withColumn("_own", F.lit(0)))
+    swept = running_sums(points, _PACKAGE, ["_key", "_own"], F.slice("_key", 1, 1), {"_upto": F.col("_own")}, F.slice("_key", 1, 3))
+    numbered = swept.filter("_own = 1").select(*_PACKAGE, "_key", (F.col("_upto") - 1).alias("_n"))
+    below = swept.filter("_own = 0").select(*_PACKAGE, "_key", F.col("_upto").alias("_below"))
+    total = keys.groupBy(*_PACKAGE).agg(F.count(F.lit(1)).alias("_total"))
+    spans = ends.join(below.withColumnsRenamed({"_key": "_lo", "_below": "_from"}), [*_PACKAGE, "_lo"]) \
+        .join(below.withColumnsRenamed({"_key": "_hi", "_below": "_to"}), [*_PACKAGE, "_hi"], "left").join(total, _PACKAGE) \
+        .select(*_PACKAGE, "id", "_from", F.coalesce("_to", "_total").alias("_to")).filter("_from < _to").distinct()
+    blocks = spans.select(*_PACKAGE, "id", F.explode(_dyadic(F.col("_from"), F.col("_to"))).alias("b")).select(*_PACKAGE, "id", "b.*")
+    level = F.sequence(F.lit(0), F.ceil(F.log2(F.col("_total").cast("double"))).cast("int"))
+    own = versions.join(numbered, [*_PACKAGE, "_key"]).join(total, _PACKAGE).select(*_PACKAGE, "version", "_n", F.explode(level).alias("level")) \
+        .select(*_PACKAGE, "version", "level", F.expr("shiftright(_n, level)").alias("block"))
+    return own.join(blocks, [*_PACKAGE, "level", "block"]).select(*_DEP, "id").distinct()
+
+
 def audit_deps(deps: DataFrame, advisories: DataFrame) -> DataFrame:
     """Versioned dependencies that an advisory names: listed version, or inside [introduced, fixed).
 
     Only distinct (package, version) pairs meet the advisories, so a package that a third of all
-    repositories use costs one row; the findings then join back to the dependency rows.
+    repositories use costs one row; the findings then join back to the dependency rows. Listed versions
+    meet by equality, ranges as numbered versions (`versions_in_ranges`).
     """
     pinned = deps.filter(F.coalesce("version", F.lit("")) != "")
-    pairs = pinned.select(*_DEP).distinct().withColumn("_key", version_key(F.col("version")))
+    pairs = pinned.select(*_DEP).distinct()
     aff, no_ranges = F.col("a"), F.array().cast("array<struct<introduced:string,fixed:string>>")
-    entries = advisories.select("id", F.explode("affected").alias("a")).select(
-        "id", aff["ecosystem"].alias("ecosystem"), aff["name"].alias("name"),
-        F.coalesce(aff["versions"], F.array().cast("array<string>")).alias("_versions"),
-        F.transform(F.coalesce(aff["ranges"], no_ranges), lambda r: F.struct(
-            version_key(F.coalesce(r["introduced"], F.lit("0"))).alias("lo"),
-            F.when(r["fixed"].isNotNull(), version_key(r["fixed"])).alias("hi"))).alias("_ranges"))
-    hit = F.array_contains("_versions", F.col("version")) | F.exists("_ranges", lambda r: (F.col("_key") >= r["lo"]) & (
-        r["hi"].isNull() | (F.col("_key") < r["hi"])))
-    # Only identifiers, names and ranges meet the packages; what the finding tells is joined by identifier.
-    matched = pairs.join(entries, ["ecosystem", "name"]).filter(hit).select(*_DEP, "id").distinct()
+    entries = advisories.select("id", F.explode("affected").alias("a")).select("id", aff["ecosystem"].alias("ecosystem"), aff["name"].alias("name"), "a")
+    listed = entries.select(*_PACKAGE, "id", F.explode(aff["versions"]).alias("version"))
+    ranges = entries.select(*_PACKAGE, "id", F.explode(aff["ranges"]).alias("r")).select(*_PACKAGE, "id", "r.introduced", "r.fixed")
+    matched = pairs.join(listed, _DEP).select(*_DEP, "id").union(versions_in_ranges(pairs, ranges)).distinct()
+    # What the finding tells is joined by identifier.
     told = advisories.select(
         "id", F.get(F.filter("aliases", lambda x: F.startswith(x, F.lit("CVE-"))), F.lit(0)).alias("cve_id"), F.coalesce("summary", F.lit("")).alias("summary"),
         F.get(F.filter("refs", lambda r: r["type"] == "WEB"), F.lit(0))["url"].alias("reference_url"), advisory_severity(F.col("severity"), F.col("affected")).alias("severity"),

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import fixed
 from paperloom.functions.ordered import previous_rows, running_sums, time_chunk
 from paperloom.functions.text import contains_any, let, literal_map, strip, text_array
-from paperloom.session import ship_package
+from paperloom.session import cut_lineage
 
 
 def repo_language(files: DataFrame) -> DataFrame:
@@ -139,36 +138,38 @@ def reuse_results(requests: DataFrame, ttl_seconds: int = fixed.REUSE_TTL_SECOND
     TTL before. Hits do not refresh the clock.
 
     A request at least one TTL after its predecessor always executes, so a key's history is cut there
-    and the stretches are independent. Within a stretch the rule is sequential; it runs over distinct
-    times, sorted, as a stream with one carried value, so no stretch is held in memory.
+    and the stretches are independent. Within a stretch an execution leads to the next one, the first
+    time at least one TTL later; so every time has one successor, at most one execution falls in a
+    slot of one TTL, and what executes is what the stretch's first time leads to. The successors are found
+    by running counts, then composed with themselves until none is left: after n rounds a step
+    spans 2^n executions. No key, and no stretch, is worked on in one task.
     """
     rows = reuse_key(requests).withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
-    times = rows.select("cache_key", "_us").distinct()
-    slot = F.floor(F.col("_us") / (ttl_seconds * 1_000_000))
-    near = previous_rows(times, ["cache_key"], ["_us"], slot, ["_us"], 1)
-    fresh = near.withColumn("_prev", F.get("previous", F.lit(0))["_us"]).withColumn(
-        "_new", (F.col("_prev").isNull() | (F.col("_us") - F.col("_prev") >= ttl_seconds * 1_000_000)).cast("int"))
-    parts = running_sums(fresh.select("cache_key", "_us", "_new"), ["cache_key"], ["_us"], slot, {"_part": F.col("_new")})
     ttl = ttl_seconds * 1_000_000
-    ship_package(requests.sparkSession)
-
-    def walk(batches):
-        key, last = None, 0
-        for pdf in batches:
-            ran = []
-            for k, p, t in zip(pdf["cache_key"], pdf["_part"], pdf["_us"]):
-                run = (k, p) != key or t - last >= ttl
-                if run:
-                    key, last = (k, p), t
-                ran.append(run)
-            yield pd.DataFrame({"cache_key": pdf["cache_key"], "_us": pdf["_us"], "_ran": ran})
-
-    decided = parts.repartition("cache_key", "_part").sortWithinPartitions("cache_key", "_part", "_us").mapInPandas(
-        walk, "cache_key string, _us bigint, _ran boolean")
+    slot, fine = F.floor(F.col("_at") / ttl), F.floor(F.col("_at") * 64 / ttl)
     # Requests at the very same time: the first in id order executes, the rest are served.
-    first = rows.groupBy("cache_key", "_us").agg(F.min("id").alias("_first"))
-    out = rows.join(decided, ["cache_key", "_us"]).join(first, ["cache_key", "_us"])
-    return out.withColumn("cache_hit", ~(F.col("_ran") & (F.col("id") == F.col("_first")))).drop("_us", "_ran", "_first")
+    times = rows.groupBy("cache_key", "_us").agg(F.min("id").alias("_first"))
+    # Numbers of the times, and how many times lie less than one TTL after each, in one running count.
+    marks = times.select("cache_key", "_us", F.explode(F.array(
+        F.struct(F.col("_us").alias("_at"), F.lit(1).alias("_own")), F.struct((F.col("_us") + ttl).alias("_at"), F.lit(0).alias("_own")))).alias("m")).select("cache_key", "_us", "m.*")
+    counted = running_sums(marks, ["cache_key"], ["_at", "_own"], slot, {"_n": F.col("_own")}, fine)
+    placed = cut_lineage(counted.groupBy("cache_key", "_us").agg(
+        F.max(F.when(F.col("_own") == 1, F.col("_n"))).alias("_n"), (F.max(F.when(F.col("_own") == 0, F.col("_n"))) + 1).alias("_next")))
+    # A time starts a stretch where the one before it leads straight to it, or nothing is before it.
+    before = placed.select("cache_key", (F.col("_n") + 1).alias("_n"), (F.col("_next") == F.col("_n") + 1).alias("_gap"))
+    nodes = placed.join(before, ["cache_key", "_n"], "left").withColumn("_new", F.coalesce("_gap", F.lit(True))).drop("_gap")
+    ran = nodes.filter("_new").select("cache_key", "_n")
+    inside = nodes.filter("NOT _new").select("cache_key", F.col("_n").alias("_next"))
+    step = cut_lineage(nodes.select("cache_key", "_n", "_next").join(inside, ["cache_key", "_next"]))
+    while not step.isEmpty():
+        reached = step.join(ran, ["cache_key", "_n"]).select("cache_key", F.col("_next").alias("_n"))
+        ran = cut_lineage(ran.union(reached).distinct())
+        further = step.select("cache_key", F.col("_n").alias("_next"), F.col("_next").alias("_far"))
+        step = cut_lineage(step.join(further, ["cache_key", "_next"]).select("cache_key", "_n", F.col("_far").alias("_next")))
+    executed = placed.join(ran, ["cache_key", "_n"]).select("cache_key", "_us", F.lit(True).alias("_ran"))
+    decided = times.join(executed, ["cache_key", "_us"], "left")
+    out = rows.join(decided, ["cache_key", "_us"])
+    return out.withColumn("cache_hit", ~(F.col("_ran").isNotNull() & (F.col("id") == F.col("_first")))).drop("_us", "_ran", "_first")
 
 
 def breaker_timeline(events: DataFrame, threshold: int = fixed.BREAKER_FAILURES, cooldown: float = fixed.BREAKER_COOLDOWN_SECONDS,

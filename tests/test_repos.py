@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,6 +156,55 @@ def test_reuse_matches_a_sequential_fold(spark):
     assert got == want
 
 
+def test_reuse_of_one_busy_key(spark):
+    """A key that never pauses for one TTL: one stretch of hundreds of executions, in microseconds, with ties on the border."""
+    rng = random.Random(4)
+    at, rows = 0, []
+    for i in range(3000):
+        at += rng.choice([0, 1, 250_000, 999_999, 1_000_000])
+        rows.append((i, "hot", "main", "scan", "s", False, T0 + dt.timedelta(microseconds=at)))
+    rows += [(3000 + i, f"k{i % 40}", "main", "scan", "s", True, T0 + dt.timedelta(seconds=i % 7)) for i in range(200)] + [(9000, None, "main", "scan", "s", None, None)]
+    df = spark.createDataFrame(rows, "id int, repo string, branch string, skill string, sha string, dry_run boolean, ts timestamp")
+    got = {r["id"]: r["cache_hit"] for r in K.reuse_results(df, 2).filter("ts IS NOT NULL").collect()}
+    last, want = {}, {}
+    for r in sorted(rows[:-1], key=lambda r: (r[6], r[0])):
+        k = (r[1], r[5])
+        want[r[0]] = k in last and r[6] - last[k] < dt.timedelta(seconds=2)
+        if not want[r[0]]:
+            last[k] = r[6]
+    assert got == want and sum(not v for v in want.values()) > 300
+
+
+def test_reuse_plan_has_no_python(spark):
+    df = spark.createDataFrame([(1, "r", "main", "scan", "s", False, T0)], "id int, repo string, branch string, skill string, sha string, dry_run boolean, ts timestamp")
+    assert not re.search("Python|Pandas|Arrow", K.reuse_results(df)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_version_intervals_against_every_comparison(spark):
+    rng = random.Random(6)
+    version = lambda: ".".join(str(rng.randrange(4)) for _ in range(rng.randrange(1, 4))) + rng.choice(["", "", "", "rc1", ".post2", "-beta"])
+    packages = ["a", "b", "hot", "hot", "hot"]
+    pairs = {("PyPI", rng.choice(packages), version()) for _ in range(300)}
+    ranges = [("PyPI", rng.choice([*packages, "none"]), rng.choice([None, "0", version()]), rng.choice([None, version(), version()]), f"A{i % 90}") for i in range(120)]
+    p = spark.createDataFrame(sorted(pairs), "ecosystem string, name string, version string")
+    r = spark.createDataFrame(ranges, "ecosystem string, name string, introduced string, fixed string, id string")
+    key = lambda c: D.version_key(F.col(c))
+    plain = p.join(r, ["ecosystem", "name"]).withColumn("introduced", F.coalesce("introduced", F.lit("0"))).filter(
+        (key("version") >= key("introduced")) & (F.col("fixed").isNull() | (key("version") < key("fixed"))))
+    rows = lambda df: sorted(tuple(x) for x in df.select("ecosystem", "name", "version", "id").distinct().collect())
+    got = D.versions_in_ranges(p, r)
+    want = rows(plain)
+    assert sorted(tuple(x) for x in got.select("ecosystem", "name", "version", "id").collect()) == want and len(want) > 500
+    assert rows(D.versions_in_ranges(p, r.limit(0))) == [] and rows(D.versions_in_ranges(p.limit(0), r)) == []
+
+
+def test_versions_of_one_busy_package(spark):
+    """10^5 versions and 10^4 narrow ranges of one package: the join sees the hits and the blocks, not all pairs."""
+    p = spark.range(100_000).selectExpr("'PyPI' AS ecosystem", "'hot' AS name", "concat(id div 100, '.', id % 100) AS version")
+    r = spark.range(10_000).selectExpr("'PyPI' AS ecosystem", "'hot' AS name", "concat(id % 1000, '.', id div 1000) AS introduced", "concat(id % 1000, '.', id div 1000 + 5) AS fixed", "CAST(id AS STRING) AS id")
+    assert D.versions_in_ranges(p, r).count() == 50_000
+
+
 def test_breaker_matches_a_sequential_walk(spark):
     rng = random.Random(5)
     rows, t = [], T0
