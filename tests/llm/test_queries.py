@@ -18,6 +18,8 @@ def folder_of(spark, tmp_path, empty):
     docs, labels = awkward(spark, empty), marks(spark, empty)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
+    wanted = [(1, prose(40)), (2, None), (2, ""), (None, prose(30, 2))]
+    spark.createDataFrame([] if empty else wanted, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     rows = [(1, "http://A.Example.net/en/x?y=1", "<p>a</p>"), (2, None, None), (None, "https://org/fr/", ""), (4, "no scheme", "x"), (4, "no scheme", "x"),
             (5, "://", "y"), (6, "http://h" + "/long" * 20_000, prose(50)), (7, "http://example.com/de/#f", "z")]
     spark.createDataFrame([] if empty else rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
@@ -35,7 +37,7 @@ def test_empty_tables(spark, tmp_path, name):
 def test_awkward_tables(spark, tmp_path, name):
     folder, docs = folder_of(spark, tmp_path, False)
     rows = queries.QUERIES[name](spark, folder).collect()
-    if name.split("_")[0] in ("op1", "op2", "op5", "op6", "op7", "op10"):
+    if name.split("_")[0] in ("op1", "op2", "op5", "op6", "op7", "op10", "op12", "op13"):
         ids = lambda got: sorted(r["doc_id"] or 0 for r in got)
         assert ids(rows) == ids(docs.collect())  # one row per row, repeated and nameless ones included
     elif name.startswith("op8"):
@@ -47,6 +49,6 @@ def test_awkward_tables(spark, tmp_path, name):
 
 def test_awkward_against_sql(spark, tmp_path):
     folder, _ = folder_of(spark, tmp_path, False)
-    c = duck({n: spark.read.parquet(f"{folder}/{n}.parquet").toArrow() for n in ("documents", "labels", "pages")})
-    for name in ("op7_quality_rules", "op8_url_filters", "op10_source_mixing"):
+    c = duck({n: spark.read.parquet(f"{folder}/{n}.parquet").toArrow() for n in ("documents", "labels", "pages", "benchmark")})
+    for name in ("op7_quality_rules", "op8_url_filters", "op10_source_mixing", "op11_collocations", "op12_importance_resampling"):
         assert same(queries.QUERIES[name](spark, folder), c, oracle.ORACLE[name])

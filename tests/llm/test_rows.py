@@ -207,3 +207,43 @@ def test_mixed_rows(spark):
     assert out.columns == docs.columns and mixing.mixed(awkward(spark, True)).count() == 0
     sizes = sum(plain_measures(r["text"])[0] for r in out.collect())
     assert sizes == sum(r["taken"] for r in mixing.mix(docs).collect())
+
+
+def test_mix_splits_equal_rows(spark, tmp_path):
+    """A thousand equal rows of one identifier, and a thousand without one: near the target, as the SQL has it."""
+    from paperloom.llm import oracle, queries
+    from tests.llm.helpers import duck, same
+
+    one = [(7, "a", "one two three four five six seven eight nine ten")] * 1000 + [(i, "b", "w " * (i % 9)) for i in range(300)]
+    none = [(None, "a", "one two three four five")] * 1000 + [(None, None, "x y")] * 37 + [(5, "c", "p q")] * 3
+    for name, rows in (("one", one), ("none", none)):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{folder}/documents.parquet")
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        assert same(queries.mixed_sources(spark, folder), duck({"documents": docs.toArrow()}), oracle.ORACLE["op10_source_mixing"]) == len(rows)
+        sums = queries.mixed_sources(spark, folder).groupBy("target").agg({"taken": "sum", "size": "max"}).collect()
+        assert all(abs(r["target"] - r["sum(taken)"]) <= r["max(size)"] for r in sums)
+
+
+def test_mix_of_very_many_sources(spark):
+    many = spark.range(mixing.MAX_PATTERNS + 5).selectExpr("id AS doc_id", "concat('s', id) AS source", "'a b c' AS text")
+    assert {r["copies"] for r in mixing.mix(many).select("copies").distinct().collect()} <= {1, 2} and mixing.mix(many).count() == mixing.MAX_PATTERNS + 5
+
+
+def test_mix_where_workers_cannot_import_the_package(tmp_path):
+    """A session started elsewhere, whose workers see neither the repository nor its folder."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+sys.path.insert(0, {root!r})
+from paperloom.llm import mixing
+assert mixing.mix(spark.createDataFrame([(1, "a", "x y")], "doc_id long, source string, text string")).count() == 1
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=300)
