@@ -106,7 +106,7 @@ def _end_index_rows(text: Column) -> Column:
     return find_spans(slice_text(text, base, F.length(text)), LINES_NOCASE + fixed.END_INDEX_PATTERN, shape=_of_kind("end_index", base))
 
 
-def _describe(rows: DataFrame) -> DataFrame:
+def _describe(rows: DataFrame, note_chars: int | None = fixed.INDEX_NOTE_CHARS) -> DataFrame:
     """Read the fields of every candidate off its match. Plain columns after the explode, so they are
     compiled; each pattern runs only on rows of its own kind."""
     kind, hit = F.col("kind"), F.col("hit")
@@ -134,20 +134,21 @@ def _describe(rows: DataFrame) -> DataFrame:
     )
     item = F.when(head | index, F.col("_raw")).when(title, F.col("_key")[0]).otherwise(F.col("item_number"))
     near = F.concat(F.col("pre"), left(F.concat(hit, F.col("post")), 200))
+    short = lambda c: c if note_chars is None else left(c, note_chars)
     return rows.select(
         "filing_id", "total_chars", "kind", "idx", "gap", F.coalesce(F.length(hit), F.lit(0)).alias("len"), "base",
         # The whitespace run before a title belongs to it even when the previous hit took it.
         F.when(title & (F.col("gap") == 0) & (F.col("idx") > 0), F.length(extract("pre", r"(\n[\s|]*)$", 1))).alias("shift"),
         item.alias("item_number"),
         F.when(head | title, name).when(part, F.coalesce(roman[F.col("_raw")], F.col("_raw")))
-        .when(index, F.when(rlike(name, gone), "Reserved").otherwise(left(name, 120))).otherwise(F.col("heading_text")).alias("heading_text"),
+        .when(index, F.when(rlike(name, gone), "Reserved").otherwise(short(name))).otherwise(F.col("heading_text")).alias("heading_text"),
         F.when(head, title_score(F.col("_raw"), name)).alias("score"),
         F.when(head, looks_like_toc(hit)).alias("toc_like"), F.when(head, looks_like_toc(near)).alias("toc_near"),
         F.when(title, rlike(strip("pre"), r"[a-z][a-z]{2,}$")).alias("mid_sentence"),
         F.when(title, F.col("_key")[1].cast("int")).otherwise(F.col("rank")).alias("rank"),
         F.when(title, F.col("_key")[2].cast("int")).alias("case_rank"),
         F.when(index, listed).otherwise(F.col("status_hint")).alias("status_hint"),
-        F.when(index, left(third, 120)).otherwise(F.col("page_note")).alias("page_note"), "end_pos")
+        F.when(index, short(third)).otherwise(F.col("page_note")).alias("page_note"), "end_pos")
 
 
 def _reference_rows(text: Column) -> Column:
@@ -247,15 +248,17 @@ _DETECTORS = {"heading": _heading_rows, "title": _title_candidates, "part": _par
               "cover": _cover_rows, "reference": _reference_rows}
 
 
-def candidates(texts: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """texts(filing_id, text) -> one narrow row per candidate, plus one `doc` row per filing."""
+def candidates(texts: DataFrame, only: list[str] | None = None, note_chars: int | None = fixed.INDEX_NOTE_CHARS) -> DataFrame:
+    """texts(filing_id, text) -> one narrow row per candidate, plus one `doc` row per filing. Titles and notes of an
+    end index keep `note_chars` characters (None: all)."""
     t = F.col("text")
     everything = F.concat(
         F.array(_row(kind=F.lit("doc"))), *[fn(t) for name, fn in _DETECTORS.items() if only is None or name in only])
     raw = texts.select("filing_id", F.length(t).alias("total_chars"), F.explode(everything).alias("c")).select(
         "filing_id", "total_chars", "c.*")
     # One exchange by filing for every later step; none where the texts lie by filing already.
-    rows = _describe(raw) if dealt_by(texts, "filing_id") else _describe(raw).repartition("filing_id")
+    rows = _describe(raw, note_chars)
+    rows = rows if dealt_by(texts, "filing_id") else rows.repartition("filing_id")
     run = Window.partitionBy("filing_id", "kind").orderBy("idx")
     before = run.rowsBetween(Window.unboundedPreceding, -1)
     pos = (

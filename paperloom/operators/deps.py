@@ -104,15 +104,14 @@ def versions_in_ranges(pairs: DataFrame, ranges: DataFrame) -> DataFrame:
     return own.join(blocks, [*_PACKAGE, "level", "block"]).select(*_DEP, "id").distinct()
 
 
-def audit_deps(deps: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Versioned dependencies that an advisory names: listed version, or inside [introduced, fixed).
+def _pinned(deps: DataFrame) -> DataFrame:
+    return deps.filter(F.coalesce("version", F.lit("")) != "")
 
-    Only distinct (package, version) pairs meet the advisories, so a package that a third of all
-    repositories use costs one row; the findings then join back to the dependency rows. Listed versions
-    meet by equality, ranges as numbered versions (`versions_in_ranges`).
-    """
-    pinned = deps.filter(F.coalesce("version", F.lit("")) != "")
-    pairs = pinned.select(*_DEP).distinct()
+
+def package_findings(deps: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Findings per distinct versioned package: listed by an advisory, or inside one of its [introduced, fixed). Listed
+    versions meet by equality, ranges as numbered versions (`versions_in_ranges`)."""
+    pairs = _pinned(deps).select(*_DEP).distinct()
     aff, no_ranges = F.col("a"), F.array().cast("array<struct<introduced:string,fixed:string>>")
     entries = advisories.select("id", F.explode("affected").alias("a")).select("id", aff["ecosystem"].alias("ecosystem"), aff["name"].alias("name"), "a")
     listed = entries.select(*_PACKAGE, "id", F.explode(aff["versions"]).alias("version"))
@@ -125,10 +124,17 @@ def audit_deps(deps: DataFrame, advisories: DataFrame) -> DataFrame:
         F.transform("affected", lambda x: F.struct(F.lower(x["name"]).alias("name"), F.get(F.filter(F.transform(
             F.coalesce(x["ranges"], no_ranges), lambda r: r["fixed"]), lambda f: f.isNotNull()), F.lit(0)).alias("fixed"))).alias("_fixes")).dropDuplicates(["id"])
     fixed_version = F.get(F.filter("_fixes", lambda x: (x["name"] == F.lower("name")) & x["fixed"].isNotNull()), F.lit(0))["fixed"]
-    found = matched.join(told, "id").select(
+    return matched.join(told, "id").select(
         *_DEP, F.col("id").alias("advisory_id"), F.coalesce("cve_id", F.lit("")).alias("cve_id"), "severity", "summary", fixed_version.alias("fixed_version"),
         F.coalesce("reference_url", F.lit("")).alias("reference_url"))
-    return pinned.select("repo", *_DEP).join(found, _DEP)
+
+
+def audit_deps(deps: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Versioned dependencies that an advisory names, with what it tells. Only distinct (package, version) pairs
+    meet the advisories, so a package that a third of all repositories use costs one row; the findings
+    then join back to the dependency rows.
+    """
+    return _pinned(deps).select("repo", *_DEP).join(package_findings(deps, advisories), _DEP)
 
 
 def _major(version: Column) -> Column:
@@ -147,6 +153,27 @@ def outdated(deps: DataFrame, latest: DataFrame, first_n: int | None = None) ->
                        F.coalesce(_major(F.col("latest_version")) > _major(F.col("version")), F.lit(False)).alias("is_major_bump"))
 
 
+_SEVERITIES = ("critical", "high", "medium")
+
+
+def audit(deps: DataFrame, advisories: DataFrame, latest: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """`audit_summary` in one pass over the dependencies: findings and newest versions are facts of a package, so they are
+    counted per package and joined to the dependencies once, and one roll-up gives all counts. `repos`
+    adds repositories without packages."""
+    facts = package_findings(deps, advisories).groupBy(*_DEP).agg(
+        F.count(F.lit(1)).alias("vulnerabilities"), *[F.count_if(F.col("severity") == s).alias(f"{s}_count") for s in _SEVERITIES])
+    newest = latest.filter("version <> ''").groupBy(*_PACKAGE).agg(F.collect_list("version").alias("_newest"))
+    rows = deps.select("repo", *_DEP).join(facts, _DEP, "left").join(newest, _PACKAGE, "left")
+    old = F.when((F.coalesce("version", F.lit("")) != "") & (F.col("ecosystem") == "PyPI") & F.col("_newest").isNotNull(), F.size(F.filter("_newest", lambda v: v != F.col("version")))).otherwise(0)
+    rows = rows.withColumn("_old", old)
+    if repos is not None:
+        rows = rows.withColumn("_is", F.lit(1)).unionByName(repos.select("repo").distinct(), allowMissingColumns=True)
+    total = F.count("_is") if repos is not None else F.count(F.lit(1))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in [("vulnerabilities",) * 2, *[(f"{s}_count",) * 2 for s in _SEVERITIES], ("_old", "outdated")]]
+    return _verdict(rows.groupBy("repo").agg(
+        total.alias("total_dependencies"), F.array_join(F.array_sort(F.collect_set("ecosystem")), ",").alias("ecosystems"), *sums))
+
+
 def audit_summary(deps: DataFrame, findings: DataFrame, old: DataFrame, repos: DataFrame | None = None) -> DataFrame:
     """Per repository: counts by severity, outdated packages, verdict. `repos` adds those without packages."""
     total = deps.groupBy("repo").agg(
@@ -155,10 +182,13 @@ def audit_summary(deps: DataFrame, findings: DataFrame, old: DataFrame, repos: D
         total = repos.select("repo").distinct().join(total, "repo", "left")
     bad = findings.groupBy("repo").agg(
         F.count(F.lit(1)).alias("vulnerabilities"),
-        *[F.count_if(F.col("severity") == s).alias(f"{s}_count") for s in ("critical", "high", "medium")])
+        *[F.count_if(F.col("severity") == s).alias(f"{s}_count") for s in _SEVERITIES])
     stale = old.groupBy("repo").agg(F.count(F.lit(1)).alias("outdated"))
-    out = total.join(bad, "repo", "left").join(stale, "repo", "left").fillna(0).fillna("", ["ecosystems"])
-    return out.withColumn("status", F.when(F.col("critical_count") + F.col("high_count") > 0, "vulnerabilities_found")
+    return _verdict(total.join(bad, "repo", "left").join(stale, "repo", "left").fillna(0).fillna("", ["ecosystems"]))
+
+
+def _verdict(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("status", F.when(F.col("critical_count") + F.col("high_count") > 0, "vulnerabilities_found")
                           .when((F.col("medium_count") > 0) | (F.col("outdated") > 0), "warnings").otherwise("clean")) \
         .withColumn("note", F.when(F.col("total_dependencies") == 0,
                                    "No lockfiles found (requirements.txt, pyproject.toml, package-lock.json)").otherwise(""))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import fixed
+from paperloom.functions.ordered import running_sums
 from paperloom.functions.text import extract, left, let, rlike, strip
 
 
@@ -50,10 +51,24 @@ def changelog_lines(commits: DataFrame) -> DataFrame:
     return commits.select("repo", "ord", section.alias("section"), line.alias("line"))
 
 
+def changelog_parts(commits: DataFrame, tags: DataFrame, part_chars: int = fixed.CHANGELOG_PART_CHARS, max_commits: int | None = None) -> DataFrame:
+    """The changelog's sections as ordered parts of about `part_chars` characters: repo, section, part, text, for histories
+    that no single row should hold. The text of a section is its parts in order, one per line.
+
+    Lines are numbered by their running length, chunk by chunk of commits, and joined within their part, so neither
+    a repository nor a section is one task or one row.
+    """
+    lines = changelog_lines(commits_since_tag(commits, tags, max_commits)).withColumn("_size", F.length("line") + 1)
+    chunk = F.floor(F.col("ord") / 1000)
+    placed = running_sums(lines, ["repo", "section"], ["ord"], chunk, {"_upto": F.col("_size")})
+    part = F.floor((F.col("_upto") - F.col("_size")) / part_chars).cast("long")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]), "\n")
+    return placed.groupBy("repo", "section", part.alias("part")).agg(joined.alias("text"))
+
+
 def release_notes(commits: DataFrame, tags: DataFrame, max_commits: int | None = None) -> DataFrame:
     """Per repository: current tag, version step, next version, changelog text of all commits since the
-    tag (at most `max_commits`, if given). `changelog_lines` gives the same lines as rows, for histories
-    that no single row should hold.
+    tag (at most `max_commits`, if given). `changelog_parts` gives the same lines in parts of bounded size.
     """
     since = commits_since_tag(commits, tags, max_commits)
     msg = F.col("message")

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from paperloom.operators import boundaries as B
 from paperloom.operators import filing_text as T
 from paperloom.operators import items as I
+from paperloom.operators import refine as R
 from paperloom.plans import adapters as A
 from paperloom.plans import filings_oracle as O
-from paperloom.session import cut_lineage
+from paperloom.session import cut_lineage, work_folder
+from paperloom.sources.corpus_store import read_corpus, write_corpus
 
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,7 +121,33 @@ def toc_lines(spark, folder):
     return T.extract_toc(texts(spark, folder))
 
 
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The filings as a stored corpus, read by its folder as another application would."""
+    at = work_folder(spark, "corpus")
+    write_corpus(texts(spark, folder), at)
+    return read_corpus(spark, at)
+
+
+def stored_items(spark, folder):
+    return _digest(I.extract_items(stored(spark, folder))).select(
+        "filing_id", "part", "item_number", "item_title", "range_start", "range_end", F.round("confidence", 4).alias("confidence"),
+        "extraction_method", "status", "content_md5")
+
+
+def stored_validation(spark, folder):
+    return I.validation_report(I.extract_items(stored(spark, folder), validate=True))
+
+
+def stored_gap_excerpts(spark, folder):
+    t = stored(spark, folder)
+    return R.gap_excerpts(B.boundaries(t), t).select(
+        "filing_id", "gap_id", "prev_item", "next_item", "gap_start", "gap_end", F.md5("excerpt").alias("excerpt_md5"), "full_doc_mode")
+
+
 QUERIES = {
+    "stored_items": stored_items,
+    "stored_validation": stored_validation,
+    "stored_gap_excerpts": stored_gap_excerpts,
     "filing_items": filing_items,
     "item_headings": item_headings,
     "resolved_headings": resolved_headings,
@@ -189,3 +217,6 @@ ORACLE = {
       rtrim({O.strip(f"regexp_extract(hit, {O.q('(?mi)' + O.fixed.TOC_LINE_PATTERN)}, 3)")}, '.') AS title,
       coalesce(regexp_extract(hit, {O.q('(?mi)' + O.fixed.TOC_LINE_PATTERN)}, 4), '') AS page, start_pos AS position_hint FROM c0""",
 }
+
+# A stored corpus gives what the plain table gives.
+ORACLE |= {"stored_items": ORACLE["filing_items"], "stored_validation": ORACLE["validation_report"]}

@@ -109,7 +109,7 @@ def _quality(s, d):
 
 def _audit(s, d):
     merged = D.merge_deps(A.bind(s, d, DEPS))
-    return D.audit_summary(merged, D.audit_deps(merged, _advisories(s, d)), D.outdated(merged, A.bind(s, d, LATEST)))
+    return D.audit(merged, _advisories(s, d), A.bind(s, d, LATEST))
 
 
 QUERIES = {
@@ -131,6 +131,9 @@ QUERIES = {
     "commits_since_tag": lambda s, d: R.commits_since_tag(A.bind(s, d, COMMITS), A.bind(s, d, TAGS)).select("repo", "ord", "sha", "message"),
     "all_commits_since_tag": lambda s, d: R.commits_since_tag(A.bind(s, d, COMMITS), A.bind(s, d, TAGS), None).groupBy("repo").agg(F.count(F.lit(1)).alias("commits")),
     "release_notes": lambda s, d: R.release_notes(A.bind(s, d, COMMITS), A.bind(s, d, TAGS)).fillna("", ["current_version"]),
+    "changelog_lines": lambda s, d: R.changelog_lines(R.commits_since_tag(A.bind(s, d, COMMITS), A.bind(s, d, TAGS))),
+    # Small parts, so that the tables' histories have several.
+    "changelog_parts": lambda s, d: R.changelog_parts(A.bind(s, d, COMMITS), A.bind(s, d, TAGS), 200),
     "skill_matches": lambda s, d: K.match_requests(A.bind(s, d, REQUESTS)).fillna("", ["skill"]).fillna(0.0, ["confidence"]).select(
         "id", "skill", F.round("confidence", 6).alias("confidence")),
     "sanitised_plans": _plans,
@@ -185,6 +188,9 @@ _CLEAN = lambda c: f"list_filter(list_transform(string_split({c}, ','), lambda x
 _UNIQ = lambda c: f"list_filter({c}, lambda x, i: list_position({c}, x) = i)"
 _SEC = lambda n, title: f"CASE WHEN count(*) FILTER (WHERE sec = {n}) > 0 THEN '{title}' || chr(10) || string_agg(line, chr(10) ORDER BY ord) FILTER (WHERE sec = {n}) || chr(10) END"
 
+_LINES = f"""WITH {_SINCE('')}, ls AS (SELECT repo, ord, CASE WHEN regexp_matches(msg, {q('(?i)' + fixed.FEATURE_COMMIT)}) THEN 1 WHEN regexp_matches(msg, {q('(?i)' + fixed.FIX_COMMIT)}) THEN 2 ELSE 3 END AS section,
+  '- ' || msg || ' (' || substr(sha, 1, 7) || ') @' || author AS line FROM since)"""
+
 ORACLE = {
     "secret_findings": f"WITH {_FINDINGS} SELECT * FROM found",
     "secret_summary": f"""WITH {_FINDINGS} SELECT f.repo, count(DISTINCT f.path) AS files_scanned, coalesce(any_value(c.n_critical), 0) AS n_critical, coalesce(any_value(c.n_high), 0) AS n_high, coalesce(any_value(c.n_medium), 0) AS n_medium, 0 AS n_low,
@@ -222,6 +228,9 @@ ORACLE = {
       SELECT repo, coalesce(tag, '') AS current_version, n AS commits_since_tag, CASE WHEN n = 0 AND tag IS NOT NULL THEN 'skipped' ELSE 'preview' END AS status, CASE WHEN n = 0 AND tag IS NOT NULL THEN 'none' ELSE bump END AS version_bump,
         CASE WHEN n = 0 AND tag IS NOT NULL THEN tag ELSE nxt END AS next_version, CASE WHEN n = 0 AND tag IS NOT NULL THEN 'No new commits since last release.'
           ELSE concat_ws(chr(10), '## ' || nxt || ' — What''s Changed (' || CASE WHEN tag IS NULL THEN 'initial release' ELSE 'since ' || tag END || ')' || chr(10), secs, CASE WHEN n = 0 THEN '_No changes detected._' END) END AS changelog FROM k""",
+    "changelog_lines": _LINES + " SELECT repo, ord, section, line FROM ls",
+    "changelog_parts": _LINES + """, p AS (SELECT *, (sum(length(line) + 1) OVER (PARTITION BY repo, section ORDER BY ord) - length(line) - 1)::BIGINT // 200 AS part FROM ls)
+      SELECT repo, section, part, string_agg(line, chr(10) ORDER BY ord) AS text FROM p GROUP BY repo, section, part""",
     "skill_matches": f"""WITH r AS (SELECT id, lower(trim(raw)) AS t FROM ({A.duck(REQUESTS)}) x), ph(skill, so, phrase) AS (VALUES {_PHRASES}),
       u AS (SELECT DISTINCT t FROM r), s AS (SELECT t, skill, so, max(greatest(len(list_intersect({_TOK.format(x='t')}, {_TOK.format(x='phrase')})) / len({_TOK.format(x='phrase')}), CASE WHEN contains(t, phrase) THEN 0.8::DOUBLE ELSE 0 END)) AS score FROM u, ph GROUP BY t, skill, so),
       b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY t ORDER BY score DESC, so) = 1)

@@ -44,6 +44,12 @@ def stage_pairs(spark, folder):
         "trace_id", "stage", F.unix_micros("started").alias("started"), F.coalesce(F.unix_micros("ended"), F.lit(0)).alias("ended"), "timed_out")
 
 
+def live_stage_join(spark, folder):
+    out = run_available(live.live_stage_join(_events(spark, folder, PROGRESS), "24 hours", NOW), closing=True)
+    return out.select("trace_id", "stage", F.unix_micros("started").alias("started"), F.coalesce(F.unix_micros("ended"), F.lit(0)).alias("ended"),
+                      F.coalesce("outcome", F.lit("")).alias("outcome"), "timed_out")
+
+
 def _steps(spark, folder):
     return _events(spark, folder, web.STEPS.replace("SELECT ", "SELECT ts, ", 1)).withColumn("after", F.struct("url"))
 
@@ -51,7 +57,8 @@ def _steps(spark, folder):
 def _finished(spark, folder):
     """The guard on finished runs: every batch of runs is judged with its recorded steps."""
     # One run is finished by its latest event; DISTINCT is for the batch form, a stream takes each run's first row.
-    runs = _stream(spark, folder, "events", web.RUNS.replace("SELECT DISTINCT ", "SELECT ")).dropDuplicates(["trace_id"])
+    # It is remembered until the watermark is WHOLE behind it, so the state is that of the runs of that time.
+    runs = _events(spark, folder, web.RUNS.replace("SELECT DISTINCT ", "SELECT ts, ")).withWatermark("ts", WHOLE).dropDuplicatesWithinWatermark(["trace_id"]).drop("ts")
     none = web._steps(spark, folder).schema["after"].dataType
 
     def steps_of(batch):
@@ -64,6 +71,8 @@ def _finished(spark, folder):
 # The whole table is there at once, so the watermark need not wait for stragglers; the closing empty batch
 # releases every row.
 NOW = "0 seconds"
+# Longer than the tables reach: what is remembered this long is remembered over the whole table.
+WHOLE = "60 days"
 
 
 QUERIES = {
@@ -76,6 +85,8 @@ QUERIES = {
     "live_stage_pairs": live_stages,
     "stage_pairs": stage_pairs,
     "live_reuse": lambda s, d: run_available(live.live_reuse(_events(s, d, repos.REUSE), 43200, NOW), closing=True),
+    "live_stage_join": live_stage_join,
+    "live_reuse_cheap": lambda s, d: run_available(live.live_reuse_cheap(_events(s, d, repos.REUSE), WHOLE)).select("cache_key"),
     "live_guarded_runs": _finished,
     "live_secret_scan": lambda s, d: run_available(live.live_secret_scan(_stream(s, d, "documents", repos.FILES), extra=True)).select(
         "repo", "path", "line", "severity", "description", "match_preview"),
@@ -95,6 +106,10 @@ ORACLE = {
     # A start is out once the stream knows its next event or its timeout has passed.
     "live_stage_pairs": _PAIRS + f"""SELECT trace_id, stage, epoch_us(started) AS started, coalesce(epoch_us(ended), 0) AS ended, CASE WHEN ended IS NULL THEN '' ELSE nxt_outcome END AS outcome, ended IS NULL AS timed_out FROM j
       WHERE nxt IS NOT NULL OR epoch_us(started) // 1000 + 86400000 < (SELECT max(epoch_us(ts)) // 1000 FROM ({A.duck(PROGRESS)}) x)""",
+    # A start is out once the watermark, the latest time of all, is a timeout behind it.
+    "live_stage_join": _PAIRS + f"""SELECT trace_id, stage, epoch_us(started) AS started, coalesce(epoch_us(ended), 0) AS ended, CASE WHEN ended IS NULL THEN '' ELSE nxt_outcome END AS outcome, ended IS NULL AS timed_out FROM j
+      WHERE epoch_us(started) // 1000 + 86400000 < (SELECT max(epoch_us(ts)) // 1000 FROM ({A.duck(PROGRESS)}) x)""",
+    "live_reuse_cheap": f"SELECT DISTINCT 'cicd:v1:' || repo || ':main:' || skill || ':' || substr(sha, 1, 12) || ':' || dry_run AS cache_key FROM ({A.duck(repos.REUSE)}) x",
     "stage_pairs": _PAIRS + "SELECT trace_id, stage, epoch_us(started) AS started, coalesce(epoch_us(ended), 0) AS ended, ended IS NULL AS timed_out FROM j",
     "live_guarded_runs": web.ORACLE["guarded_runs"],
     "live_reuse": repos.ORACLE["result_reuse"],

@@ -164,7 +164,8 @@ QUERIES = {
     "recovery_actions": lambda s, d: R.recovery_actions(R.triage_failures(_paired(s, d)).withColumn("recovery", F.when(
         F.col("step_number") % 3 == 0, "Click [button] 'Submit'").when(F.col("step_number") % 3 == 1, "role=textbox name='Customer'").otherwise("Try again"))).fillna(
         "", ["alt_action", "alt_target", "alt_value"]).groupBy("root_cause", "alt_action", "alt_target").agg(F.count(F.lit(1)).alias("steps")),
-    "stuck_loops": lambda s, d: R.stuck_loops(_steps(s, d), 2),
+    "stuck_loops": lambda s, d: R.stuck_loops(_steps(s, d)),
+    "repeated_steps": lambda s, d: R.stuck_loops(_steps(s, d), 2),
     "guarded_runs": lambda s, d: _guarded(s, d).fillna("", ["guard_mode"]).select("trace_id", "status", "guarded_status", "guard_mode"),
     "parsed_outputs": lambda s, d: _parsed(s, d).select("id", "model", F.coalesce("object_json", F.lit("")).alias("object_json"), F.coalesce("array_json", F.lit("")).alias("array_json")),
     "output_verdicts": lambda s, d: M.verdicts(_parsed(s, d)).select("id", "model", "complete", "confidence", F.md5("answer").alias("answer_md5")),
@@ -310,6 +311,9 @@ ORACLE = {
         CASE root_cause WHEN 'unexpected_popup' THEN 'close button or dismiss popup' WHEN 'element_hidden' THEN target WHEN 'page_not_loaded' THEN 'page to load'
           WHEN 'element_not_found' THEN CASE step_number % 3 WHEN 0 THEN 'button Submit' WHEN 1 THEN 'textbox Customer' ELSE target END ELSE '' END AS alt_target FROM triaged) SELECT *, count(*) AS steps FROM ra GROUP BY ALL""",
     "stuck_loops": f"""WITH st AS (SELECT trace_id, step_number, action_type || ': ' || target AS action, url FROM ({A.duck(STEPS)}) x),
+      g AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY step_number) - row_number() OVER (PARTITION BY trace_id, action, url ORDER BY step_number) AS isl FROM st)
+      SELECT trace_id, count(*) AS length, min(step_number) AS first_step, max(step_number) AS last_step, action, url FROM g GROUP BY trace_id, action, url, isl HAVING count(*) >= 3""",
+    "repeated_steps": f"""WITH st AS (SELECT trace_id, step_number, action_type || ': ' || target AS action, url FROM ({A.duck(STEPS)}) x),
       g AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY step_number) - row_number() OVER (PARTITION BY trace_id, action, url ORDER BY step_number) AS isl FROM st)
       SELECT trace_id, count(*) AS length, min(step_number) AS first_step, max(step_number) AS last_step, action, url FROM g GROUP BY trace_id, action, url, isl HAVING count(*) >= 2""",
     "guarded_runs": f"WITH {_GUARD} SELECT trace_id, status, guarded_status, guard_mode FROM guarded",

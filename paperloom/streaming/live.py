@@ -8,6 +8,7 @@ in processing time instead, after which the key starts anew.
 
 from __future__ import annotations
 
+import pickle
 import sys
 
 import pandas as pd
@@ -44,10 +45,17 @@ def _ms(us: int) -> int:
     return us // 1000
 
 
+def _second(ms: int) -> int:
+    return ms // 1000
+
+
 class _InOrder(StatefulProcessor):
     """Holds rows (tuples that start with their time in microseconds) until the watermark has passed them.
 
-    Subclasses say what a row holds (`fields`), what is carried (`memory`), and work on released rows.
+    The rows of a second are one entry of a map, with a timer of its own: a timer reads the rows that are due (and at
+    most their second's rest), however many a key holds. Timers fire in the order of time, so rows are worked on
+    in that order. Subclasses say what a row holds (`fields`), what is carried (`memory`), work on released
+    rows, and may ask for further timers (`alarms`).
     """
 
     fields, memory, columns = "", "", []
@@ -57,34 +65,53 @@ class _InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", f"us bigint, {self.fields}")
+        self.held = handle.getMapState("held", "second bigint", "first bigint, rows binary")
         self.state = handle.getValueState("memory", self.memory, self.ttl_ms)
 
+    def _entry(self, second: int) -> tuple[int | None, list[tuple]]:
+        found = self.held.getValue((second,)) if self.held.containsKey((second,)) else None
+        return (int(found[0]), pickle.loads(bytes(found[1]))) if found else (None, [])
+
+    def _keep(self, second: int, rows: list[tuple]) -> None:
+        first = min(r[0] for r in rows)
+        self.held.updateValue((second,), (first, pickle.dumps(rows)))
+        self.handle.registerTimer(_ms(first) - 1)
+
     def handleInputRows(self, key, rows, timerValues):
-        first = None
+        names = ["us", *[f.strip().split(" ")[0] for f in self.fields.split(",")]]
         for pdf in rows:  # one Arrow batch at a time
-            held = pdf[["us", *[f.strip().split(" ")[0] for f in self.fields.split(",")]]]
-            self.held.appendList([tuple(x.item() if hasattr(x, "item") else x for x in r) for r in held.itertuples(index=False, name=None)])
-            first = int(pdf["us"].min()) if first is None else min(first, int(pdf["us"].min()))
-        if first is not None:
-            self.handle.registerTimer(_ms(first) - 1)
+            for second, part in pdf.groupby(pdf["us"] // 1_000_000):
+                new = [tuple(x.item() if hasattr(x, "item") else x for x in r) for r in part[names].itertuples(index=False, name=None)]
+                before, old = self._entry(int(second))
+                if before is not None and before > min(r[0] for r in new):
+                    self.handle.deleteTimer(_ms(before) - 1)
+                self._keep(int(second), old + new)
+                for at in self.alarms(new):
+                    self.handle.registerTimer(at)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        mark = timerValues.getCurrentWatermarkInMs()
-        every = [tuple(r) for r in self.held.get()]
-        due, rest = sorted(r for r in every if _ms(r[0]) <= mark), [r for r in every if _ms(r[0]) > mark]
-        if due:
-            self.held.put(rest) if rest else self.held.clear()
-            if rest:
-                self.handle.registerTimer(_ms(min(r[0] for r in rest)) - 1)
+        mark, at = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        second = _second(at + 1)
+        first, rows = self._entry(second)
+        due, rest = sorted(r for r in rows if _ms(r[0]) <= mark), [r for r in rows if _ms(r[0]) > mark]
+        if rest and due:
+            self._keep(second, rest)
+        elif due:
+            self.held.removeKey((second,))
         memory = tuple(self.state.get()) if self.state.exists() else None
-        out, memory = self.work(key, due, memory, mark)
-        self.state.update(memory) if memory is not None else self.state.clear()
+        out, changed = self.work(key, due, memory, at)
+        if changed != memory:
+            self.state.update(changed) if changed is not None else self.state.clear()
         if out:
             yield pd.DataFrame(out, columns=self.columns)
 
-    def work(self, key, rows: list[tuple], memory: tuple | None, mark: int) -> tuple[list[tuple], tuple | None]:
+    def alarms(self, rows: list[tuple]) -> list[int]:
+        """Times in milliseconds at which `work` is to be called besides."""
+        return []
+
+    def work(self, key, rows: list[tuple], memory: tuple | None, now: int) -> tuple[list[tuple], tuple | None]:
+        """Rows to put out and what to carry. All rows up to `now` (milliseconds) have been given."""
         raise NotImplementedError
 
     def close(self) -> None:
@@ -104,7 +131,7 @@ class _BudgetGuard(_InOrder):
     fields, memory = "call_id bigint, task string, units bigint, cap bigint", "units bigint, alerted boolean"
     columns = ["trace_id", "call_id", "task", "cap_usd", "cost_usd"]
 
-    def work(self, key, rows, memory, mark):
+    def work(self, key, rows, memory, now):
         spent, alerted = memory or (0, False)
         out = []
         for _, call, task, units, cap in rows:
@@ -127,7 +154,7 @@ class _StuckLoop(_InOrder):
     fields, memory = "step_number bigint, action string, url string", "a1 string, u1 string, a2 string, u2 string"
     columns = ["trace_id", "step_number", "action", "url"]
 
-    def work(self, key, rows, memory, mark):
+    def work(self, key, rows, memory, now):
         a1, u1, a2, u2 = memory or (None, None, None, None)  # the step before, and the one before that
         out = []
         for _, step, action, url in rows:
@@ -153,7 +180,7 @@ class _Breaker(_InOrder):
         super().__init__(ttl_ms)
         self.threshold, self.cooldown = threshold, cooldown_seconds * 1_000_000
 
-    def work(self, key, rows, memory, mark):
+    def work(self, key, rows, memory, now):
         failures, last = memory or (0, 0)
         out = []
         for us, event, ok in rows:
@@ -178,7 +205,7 @@ class _Reuse(_InOrder):
         super().__init__(ttl_ms)
         self.keep = keep_seconds * 1_000_000
 
-    def work(self, key, rows, memory, mark):
+    def work(self, key, rows, memory, now):
         last, out = memory[0] if memory else None, []
         for us, request in rows:
             hit = last is not None and us - last < self.keep
@@ -210,7 +237,10 @@ class _Stages(_InOrder):
         super().__init__(ttl_ms)
         self.timeout = timeout_us
 
-    def work(self, key, rows, memory, mark):
+    def alarms(self, rows):
+        return [_ms(us + self.timeout) for us, closing, _ in rows if not closing]
+
+    def work(self, key, rows, memory, now):
         open_, out = memory[0] if memory else None, []
 
         def row(end, outcome):
@@ -222,11 +252,9 @@ class _Stages(_InOrder):
             if open_ is not None:
                 out.append(row(us, outcome) if closing and us - open_ <= self.timeout else row(None, None))
             open_ = None if closing else us
-        if open_ is not None and _ms(open_ + self.timeout) < mark:
+        if open_ is not None and _ms(open_ + self.timeout) <= now:
             out.append(row(None, None))
             open_ = None
-        if open_ is not None:
-            self.handle.registerTimer(_ms(open_ + self.timeout))
         return out, None if open_ is None else (open_,)
 
 
@@ -249,6 +277,27 @@ def live_stage_durations(events: DataFrame, timeout: str = "30 minutes", late: s
                   "trace_id string, stage string, started timestamp, ended timestamp, outcome string, duration_ms double, timed_out boolean")
 
 
+def live_stage_join(events: DataFrame, timeout: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """`stage_durations` without state of its own: starts joined to what follows within the timeout, by a left outer
+    interval join of two streams, and of that the nearest. If that is an end, the stage is paired; another
+    start, or nothing, leaves it timed out. A start comes out once the watermark is a timeout behind it.
+
+    A start meets all events of its stage within the timeout, so this suits traces that run a stage a few times;
+    `live_stage_durations` holds for any. Starts of a stage at the very same time are one.
+    """
+    marked = _marked(events).withWatermark("ts", late)
+    starts = marked.filter("closing = 0").select("trace_id", "stage", F.col("ts").alias("started"))
+    after = marked.select(F.col("trace_id").alias("_trace"), F.col("stage").alias("_stage"), F.col("ts").alias("next"), "closing", "outcome")
+    near = (F.col("_trace") == F.col("trace_id")) & (F.col("_stage") == F.col("stage")) & (F.col("next") >= F.col("started")) \
+        & (F.col("next") <= F.col("started") + F.expr(f"INTERVAL {timeout}")) & ((F.col("next") > F.col("started")) | (F.col("closing") == 1))
+    nearest = starts.join(after, near, "leftOuter").groupBy("trace_id", "stage", "started").agg(
+        F.min(F.when(F.col("next").isNotNull(), F.struct("next", "closing", "outcome"))).alias("n"))
+    paired = F.coalesce(F.col("n.closing") == 1, F.lit(False))
+    return nearest.select(
+        "trace_id", "stage", "started", F.when(paired, F.col("n.next")).alias("ended"), F.when(paired, F.col("n.outcome")).alias("outcome"),
+        F.when(paired, (F.unix_micros("n.next") - F.unix_micros("started")) / 1000).alias("duration_ms"), (~paired).alias("timed_out"))
+
+
 def stage_durations(events: DataFrame, timeout: str = "30 minutes", chunk_seconds: int = 3600) -> DataFrame:
     """One row per start: paired with the first end at or after it and before the next start, if that is
     within the timeout; else timed out.
