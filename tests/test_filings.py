@@ -213,3 +213,62 @@ def test_spans_and_their_context(spark):
             want.append((i, m.start() - at, m[0], r["t"][max(m.start() - 10, 0) : m.start()], r["t"][m.end() : m.end() + 5]))
             at = m.end()
         assert [tuple(x) for x in r["s"]] == want, r["t"]
+
+
+def text_exchanges(df):
+    """Exchanges of a plan whose rows hold the text."""
+    import re
+
+    found, plan = [], df._jdf.queryExecution().executedPlan()
+    stack = [plan]
+    while stack:
+        node = stack.pop()
+        if re.match("Exchange|ReusedExchange", node.nodeName()) and "text#" in node.output().mkString(","):
+            found.append(node.simpleString(50))
+        children = node.children()
+        stack += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+@pytest.mark.parametrize("shuffle", ["3", "16"])
+def test_stored_corpus_moves_no_text(spark, texts, tmp_path, shuffle):
+    from paperloom.sources.corpus_store import read_corpus, write_corpus
+
+    write_corpus(texts, str(tmp_path / "c"), buckets=5)
+    kept = read_corpus(spark, str(tmp_path / "c"))
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, texts.collect()))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": shuffle}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        bounds = lambda t: B.boundaries(t)
+        sliced = lambda t: I.slice_items(B.best_boundaries(bounds(t)), t)
+        made = {
+            "items": lambda t: I.extract_items(t), "slices": sliced, "fixed": lambda t: I.fix_items(sliced(t), t),
+            "report": lambda t: I.validation_report(I.extract_items(t, validate=True)), "issues": lambda t: I.item_issues(sliced(t), t),
+            "queue": lambda t: R.refine_queue(bounds(t), t, 0.99), "missing": lambda t: R.missing_item_gaps(bounds(t), t, 50), "gaps": lambda t: R.gap_excerpts(bounds(t), t)}
+        for name, fn in made.items():
+            assert text_exchanges(fn(kept)) == [], name
+        assert text_exchanges(I.extract_items(texts.repartition(2)))  # a plain table does move it
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for name in ("items", "gaps"):
+        rows = lambda t: sorted(map(str, made[name](t).collect()))
+        assert rows(kept) == rows(texts), name
+
+
+def test_bucket_count_follows_the_size(spark):
+    from paperloom.sources.corpus_store import bucket_count
+
+    df = spark.range(100).selectExpr("id AS filing_id", "repeat('x', 1000) AS text")
+    assert bucket_count(df, ["text"], bucket_bytes=1000) == 100 and bucket_count(df.limit(0), ["text"]) == spark.sparkContext.defaultParallelism
+
+
+def test_index_notes_whole(spark):
+    text = "filler text here. " * 1000 + "\nItem 1B.\nUnresolved " + "Staff Comments " * 12 + "\n" + "Pages 3 and many more words " * 6 + "\n"
+    df = spark.createDataFrame([(1, text)], "filing_id long, text string")
+    rows = lambda **o: B.end_index(B.candidates(df, ["end_index"], **o)).first()
+    assert len(rows()["heading_text"]) == 120 and len(rows()["page_note"]) == 120
+    assert rows(note_chars=None)["heading_text"].endswith("Comments") and len(rows(note_chars=None)["page_note"]) > 160

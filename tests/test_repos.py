@@ -272,3 +272,43 @@ def test_readers_of_files(spark, tmp_path):
     (tmp_path / "cases/c.json").write_text(json.dumps([{"case_id": "k", "task": "t", "input_data": {"a": 1}}, {"case_id": "l", "difficulty": "hard", "tags": ["x"]}]))
     flat = {r["case_id"]: (r["inputs"], r["outputs"]["difficulty"], r["outputs"]["tags"]) for r in E.flatten_cases(E.read_cases(spark, str(tmp_path / "cases"))).collect()}
     assert flat == {"k": ('{"a":1}', "normal", []), "l": (None, "hard", ["x"])}
+
+
+@pytest.mark.parametrize("root", ["repos/repos", "c++", "a b/100%"])
+def test_repository_names_under_odd_roots(spark, tmp_path, root):
+    base = tmp_path / root
+    for path in ("x/a.py", "x/src/b.py", "repos/repos/c.py", "top.py"):
+        (base / path).parent.mkdir(parents=True, exist_ok=True)
+        (base / path).write_text("pass")
+    rows = {(r["repo"], r["path"], r["content"]) for r in S.scan_repo_files(spark, str(base) + "/").collect()}
+    assert rows == {("x", "a.py", "pass"), ("x", "src/b.py", "pass"), ("repos", "repos/c.py", "pass")}
+
+
+def test_one_pass_audit_equals_the_joined_one(spark):
+    deps = spark.createDataFrame([(f"r{i % 4}", "PyPI" if i % 3 else "npm", f"p{i % 5}", [None, "", "1.0", "1.5", "2.0"][i % 5 if i % 7 else 2], i) for i in range(60)], "repo string, ecosystem string, name string, version string, pos int")
+    adv = spark.sql("""SELECT concat('A', id) AS id, array('CVE-1') AS aliases, 's' AS summary, element_at(array('HIGH', 'critical', 'medium', 'low'), CAST(id % 4 AS INT) + 1) AS severity,
+      array(named_struct('ecosystem', if(id % 2 = 0, 'PyPI', 'npm'), 'name', concat('p', id % 5), 'versions', array('2.0'), 'ranges', array(named_struct('introduced', '1.2', 'fixed', if(id % 3 = 0, '1.9', NULL))), 'scores', array('7.1'))) AS affected,
+      array(named_struct('type', 'WEB', 'url', 'u')) AS refs FROM range(30)""")
+    latest = spark.createDataFrame([("PyPI", "p2", "2.0"), ("PyPI", "p3", ""), ("PyPI", "p4", "9"), ("npm", "p2", "3")], "ecosystem string, name string, version string")
+    repos = spark.createDataFrame([("r0",), ("r1",), ("r2",), ("r3",), ("bare",)], "repo string")
+    for extra in (None, repos):
+        plain = D.audit_summary(deps, D.audit_deps(deps, adv), D.outdated(deps, latest), extra)
+        got = D.audit(deps, adv, latest, extra)
+        cols = plain.columns
+        assert sorted(map(str, got.select(*cols).collect())) == sorted(map(str, plain.collect())) and plain.filter("vulnerabilities > 0 and outdated > 0").count()
+    assert {r["note"] != "" for r in D.audit(deps, adv, latest, repos).filter("repo = 'bare'").collect()} == {True}
+
+
+def test_changelog_parts_make_up_the_changelog(spark):
+    commits = spark.createDataFrame([("r" if i % 9 else "s", i, f"{i:040x}", ("feat: " if i % 3 else "fix: ") + "x" * (i % 90), "me", "") for i in range(500)],
+                                    "repo string, ord int, sha string, message string, author string, date string")
+    tags = spark.createDataFrame([], "repo string, ord int, name string, sha string")
+    parts = R.changelog_parts(commits, tags, 300).collect()
+    whole = {}
+    for r in R.changelog_lines(commits).orderBy("ord").collect():
+        whole.setdefault((r["repo"], r["section"]), []).append(r["line"])
+    got = {}
+    for r in sorted(parts, key=lambda r: r["part"]):
+        got.setdefault((r["repo"], r["section"]), []).append(r["text"])
+    assert {k: "\n".join(v) for k, v in got.items()} == {k: "\n".join(v) for k, v in whole.items()}
+    assert max(len(r["text"]) for r in parts) <= 300 + 150 and len(parts) > 50

@@ -122,3 +122,96 @@ def test_stage_pairs(spark):
     assert got == {("t", "parse", T0): (5000.0, False), ("t", "refine", T0): (None, True), ("u", "parse", T0): (None, True), ("u", "parse", at(seconds=9)): (0.0, False)}
     spans = {r["stage"]: r["duration_ms"] for r in live.stage_spans(df.filter("trace_id = 't'")).collect()}
     assert spans == {"parse": 5000.0, "refine": 7_200_000.0}
+
+
+def test_live_stage_join_over_shuffled_batches(spark, folder, tmp_path):
+    name = F.when(F.col("ok"), "parse_start").otherwise(F.when(F.col("call_id") % 2 == 0, "parse_done").otherwise("parse_failed"))
+    events = shaped(spark, folder).select("trace_id", name.alias("event"), "ts")
+    stream, batch, end = batches_of(spark, tmp_path, events)
+    out = run_available(live.live_stage_join(stream, "2 minutes", "60 minutes"), closing=True)
+    cols = ["trace_id", "stage", "started", "ended", "outcome", "duration_ms", "timed_out"]
+    want = live.stage_durations(batch, "2 minutes").filter(F.col("started") < F.lit(end - dt.timedelta(minutes=62)))
+    got = sorted(map(str, map(tuple, out.select(*cols).collect())))
+    assert got == sorted(map(str, map(tuple, want.select(*cols).collect()))) and any("True" in x for x in got) and any("False" in x for x in got)
+
+
+def test_live_reuse_cheap_over_shuffled_batches(spark, folder, tmp_path):
+    asked = shaped(spark, folder).select(F.col("call_id").alias("id"), F.col("trace_id").alias("repo"), F.lit("m").alias("branch"), F.lit("s").alias("skill"),
+                                         F.lit("abc").alias("sha"), F.lit(False).alias("dry_run"), "ts")
+    stream, batch, _ = batches_of(spark, tmp_path, asked)
+    rows = run_available(live.live_reuse_cheap(stream, "40 days")).collect()
+    assert sorted(r["cache_key"] for r in rows) == sorted(r["cache_key"] for r in K.reuse_key(asked).select("cache_key").distinct().collect())
+
+
+class _State:
+    """The state of one key in memory, counting the rows that are read."""
+
+    def __init__(self):
+        import pickle
+
+        self.map, self.value, self.timers, self.read, self.pickle = {}, None, set(), 0, pickle
+
+    def getMapState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        outer = self
+
+        class Value:
+            exists = staticmethod(lambda: outer.value is not None)
+            get = staticmethod(lambda: outer.value)
+
+            @staticmethod
+            def update(v):
+                outer.value = v
+
+            @staticmethod
+            def clear():
+                outer.value = None
+
+        return Value()
+
+    def containsKey(self, key):
+        return key in self.map
+
+    def getValue(self, key):
+        self.read += len(self.pickle.loads(self.map[key][1]))
+        return self.map[key]
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+    def removeKey(self, key):
+        del self.map[key]
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        self.timers.discard(ms)
+
+
+def test_a_firing_reads_the_rows_that_are_due():
+    """A service with very many held rows: what a batch reads grows with the rows due in it, not with those held."""
+    import types
+
+    import pandas as pd
+
+    state, guard = _State(), live._Breaker(5, 60, None)
+    guard.init(state)
+    rng = random.Random(8)
+    rows = [(1_000_000 * s + rng.randrange(1_000_000), s * 10 + k, rng.random() < 0.5) for s in range(2000) for k in range(5)]
+    rng.shuffle(rows)
+    for at in range(0, len(rows), 2500):
+        list(guard.handleInputRows(("s",), iter([pd.DataFrame(rows[at : at + 2500], columns=["us", "event_id", "ok"])]), None))
+    out, reads = [], []
+    for mark in (100_000, 100_500, 700_000, 700_000, 10**7):
+        state.read, due = 0, 0
+        for at in sorted(t for t in state.timers if t < mark):
+            state.timers.discard(at)
+            for part in guard.handleExpiredTimer(("s",), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: mark), types.SimpleNamespace(getExpiryTimeInMs=lambda: at)):
+                out += part.itertuples(index=False, name=None)
+        reads.append(state.read)
+    n = [sum(us // 1000 <= m for us, *_ in rows) for m in (100_000, 100_500, 700_000, 10**7)]
+    assert [len(out), n[3]] == [10_000, 10_000] and [x[1] for x in out] == [e for _, e, _ in sorted(rows)]
+    assert reads[0] <= n[0] + 5 and reads[1] <= n[1] - n[0] + 10 and reads[2] <= n[2] - n[1] + 10 and reads[3] <= 5 and not state.map
