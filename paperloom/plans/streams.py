@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.operators import ledger as L
+from paperloom.operators import sketches as Q
 from paperloom.plans import adapters as A
 from paperloom.plans import corpus, ledger, repos, web  # noqa: F401
 from paperloom.plans.ledger import CALLS
+from paperloom.session import cut_lineage, work_folder
 from paperloom.streaming import live
+from paperloom.streaming.rollups import KeptRollup
 from paperloom.streaming.running import run_available, run_batches, table_stream
 
 
@@ -68,6 +71,48 @@ def _finished(spark, folder):
     return out.select("trace_id", "status", "guarded_status", F.coalesce("guard_mode", F.lit("")).alias("guard_mode"))
 
 
+KEPT = {"calls": "count", "tokens_in": "sum", "tokens_out": "sum", "cost_usd": "sum", "slowest": "max", "latency": "quantiles", "traces": "distinct"}
+KEPT_KEYS = ["hour", "task", "model"]
+
+
+def hourly(priced):
+    """The kept summary of priced calls: per hour, task and model."""
+    of = {"calls": F.col("call_id"), "tokens_in": F.col("tokens_in"), "tokens_out": F.col("tokens_out"), "cost_usd": F.col("cost_usd").cast("decimal(28,12)"),
+          "slowest": F.col("latency_ms"), "latency": F.col("latency_ms"), "traces": F.col("trace_id")}
+    return Q.summarise(priced.withColumn("hour", Q.time_slot("ts")), KEPT_KEYS, {n: (kind, of[n]) for n, kind in KEPT.items()})
+
+
+def kept_ledger(spark, folder):
+    """The ledger as a kept table of a stream; its exact measures."""
+    home = work_folder(spark, "kept")
+    table = KeptRollup(spark, home, hourly, KEPT_KEYS, KEPT)
+    table.writer(L.price_calls(_events(spark, folder, CALLS)), home + "/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return table.read().select(F.unix_seconds("hour").alias("hour"), "task", "model", "calls", "tokens_in", "tokens_out", F.col("cost_usd").cast("double").alias("cost_usd"), "slowest")
+
+
+QUANTILES = (0.5, 0.95)
+
+
+def sketch_quantiles(spark, folder):
+    """Quantiles of a task's and model's latencies merged from hourly sketches, and whether the rank each has among
+    all rows is within the stated bound."""
+    priced = L.price_calls(A.bind(spark, folder, CALLS).withColumn("ts", F.col("ts").cast("timestamp")))
+    whole = Q.merged(cut_lineage(hourly(priced)), ["task", "model"], {"latency": "quantiles", "calls": "count"})
+    points = whole.select("task", "model", F.explode(F.array(*[F.struct(F.lit(q).alias("q"), Q.quantile(F.col("latency"), q).alias("at")) for q in QUANTILES])).alias("p")).select("task", "model", "p.*")
+    ranked = priced.select("task", "model", "latency_ms").join(points, ["task", "model"]).groupBy("task", "model", "q").agg(
+        F.avg((F.col("latency_ms") <= F.col("at")).cast("double")).alias("upto"), F.avg((F.col("latency_ms") < F.col("at")).cast("double")).alias("below"), F.count(F.lit(1)).alias("calls"))
+    bound = F.lit(Q.rank_error()) + 1 / F.col("calls")
+    return ranked.select("task", "model", "q", "calls", ((F.col("below") - bound <= F.col("q")) & (F.col("upto") + bound >= F.col("q"))).alias("within"))
+
+
+def sketch_distinct(spark, folder):
+    """Distinct traces per task merged from hourly sketches, and whether they are within the stated bound."""
+    priced = L.price_calls(A.bind(spark, folder, CALLS).withColumn("ts", F.col("ts").cast("timestamp")))
+    whole = Q.merged(cut_lineage(hourly(priced)), ["task"], {"traces": "distinct"}).select("task", Q.distinct(F.col("traces")).alias("about"))
+    exact = priced.groupBy("task").agg(F.countDistinct("trace_id").alias("traces"))
+    return exact.join(whole, "task").select("task", "traces", (F.abs(F.col("about") - F.col("traces")) <= F.greatest(F.lit(1.0), F.col("traces") * Q.distinct_error())).alias("within"))
+
+
 # The whole table is there at once, so the watermark need not wait for stragglers; the closing empty batch
 # releases every row.
 NOW = "0 seconds"
@@ -87,6 +132,9 @@ QUERIES = {
     "live_reuse": lambda s, d: run_available(live.live_reuse(_events(s, d, repos.REUSE), 43200, NOW), closing=True),
     "live_stage_join": live_stage_join,
     "live_reuse_cheap": lambda s, d: run_available(live.live_reuse_cheap(_events(s, d, repos.REUSE), WHOLE)).select("cache_key"),
+    "kept_ledger": kept_ledger,
+    "sketch_quantiles": sketch_quantiles,
+    "sketch_distinct": sketch_distinct,
     "live_guarded_runs": _finished,
     "live_secret_scan": lambda s, d: run_available(live.live_secret_scan(_stream(s, d, "documents", repos.FILES), extra=True)).select(
         "repo", "path", "line", "severity", "description", "match_preview"),
@@ -111,6 +159,10 @@ ORACLE = {
       WHERE epoch_us(started) // 1000 + 86400000 < (SELECT max(epoch_us(ts)) // 1000 FROM ({A.duck(PROGRESS)}) x)""",
     "live_reuse_cheap": f"SELECT DISTINCT 'cicd:v1:' || repo || ':main:' || skill || ':' || substr(sha, 1, 12) || ':' || dry_run AS cache_key FROM ({A.duck(repos.REUSE)}) x",
     "stage_pairs": _PAIRS + "SELECT trace_id, stage, epoch_us(started) AS started, coalesce(epoch_us(ended), 0) AS ended, ended IS NULL AS timed_out FROM j",
+    "kept_ledger": ledger._PRICED + """SELECT epoch(date_trunc('hour', ts))::BIGINT AS hour, task, model, count(*) AS calls, sum(tokens_in)::BIGINT AS tokens_in, sum(tokens_out)::BIGINT AS tokens_out, sum(cost_usd)::DOUBLE AS cost_usd,
+      max(latency_ms) AS slowest FROM priced GROUP BY ALL""",
+    "sketch_quantiles": ledger._PRICED + "SELECT task, model, unnest([0.5::DOUBLE, 0.95::DOUBLE]) AS q, count(*) AS calls, true AS within FROM priced GROUP BY task, model",
+    "sketch_distinct": ledger._PRICED + "SELECT task, count(DISTINCT trace_id) AS traces, true AS within FROM priced GROUP BY task",
     "live_guarded_runs": web.ORACLE["guarded_runs"],
     "live_reuse": repos.ORACLE["result_reuse"],
     "live_secret_scan": repos.ORACLE["secret_findings"],

@@ -85,6 +85,18 @@ def discard(spark: SparkSession, *folders: str) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def finished_parts(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """The numbers n of the subfolders `name=n` whose writing was completed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(conf)
+    if not system.exists(path):
+        return []
+    inside = [s.getPath() for s in system.listStatus(path)]
+    return [int(p.getName().partition("=")[2]) for p in inside
+            if p.getName().startswith(f"{name}=") and system.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+
+
 _SHIPPED: set[str] = set()
 
 
