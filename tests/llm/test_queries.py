@@ -50,5 +50,5 @@ def test_awkward_tables(spark, tmp_path, name):
 def test_awkward_against_sql(spark, tmp_path):
     folder, _ = folder_of(spark, tmp_path, False)
     c = duck({n: spark.read.parquet(f"{folder}/{n}.parquet").toArrow() for n in ("documents", "labels", "pages", "benchmark")})
-    for name in ("op7_quality_rules", "op8_url_filters", "op10_source_mixing", "op11_collocations", "op12_importance_resampling"):
+    for name in ("op1_lm_scoring", "op3_exact_search", "op7_quality_rules", "op8_url_filters", "op10_source_mixing", "op11_collocations", "op12_importance_resampling"):
         assert same(queries.QUERIES[name](spark, folder), c, oracle.ORACLE[name])
