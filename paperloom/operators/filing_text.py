@@ -27,16 +27,21 @@ def format_census(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("filings"), F.sum(F.length("content").cast("bigint")).alias("chars"))
 
 
+def document_blocks(content: Column) -> Column:
+    """The insides of all document blocks of a submission, null without one."""
+    wrapped = F.contains(F.upper(content), F.lit("<DOCUMENT>"))
+    return F.when(wrapped, F.regexp_extract_all(content, F.lit(r"(?is)<DOCUMENT>(.*?)</DOCUMENT>"), 1))
+
+
+def block_fields(block: str = "block") -> list[Column]:
+    """Type and body of a document block."""
+    body = F.when(rlike(F.col(block), r"(?is)<TEXT>.*?</TEXT>"), extract(block, r"(?is)<TEXT>(.*?)</TEXT>", 1)).otherwise(F.col(block))
+    return [F.upper(strip(extract(block, r"(?i)<TYPE>\s*([^\n\r<]+)", 1))).alias("doc_type"), strip(body).alias("body")]
+
+
 def split_submissions(df: DataFrame) -> DataFrame:
     """(filing_id, content) -> one row per document block: position, type and body."""
-    content = F.col("content")
-    wrapped = F.contains(F.upper(content), F.lit("<DOCUMENT>"))
-    blocks = F.when(wrapped, F.regexp_extract_all(content, F.lit(r"(?is)<DOCUMENT>(.*?)</DOCUMENT>"), 1))
-    body = F.when(rlike(F.col("block"), r"(?is)<TEXT>.*?</TEXT>"), extract("block", r"(?is)<TEXT>(.*?)</TEXT>", 1)) \
-        .otherwise(F.col("block"))
-    return df.select("filing_id", F.posexplode(blocks).alias("pos", "block")).select(
-        "filing_id", "pos", F.upper(strip(extract("block", r"(?i)<TYPE>\s*([^\n\r<]+)", 1))).alias("doc_type"),
-        strip(body).alias("body"))
+    return df.select("filing_id", F.posexplode(document_blocks(F.col("content"))).alias("pos", "block")).select("filing_id", "pos", *block_fields())
 
 
 def primary_document(df: DataFrame) -> DataFrame:

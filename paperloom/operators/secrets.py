@@ -6,11 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import fixed
-from paperloom.functions.text import extract, left, rlike
+from paperloom.functions.text import contains_any, extract, left, rlike
 
 _LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 
 
+#: What a text must hold, in small letters, for a rule to match at all: one of these.
+_NEEDED = {
+    "AWS Access Key ID": ["akia"], "AWS Secret Access Key": ["aws"], "GitHub Personal Access Token (classic)": ["ghp_"], "GitHub Fine-Grained PAT": ["github_pat_"],
+    "OpenAI API Key": ["sk-"], "Slack API Token": ["xox"], "Private Key": ["-----begin "], "Generic API Key / Token": ["api", "access"],
+    "Hardcoded Password": ["password"], "Database Password": ["db_pass", "database_password"], "Hex Token": ["token"],
+}
+
+
+def _matches(text: Column, low: Column, rule: tuple[str, str, str, str]) -> Column:
+    """Whether a rule matches; its pattern runs only where a literal of it occurs."""
+    pattern, _, kind, _ = rule
+    found = rlike(text, pattern)
+    if kind not in _NEEDED:
+        return found
+    return F.when(contains_any(low, _NEEDED[kind]), found).otherwise(False)
+
+
 def _rules(extra: bool) -> list[tuple[str, str, str, str]]:
     return fixed.SECRET_RULES + ([fixed.EXTRA_SECRET_RULE] if extra else [])
 
@@ -18,15 +35,17 @@ def _rules(extra: bool) -> list[tuple[str, str, str, str]]:
 def scan_secrets(files: DataFrame, extra: bool = False) -> DataFrame:
     """(repo, path, content) -> one finding per line: the first rule that matches, never the secret.
 
-    Whole files are tested first, so only files with a hit are split into lines.
+    Whole files are tested first, so only files with a hit are split into lines. Both times plain searches for the
+    rules' literals decide which patterns run.
     """
     rules = _rules(extra)
+    files = files.withColumn("_low", F.lower("content"))
     suspicious = F.lit(False)
-    for pattern, *_ in rules:
-        suspicious = suspicious | rlike(F.col("content"), pattern)
+    for one in rules:
+        suspicious = suspicious | _matches(F.col("content"), F.col("_low"), one)
     lines = files.filter(suspicious).select(
-        "repo", "path", F.posexplode(F.split("content", _LINE_END, -1)).alias("_n", "_line"))
-    rule = F.coalesce(*[F.when(rlike(F.col("_line"), p), F.lit(i)) for i, (p, *_) in enumerate(rules)])
+        "repo", "path", F.posexplode(F.split("content", _LINE_END, -1)).alias("_n", "_line")).withColumn("_low", F.lower("_line"))
+    rule = F.coalesce(*[F.when(_matches(F.col("_line"), F.col("_low"), one), F.lit(i)) for i, one in enumerate(rules)])
     hits = lines.withColumn("rule", rule).filter(F.col("rule").isNotNull())
 
     def by_rule(values: list[Column]) -> Column:

@@ -15,8 +15,9 @@ from paperloom.plans import adapters as A
 from paperloom.plans import filings_oracle as O
 from paperloom.plans.filings import texts
 from paperloom.plans.filings_oracle import q, strip
-from paperloom.session import cut_lineage
+from paperloom.session import cut_lineage, work_folder
 from paperloom.sources import filings as S
+from paperloom.sources.submissions import read_submission_blocks
 
 NL = "chr(10)"
 CIK = "lpad(CAST(o_custkey AS STRING), 10, '0')"
@@ -104,7 +105,15 @@ def refined(spark, folder):
     return R.apply_refinements(bounds, results, t).select("filing_id", "item_number", "start_pos", "end_pos", "source", "confidence")
 
 
+def submission_files(spark, folder):
+    """All submissions as files of many documents each, read block by block."""
+    at = work_folder(spark, "submissions")
+    A.bind(spark, folder, SUBMISSION).select("content").repartition(8).write.text(at)
+    return read_submission_blocks(spark, at, "*.txt").select("doc_type", F.md5("body").alias("body_md5"))
+
+
 QUERIES = {
+    "submission_files": submission_files,
     "url_metadata": lambda s, d: S.url_metadata(A.bind(s, d, URLS)).fillna("", ["cik", "accession_number", "primary_document"]).select(
         "page_id", "cik", "accession_number", "primary_document"),
     "submission_blocks": lambda s, d: T.split_submissions(A.bind(s, d, SUBMISSION)).select("filing_id", "pos", "doc_type", F.md5("body").alias("body_md5")),
@@ -184,6 +193,10 @@ ORACLE = {
         md5({strip("CASE WHEN regexp_matches(b, '(?is)<TEXT>.*?</TEXT>') THEN regexp_extract(b, '(?is)<TEXT>(.*?)</TEXT>', 1) ELSE b END")}) AS body_md5
       FROM (SELECT filing_id, unnest(bs) AS b, generate_subscripts(bs, 1) AS i FROM (SELECT filing_id, regexp_extract_all(content, '(?is)<DOCUMENT>(.*?)</DOCUMENT>', 1) AS bs
             FROM ({A.duck(SUBMISSION)}) s WHERE contains(upper(content), '<DOCUMENT>')) x) y""",
+    # The files' names and the places in them are Spark's; types and bodies are those of the submissions.
+    "submission_files": f"""SELECT upper({strip("regexp_extract(b, '(?i)<TYPE>\\s*([^\\n\\r<]+)', 1)")}) AS doc_type,
+        md5({strip("CASE WHEN regexp_matches(b, '(?is)<TEXT>.*?</TEXT>') THEN regexp_extract(b, '(?is)<TEXT>(.*?)</TEXT>', 1) ELSE b END")}) AS body_md5
+      FROM (SELECT unnest(regexp_extract_all(content, '(?is)<DOCUMENT>(.*?)</DOCUMENT>', 1)) AS b FROM ({A.duck(SUBMISSION)}) s) x""",
     "primary_documents": f"""WITH s AS ({A.duck(SUBMISSION)}), b AS (SELECT filing_id, unnest(bs) AS b, generate_subscripts(bs, 1) AS i FROM (
         SELECT filing_id, regexp_extract_all(content, '(?is)<DOCUMENT>(.*?)</DOCUMENT>', 1) AS bs FROM s WHERE contains(upper(content), '<DOCUMENT>')) x),
       t AS (SELECT filing_id, i, upper({strip("regexp_extract(b, '(?i)<TYPE>\\s*([^\\n\\r<]+)', 1)")}) AS doc_type,

@@ -78,8 +78,10 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
 
 def discard(spark: SparkSession, *folders: str) -> None:
-    """Remove written intermediate tables that nothing reads any more."""
+    """Remove written intermediate tables that nothing reads any more, and with them the shuffle files of the jobs that made
+    them: Spark clears these once the driver has collected what refers to them."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    jvm.System.gc()
     for folder in folders:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)

@@ -272,3 +272,40 @@ def test_index_notes_whole(spark):
     rows = lambda **o: B.end_index(B.candidates(df, ["end_index"], **o)).first()
     assert len(rows()["heading_text"]) == 120 and len(rows()["page_note"]) == 120
     assert rows(note_chars=None)["heading_text"].endswith("Comments") and len(rows(note_chars=None)["page_note"]) > 160
+
+
+def test_large_submissions_are_read_in_many_tasks(spark, tmp_path):
+    import random
+
+    from paperloom.operators import filing_text as T
+    from paperloom.sources.submissions import numbered, read_submission_blocks, stream_submission_blocks
+    from paperloom.streaming.running import run_available
+
+    rng = random.Random(3)
+
+    def block(i):
+        first, last = rng.choice([("<DOCUMENT>", "</DOCUMENT>"), ("<document>", "</DOCUMENT>"), ("<DOCUMENT>", "</document>"), ("<Document>", "</Document>")])
+        inside = rng.choice(["<TEXT>{}</TEXT>", "{}", "<text> é {} </text> tail"]).format(f"body {i} " + "x\n" * rng.randrange(400))
+        return first + f"\n<TYPE>ex-{i}\n" + inside + last + rng.choice(["", "\n", " between "])
+
+    files = {"big.txt": "HEADER\n" + "".join(block(i) for i in range(300)) + "</DOCUMENT>\n</SEC-DOCUMENT>\n", "ends.txt": "<DOCUMENT><TYPE>a\nb</DOCUMENT>", "none.txt": "no block", "stray.txt": "</DOCUMENT>x",
+             "open.txt": "<DOCUMENT>one</DOCUMENT><document>two</document><DOCUMENT>never ended", "empty.txt": "", "other.dat": "<DOCUMENT>no</DOCUMENT>"}
+    (tmp_path / "in/sub").mkdir(parents=True)
+    for name, content in files.items():
+        (tmp_path / "in" / ("sub/" if name == "open.txt" else "") / name).write_text(content, encoding="utf-8")
+    whole = spark.createDataFrame([(n, c) for n, c in files.items() if n.endswith("txt")], "filing_id string, content string")
+    want = sorted((r["filing_id"], r["pos"], r["doc_type"], r["body"]) for r in T.split_submissions(whole).collect())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        blocks = read_submission_blocks(spark, str(tmp_path / "in"), "*.txt")
+        got = sorted((r["filing_id"].rsplit("/", 1)[-1], r["pos"], r["doc_type"], r["body"]) for r in numbered(blocks).collect())
+        assert got == want and len(want) > 300
+        assert blocks.filter("filing_id LIKE '%big.txt'").select("split").distinct().count() > 5 and blocks.rdd.getNumPartitions() > 5
+        small = read_submission_blocks(spark, str(tmp_path / "in"), "*.txt", max_bytes=1000)
+        assert {r["filing_id"].rsplit("/", 1)[-1] for r in small.select("filing_id").collect()} == {"ends.txt", "open.txt"}
+        closed = [w for w in want if w[0] in ("big.txt", "ends.txt")]
+        stream = stream_submission_blocks(spark, str(tmp_path / "in"), "[be][in][gd]*.txt")
+        assert sorted((r["doc_type"], r["body"]) for r in run_available(stream).collect()) == sorted(w[2:] for w in closed)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
