@@ -24,7 +24,7 @@ def test_flagship(spark):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["ledger_summary", "part_positions", "toc_lines", "secret_findings", "stuck_loops", "sanitised_plans", "key_metrics"])
+@pytest.mark.parametrize("name", ["ledger_summary", "part_positions", "toc_lines", "secret_findings", "repeated_steps", "sanitised_plans", "key_metrics"])
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     import __spark_entry__ as entry
