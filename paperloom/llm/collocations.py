@@ -13,9 +13,10 @@ is indexed by itself:
   others become cuts), then frequent pairs (all other pairs become cuts), then triples and quadruples at once.
   Nothing else is left out, so all counts are exact.
 
-Word and phrase numbers that leave a shard are rows of written tables (`gid`), never hashes. Every shard gets
-back only its own surviving words and pairs, by a join; no dictionary is sent to all tasks. Memory of a task
-grows with a shard (SHARD words and the document that fills it), not with the corpus.
+A word's number outside its shard (`gid`) is the first shard that has it and its number there, never a hash. Words
+and pairs meet once, in a window over all shards that tells each its sum; every shard gets back only its own
+surviving ones, and no dictionary is sent to all tasks. Memory of a task grows with a shard (SHARD words and the
+document that fills it), not with the corpus; a word or pair has one row per shard at most, and the window spills.
 
 For a phrase with count a cut after k words, l and r count its parts: score floor(2000000 a / (l + r)), the least
 over the cuts. A phrase goes if some longer candidate contains it and has at least `share` percent of its count.
@@ -28,12 +29,12 @@ table gives no rows. Only the named columns are read, so further columns may hav
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,7 +46,9 @@ LEAST = 30
 SHARE = 80
 TOP = 2000
 #: Words of a shard; it ends after the documents that fill it.
-SHARD = 1 << 22
+SHARD = 1 << 21
+#: Bits of a word's number inside its shard, and of a shard's number inside its task.
+_CODE, _NUMBER = 31, 10
 #: Documents read at a time while a shard fills.
 _DOCS = 500
 #: Parts into which a language's candidates are dealt before its first ones are chosen.
@@ -107,6 +110,7 @@ class TwoWay:
 
     def __init__(self, codes: np.ndarray, size: int, depth: int) -> None:
         self.size = size
+        codes = np.append(codes, codes.dtype.type(0))  # what comes before the first word is a cut
         self.forward = _OneWay(codes, size, depth)
         self.reverse = _OneWay(codes[::-1], size, depth)
 
@@ -169,27 +173,37 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def _packed(numbers: np.ndarray) -> bytes:
-    return zlib.compress(numbers.tobytes(), 1)
+    """Numbers as compressed bytes, their low bytes together, then the next ones, and so on."""
+    planes = numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T
+    return zstandard.compress(planes.tobytes(), 3)
 
 
 def _unpacked(data: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), kind)
-
-
-def _shard(parts: list[tuple]) -> tuple[np.ndarray, pa.Array, list, np.ndarray]:
-    """One shard of (words, opens, languages) parts: codes from 1 with 0 before every piece; per code its word,
-    language and count."""
-    words = pa.chunked_array([p[0] for p in parts]).dictionary_encode().unify_dictionaries().combine_chunks()
-    words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
-    known = {}
-    tongue = np.concatenate([np.array([known.setdefault(x, len(known)) for x in p[3]], np.int64)[p[2]] for p in parts])
-    key = words.indices.to_numpy().astype(np.int64) * len(known) + tongue
-    kinds, codes, counts = np.unique(key, return_inverse=True, return_counts=True)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def _shard(parts: list[tuple]) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """One shard of (words with a dictionary, opens, languages) parts: codes from 1 with 0 before every piece; per code its
+    word, the number of its language, and its count."""
+    words = pa.chunked_array([p[0] for p in parts]).unify_dictionaries()
+    tongues = 1 + max(int(p[2].max()) for p in parts)
+    key = np.concatenate([c.indices.to_numpy().astype(np.int64) for c in words.chunks])
+    key *= tongues
+    key += np.concatenate([p[2] for p in parts])
+    if tongues <= 64:  # few languages: one count per possible pair
+        counts = np.bincount(key)
+        kinds = np.flatnonzero(counts)
+        counts, number = counts[kinds], np.zeros(len(counts), np.int32)
+        number[kinds] = np.arange(1, len(kinds) + 1)
+        codes = number[key]
+    else:
+        kinds, codes, counts = np.unique(key, return_inverse=True, return_counts=True)
+        codes = (codes + 1).astype(np.int32)
     opens = np.concatenate([p[1] for p in parts])
     out = np.zeros(len(codes) + int(opens.sum()), np.int32)
-    out[np.arange(len(codes)) + opens.cumsum()] = codes + 1
-    names = list(known)
-    return out, words.dictionary.take(pa.array(kinds // len(known))), [names[i] for i in (kinds % len(known)).tolist()], counts
+    out[np.arange(len(codes)) + opens.cumsum()] = codes
+    return out, words.chunk(0).dictionary.take(pa.array(kinds // tongues)), kinds % tongues, counts
 
 
 _SHARDS = "shard long, codes binary, code int, lang string, word string, n long"
@@ -200,15 +214,19 @@ def shards(docs: DataFrame, text: str = "text", lang: str = "lang", size: int =
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, parts, held = TaskContext.get().partitionId() << 24, [], 0
+        first = TaskContext.get().partitionId() << _NUMBER
+        number, parts, held = first, [], 0
+        known: dict[str, int] = {}
 
         def close() -> Iterator[pa.RecordBatch]:
-            codes, words, langs, counts = _shard(parts)
+            codes, words, tongues, counts = _shard(parts)
+            parts.clear()
+            names = list(known)
             yield _rows(_SHARDS, shard=[number], codes=[_packed(codes)])
             for at in range(0, len(words), 100_000):
                 part = slice(at, at + 100_000)
                 yield _rows(_SHARDS, shard=np.full(len(counts[part]), number), code=np.arange(at, at + len(counts[part]), dtype=np.int32) + 1,
-                            lang=langs[part], word=words[part].cast(pa.large_string()).cast(pa.string()), n=counts[part])
+                            lang=[names[i] for i in tongues[part].tolist()], word=words[part].cast(pa.large_string()).cast(pa.string()), n=counts[part])
 
         for batch in batches:
             for at in range(0, batch.num_rows, _DOCS):
@@ -216,11 +234,15 @@ def shards(docs: DataFrame, text: str = "text", lang: str = "lang", size: int =
                 words, opens, which = split_words(piece.column(0))
                 if not len(words):
                     continue
-                parts.append((words, opens, which, piece.column(1).to_pylist()))
+                langs = np.array([known.setdefault(x, len(known)) for x in piece.column(1).to_pylist()], np.int32)
+                parts.append((words.dictionary_encode(), opens, langs[which]))
                 held += len(words)
                 if held >= size:
                     yield from close()
-                    number, parts, held = number + 1, [], 0
+                    pa.default_memory_pool().release_unused()
+                    number, held = number + 1, 0
+                    if number - first == 1 << _NUMBER:
+                        raise ValueError(f"a task reads more than {1 << _NUMBER} shards; split its input or raise `size`")
         if parts:
             yield from close()
 
@@ -274,20 +296,18 @@ def codes_present(index: TwoWay) -> np.ndarray:
     return np.flatnonzero(np.diff(index.forward.first)[1:]) + 1
 
 
-_LONGER = "words int, p long, m long, s long, n long"
+_LONGER = "a long, b long, c long, d long, n long"
 
 
 def _longer_of_shard(depth: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Triples (pairs `p` and `s` overlap by a word) and quadruples (`m` is the pair in the middle) of frequent pairs."""
-        none = pa.Table.from_batches([_rows(_LONGER, words=[])])
+        """Triples (`a`, `b`, `c`) and quadruples (`d` too) of words whose pairs are all frequent."""
+        none = pa.Table.from_batches([_rows(_LONGER, n=[])])
         if not left.num_rows or not right.num_rows:
             return none
         codes, gids = _unpacked(left["codes"][0].as_py(), np.int32), _unpacked(left["gids"][0].as_py(), np.int64)
         base = len(gids) + 1
-        key = (np.searchsorted(gids, right["p"].to_numpy()) + 1) * base + np.searchsorted(gids, right["s"].to_numpy()) + 1
-        order = np.argsort(key)
-        key, pair = key[order], right["gid"].to_numpy()[order]
+        key = np.sort((np.searchsorted(gids, right["p"].to_numpy()) + 1) * base + np.searchsorted(gids, right["s"].to_numpy()) + 1)
         here = codes[:-1].astype(np.int64) * base + codes[1:]
         joined = np.r_[False, key[np.minimum(np.searchsorted(key, here), len(key) - 1)] == here, False]  # between words i - 1 and i
         lone = joined.copy()
@@ -298,32 +318,26 @@ def _longer_of_shard(depth: int):
         last = word & ~joined[1:]
         out = np.zeros(int(word.sum() + last.sum()), np.int32)
         kept = np.flatnonzero(word)
-        out[np.arange(len(kept)) + np.r_[0, last[kept].cumsum()[:-1]][: len(kept)]] = codes[kept]
-        if not len(out):
+        if not len(kept):
             return none
+        out[np.arange(len(kept)) + np.r_[0, last[kept].cumsum()[:-1]]] = codes[kept]
         index = TwoWay(out, base, depth)
-        numbers = codes_present(index)
-        prefix, suffix, pairs = index.longer(index.words())
-        mine = pair[np.searchsorted(key, numbers[prefix] * base + numbers[suffix])]
+        number = gids[codes_present(index) - 1]
+        p2, s2, pairs = index.longer(index.words())
         p3, s3, triples = index.longer(pairs)
-        made = [_rows(_LONGER, words=np.full(len(p3), 3, np.int32), p=mine[p3], m=np.full(len(p3), -1), s=mine[s3], n=triples.size)]
+        a, b, c = number[p2[p3]], number[s2[p3]], number[s2[s3]]
+        made = [_rows(_LONGER, a=a, b=b, c=c, n=triples.size)]
         if depth > 3:
             p4, s4, quads = index.longer(triples)
-            made.append(_rows(_LONGER, words=np.full(len(p4), 4, np.int32), p=mine[p3[p4]], m=mine[s3[p4]], s=mine[s3[s4]], n=quads.size))
+            made.append(_rows(_LONGER, a=a[p4], b=b[p4], c=c[p4], d=c[s4], n=quads.size))
         return pa.Table.from_batches(made)
 
     return run
 
 
-def _numbered(df: DataFrame, at: str) -> DataFrame:
-    """The table, written, with a number per row."""
-    df.withColumn("gid", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(at)
-    return df.sparkSession.read.parquet(at)
-
-
 def counted(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, depth: int = 4, size: int = SHARD) -> dict[str, DataFrame]:
-    """Exact counts over all shards: `sums` (lang, n), `words` (gid, lang, word, n), `pairs` (gid, p, s, n), `longer`
-    (words, p, m, s, n); from `words` on, those with a count of `least` or more. Written tables."""
+    """Exact counts over all shards: `sums` (lang, n), `words` (gid, lang, word, n), `pairs` (a, b, n), `longer`
+    (a, b, c, d, n; d is null for triples); from `words` on, those with a count of `least` or more. Written tables."""
     if not 2 <= depth <= 4:
         raise ValueError("phrases have 2 to 4 words")
     spark = docs.sparkSession
@@ -336,23 +350,26 @@ def counted(docs: DataFrame, text: str = "text", lang: str = "lang", least: int
     dealt = written(shards(docs, text, lang, size), "shards")
     each = dealt.filter("code IS NOT NULL").select("shard", "code", "lang", "word", "n")
     sums = written(each.groupBy("lang").agg(F.sum("n").alias("n")), "sums")
-    words = _numbered(each.groupBy("lang", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), f"{home}/words")
-    back = each.select("shard", "code", "lang", "word").join(words.select("gid", "lang", "word"), ["lang", "word"]).select(F.col("shard").alias("of"), "code", "gid")
+    same, place = Window.partitionBy("lang", "word"), F.shiftleft("shard", _CODE) + F.col("code")
+    told = each.withColumn("gid", F.min(place).over(same)).withColumn("total", F.sum("n").over(same))
+    told = written(told.filter(F.col("total") >= least).drop("n"), "words")
+    words = told.filter(place == F.col("gid")).select("gid", "lang", "word", F.col("total").alias("n"))
     texts = dealt.filter("codes IS NOT NULL").select("shard", "codes")
+    back = told.select(F.col("shard").alias("of"), "code", "gid")
     found = written(texts.groupBy("shard").cogroup(back.groupBy("of")).applyInArrow(_pairs_of_shard, _PAIRS), "found")
     discard(spark, f"{home}/shards")
-    each = found.filter("p IS NOT NULL").select("shard", "p", "s", "n")
-    pairs = _numbered(each.groupBy("p", "s").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), f"{home}/pairs")
-    out = {"sums": sums, "words": words, "pairs": pairs}
+    same = Window.partitionBy("p", "s")
+    told = found.filter("p IS NOT NULL").select("shard", "p", "s", "n").withColumn("first", F.min("shard").over(same)).withColumn("total", F.sum("n").over(same))
+    told = written(told.filter(F.col("total") >= least).drop("n"), "pairs")
+    pairs = told.filter("shard = first").select(F.col("p").alias("a"), F.col("s").alias("b"), F.col("total").alias("n"))
+    longer = spark.createDataFrame([], _LONGER)
     if depth > 2:
-        back = each.select("shard", "p", "s").join(pairs.select("gid", "p", "s"), ["p", "s"]).select(F.col("shard").alias("of"), "p", "s", "gid")
+        back = told.select(F.col("shard").alias("of"), "p", "s")
         texts = found.filter("codes IS NOT NULL").select("shard", "codes", "gids")
         grown = texts.groupBy("shard").cogroup(back.groupBy("of")).applyInArrow(_longer_of_shard(depth), _LONGER)
-        out["longer"] = written(grown.groupBy("words", "p", "m", "s").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "longer")
-    else:
-        out["longer"] = spark.createDataFrame([], _LONGER)
+        longer = written(grown.groupBy("a", "b", "c", "d").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "longer")
     discard(spark, f"{home}/found")
-    return out
+    return {"sums": sums, "words": words, "pairs": pairs, "longer": longer}
 
 
 def _cut(at: int, left: Column, right: Column) -> Column:
@@ -363,43 +380,60 @@ def _cut(at: int, left: Column, right: Column) -> Column:
 
 
 def candidates(counts: dict[str, DataFrame], share: int = SHARE) -> DataFrame:
-    """Every phrase of `counted`: lang, phrase, n_words, n, cut (score, k, l, r of the lowest-scoring cut, of equal
-    scores the first), contained (some longer candidate has `share` percent of its count)."""
-    words, triples = counts["words"], counts["longer"].filter("words = 3").select("p", F.col("s").alias("q"), "n")
-    quads = counts["longer"].filter("words = 4").select("p", "m", "s", "n")
-    first = words.select(F.col("gid").alias("p"), "lang", F.col("word").alias("w1"), F.col("n").alias("n1"))
-    second = words.select(F.col("gid").alias("s"), F.col("word").alias("w2"), F.col("n").alias("n2"))
-    pairs = counts["pairs"].join(first, "p").join(second, "s").select("gid", "lang", "w1", "w2", "n1", "n2", "n")
-
-    def as_(prefix: str, key: str) -> DataFrame:
-        return pairs.select(F.col("gid").alias(key), *[F.col(c).alias(f"{prefix}_{c}") for c in ("lang", "w1", "w2", "n1", "n2", "n")])
-
-    longest = lambda keys, rows: rows.groupBy(*keys).agg(F.max("n").alias("above"))
-    above = triples.select(F.explode(F.array("p", "q")).alias("gid"), "n")
-    two = pairs.join(longest(["gid"], above), "gid", "left").select(
-        "lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), F.lit(2).alias("n_words"), "n", _cut(1, F.col("n1"), F.col("n2")).alias("cut"), "above")
-    above = quads.select(F.explode(F.array(F.struct("p", F.col("m").alias("q")), F.struct(F.col("m").alias("p"), F.col("s").alias("q")))).alias("t"), "n").select("t.*", "n")
-    three = triples.join(longest(["p", "q"], above), ["p", "q"], "left").join(as_("x", "p"), "p").join(as_("y", "q"), "q").select(
-        F.col("x_lang").alias("lang"), F.concat_ws(" ", "x_w1", "x_w2", "y_w2").alias("phrase"), F.lit(3).alias("n_words"), "n",
-        F.least(_cut(1, F.col("x_n1"), F.col("y_n")), _cut(2, F.col("x_n"), F.col("y_n2"))).alias("cut"), "above")
-    four = quads.join(triples.select("p", F.col("q").alias("m"), F.col("n").alias("n_head")), ["p", "m"]) \
-        .join(triples.select(F.col("p").alias("m"), F.col("q").alias("s"), F.col("n").alias("n_tail")), ["m", "s"]) \
-        .join(as_("x", "p"), "p").join(as_("y", "s"), "s").select(
-            F.col("x_lang").alias("lang"), F.concat_ws(" ", "x_w1", "x_w2", "y_w1", "y_w2").alias("phrase"), F.lit(4).alias("n_words"), "n",
-            F.least(_cut(1, F.col("x_n1"), F.col("n_tail")), _cut(2, F.col("x_n"), F.col("y_n")), _cut(3, F.col("n_head"), F.col("y_n2"))).alias("cut"),
-            F.lit(None).cast("long").alias("above"))
+    """Every phrase of `counted`, as numbers of its words: lang, a, b, c, d (null beyond the phrase), n_words, n, cut
+    (score, k, l, r of the lowest-scoring cut, of equal scores the first), contained (some longer candidate has `share`
+    percent of its count). Texts come later, to the few that need them (`with_phrases`)."""
+    words, triples = counts["words"], counts["longer"].filter("d IS NULL").select("a", "b", "c", "n")
+    quads = counts["longer"].filter("d IS NOT NULL")
+    first = words.select(F.col("gid").alias("a"), "lang", F.col("n").alias("n1"))
+    second = words.select(F.col("gid").alias("b"), F.col("n").alias("n2"))
+    pairs = counts["pairs"].join(first, "a").join(second, "b")
+    none = F.lit(None).cast("long")
+
+    def head(one: str, two: str) -> DataFrame:
+        return pairs.select(F.col("a").alias(one), F.col("b").alias(two), "lang", F.col("n1").alias("head1"), F.col("n").alias("head2"))
+
+    def tail(one: str, two: str) -> DataFrame:
+        return pairs.select(F.col("a").alias(one), F.col("b").alias(two), F.col("n2").alias("tail1"), F.col("n").alias("tail2"))
+
+    def above(parts: list[list[str]], of: DataFrame) -> DataFrame:
+        """The greatest count of a phrase one word longer, per phrase."""
+        names = ["a", "b", "c"][: len(parts[0])]
+        each = F.explode(F.array(*[F.struct(*[F.col(c).alias(n) for c, n in zip(part, names)]) for part in parts]))
+        return of.select(each.alias("t"), "n").select("t.*", "n").groupBy(*names).agg(F.max("n").alias("above"))
+
+    two = pairs.join(above([["a", "b"], ["b", "c"]], triples), ["a", "b"], "left").select(
+        "lang", "a", "b", none.alias("c"), none.alias("d"), F.lit(2).alias("n_words"), "n", _cut(1, F.col("n1"), F.col("n2")).alias("cut"), "above")
+    three = triples.join(above([["a", "b", "c"], ["b", "c", "d"]], quads), ["a", "b", "c"], "left") \
+        .join(head("a", "b"), ["a", "b"]).join(tail("b", "c"), ["b", "c"]).select(
+            "lang", "a", "b", "c", none.alias("d"), F.lit(3).alias("n_words"), "n",
+            F.least(_cut(1, F.col("head1"), F.col("tail2")), _cut(2, F.col("head2"), F.col("tail1"))).alias("cut"), "above")
+    four = quads.join(triples.withColumnRenamed("n", "head3"), ["a", "b", "c"]) \
+        .join(triples.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("c").alias("d"), F.col("n").alias("tail3")), ["b", "c", "d"]) \
+        .join(head("a", "b"), ["a", "b"]).join(tail("c", "d"), ["c", "d"]).select(
+            "lang", "a", "b", "c", "d", F.lit(4).alias("n_words"), "n",
+            F.least(_cut(1, F.col("head1"), F.col("tail3")), _cut(2, F.col("head2"), F.col("tail2")), _cut(3, F.col("head3"), F.col("tail1"))).alias("cut"), none.alias("above"))
     most = F.col("above").cast("decimal(19,0)") * 100 >= F.col("n").cast("decimal(19,0)") * share
     return two.union(three).union(four).withColumn("contained", F.coalesce(most, F.lit(False))).drop("above")
 
 
-def first_of(phrases: DataFrame, top: int = TOP) -> DataFrame:
-    """`rank`ed first phrases of each language by score, count and phrase. A language's phrases are first dealt
-    into parts, of which only `top` each go on."""
-    order = (F.col("cut.score").desc(), F.col("n").desc(), F.col("phrase"))
+def with_phrases(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """The rows with `phrase`, the words behind a, b, c and d."""
+    for c in "abcd":
+        rows = rows.join(words.select(F.col("gid").alias(c), F.col("word").alias(f"_{c}")), c, "left")
+    return rows.withColumn("phrase", F.concat_ws(" ", *[f"_{c}" for c in "abcd"])).drop(*[f"_{c}" for c in "abcd"])
+
+
+def first_of(phrases: DataFrame, words: DataFrame, top: int = TOP) -> DataFrame:
+    """`rank`ed first phrases of each language by score, count and phrase. Those that score and count leave in the running, ties
+    and all, get their texts; a language's phrases are first dealt into parts, of which only as many each go on."""
+    order = (F.col("cut.score").desc(), F.col("n").desc())
     parts = max(_DEALT, shuffle_partitions(phrases.sparkSession))
-    dealt = phrases.withColumn("part", F.pmod(F.hash("phrase"), F.lit(parts)))
-    near = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("rank") <= top)
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top).drop("part")
+    near = phrases.withColumn("part", F.pmod(F.hash(*"abcd"), F.lit(parts)))
+    for keys in (["lang", "part"], ["lang"]):
+        near = near.withColumn("rank", F.rank().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("rank") <= top)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order, "phrase"))
+    return with_phrases(near.drop("part", "rank"), words).withColumn("rank", rank.cast("long")).filter(F.col("rank") <= top)
 
 
 def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, share: int = SHARE, top: int = TOP, depth: int = 4, size: int = SHARD) -> DataFrame:
@@ -407,8 +441,8 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = L
     count `a`, the counts `l` and `r` of the parts of its weakest cut (after `cut_after` words), the language's
     number of words `n`, and score."""
     counts = counted(docs, text, lang, least, depth, size)
-    best = first_of(candidates(counts, share).filter("NOT contained"), top)
-    return best.withColumnRenamed("n", "a").join(counts["sums"], "lang").select(
+    best = first_of(candidates(counts, share).filter("NOT contained"), counts["words"], top).drop("a").withColumnRenamed("n", "a")
+    return best.join(counts["sums"], "lang").select(
         "lang", "rank", "phrase", "n_words", "a", "cut.l", "cut.r", F.col("cut.k").alias("cut_after"), "n", "cut.score")
 
 
