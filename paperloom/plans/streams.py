@@ -36,7 +36,7 @@ PROGRESS = f"""SELECT {ledger.USER} || '-' || CAST(event_id % 50 AS STRING) AS t
 
 
 def live_stages(spark, folder):
-    out = run_available(live.live_stage_durations(_events(spark, folder, PROGRESS), "24 hours", NOW), closing=True)
+    out = run_available(live.live_stage_durations(_events(spark, folder, PROGRESS), "24 hours", NOW, slot=SLOT), closing=True)
     return out.select("trace_id", "stage", F.unix_micros("started").alias("started"), F.coalesce(F.unix_micros("ended"), F.lit(0)).alias("ended"),
                       F.coalesce("outcome", F.lit("")).alias("outcome"), "timed_out")
 
@@ -116,6 +116,8 @@ def sketch_distinct(spark, folder):
 # The whole table is there at once, so the watermark need not wait for stragglers; the closing empty batch
 # releases every row.
 NOW = "0 seconds"
+# And its rows are released together: those of a day lie together where a key has many.
+SLOT = "1 day"
 # Longer than the tables reach: what is remembered this long is remembered over the whole table.
 WHOLE = "60 days"
 
@@ -124,12 +126,12 @@ QUERIES = {
     "live_ledger": live_ledger,
     "live_ledger_sliding": lambda s, d: run_available(live.live_ledger(L.price_calls(_events(s, d, CALLS)), "2 minutes", "1 minute"), "update", ["window_start", "window_end", "task", "model"]).select(
         F.unix_seconds("window_start").alias("window_start"), "task", "model", "calls", "tokens_in"),
-    "live_budget_alerts": lambda s, d: run_available(live.live_budget_guard(L.price_calls(_events(s, d, CALLS)), NOW), closing=True),
-    "live_stuck_loops": lambda s, d: run_available(live.live_stuck_loops(_steps(s, d), NOW), closing=True),
-    "live_breaker": lambda s, d: run_available(live.live_breaker(_events(s, d, repos.BREAKER), late=NOW), closing=True),
+    "live_budget_alerts": lambda s, d: run_available(live.live_budget_guard(L.price_calls(_events(s, d, CALLS)), NOW, slot=SLOT), closing=True),
+    "live_stuck_loops": lambda s, d: run_available(live.live_stuck_loops(_steps(s, d), NOW, slot=SLOT), closing=True),
+    "live_breaker": lambda s, d: run_available(live.live_breaker(_events(s, d, repos.BREAKER), late=NOW, slot=SLOT), closing=True),
     "live_stage_pairs": live_stages,
     "stage_pairs": stage_pairs,
-    "live_reuse": lambda s, d: run_available(live.live_reuse(_events(s, d, repos.REUSE), 43200, NOW), closing=True),
+    "live_reuse": lambda s, d: run_available(live.live_reuse(_events(s, d, repos.REUSE), 43200, NOW, slot=SLOT), closing=True),
     "live_stage_join": live_stage_join,
     "live_reuse_cheap": lambda s, d: run_available(live.live_reuse_cheap(_events(s, d, repos.REUSE), WHOLE)).select("cache_key"),
     "kept_ledger": kept_ledger,

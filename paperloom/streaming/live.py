@@ -3,7 +3,8 @@
 Rows behind the watermark are dropped. Keyed operators hold their rows in state until the watermark has
 passed them and only then work on them, in event-time order, so results depend neither on the borders of
 the batches nor on the order of arrival. A key's state stays until it is used up; `ttl` gives it a life
-in processing time instead, after which the key starts anew.
+in processing time instead, after which the key starts anew. `slot` is the time whose held rows lie together
+where a key has many: as long as the watermark's usual step, or longer where a backlog is worked off.
 """
 
 from __future__ import annotations
@@ -45,84 +46,186 @@ def _ms(us: int) -> int:
     return us // 1000
 
 
-def _second(ms: int) -> int:
-    return ms // 1000
+#: Held rows up to which a key's are one entry, and new rows that are gathered before they are spread over slots.
+_FEW, _HOLD = 1024, 100_000
+#: The entry of rows that lie together; where rows are spread it is empty and counts the slots.
+_TOGETHER = (-(1 << 62), 0)
 
 
 class _InOrder(StatefulProcessor):
     """Holds rows (tuples that start with their time in microseconds) until the watermark has passed them.
 
-    The rows of a second are one entry of a map, with a timer of its own: a timer reads the rows that are due (and at
-    most their second's rest), however many a key holds. Timers fire in the order of time, so rows are worked on
-    in that order. Subclasses say what a row holds (`fields`), what is carried (`memory`), work on released
-    rows, and may ask for further timers (`alarms`).
+    Up to FEW rows of a key are one entry of a map. A key that holds more is spread over slots of time: the rows a
+    batch brings for a slot are an entry of their own, so nothing held is rewritten for them, and a timer reads the
+    rows that are due (and at most their slot's rest), however many a key holds. Timers fire in the order of
+    time, so rows are worked on in that order. `slot_us` is the width of a slot: short where the watermark
+    advances in small steps, long where much is released at once. Subclasses say what a row holds (`fields`), what is
+    carried (`memory`), work on released rows, and may hold further rows that mark a time (`marks`).
     """
 
     fields, memory, columns = "", "", []
 
-    def __init__(self, ttl_ms: int | None = None) -> None:
-        self.ttl_ms = ttl_ms
+    def __init__(self, ttl_ms: int | None = None, slot_us: int = 1_000_000) -> None:
+        self.ttl_ms, self.slot_us = ttl_ms, slot_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "second bigint", "first bigint, rows binary")
+        self.held = handle.getMapState("held", "slot bigint, part int", "first bigint, rows binary")
         self.state = handle.getValueState("memory", self.memory, self.ttl_ms)
-
-    def _entry(self, second: int) -> tuple[int | None, list[tuple]]:
-        found = self.held.getValue((second,)) if self.held.containsKey((second,)) else None
-        return (int(found[0]), pickle.loads(bytes(found[1]))) if found else (None, [])
-
-    def _keep(self, second: int, rows: list[tuple]) -> None:
-        first = min(r[0] for r in rows)
-        self.held.updateValue((second,), (first, pickle.dumps(rows)))
+        self.passed = None
+
+    def _entry(self, at: tuple[int, int]) -> tuple[int, list[tuple]] | None:
+        if not self.held.containsKey(at):
+            return None
+        first, rows = self.held.getValue(at)
+        return int(first), pickle.loads(bytes(rows))
+
+    def _put(self, at: tuple[int, int], first: int, rows: list[tuple]) -> None:
+        self.held.updateValue(at, (first, pickle.dumps(rows)))
+
+    def _kept(self) -> tuple[list[tuple], int]:
+        """The rows of a key that lie together, and the number of slots its rows are spread over instead."""
+        first, rows = self._entry(_TOGETHER) or (0, [])
+        return rows, 0 if rows else first
+
+    def _spread(self, slots: int) -> None:
+        self._put(_TOGETHER, slots, []) if slots else self.held.removeKey(_TOGETHER)
+
+    def _parts(self, slot: int) -> int:
+        """The number of entries of a slot: they are numbered from 0 on, without gaps."""
+        none, some = 0, -1  # `some` is there, `none` is to be tested
+        while self.held.containsKey((slot, none)):
+            some, none = none, 2 * none + 1
+        while none - some > 1:
+            middle = (some + none) // 2
+            some, none = (middle, none) if self.held.containsKey((slot, middle)) else (some, middle)
+        return none
+
+    def _wake(self, first: int) -> None:
         self.handle.registerTimer(_ms(first) - 1)
 
+    def _add(self, rows: list[tuple], parts: dict[int, int]) -> int:
+        """Spread rows over their slots, each as the next part; the number of slots that had none."""
+        opened, by_slot = 0, {}
+        for r in rows:
+            by_slot.setdefault(r[0] // self.slot_us, []).append(r)
+        for slot, here in by_slot.items():
+            part = parts[slot] if slot in parts else self._parts(slot)
+            opened += part == 0
+            self._put((slot, part), 0, here)
+            parts[slot] = part + 1
+            self._wake(min(r[0] for r in here))
+        return opened
+
     def handleInputRows(self, key, rows, timerValues):
-        names = ["us", *[f.strip().split(" ")[0] for f in self.fields.split(",")]]
+        names = [f.strip().split(" ")[0] for f in self.fields.split(",")]
+        kept, slots = self._kept()
+        new, parts = [], {}
         for pdf in rows:  # one Arrow batch at a time
-            for second, part in pdf.groupby(pdf["us"] // 1_000_000):
-                new = [tuple(x.item() if hasattr(x, "item") else x for x in r) for r in part[names].itertuples(index=False, name=None)]
-                before, old = self._entry(int(second))
-                if before is not None and before > min(r[0] for r in new):
-                    self.handle.deleteTimer(_ms(before) - 1)
-                self._keep(int(second), old + new)
-                for at in self.alarms(new):
-                    self.handle.registerTimer(at)
+            pdf = pdf[pdf["us"].notna()]
+            given = list(zip(pdf["us"].astype("int64").tolist(), *[pdf[n].tolist() for n in names]))
+            new += given + self.marks(given)
+            if len(new) > _HOLD:
+                slots += self._add(kept + new, parts)
+                kept, new = [], []
+        if slots or len(kept) + len(new) > _FEW:
+            self._spread(slots + self._add(kept + new, parts))
+        elif new:
+            first = min(r[0] for r in new)
+            before = min((r[0] for r in kept), default=None)
+            if before is None or first < before:
+                self._wake(first)
+            self._put(_TOGETHER, first if before is None else min(first, before), kept + new)
         yield from ()
 
+    def _release(self, slot: int, mark: int) -> list[tuple]:
+        """The rows that are due: of all rows that lie together, else of the slot. The rest stays, with a timer."""
+        kept, slots = self._kept()
+        parts = self._parts(slot) if slots else 0
+        if slots:
+            kept = [r for n in range(parts) for r in self._entry((slot, n))[1]]
+        due, rest = sorted(r for r in kept if _ms(r[0]) <= mark), [r for r in kept if _ms(r[0]) > mark]
+        if due:
+            for n in range(1 if rest else 0, parts):
+                self.held.removeKey((slot, n))
+            if rest:
+                first = min(r[0] for r in rest)
+                self._put((slot, 0) if slots else _TOGETHER, first, rest)
+                self._wake(first)
+            else:
+                self._spread(slots - 1 if slots else 0)
+        return due
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         mark, at = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
-        second = _second(at + 1)
-        first, rows = self._entry(second)
-        due, rest = sorted(r for r in rows if _ms(r[0]) <= mark), [r for r in rows if _ms(r[0]) > mark]
-        if rest and due:
-            self._keep(second, rest)
-        elif due:
-            self.held.removeKey((second,))
+        # The row that asked for the timer is of the next millisecond.
+        slot = (at + 1) * 1000 // self.slot_us
+        # A slot is read once for a watermark, however many timers it has.
+        if self.passed == (key, slot, mark):
+            return
+        self.passed = (key, slot, mark)
+        due = self._release(slot, mark)
+        if not due:
+            return
+        if self.ttl_ms:
+            self.clock = timerValues.getCurrentProcessingTimeInMs()
         memory = tuple(self.state.get()) if self.state.exists() else None
-        out, changed = self.work(key, due, memory, at)
+        out, changed = self.work(key, due, memory)
         if changed != memory:
             self.state.update(changed) if changed is not None else self.state.clear()
         if out:
             yield pd.DataFrame(out, columns=self.columns)
 
-    def alarms(self, rows: list[tuple]) -> list[int]:
-        """Times in milliseconds at which `work` is to be called besides."""
+    def marks(self, rows: list[tuple]) -> list[tuple]:
+        """Rows to be held besides these."""
         return []
 
-    def work(self, key, rows: list[tuple], memory: tuple | None, now: int) -> tuple[list[tuple], tuple | None]:
-        """Rows to put out and what to carry. All rows up to `now` (milliseconds) have been given."""
+    def work(self, key, rows: list[tuple], memory: tuple | None) -> tuple[list[tuple], tuple | None]:
+        """Rows to put out and what to carry."""
         raise NotImplementedError
 
     def close(self) -> None:
         pass
 
 
+class _ManyKeys(_InOrder):
+    """Keys with few rows each, dealt to buckets: a bucket holds the rows and carries the memory of all its keys, and
+    calls upon the store are made per bucket. For memory that wears out, so that what a bucket carries stays short."""
+
+    memory, clock = "kept binary", 0
+
+    def work(self, key, rows, memory):
+        kept = pickle.loads(bytes(memory[0])) if memory else {}
+        if self.ttl_ms:
+            kept = {k: v for k, v in kept.items() if self.clock - v[1] < self.ttl_ms}
+        out = []
+        for row in rows:
+            self.step(row, kept, out)
+        kept = {k: v for k, v in kept.items() if self.lasts(v[0], rows[-1][0])}
+        return out, (pickle.dumps(kept),) if kept else None
+
+    def step(self, row: tuple, kept: dict, out: list[tuple]) -> None:
+        """Work on one row. `kept`: key -> (what is carried, when it was written)."""
+        raise NotImplementedError
+
+    def lasts(self, value, now_us: int) -> bool:
+        """Whether what is carried can still tell for a row at or after `now_us`."""
+        return True
+
+
+#: Buckets of keys with few rows.
+_BUCKETS = 4096
+
+
+def _bucket(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(_BUCKETS)).alias("bucket")
+
+
 def _keyed(rows: DataFrame, keys: list[str], processor: _InOrder, schema: str) -> DataFrame:
     return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
-def _clocked(df: DataFrame, late: str, keys: list[str], *columns: Column | str) -> DataFrame:
+def _clocked(df: DataFrame, late: str, keys: list[Column | str], *columns: Column | str) -> DataFrame:
     """Keys, time in microseconds, further columns; the event time itself stays, or no row would be late."""
     return df.withWatermark("ts", late).select(*keys, F.unix_micros("ts").alias("us"), *columns, "ts")
 
@@ -131,7 +234,7 @@ class _BudgetGuard(_InOrder):
     fields, memory = "call_id bigint, task string, units bigint, cap bigint", "units bigint, alerted boolean"
     columns = ["trace_id", "call_id", "task", "cap_usd", "cost_usd"]
 
-    def work(self, key, rows, memory, now):
+    def work(self, key, rows, memory):
         spent, alerted = memory or (0, False)
         out = []
         for _, call, task, units, cap in rows:
@@ -142,19 +245,19 @@ class _BudgetGuard(_InOrder):
         return out, (spent, alerted)
 
 
-def live_budget_guard(priced: DataFrame, late: str = "10 minutes", ttl_ms: int | None = None) -> DataFrame:
+def live_budget_guard(priced: DataFrame, late: str = "10 minutes", ttl_ms: int | None = None, slot: str = "1 second") -> DataFrame:
     """One alert per trace, at the call whose running cost first passes the cap."""
     units = lambda c: (c * F.lit(_MONEY_UNIT)).cast("bigint")
     rows = _clocked(priced, late, ["trace_id"], "call_id", "task", units(F.col("cost_usd")).alias("units"),
                     units(cap_of(F.col("task")).cast("decimal(12,6)")).alias("cap"))
-    return _keyed(rows, ["trace_id"], _BudgetGuard(ttl_ms), "trace_id string, call_id bigint, task string, cap_usd double, cost_usd double")
+    return _keyed(rows, ["trace_id"], _BudgetGuard(ttl_ms, _interval_us(slot)), "trace_id string, call_id bigint, task string, cap_usd double, cost_usd double")
 
 
 class _StuckLoop(_InOrder):
     fields, memory = "step_number bigint, action string, url string", "a1 string, u1 string, a2 string, u2 string"
     columns = ["trace_id", "step_number", "action", "url"]
 
-    def work(self, key, rows, memory, now):
+    def work(self, key, rows, memory):
         a1, u1, a2, u2 = memory or (None, None, None, None)  # the step before, and the one before that
         out = []
         for _, step, action, url in rows:
@@ -164,23 +267,23 @@ class _StuckLoop(_InOrder):
         return out, (a1, u1, a2, u2)
 
 
-def live_stuck_loops(steps: DataFrame, late: str = "10 minutes", ttl_ms: int | None = None) -> DataFrame:
+def live_stuck_loops(steps: DataFrame, late: str = "10 minutes", ttl_ms: int | None = None, slot: str = "1 second") -> DataFrame:
     """A row for every step (trace_id, ts, step_number, ...) that repeats the action and URL of the two
     steps before it."""
     rows = _clocked(steps, late, ["trace_id"], F.col("step_number").cast("bigint").alias("step_number"),
                     F.concat_ws(": ", "action_type", F.coalesce("target", F.lit(""))).alias("action"), F.coalesce(F.col("after.url"), F.lit("")).alias("url"))
-    return _keyed(rows, ["trace_id"], _StuckLoop(ttl_ms), "trace_id string, step_number bigint, action string, url string")
+    return _keyed(rows, ["trace_id"], _StuckLoop(ttl_ms, _interval_us(slot)), "trace_id string, step_number bigint, action string, url string")
 
 
 class _Breaker(_InOrder):
     fields, memory = "event_id bigint, ok boolean", "failures bigint, last_us bigint"
     columns = ["service", "event_id", "state_before", "state_after", "failures"]
 
-    def __init__(self, threshold: int, cooldown_seconds: float, ttl_ms: int | None) -> None:
-        super().__init__(ttl_ms)
+    def __init__(self, threshold: int, cooldown_seconds: float, ttl_ms: int | None, slot_us: int = 1_000_000) -> None:
+        super().__init__(ttl_ms, slot_us)
         self.threshold, self.cooldown = threshold, cooldown_seconds * 1_000_000
 
-    def work(self, key, rows, memory, now):
+    def work(self, key, rows, memory):
         failures, last = memory or (0, 0)
         out = []
         for us, event, ok in rows:
@@ -191,33 +294,36 @@ class _Breaker(_InOrder):
 
 
 def live_breaker(events: DataFrame, threshold: int = fixed.BREAKER_FAILURES, cooldown: float = fixed.BREAKER_COOLDOWN_SECONDS,
-                 late: str = "10 minutes", ttl_ms: int | None = None) -> DataFrame:
+                 late: str = "10 minutes", ttl_ms: int | None = None, slot: str = "1 second") -> DataFrame:
     """(service, event_id, ts, ok) -> breaker state before and after every call."""
     rows = _clocked(events, late, ["service"], F.col("event_id").cast("bigint").alias("event_id"), "ok")
-    return _keyed(rows, ["service"], _Breaker(threshold, cooldown, ttl_ms),
+    return _keyed(rows, ["service"], _Breaker(threshold, cooldown, ttl_ms, _interval_us(slot)),
                   "service string, event_id bigint, state_before string, state_after string, failures bigint")
 
 
-class _Reuse(_InOrder):
-    fields, memory, columns = "id bigint", "us bigint", ["id", "cache_key", "cache_hit"]
+class _Reuse(_ManyKeys):
+    fields, columns = "cache_key string, id bigint", ["id", "cache_key", "cache_hit"]
 
-    def __init__(self, keep_seconds: int, ttl_ms: int | None) -> None:
-        super().__init__(ttl_ms)
+    def __init__(self, keep_seconds: int, ttl_ms: int | None, slot_us: int = 1_000_000) -> None:
+        super().__init__(ttl_ms, slot_us)
         self.keep = keep_seconds * 1_000_000
 
-    def work(self, key, rows, memory, now):
-        last, out = memory[0] if memory else None, []
-        for us, request in rows:
-            hit = last is not None and us - last < self.keep
-            out.append((request, key[0], hit))
-            last = last if hit else us
-        return out, None if last is None else (last,)
+    def step(self, row, kept, out):
+        us, key, request = row
+        last = kept.get(key)
+        hit = last is not None and self.lasts(last[0], us)
+        out.append((request, key, hit))
+        if not hit:
+            kept[key] = (us, self.clock)
+
+    def lasts(self, value, now_us):
+        return now_us - value < self.keep
 
 
-def live_reuse(requests: DataFrame, ttl_seconds: int = fixed.REUSE_TTL_SECONDS, late: str = "10 minutes", ttl_ms: int | None = None) -> DataFrame:
+def live_reuse(requests: DataFrame, ttl_seconds: int = fixed.REUSE_TTL_SECONDS, late: str = "10 minutes", ttl_ms: int | None = None, slot: str = "1 second") -> DataFrame:
     """Requests served from a kept result, by the exact rule (hits do not refresh the clock)."""
-    rows = _clocked(reuse_key(requests), late, ["cache_key"], F.col("id").cast("bigint").alias("id"))
-    return _keyed(rows, ["cache_key"], _Reuse(ttl_seconds, ttl_ms), "id bigint, cache_key string, cache_hit boolean")
+    rows = _clocked(reuse_key(requests), late, [_bucket("cache_key")], "cache_key", F.col("id").cast("bigint").alias("id"))
+    return _keyed(rows, ["bucket"], _Reuse(ttl_seconds, ttl_ms, _interval_us(slot)), "id bigint, cache_key string, cache_hit boolean")
 
 
 def live_reuse_cheap(requests: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -229,33 +335,32 @@ def _stage(event: Column) -> Column:
     return F.regexp_replace(event, "_(start|done|failed|skipped)$", "")
 
 
-class _Stages(_InOrder):
-    fields, memory = "closing int, outcome string", "us bigint"
+class _Stages(_ManyKeys):
+    # `closing`: 0 a start, 1 an end, 2 the time at which a start is given up.
+    fields = "trace_id string, stage string, closing int, outcome string"
     columns = ["trace_id", "stage", "started", "ended", "outcome", "duration_ms", "timed_out"]
 
-    def __init__(self, timeout_us: int, ttl_ms: int | None) -> None:
-        super().__init__(ttl_ms)
+    def __init__(self, timeout_us: int, ttl_ms: int | None, slot_us: int = 1_000_000) -> None:
+        super().__init__(ttl_ms, slot_us)
         self.timeout = timeout_us
 
-    def alarms(self, rows):
-        return [_ms(us + self.timeout) for us, closing, _ in rows if not closing]
-
-    def work(self, key, rows, memory, now):
-        open_, out = memory[0] if memory else None, []
-
-        def row(end, outcome):
-            given = end is not None
-            return (*key, pd.Timestamp(open_, unit="us"), pd.Timestamp(end, unit="us") if given else pd.NaT, outcome if given else None,
-                    (end - open_) / 1000 if given else None, not given)
-
-        for us, closing, outcome in rows:
-            if open_ is not None:
-                out.append(row(us, outcome) if closing and us - open_ <= self.timeout else row(None, None))
-            open_ = None if closing else us
-        if open_ is not None and _ms(open_ + self.timeout) <= now:
-            out.append(row(None, None))
-            open_ = None
-        return out, None if open_ is None else (open_,)
+    def marks(self, rows):
+        return [((_ms(us + self.timeout) + 1) * 1000, trace, stage, 2, "") for us, trace, stage, closing, _ in rows if not closing]
+
+    def step(self, row, kept, out):
+        us, trace, stage, closing, outcome = row
+        opened = kept.get((trace, stage))
+        if closing == 2 and (opened is None or _ms(opened[0] + self.timeout) >= _ms(us)):
+            return  # that start is paired, or another one is open
+        if opened is not None:
+            start = opened[0]
+            in_time = closing == 1 and us - start <= self.timeout
+            out.append((trace, stage, pd.Timestamp(start, unit="us"), pd.Timestamp(us, unit="us") if in_time else pd.NaT, outcome if in_time else None,
+                        (us - start) / 1000 if in_time else None, not in_time))
+        if closing:
+            kept.pop((trace, stage), None)
+        else:
+            kept[trace, stage] = (us, self.clock)
 
 
 def _marked(events: DataFrame) -> DataFrame:
@@ -269,11 +374,11 @@ def _interval_us(text: str) -> int:
     return int(pd.Timedelta(text).total_seconds() * 1_000_000)
 
 
-def live_stage_durations(events: DataFrame, timeout: str = "30 minutes", late: str = "10 minutes", ttl_ms: int | None = None) -> DataFrame:
+def live_stage_durations(events: DataFrame, timeout: str = "30 minutes", late: str = "10 minutes", ttl_ms: int | None = None, slot: str = "1 second") -> DataFrame:
     """`stage_durations` on a stream: a pair comes out once the watermark has passed its end, a start that
     stays open once it has passed the timeout."""
-    rows = _clocked(_marked(events), late, ["trace_id", "stage"], "closing", "outcome")
-    return _keyed(rows, ["trace_id", "stage"], _Stages(_interval_us(timeout), ttl_ms),
+    rows = _clocked(_marked(events), late, [_bucket("trace_id", "stage")], "trace_id", "stage", "closing", "outcome")
+    return _keyed(rows, ["bucket"], _Stages(_interval_us(timeout), ttl_ms, _interval_us(slot)),
                   "trace_id string, stage string, started timestamp, ended timestamp, outcome string, duration_ms double, timed_out boolean")
 
 

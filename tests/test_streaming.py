@@ -215,3 +215,46 @@ def test_a_firing_reads_the_rows_that_are_due():
     n = [sum(us // 1000 <= m for us, *_ in rows) for m in (100_000, 100_500, 700_000, 10**7)]
     assert [len(out), n[3]] == [10_000, 10_000] and [x[1] for x in out] == [e for _, e, _ in sorted(rows)]
     assert reads[0] <= n[0] + 5 and reads[1] <= n[1] - n[0] + 10 and reads[2] <= n[2] - n[1] + 10 and reads[3] <= 5 and not state.map
+
+
+def test_state_calls_follow_entries_not_rows():
+    """A key's few rows are one entry and one timer, those of many keys in a bucket too; a key with many rows has an entry
+    per slot. What comes out is the same."""
+    import types
+
+    import pandas as pd
+
+    class Counted(_State):
+        calls = 0
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            super().updateValue(key, value)
+
+        def registerTimer(self, ms):
+            self.calls += 1
+            super().registerTimer(ms)
+
+    def run(processor, rows, columns, marks):
+        state, out = Counted(), []
+        processor.init(state)
+        list(processor.handleInputRows(("k",), iter([pd.DataFrame(rows, columns=columns)]), None))
+        first = state.calls
+        for mark in marks:
+            for at in sorted(t for t in state.timers if t < mark):
+                state.timers.discard(at)
+                for part in processor.handleExpiredTimer(("k",), types.SimpleNamespace(getCurrentWatermarkInMs=lambda: mark), types.SimpleNamespace(getExpiryTimeInMs=lambda: at)):
+                    out += part.itertuples(index=False, name=None)
+        return out, first, state
+
+    second, end = 1_000_000, 10**9
+    few = [(s * second, s, s % 3 == 0) for s in range(500)]
+    out, calls, state = run(live._Breaker(5, 60, None), few, ["us", "event_id", "ok"], (100_000, end))
+    assert calls == 2 and [x[1] for x in out] == list(range(500)) and not state.map
+    many = [(s * second, s, s % 3 == 0) for s in range(20_000)]
+    out, calls, state = run(live._Breaker(5, 60, None, 3600 * second), many, ["us", "event_id", "ok"], (5_000_000, end))
+    assert calls <= 2 * 6 + 1 and [x[1] for x in out] == list(range(20_000)) and not state.map
+    starts = [(s * second, f"t{s}", "parse", 0, "") for s in range(300)] + [(s * second + 7, f"t{s}", "parse", 1, "done") for s in range(0, 300, 2)]
+    out, calls, state = run(live._Stages(60 * second, None), starts, ["us", "trace_id", "stage", "closing", "outcome"], (100_000, 360_000))
+    # The start at second 299 is a minute behind the mark of 360 seconds; all others too.
+    assert calls == 2 and sorted((x[0], x[6]) for x in out) == sorted((f"t{s}", s % 2 == 1) for s in range(300)) and not state.map and state.value is None
