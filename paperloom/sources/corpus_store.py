@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text in one bucket, about.
-BUCKET_BYTES = 256 << 20
+BUCKET_BYTES = 32 << 20
 
 
 def bucket_count(texts: DataFrame, columns: list[str], bucket_bytes: int = BUCKET_BYTES) -> int:
