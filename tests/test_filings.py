@@ -309,3 +309,20 @@ def test_large_submissions_are_read_in_many_tasks(spark, tmp_path):
         assert sorted((r["doc_type"], r["body"]) for r in run_available(stream).collect()) == sorted(w[2:] for w in closed)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_tasks_of_a_text_table_follow_its_size(spark, tmp_path, monkeypatch):
+    """One row group, as one file: the texts are dealt by their size, and a key's rows lie together."""
+    import os
+
+    from paperloom import session
+    from paperloom.plans import adapters as A
+
+    rows = [(i % 40, f"{i} " * 200, "en", "s", 9) for i in range(80)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    size = sum(os.path.getsize(tmp_path / "documents.parquet" / f) for f in os.listdir(tmp_path / "documents.parquet") if f.endswith(".parquet") and not f.startswith("."))
+    monkeypatch.setattr(session, "TEXT_TASK_BYTES", -(-size // 30))
+    docs = A.table(spark, str(tmp_path), "documents")
+    assert docs.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, 30)
+    placed = docs.withColumn("p", F.spark_partition_id()).groupBy("doc_id").agg(F.countDistinct("p").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
+    assert len(placed) == 40 and {(r["n"], r["rows"]) for r in placed} == {(1, 2)}

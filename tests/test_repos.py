@@ -312,3 +312,14 @@ def test_changelog_parts_make_up_the_changelog(spark):
         got.setdefault((r["repo"], r["section"]), []).append(r["text"])
     assert {k: "\n".join(v) for k, v in got.items()} == {k: "\n".join(v) for k, v in whole.items()}
     assert max(len(r["text"]) for r in parts) <= 300 + 150 and len(parts) > 50
+
+
+def test_counted_audit_is_the_audit_counted(spark):
+    deps = spark.createDataFrame([("r", "PyPI", "a", "1.0"), ("r", "PyPI", "a", "1.0"), ("s", "PyPI", "a", "1.0"), ("s", "PyPI", "a", "1.1"), ("s", "PyPI", "a", None), ("s", "npm", "b", "2")],
+                                 "repo string, ecosystem string, name string, version string")
+    adv = spark.sql("""SELECT id, array(concat('CVE-', id)) AS aliases, 'x' AS summary, 'HIGH' AS severity, array(named_struct('ecosystem', 'PyPI', 'name', 'a', 'versions', array('1.0'),
+      'ranges', array(named_struct('introduced', '1', 'fixed', '2'), named_struct('introduced', '0', 'fixed', cast(null AS string))), 'scores', array('9.8'))) AS affected,
+      array(named_struct('type', 'WEB', 'url', 'u')) AS refs FROM VALUES ('A1'), ('A2') t(id)""")
+    plain = D.audit_deps(deps, adv).groupBy("name", "version", "advisory_id", "severity").count().collect()
+    got = D.audit_deps(deps, adv, counted=True).select("name", "version", "advisory_id", "severity", "uses").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, plain)) and sorted(r["uses"] for r in got) == [1, 1, 3, 3]

@@ -201,3 +201,12 @@ def test_single_actions(spark):
     rows = M.single_actions(M.parse_outputs(spark.createDataFrame(list(enumerate(raws)), "id int, raw string"))).collect()
     got = {r["id"]: (r["action_type"], r["target"], r["value"]) for r in rows}
     assert got == {0: ("fill", "box", "x"), 1: ("click", "ok", ""), 2: ("fill", "", ""), 3: ("done", "", "I am done here"), 4: ("done", "", ""), 5: ("done", "", ""), 6: ("done", "", "")}
+
+
+def test_the_query_gives_loops_of_two(spark, monkeypatch):
+    from paperloom.plans import web
+
+    rows = [("a", i, "click", "b", "", None, page("u"), "", 1.0) for i in range(2)] + [("b", i, "click", f"t{i}", "", None, page("u"), "", 1.0) for i in range(2)]
+    monkeypatch.setattr(web, "_steps", lambda s, d: s.createDataFrame(rows, STEP))
+    assert [(r["trace_id"], r["length"]) for r in web.QUERIES["stuck_loops"](spark, "").collect()] == [("a", 2)]
+    assert web.ORACLE["stuck_loops"] == web.ORACLE["repeated_steps"]
