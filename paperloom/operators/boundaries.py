@@ -1,20 +1,22 @@
 """Item boundaries of annual reports: detection, merging, ends, best boundary per item.
 
 One scan of the text yields a narrow row per candidate (heading, stand-alone title, cover-table
-row, end-index row, by-reference declaration). The candidates are shuffled once by filing (not at all
-over a stored corpus) and every later step is a window on filing-prefixed keys, so it reuses that
-exchange; the text itself is never shuffled here.
+row, end-index row, by-reference declaration). The candidates are shuffled once by filing, dealt as the texts
+are, and every later step is a window on filing-prefixed keys, so it reuses that exchange; the text itself is
+never shuffled here.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import fixed
+from paperloom.functions.headings import line_spans
 from paperloom.functions.text import (LINES, LINES_NOCASE, collapse, extract, find_spans, left, let, literal_map,
                                       rlike, slice_text, sql_literal, strip, text_array)
-from paperloom.session import dealt_by
+from paperloom.session import dealt_by, partitions, ship_package
 
 ITEM_NUMBERS = [n for _, n, _ in fixed.ITEMS]
 
@@ -87,23 +89,24 @@ def _of_kind(kind: str, base: Column):
     return lambda **c: _row(kind=F.lit(kind), base=base, **c)
 
 
-def _heading_rows(text: Column) -> Column:
-    return F.concat(*[
-        find_spans(text, LINES + p, before=40, after=200, shape=_of_kind(f"heading{n}", F.lit(0)))
-        for n, p in enumerate(fixed.HEADING_PATTERNS)])
+def _line_rows(heading: bool, title: bool):
+    """Candidates of headings and stand-alone titles: the lines that can match are found before a pattern runs."""
+    layout, pattern, titles = _LAYOUT, title_pattern() if title else None, frozenset(shape for shape, *_ in _title_rows())
 
+    @F.arrow_udf(f"array<struct<{', '.join(f'{n}:{t}' for n, t in _LAYOUT)}>>")
+    def rows(texts: pa.Array) -> pa.Array:
+        return line_spans(texts, layout, heading, pattern, titles)
 
-def _title_candidates(text: Column) -> Column:
-    return find_spans(text, LINES + title_pattern(), before=80, shape=_of_kind("title", F.lit(0)))
+    return rows
 
 
-def _part_rows(text: Column) -> Column:
+def _part_rows(text: Column, size: Column) -> Column:
     return find_spans(text, LINES_NOCASE + fixed.PART_PATTERN, shape=_of_kind("part", F.lit(0)))
 
 
-def _end_index_rows(text: Column) -> Column:
-    base = F.floor(F.length(text) * F.lit(0.95)).cast("int")
-    return find_spans(slice_text(text, base, F.length(text)), LINES_NOCASE + fixed.END_INDEX_PATTERN, shape=_of_kind("end_index", base))
+def _end_index_rows(text: Column, size: Column) -> Column:
+    base = F.floor(size * F.lit(0.95)).cast("int")
+    return find_spans(slice_text(text, base, size), LINES_NOCASE + fixed.END_INDEX_PATTERN, shape=_of_kind("end_index", base))
 
 
 def _describe(rows: DataFrame, note_chars: int | None = fixed.INDEX_NOTE_CHARS) -> DataFrame:
@@ -151,10 +154,9 @@ def _describe(rows: DataFrame, note_chars: int | None = fixed.INDEX_NOTE_CHARS)
         F.when(index, short(third)).otherwise(F.col("page_note")).alias("page_note"), "end_pos")
 
 
-def _reference_rows(text: Column) -> Column:
+def _reference_rows(text: Column, size: Column) -> Column:
     """Items of the cover-page declaration; one candidate per declared item, in list order."""
     flagged = "(?is)" + fixed.MASTER_REFERENCE_PATTERN
-    size = F.length(text)
     zone = F.when(size > 1000, F.floor(size * F.lit(0.15)).cast("int")).otherwise(size)
 
     def one(s: Column) -> Column:
@@ -184,12 +186,11 @@ def _reference_rows(text: Column) -> Column:
     return let(F.transform(found, one), lambda hits: let(offsets(hits), rows))
 
 
-def _cover_rows(text: Column) -> Column:
+def _cover_rows(text: Column, size: Column) -> Column:
     """Walk the cover table: an item line, its title, its page or status note; consumed lines are skipped.
 
     The region is at most 10 000 characters, so the walk is a fold over a short array in the row.
     """
-    size = F.length(text)
     start = F.when(size > 5000, 2000).otherwise(0)
     stop = F.least(start + 10_000, F.when(size > 10_000, F.floor(size * F.lit(0.15)).cast("int")).otherwise(size))
     region = slice_text(text, start, stop)
@@ -209,8 +210,7 @@ def _cover_rows(text: Column) -> Column:
     entry = "array<struct<item:string,pos:int,title:string,status:string,note:string>>"
 
     def step(acc: Column, x: Column) -> Column:
-        line, nxt, third = x["line"], F.coalesce(x["nxt"], F.lit("")), F.coalesce(x["third"], F.lit(""))
-        item = F.upper(extract(line, item_line, 1))
+        item, nxt, third = x["item"], F.coalesce(x["nxt"], F.lit("")), F.coalesce(x["third"], F.lit(""))
         is_anchor = (
             (x["i"] >= acc["skip"]) & (item != "") & F.array_contains(text_array(ITEM_NUMBERS), item)
             & ~F.exists(acc["rows"], lambda r: r["item"] == item)
@@ -220,20 +220,22 @@ def _cover_rows(text: Column) -> Column:
             .when(rlike(third, gone), "reserved").when(rlike(third, fixed.COVER_FOOTNOTE), "incorporated_by_reference") \
             .when(rlike(third, fixed.COVER_PAGES), "pages").when(rlike(third, item_line), "none") \
             .when((F.length(third) < 80) & ~F.startswith(F.lower(third), F.lit("part ")), "note").otherwise("none")
-        status = F.when(rlike(nxt, gone), "reserved") \
-            .when(kind.isin("not_applicable", "reserved", "incorporated_by_reference"), kind).otherwise("extracted")
-        consumed = F.when(kind != "none", 3).when((nxt != "") & ~rlike(nxt, item_line), 2).otherwise(1)
-        row = F.struct(
-            item.alias("item"), x["pos"].alias("pos"),
-            F.when(rlike(nxt, gone), "Reserved").when(titled, nxt).otherwise("").alias("title"),
-            status.alias("status"), F.when(kind != "none", third).otherwise("").alias("note"))
-        return F.struct(
-            F.when(is_anchor, x["i"] + consumed).otherwise(acc["skip"]).cast("int").alias("skip"),
-            F.when(is_anchor, F.concat(acc["rows"], F.array(row).cast(entry))).otherwise(acc["rows"]).alias("rows"))
+
+        def taken(kind: Column) -> Column:
+            status = F.when(rlike(nxt, gone), "reserved") \
+                .when(kind.isin("not_applicable", "reserved", "incorporated_by_reference"), kind).otherwise("extracted")
+            consumed = F.when(kind != "none", 3).when((nxt != "") & ~rlike(nxt, item_line), 2).otherwise(1)
+            row = F.struct(
+                item.alias("item"), x["pos"].alias("pos"),
+                F.when(rlike(nxt, gone), "Reserved").when(titled, nxt).otherwise("").alias("title"),
+                status.alias("status"), F.when(kind != "none", third).otherwise("").alias("note"))
+            return F.struct((x["i"] + consumed).cast("int").alias("skip"), F.concat(acc["rows"], F.array(row).cast(entry)).alias("rows"))
+
+        return F.when(is_anchor, let(kind, taken)).otherwise(acc)
 
     def walk(lines: Column) -> Column:
         ahead = F.transform(lines, lambda r, i: F.struct(
-            i.alias("i"), r["pos"].alias("pos"), r["line"].alias("line"),
+            i.alias("i"), r["pos"].alias("pos"), F.upper(extract(r["line"], item_line, 1)).alias("item"),
             F.get(lines, i + 1)["line"].alias("nxt"), F.get(lines, i + 2)["line"].alias("third")))
         zero = F.struct(F.lit(0).alias("skip"), F.array().cast(entry).alias("rows"))
         return F.transform(F.aggregate(ahead, zero, step)["rows"], lambda r, i: _row(
@@ -244,21 +246,31 @@ def _cover_rows(text: Column) -> Column:
     return let(placed, walk)
 
 
-_DETECTORS = {"heading": _heading_rows, "title": _title_candidates, "part": _part_rows, "end_index": _end_index_rows,
-              "cover": _cover_rows, "reference": _reference_rows}
+_LINE_DETECTORS = ["heading", "title"]  # these two read the text together
+_DETECTORS = {"part": _part_rows, "end_index": _end_index_rows, "cover": _cover_rows, "reference": _reference_rows}
 
 
 def candidates(texts: DataFrame, only: list[str] | None = None, note_chars: int | None = fixed.INDEX_NOTE_CHARS) -> DataFrame:
     """texts(filing_id, text) -> one narrow row per candidate, plus one `doc` row per filing. Titles and notes of an
     end index keep `note_chars` characters (None: all)."""
     t = F.col("text")
-    everything = F.concat(
-        F.array(_row(kind=F.lit("doc"))), *[fn(t) for name, fn in _DETECTORS.items() if only is None or name in only])
-    raw = texts.select("filing_id", F.length(t).alias("total_chars"), F.explode(everything).alias("c")).select(
-        "filing_id", "total_chars", "c.*")
-    # One exchange by filing for every later step; none where the texts lie by filing already.
+    found = [F.array(_row(kind=F.lit("doc")))]
+    lines = [name in only if only is not None else True for name in _LINE_DETECTORS]
+    # The size is taken before the candidates leave the text's row: behind them it would be counted for each.
+    read = texts.select("filing_id", "text", F.length(t).alias("total_chars"))
+    if any(lines):
+        ship_package(texts.sparkSession)
+        read = read.withColumn("_lines", _line_rows(*lines)(t))
+        found.append(F.col("_lines"))
+    found += [fn(t, F.col("total_chars")) for name, fn in _DETECTORS.items() if only is None or name in only]
+    raw = read.select("filing_id", "total_chars", F.explode(F.concat(*found)).alias("c")).select("filing_id", "total_chars", "c.*")
+    # One exchange by filing for every later step; none where the rows lie by filing already. They are dealt as the
+    # texts are, so that they meet them where they lie, and a task's share does not grow with the table.
+    # The heading goes by another name on the way, so that a plan tells it from a text that is moved.
     rows = _describe(raw, note_chars)
-    rows = rows if dealt_by(texts, "filing_id") else rows.repartition("filing_id")
+    if not dealt_by(rows, "filing_id"):
+        deal = [partitions(texts)] if dealt_by(texts, "filing_id") else []
+        rows = rows.withColumnRenamed("heading_text", "_heading").repartition(*deal, "filing_id").withColumnRenamed("_heading", "heading_text")
     run = Window.partitionBy("filing_id", "kind").orderBy("idx")
     before = run.rowsBetween(Window.unboundedPreceding, -1)
     pos = (
@@ -474,5 +486,5 @@ def best_boundaries(ended: DataFrame) -> DataFrame:
 
 def boundaries(texts: DataFrame, html_anchors: DataFrame | None = None) -> DataFrame:
     """The full rule pass: texts -> merged boundaries with ends (`doc` rows have a null source)."""
-    needed = [d for d in _DETECTORS if d != "part"]
+    needed = [*_LINE_DETECTORS, *[d for d in _DETECTORS if d != "part"]]
     return assign_ends(merge_boundaries(candidates(texts, needed), html_anchors))

@@ -1,7 +1,8 @@
 """Texts kept so that work on one filing never moves its text.
 
 A corpus is a table of texts, bucketed and sorted by its key. Whatever an operator computes per key from a
-stored corpus is already where the text is: windows and aggregates over the key need no exchange, and results
+stored corpus is already where the text is: windows and aggregates over the key need no exchange (rows that a
+Python function makes of the texts, as boundary candidates, are dealt like the buckets once more), and results
 are joined to the text by merging two sorted sides. The buckets are chosen from the measured size of the
 texts, as one bucket is one task.
 

@@ -326,3 +326,39 @@ def test_tasks_of_a_text_table_follow_its_size(spark, tmp_path, monkeypatch):
     assert docs.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, 30)
     placed = docs.withColumn("p", F.spark_partition_id()).groupBy("doc_id").agg(F.countDistinct("p").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
     assert len(placed) == 40 and {(r["n"], r["rows"]) for r in placed} == {(1, 2)}
+
+
+AWKWARD_LINES = [None, "", "Item 1. Foo\n\n\n Item 2\n\nItem 3. Bar |\n| Business |\n|\n\nRISK FACTORS\n", "Item 1.\nItem 2. Foo\x85\nItem 3 Bar﷐ x",
+                 "Item  9A— Controls \U0001f600 a\n  |Properties| |\n|Business", "ITEM 7: A, B & C\n\t\n\x0bItem 8\n \nFinancial Data   \n\nsee Item 5. Nothing", "xItem 1. Foo\nItem 1. " + "F" * 200]
+
+
+def test_line_spans_are_those_of_a_plain_scan(spark):
+    from paperloom.functions.text import LINES, find_spans
+    from paperloom.session import ship_package
+
+    ship_package(spark)
+    df = spark.createDataFrame(list(enumerate(AWKWARD_LINES)), "filing_id long, text string")
+    scans = [find_spans(F.col("text"), LINES + p, before=40, after=200, shape=B._of_kind(f"heading{n}", F.lit(0))) for n, p in enumerate(B.fixed.HEADING_PATTERNS)]
+    plain = F.concat(*scans, find_spans(F.col("text"), LINES + B.title_pattern(), before=80, shape=B._of_kind("title", F.lit(0))))
+    rows = df.select("filing_id", plain.alias("plain"), B._line_rows(True, True)(F.col("text")).alias("found")).collect()
+    assert [r.found for r in rows] == [r.plain for r in rows]
+    assert sum(len(r.found or []) for r in rows) > 10 and rows[0].found is None
+
+
+def test_candidates_leave_the_text_and_lie_as_the_texts_do(spark):
+    texts = spark.createDataFrame([(i, "Item 1. Business\nwords\n") for i in range(20)], "filing_id long, text string").repartition(7, "filing_id")
+    rows = B.candidates(texts)
+    plan = rows._jdf.queryExecution().optimizedPlan()
+    made = [n for n in _nodes(plan) if n.nodeName() == "Generate"]
+    # Behind the explode the text would be copied, and its size counted, for each candidate.
+    assert made and all("text#" not in n.output().mkString(",") for n in made)
+    from paperloom.session import partitions
+
+    assert partitions(rows) == 7
+
+
+def _nodes(plan):
+    yield plan
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _nodes(children.apply(i))
