@@ -59,9 +59,9 @@ def _title_anchors(text: str, titles: frozenset[str]) -> list[tuple[int, int]]:
 
 
 def line_spans(texts: pa.Array, layout: list[tuple[str, str]], heading: bool, title: str | None, titles: frozenset[str]) -> pa.Array:
-    """Per text the candidates of kind heading0..3 and title, as a list of structs of `layout` (null for a null text)."""
+    """Per text the candidates of kind heading0..3 and title, as a list of structs of `layout` (none for a null text)."""
     fields = {n: [] for n in ("kind", "idx", "gap", "hit", "pre", "post")}
-    offsets, known, titled = [], [], re.compile(title, re.M | re.A) if title else None
+    offsets, titled = [], re.compile(title, re.M | re.A) if title else None
 
     def add(text: str, kind: str, spans, before: int, after: int):
         last = 0
@@ -72,7 +72,6 @@ def line_spans(texts: pa.Array, layout: list[tuple[str, str]], heading: bool, ti
 
     for text in texts.to_pylist():
         offsets.append(len(fields["kind"]))
-        known.append(text is not None)
         if text is None:
             continue
         if heading:
@@ -84,5 +83,4 @@ def line_spans(texts: pa.Array, layout: list[tuple[str, str]], heading: bool, ti
     size, kinds = len(fields["kind"]), {"int": pa.int32(), "string": pa.string()}
     columns = [pa.array(fields[n], kinds[t]) if n in fields else pa.array([0] * size, pa.int32()) if n == "base" else pa.nulls(size, kinds[t]) for n, t in layout]
     rows = pa.StructArray.from_arrays(columns, [n for n, _ in layout])
-    bounds = pa.array([o if k else None for o, k in zip(offsets, known)] + [size], pa.int32())
-    return pa.ListArray.from_arrays(bounds, rows)
+    return pa.ListArray.from_arrays(pa.array([*offsets, size], pa.int32()), rows)

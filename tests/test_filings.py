@@ -342,12 +342,14 @@ def test_line_spans_are_those_of_a_plain_scan(spark):
     plain = F.concat(*scans, find_spans(F.col("text"), LINES + B.title_pattern(), before=80, shape=B._of_kind("title", F.lit(0))))
     rows = df.select("filing_id", plain.alias("plain"), B._line_rows(True, True)(F.col("text")).alias("found")).collect()
     assert [r.found for r in rows] == [r.plain for r in rows]
-    assert sum(len(r.found or []) for r in rows) > 10 and rows[0].found is None
+    assert sum(len(r.found or []) for r in rows) > 10 and rows[0].found == []
 
 
 def test_candidates_leave_the_text_and_lie_as_the_texts_do(spark):
     texts = spark.createDataFrame([(i, "Item 1. Business\nwords\n") for i in range(20)], "filing_id long, text string").repartition(7, "filing_id")
     rows = B.candidates(texts)
+    nothing = texts.select("filing_id", F.lit(None).cast("string").alias("text"))
+    assert [r.kind for r in B.candidates(nothing).collect()] == ["doc"] * 20  # a filing without a text is still one
     plan = rows._jdf.queryExecution().optimizedPlan()
     made = [n for n in _nodes(plan) if n.nodeName() == "Generate"]
     # Behind the explode the text would be copied, and its size counted, for each candidate.
