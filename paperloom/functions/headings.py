@@ -3,6 +3,9 @@
 A pattern tried at every position of a text costs far more than the few lines that can match. So the word that a
 match needs ("Item", or a line that is a title) is found first, and the pattern runs from the start of that line
 only. Matches, their order and their offsets are those of a plain scan with the pattern (`text.find_spans`).
+
+What a candidate tells is read off the match while it is at hand, so no pattern runs on a match again and neither the
+match nor the text around it leaves the text's row.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ import re
 import pyarrow as pa
 
 from paperloom.functions import fixed
+from paperloom.functions.text import BLANKS
 
 _BLANK = " \t\n\r\x0b\x0c"
 _ITEM = re.compile("ITEM|Item")
@@ -25,7 +29,7 @@ def _run_start(text: str, at: int, run: str) -> int:
 
 
 def _matches(text: str, pattern: re.Pattern, anchors: list[tuple[int, int]]):
-    """(start, end) of the pattern's matches, leftmost first and not overlapping. An anchor is where a match's first word
+    """The pattern's matches, leftmost first and not overlapping. An anchor is where a match's first word
     stands, and where the run of noise before it begins; a match starts at a line's start or end in that run."""
     done = 0
     for word, run in anchors:
@@ -39,7 +43,7 @@ def _matches(text: str, pattern: re.Pattern, anchors: list[tuple[int, int]]):
         found = pattern.match(text, low)
         if found:
             done = found.end()
-            yield found.start(), done
+            yield found
 
 
 def _item_anchors(text: str) -> list[tuple[int, int]]:
@@ -47,7 +51,7 @@ def _item_anchors(text: str) -> list[tuple[int, int]]:
             if m.start() == 0 or text[m.start() - 1] in _BLANK]
 
 
-def _title_anchors(text: str, titles: frozenset[str]) -> list[tuple[int, int]]:
+def _title_anchors(text: str, titles: dict[str, tuple[str, int, int]]) -> list[tuple[int, int]]:
     out, at, noise = [], 0, _BLANK + "|"
     for line in text.split("\n"):
         bare = line.lstrip(noise)
@@ -58,29 +62,88 @@ def _title_anchors(text: str, titles: frozenset[str]) -> list[tuple[int, int]]:
     return out
 
 
-def line_spans(texts: pa.Array, layout: list[tuple[str, str]], heading: bool, title: str | None, titles: frozenset[str]) -> pa.Array:
-    """Per text the candidates of kind heading0..3 and title, as a list of structs of `layout` (none for a null text)."""
-    fields = {n: [] for n in ("kind", "idx", "gap", "hit", "pre", "post")}
-    offsets, titled = [], re.compile(title, re.M | re.A) if title else None
+_BLANKS_RUN = re.compile(f"[{BLANKS}]+")
+_PAGE_AT_END = re.compile(r"\.{2,}\s*\d{1,4}\Z", re.A)
+_NUMBER_AT_END = re.compile(r"\s\d{1,4}\Z", re.A)
+_DIGITS = frozenset("0123456789")
+_WORD_AT_END = re.compile(r"[a-z]{3}\Z")
+_NOISE_AT_END = re.compile(r"\n[\s|]*\Z", re.A)
+
+
+_PREFIXES = {n: title.lower()[:20] for _, n, title in fixed.ITEMS}
+
+
+def title_score(item: str, title: str) -> float:
+    """How well a heading's (stripped) title fits its item number."""
+    if not title:
+        return 0.55
+    low = title.lower()
+    if any(variant in low for variant in fixed.TITLE_VARIANTS.get(item, ())):
+        return 0.95
+    return 0.90 if item in _PREFIXES and _PREFIXES[item] in low else 0.5
+
+
+def looks_like_toc(snippet: str) -> bool:
+    """Dot leaders or a trailing page number, or a caption: the look of a contents line."""
+    body = snippet.strip(BLANKS)
+    if body[-1:] in _DIGITS:
+        flat = _BLANKS_RUN.sub(" ", body)
+        if _PAGE_AT_END.search(flat) or len(flat) < 140 and _NUMBER_AT_END.search(flat):
+            return True
+    return "table of contents" in snippet[:200].lower()
+
+
+_PLAIN = ("kind", "idx", "gap", "hit", "pre", "post", "base")
+_READ = ("kind", "idx", "base", "item_number", "heading_text", "rank", "case_rank", "toc_like", "toc_near", "mid_sentence", "score")
+
+
+def _read_heading(text: str, found: re.Match) -> tuple:
+    start, end = found.span()
+    near = text[max(0, start - 40):min(start + 200, end + 200)]
+    item, name = found[1].upper(), found[2].strip(BLANKS)
+    return start, item, name, None, None, looks_like_toc(found[0]), looks_like_toc(near), None, title_score(item, name)
+
+
+def _read_title(text: str, found: re.Match, last: int, titles: dict[str, tuple[str, int, int]]) -> tuple:
+    start, before = found.start(), text[max(0, found.start() - 80):found.start()]
+    # The whitespace run before a title belongs to it even when the previous hit took it.
+    run = _NOISE_AT_END.search(before) if start == last > 0 else None
+    name = found[0].strip(_BLANK + "|")
+    item, rank, case = titles[name]
+    return start - len(run[0]) if run else start, item, name, rank, case, None, None, _WORD_AT_END.search(before.strip(BLANKS)) is not None, None
+
+
+def line_spans(texts: pa.Array, layout: list[tuple[str, str]], heading: bool, title: str | None, titles: dict[str, tuple[str, int, int]],
+               read: bool = True) -> pa.Array:
+    """Per text the candidates of kind heading0..3 and title, as a list of structs of `layout` (none for a null text).
+
+    `titles` gives the item, rank and letter case of a title. `base` is the candidate's place in the text; without `read` the rows
+    are those of a plain scan: matches with the gaps and the text around them, and nothing read off them.
+    """
+    offsets, rows, titled = [], [], re.compile(title, re.M | re.A) if title else None
 
-    def add(text: str, kind: str, spans, before: int, after: int):
-        last = 0
-        for idx, (start, end) in enumerate(spans):
-            for column, value in zip(fields.values(), (kind, idx, start - last, text[start:end], text[max(0, start - before):start], text[end:end + after])):
-                column.append(value)
+    def add(text: str, kind: str, spans):
+        last, heads = 0, kind != "title"
+        for idx, found in enumerate(spans):
+            start, end = found.span()
+            if read:
+                rows.append((kind, idx, *(_read_heading(text, found) if heads else _read_title(text, found, last, titles))))
+            else:
+                rows.append((kind, idx, start - last, found[0], text[max(0, start - (40 if heads else 80)):start], text[end:end + (200 if heads else 0)], 0))
             last = end
 
     for text in texts.to_pylist():
-        offsets.append(len(fields["kind"]))
+        offsets.append(len(rows))
         if text is None:
             continue
         if heading:
             anchors = _item_anchors(text)
             for n, pattern in enumerate(_HEADINGS):
-                add(text, f"heading{n}", _matches(text, pattern, anchors), 40, 200)
+                add(text, f"heading{n}", _matches(text, pattern, anchors))
         if titled:
-            add(text, "title", _matches(text, titled, _title_anchors(text, titles)), 80, 0)
-    size, kinds = len(fields["kind"]), {"int": pa.int32(), "string": pa.string()}
-    columns = [pa.array(fields[n], kinds[t]) if n in fields else pa.array([0] * size, pa.int32()) if n == "base" else pa.nulls(size, kinds[t]) for n, t in layout]
-    rows = pa.StructArray.from_arrays(columns, [n for n, _ in layout])
-    return pa.ListArray.from_arrays(pa.array([*offsets, size], pa.int32()), rows)
+            add(text, "title", _matches(text, titled, _title_anchors(text, titles)))
+    kinds, names = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}, _READ if read else _PLAIN
+    given = dict(zip(names, zip(*rows) if rows else ((),) * len(names)))
+    columns = [pa.array(given[n], kinds[t]) if n in given else pa.nulls(len(rows), kinds[t]) for n, t in layout]
+    made = pa.StructArray.from_arrays(columns, [n for n, _ in layout])
+    return pa.ListArray.from_arrays(pa.array([*offsets, len(rows)], pa.int32()), made)

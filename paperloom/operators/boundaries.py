@@ -14,42 +14,12 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import fixed
 from paperloom.functions.headings import line_spans
-from paperloom.functions.text import (LINES, LINES_NOCASE, collapse, extract, find_spans, left, let, literal_map,
-                                      rlike, slice_text, sql_literal, strip, text_array)
+from paperloom.functions.text import LINES, LINES_NOCASE, extract, find_spans, left, let, literal_map, rlike, slice_text, strip, text_array
 from paperloom.session import dealt_by, partitions, ship_package
 
 ITEM_NUMBERS = [n for _, n, _ in fixed.ITEMS]
 
 
-def _variant_map() -> Column:
-    rows = ", ".join(f"{sql_literal(n)}, array({', '.join(sql_literal(w) for w in words)})" for n, words in fixed.TITLE_VARIANTS.items())
-    return F.expr(f"map({rows})")
-
-
-def _standard_prefix() -> Column:
-    return literal_map([(n, title.lower()[:20]) for _, n, title in fixed.ITEMS])
-
-
-def title_score(item: Column, title: Column) -> Column:
-    """How well a heading's (stripped) title fits its item number."""
-    low = F.lower(title)
-    return (
-        F.when(title == "", 0.55)
-        .when(F.exists(_variant_map()[item], lambda v: F.contains(low, v)), 0.95)
-        .when(F.contains(low, _standard_prefix()[item]), 0.90)
-        .otherwise(0.5)
-    )
-
-
-def looks_like_toc(snippet: Column) -> Column:
-    """Dot leaders or a trailing page number, or a caption: the look of a contents line."""
-    flat = collapse(snippet)
-    # Only a text that ends in a digit is worth collapsing.
-    ends_in_digit = rlike(F.right(strip(snippet), F.lit(1)), r"\d")
-    numbered = rlike(flat, r"\.{2,}\s*\d{1,4}\s*$") | (rlike(flat, r"\s\d{1,4}\s*$") & (F.length(flat) < 140))
-    return F.when(ends_in_digit, numbered).otherwise(False) | F.contains(F.lower(left(snippet, 200)), F.lit("table of contents"))
-
-
 def _title_rows() -> list[tuple[str, str, int, int]]:
     return [
         (shape, item, rank, case)
@@ -77,7 +47,7 @@ def title_pattern() -> str:
 
 _LAYOUT = [("kind", "string"), ("idx", "int"), ("gap", "int"), ("hit", "string"), ("pre", "string"), ("post", "string"),
            ("base", "int"), ("item_number", "string"), ("heading_text", "string"), ("rank", "int"), ("status_hint", "string"),
-           ("page_note", "string"), ("end_pos", "int")]
+           ("page_note", "string"), ("end_pos", "int"), ("case_rank", "int"), ("toc_like", "boolean"), ("toc_near", "boolean"), ("mid_sentence", "boolean"), ("score", "double")]
 
 
 def _row(**fields: Column) -> Column:
@@ -89,13 +59,14 @@ def _of_kind(kind: str, base: Column):
     return lambda **c: _row(kind=F.lit(kind), base=base, **c)
 
 
-def _line_rows(heading: bool, title: bool):
-    """Candidates of headings and stand-alone titles: the lines that can match are found before a pattern runs."""
-    layout, pattern, titles = _LAYOUT, title_pattern() if title else None, frozenset(shape for shape, *_ in _title_rows())
+def _line_rows(heading: bool, title: bool, read: bool = False):
+    """Candidates of headings and stand-alone titles: the lines that can match are found before a pattern runs. `read`
+    gives what they tell and where they stand, else they are matches as of a plain scan."""
+    layout, pattern, titles = _LAYOUT, title_pattern() if title else None, {shape: place for shape, *place in _title_rows()}
 
     @F.arrow_udf(f"array<struct<{', '.join(f'{n}:{t}' for n, t in _LAYOUT)}>>")
     def rows(texts: pa.Array) -> pa.Array:
-        return line_spans(texts, layout, heading, pattern, titles)
+        return line_spans(texts, layout, heading, pattern, titles, read)
 
     return rows
 
@@ -110,24 +81,18 @@ def _end_index_rows(text: Column, size: Column) -> Column:
 
 
 def _describe(rows: DataFrame, note_chars: int | None = fixed.INDEX_NOTE_CHARS) -> DataFrame:
-    """Read the fields of every candidate off its match. Plain columns after the explode, so they are
-    compiled; each pattern runs only on rows of its own kind."""
+    """Read the fields of the candidates that carry their match off it (those of headings and titles come with them).
+    Plain columns after the explode, so they are compiled; each pattern runs only on rows of its own kind."""
     kind, hit = F.col("kind"), F.col("hit")
-    head, title, part, index = F.startswith(kind, F.lit("heading")), kind == "title", kind == "part", kind == "end_index"
-    from_head = lambda g: F.coalesce(*[
-        F.when(kind == f"heading{n}", extract(hit, LINES + p, g)) for n, p in enumerate(fixed.HEADING_PATTERNS)])
+    part, index = kind == "part", kind == "end_index"
     end = LINES_NOCASE + fixed.END_INDEX_PATTERN
-    lookup = literal_map([(shape, f"{item}|{rank}|{case}") for shape, item, rank, case in _title_rows()])
     roman = literal_map([("1", "I"), ("2", "II"), ("3", "III"), ("4", "IV")])
     rows = (
-        rows.withColumn("_raw", F.when(head, F.upper(from_head(1))).when(index, F.upper(extract(hit, end, 1)))
-                        .when(part, F.upper(extract(hit, LINES_NOCASE + fixed.PART_PATTERN, 1))))
-        .withColumn("_name", F.when(head, strip(from_head(2))).when(index, strip(extract(hit, end, 2)))
-                    .when(title, F.regexp_replace(hit, r"^[\s|]+|[\s|]+$", "")))
+        rows.withColumn("_raw", F.when(index, F.upper(extract(hit, end, 1))).when(part, F.upper(extract(hit, LINES_NOCASE + fixed.PART_PATTERN, 1))))
+        .withColumn("_name", F.when(index, strip(extract(hit, end, 2))))
         .withColumn("_third", F.when(index, strip(extract(hit, end, 3))))
     )
     name, third = F.col("_name"), F.col("_third")
-    rows = rows.withColumn("_key", F.when(title, F.split(lookup[name], r"\|")))
     nil, gone = "(?i)" + fixed.INDEX_NOT_APPLICABLE, "(?i)" + fixed.INDEX_RESERVED
     low = F.lower(third)
     listed = (
@@ -135,21 +100,13 @@ def _describe(rows: DataFrame, note_chars: int | None = fixed.INDEX_NOTE_CHARS)
         .when(rlike(third, "(?i)" + fixed.INDEX_PAGES) | F.contains(third, F.lit("Pages")) | rlike(third, r"^\d"), "extracted")
         .when(F.contains(low, F.lit("incorporat")) | F.contains(low, F.lit("proxy")), "incorporated_by_reference").otherwise("extracted")
     )
-    item = F.when(head | index, F.col("_raw")).when(title, F.col("_key")[0]).otherwise(F.col("item_number"))
-    near = F.concat(F.col("pre"), left(F.concat(hit, F.col("post")), 200))
     short = lambda c: c if note_chars is None else left(c, note_chars)
     return rows.select(
         "filing_id", "total_chars", "kind", "idx", "gap", F.coalesce(F.length(hit), F.lit(0)).alias("len"), "base",
-        # The whitespace run before a title belongs to it even when the previous hit took it.
-        F.when(title & (F.col("gap") == 0) & (F.col("idx") > 0), F.length(extract("pre", r"(\n[\s|]*)$", 1))).alias("shift"),
-        item.alias("item_number"),
-        F.when(head | title, name).when(part, F.coalesce(roman[F.col("_raw")], F.col("_raw")))
+        F.when(index, F.col("_raw")).otherwise(F.col("item_number")).alias("item_number"),
+        F.when(part, F.coalesce(roman[F.col("_raw")], F.col("_raw")))
         .when(index, F.when(rlike(name, gone), "Reserved").otherwise(short(name))).otherwise(F.col("heading_text")).alias("heading_text"),
-        F.when(head, title_score(F.col("_raw"), name)).alias("score"),
-        F.when(head, looks_like_toc(hit)).alias("toc_like"), F.when(head, looks_like_toc(near)).alias("toc_near"),
-        F.when(title, rlike(strip("pre"), r"[a-z][a-z]{2,}$")).alias("mid_sentence"),
-        F.when(title, F.col("_key")[1].cast("int")).otherwise(F.col("rank")).alias("rank"),
-        F.when(title, F.col("_key")[2].cast("int")).alias("case_rank"),
+        "score", "toc_like", "toc_near", "mid_sentence", "rank", "case_rank",
         F.when(index, listed).otherwise(F.col("status_hint")).alias("status_hint"),
         F.when(index, short(third)).otherwise(F.col("page_note")).alias("page_note"), "end_pos")
 
@@ -238,7 +195,9 @@ def _cover_rows(text: Column, size: Column) -> Column:
             i.alias("i"), r["pos"].alias("pos"), F.upper(extract(r["line"], item_line, 1)).alias("item"),
             F.get(lines, i + 1)["line"].alias("nxt"), F.get(lines, i + 2)["line"].alias("third")))
         zero = F.struct(F.lit(0).alias("skip"), F.array().cast(entry).alias("rows"))
-        return F.transform(F.aggregate(ahead, zero, step)["rows"], lambda r, i: _row(
+        # Only item lines change the walk, so the others are left out of it.
+        items = F.filter(ahead, lambda x: x["item"] != "")
+        return F.transform(F.aggregate(items, zero, step)["rows"], lambda r, i: _row(
             kind=F.lit("cover"), idx=i, base=r["pos"], item_number=r["item"],
             heading_text=F.when(r["title"] != "", r["title"]).otherwise(F.concat(F.lit("Item "), r["item"])),
             status_hint=r["status"], page_note=r["note"]))
@@ -260,7 +219,7 @@ def candidates(texts: DataFrame, only: list[str] | None = None, note_chars: int
     read = texts.select("filing_id", "text", F.length(t).alias("total_chars"))
     if any(lines):
         ship_package(texts.sparkSession)
-        read = read.withColumn("_lines", _line_rows(*lines)(t))
+        read = read.withColumn("_lines", _line_rows(*lines, read=True)(t))
         found.append(F.col("_lines"))
     found += [fn(t, F.col("total_chars")) for name, fn in _DETECTORS.items() if only is None or name in only]
     raw = read.select("filing_id", "total_chars", F.explode(F.concat(*found)).alias("c")).select("filing_id", "total_chars", "c.*")
@@ -275,9 +234,9 @@ def candidates(texts: DataFrame, only: list[str] | None = None, note_chars: int
     before = run.rowsBetween(Window.unboundedPreceding, -1)
     pos = (
         F.col("base") + F.coalesce(F.sum("gap").over(run.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-        + F.coalesce(F.sum("len").over(before), F.lit(0)) - F.coalesce("shift", F.lit(0))
+        + F.coalesce(F.sum("len").over(before), F.lit(0))
     )
-    return rows.withColumn("start_pos", F.when(F.col("kind") != "doc", pos).cast("int")).drop("gap", "base", "shift")
+    return rows.withColumn("start_pos", F.when(F.col("kind") != "doc", pos).cast("int")).drop("gap", "base")
 
 
 # --- single detectors ----------------------------------------------------------------------------

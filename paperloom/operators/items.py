@@ -31,15 +31,22 @@ def status_of(content: Column) -> Column:
 
 
 def _status_of_stripped(body: Column) -> Column:
-    head, short = left(body, 3000), F.length(body) < 200
+    return let(F.struct(body.alias("body"), F.lower(left(body, 3000)).alias("low")), lambda x: _status_of_words(x["body"], x["low"]))
+
+
+def _status_of_words(body: Column, low: Column) -> Column:
+    """`low`: the head in lower case. A pattern runs only where the words that each of its matches holds occur."""
+    head, short, named = left(body, 3000), F.length(body) < 200, lambda word: F.contains(low, F.lit(word))
+    proxy, incorporated = named("proxy") | named("14a"), named("incorporat")
     loose = F.lit(False)
     for pattern in fixed.STATUS_PROXY_LOOSE:
         loose = loose | rlike(left(body, 500), "(?i)" + pattern)
     return (
-        F.when(rlike(body, "(?i)" + fixed.STATUS_RESERVED_WHOLE)
+        F.when((left(body, 1).isin("[", "r", "R") & rlike(body, "(?i)" + fixed.STATUS_RESERVED_WHOLE))
                | (short & rlike(body, "(?i)" + fixed.STATUS_RESERVED_SHORT)), "reserved")
-        .when(rlike(head, "(?is)" + fixed.STATUS_REFER_TO_PROXY) | rlike(head, "(?i)" + fixed.STATUS_BY_REFERENCE)
-              | loose, "incorporated_by_reference")
+        .when((proxy & named("refer") & rlike(head, "(?is)" + fixed.STATUS_REFER_TO_PROXY))
+              | (incorporated & rlike(head, "(?i)" + fixed.STATUS_BY_REFERENCE))
+              | ((proxy | incorporated) & loose), "incorporated_by_reference")
         .when(short & (rlike(body, "(?i)" + fixed.STATUS_NOT_APPLICABLE)
                        | rlike(body, "(?i)" + fixed.STATUS_NONE_WHOLE)), "not_applicable")
         .otherwise("extracted")
