@@ -94,14 +94,14 @@ def looks_like_toc(snippet: str) -> bool:
 
 
 _PLAIN = ("kind", "idx", "gap", "hit", "pre", "post", "base")
-_READ = ("kind", "idx", "base", "item_number", "heading_text", "rank", "case_rank", "toc_like", "toc_near", "mid_sentence", "score")
+_READ = ("kind", "idx", "gap", "len", "base", "item_number", "heading_text", "rank", "case_rank", "toc_like", "toc_near", "mid_sentence", "score")
 
 
 def _read_heading(text: str, found: re.Match) -> tuple:
     start, end = found.span()
     near = text[max(0, start - 40):min(start + 200, end + 200)]
     item, name = found[1].upper(), found[2].strip(BLANKS)
-    return start, item, name, None, None, looks_like_toc(found[0]), looks_like_toc(near), None, title_score(item, name)
+    return 0, item, name, None, None, looks_like_toc(found[0]), looks_like_toc(near), None, title_score(item, name)
 
 
 def _read_title(text: str, found: re.Match, last: int, titles: dict[str, tuple[str, int, int]]) -> tuple:
@@ -110,15 +110,15 @@ def _read_title(text: str, found: re.Match, last: int, titles: dict[str, tuple[s
     run = _NOISE_AT_END.search(before) if start == last > 0 else None
     name = found[0].strip(_BLANK + "|")
     item, rank, case = titles[name]
-    return start - len(run[0]) if run else start, item, name, rank, case, None, None, _WORD_AT_END.search(before.strip(BLANKS)) is not None, None
+    return -len(run[0]) if run else 0, item, name, rank, case, None, None, _WORD_AT_END.search(before.strip(BLANKS)) is not None, None
 
 
 def line_spans(texts: pa.Array, layout: list[tuple[str, str]], heading: bool, title: str | None, titles: dict[str, tuple[str, int, int]],
                read: bool = True) -> pa.Array:
     """Per text the candidates of kind heading0..3 and title, as a list of structs of `layout` (none for a null text).
 
-    `titles` gives the item, rank and letter case of a title. `base` is the candidate's place in the text; without `read` the rows
-    are those of a plain scan: matches with the gaps and the text around them, and nothing read off them.
+    `titles` gives the item, rank and letter case of a title. A match stands behind the gaps and lengths up to it, moved by `base`. Without
+    `read` the rows are those of a plain scan: matches with the gaps and the text around them, and nothing read off them.
     """
     offsets, rows, titled = [], [], re.compile(title, re.M | re.A) if title else None
 
@@ -127,7 +127,7 @@ def line_spans(texts: pa.Array, layout: list[tuple[str, str]], heading: bool, ti
         for idx, found in enumerate(spans):
             start, end = found.span()
             if read:
-                rows.append((kind, idx, *(_read_heading(text, found) if heads else _read_title(text, found, last, titles))))
+                rows.append((kind, idx, start - last, end - start, *(_read_heading(text, found) if heads else _read_title(text, found, last, titles))))
             else:
                 rows.append((kind, idx, start - last, found[0], text[max(0, start - (40 if heads else 80)):start], text[end:end + (200 if heads else 0)], 0))
             last = end

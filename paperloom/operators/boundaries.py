@@ -47,7 +47,7 @@ def title_pattern() -> str:
 
 _LAYOUT = [("kind", "string"), ("idx", "int"), ("gap", "int"), ("hit", "string"), ("pre", "string"), ("post", "string"),
            ("base", "int"), ("item_number", "string"), ("heading_text", "string"), ("rank", "int"), ("status_hint", "string"),
-           ("page_note", "string"), ("end_pos", "int"), ("case_rank", "int"), ("toc_like", "boolean"), ("toc_near", "boolean"), ("mid_sentence", "boolean"), ("score", "double")]
+           ("page_note", "string"), ("end_pos", "int"), ("case_rank", "int"), ("toc_like", "boolean"), ("toc_near", "boolean"), ("mid_sentence", "boolean"), ("score", "double"), ("len", "int")]
 
 
 def _row(**fields: Column) -> Column:
@@ -102,7 +102,7 @@ def _describe(rows: DataFrame, note_chars: int | None = fixed.INDEX_NOTE_CHARS)
     )
     short = lambda c: c if note_chars is None else left(c, note_chars)
     return rows.select(
-        "filing_id", "total_chars", "kind", "idx", "gap", F.coalesce(F.length(hit), F.lit(0)).alias("len"), "base",
+        "filing_id", "total_chars", "kind", "idx", "gap", F.coalesce("len", F.length(hit), F.lit(0)).alias("len"), "base",
         F.when(index, F.col("_raw")).otherwise(F.col("item_number")).alias("item_number"),
         F.when(part, F.coalesce(roman[F.col("_raw")], F.col("_raw")))
         .when(index, F.when(rlike(name, gone), "Reserved").otherwise(short(name))).otherwise(F.col("heading_text")).alias("heading_text"),

@@ -364,3 +364,19 @@ def _nodes(plan):
     children = plan.children()
     for i in range(children.size()):
         yield from _nodes(children.apply(i))
+
+
+def test_headings_and_titles_are_read_where_they_are_matched(spark):
+    from paperloom.session import ship_package
+
+    ship_package(spark)
+    text = "Item 1. Business .... 12\n\nItem 9A — Odd Title\n\nword\nRISK FACTORS |\n|\nProperties\n"
+    df = spark.createDataFrame([(1, text)], "filing_id long, text string")
+    found = df.select(F.explode(B._line_rows(True, True, read=True)(F.col("text"))).alias("c")).select("c.*").collect()
+    assert all(r[c] is None for r in found for c in ("hit", "pre", "post"))  # neither the match nor what is around it leaves the row
+    heads = {(r.item_number, r.heading_text): (r.toc_like, r.score) for r in found if r.kind == "heading0"}
+    assert heads == {("1", "Business .... 12"): (True, 0.95), ("9A", "Odd Title"): (False, 0.5)}
+    titles = [(r.item_number, r.heading_text, r.case_rank, r.mid_sentence) for r in found if r.kind == "title"]
+    assert titles == [("1A", "RISK FACTORS", 0, True), ("2", "Properties", 1, False)]
+    rows = {(r.kind, r.item_number): r.start_pos for r in B.candidates(df, ["heading", "title"]).collect()}
+    assert rows["heading0", "1"] == 0 and text[rows["title", "2"]:].lstrip("\n|").startswith("Properties")
