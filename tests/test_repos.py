@@ -299,6 +299,51 @@ def test_one_pass_audit_equals_the_joined_one(spark):
     assert {r["note"] != "" for r in D.audit(deps, adv, latest, repos).filter("repo = 'bare'").collect()} == {True}
 
 
+ADVISORY = "id string, severity string, aliases array<string>, summary string, refs array<struct<type:string,url:string>>, affected array<struct<ecosystem:string,name:string,versions:array<string>,ranges:array<struct<introduced:string,fixed:string>>,scores:array<string>>>"
+
+
+def test_package_counts_are_the_findings_counted(spark):
+    """Ranges that overlap, touch, repeat, are empty or have no end, listed versions inside and outside of them, in
+    several entries and rows of one advisory; equal versions in other words; nulls."""
+    rng = random.Random(7)
+    versions = ["1", "1.0", "1.0.0", "1.5", "1.5rc1", "1.5.post1", "2.0a1", "2", "v2.0", "2.1", "3", "10.0", "x", "0", "0.9", "", None]
+    some = lambda: rng.choice(versions)
+    entry = lambda: (rng.choice(["PyPI", "PyPI", "npm", None]), rng.choice(["a", "b", None]), rng.choice([None, [], ["1.0", "1.0"], [some(), some()]]),
+                     rng.choice([None, [], [(None, None)], [(some(), some()) for _ in range(rng.randrange(1, 5))]]), [rng.choice(["9.8", "7.1", "4", "1", "?"])])
+    rows = [(f"A{i}" if i % 11 else None, rng.choice(["", None, "HIGH", "critical", "medium"]), [], "s", [], [entry() for _ in range(rng.randrange(4))] if i % 13 else None) for i in range(120)]
+    # An advisory that comes twice, with one severity and other ranges.
+    rows += [("A1", rows[1][1], [], "s", [], rows[1][5]), ("T", "HIGH", [], "s", [], [("PyPI", "a", ["3"], [("1", "2")], [])]), ("T", "HIGH", [], "s", [], [("PyPI", "a", ["3", "1.5"], [("1.5", "2.1")], [])])]
+    adv = spark.createDataFrame(rows, ADVISORY)
+    deps = spark.createDataFrame([(f"r{i % 7}", e, n, v) for i, (e, n, v) in enumerate((e, n, v) for e in ("PyPI", "npm", None) for n in ("a", "b", "c", None) for v in versions * 2)],
+                                 "repo string, ecosystem string, name string, version string")
+    want = D.package_findings(deps, adv).groupBy("ecosystem", "name", "version").agg(
+        F.count(F.lit(1)), *[F.count_if(F.col("severity") == s) for s in ("critical", "high", "medium")]).collect()
+    got = D.package_counts(deps, adv).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 30
+
+
+def _most_rows(plan) -> int:
+    """The most rows that any step of an executed plan gave."""
+    for inner in ("executedPlan", "plan"):
+        if plan.getClass().getSimpleName().endswith({"executedPlan": "AdaptiveSparkPlanExec", "plan": "QueryStageExec"}[inner]):
+            return _most_rows(getattr(plan, inner)())
+    own = plan.metrics().apply("numOutputRows").value() if plan.metrics().contains("numOutputRows") else 0
+    return max([own, *[_most_rows(plan.children().apply(i)) for i in range(plan.children().size())]])
+
+
+def test_audit_counts_findings_without_making_them(spark):
+    """1,500 versions of one package in up to 1,500 ranges each: over a million findings, no step of which has many rows."""
+    n = 1500
+    deps = spark.range(n).selectExpr("concat('r', id % 10) AS repo", "'PyPI' AS ecosystem", "'hot' AS name", "concat(id div 100, '.', id % 100) AS version")
+    adv = spark.range(n).selectExpr("concat('A', id) AS id", "'HIGH' AS severity", "array('CVE-1') AS aliases", "'s' AS summary", "array(named_struct('type', 'WEB', 'url', 'u')) AS refs", """array(named_struct(
+      'ecosystem', 'PyPI', 'name', 'hot', 'versions', array('0.0'), 'ranges', array(named_struct('introduced', concat(id div 100, '.', id % 100), 'fixed', cast(null AS string))), 'scores', array('1'))) AS affected""")
+    latest = spark.createDataFrame([], "ecosystem string, name string, version string")
+    got = D.audit(deps, adv, latest)
+    # Version i is in the ranges 0 to i; version 0.0 is listed by all.
+    assert sum(r["vulnerabilities"] for r in got.collect()) == n * (n + 1) // 2 + n - 1
+    assert _most_rows(got._jdf.queryExecution().executedPlan()) <= 10 * n
+
+
 def test_changelog_parts_make_up_the_changelog(spark):
     commits = spark.createDataFrame([("r" if i % 9 else "s", i, f"{i:040x}", ("feat: " if i % 3 else "fix: ") + "x" * (i % 90), "me", "") for i in range(500)],
                                     "repo string, ord int, sha string, message string, author string, date string")
