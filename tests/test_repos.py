@@ -368,3 +368,48 @@ def test_counted_audit_is_the_audit_counted(spark):
     plain = D.audit_deps(deps, adv).groupBy("name", "version", "advisory_id", "severity").count().collect()
     got = D.audit_deps(deps, adv, counted=True).select("name", "version", "advisory_id", "severity", "uses").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, plain)) and sorted(r["uses"] for r in got) == [1, 1, 3, 3]
+
+
+def test_findings_against_every_comparison(spark):
+    """Each version beside each range and each listed version; overlapping, empty and open ranges, repeated identifiers, nulls."""
+    rng = random.Random(11)
+    versions = ["1", "1.0", "1.5", "1.5rc1", "1.5.post1", "2", "v2.0", "2.1", "3", "10.0", "x", "0.9", "", None, *[f"4.{i}" for i in range(40)]]
+    some = lambda: rng.choice(versions)
+    entry = lambda: (rng.choice(["PyPI", "npm", None]), rng.choice(["a", "B", None]), rng.choice([None, [], [some(), some(), "4.7"]]),
+                     rng.choice([None, [(None, None)], [(some(), some()) for _ in range(rng.randrange(1, 5))]]), ["7.1"])
+    rows = [(f"A{i % 55}" if i % 11 else None, "HIGH", ["CVE-1"], None, [("WEB", "u")], [entry() for _ in range(rng.randrange(4))] if i % 13 else None) for i in range(80)]
+    adv = spark.createDataFrame(rows, ADVISORY)
+    deps = spark.createDataFrame([(f"r{i % 7}", e, n, v) for i, (e, n, v) in enumerate((e, n, v) for e in ("PyPI", "npm", None) for n in ("a", "B", "c", None) for v in versions * 2)],
+                                 "repo string, ecosystem string, name string, version string")
+    pairs = deps.filter("version <> ''").select("ecosystem", "name", "version").distinct()
+    named = adv.select("id", F.explode("affected").alias("a")).select("id", F.col("a.ecosystem").alias("ecosystem"), F.col("a.name").alias("name"), "a").join(pairs, ["ecosystem", "name"]).filter("id is not null")
+    key = D.version_key
+    ranges = named.select("*", F.explode("a.ranges").alias("r")).filter((key(F.col("version")) >= key(F.coalesce("r.introduced", F.lit("0")))) & (F.col("r.fixed").isNull() | (key(F.col("version")) < key(F.col("r.fixed")))))
+    cols = ["ecosystem", "name", "version", "id"]
+    want = ranges.select(cols).union(named.filter(F.array_contains("a.versions", F.col("version"))).select(cols)).distinct().collect()
+    found = D.audit_deps(deps, adv, counted=True).collect()
+    assert sorted((r["ecosystem"], r["name"], r["version"], r["advisory_id"]) for r in found) == sorted(map(tuple, want)) and len(want) > 1000
+    assert {(r["uses"], r["severity"], r["cve_id"], r["summary"], r["reference_url"]) for r in found} == {(2, "high", "CVE-1", "", "u")}
+
+
+def _most_shuffled(plan) -> int:
+    """The most rows that an exchange of an executed plan wrote."""
+    for inner, of in (("executedPlan", "AdaptiveSparkPlanExec"), ("plan", "QueryStageExec")):
+        if plan.getClass().getSimpleName().endswith(of):
+            return _most_shuffled(getattr(plan, inner)())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if plan.metrics().contains("shuffleRecordsWritten") else 0
+    return max([own, *[_most_shuffled(plan.children().apply(i)) for i in range(plan.children().size())]])
+
+
+def test_findings_are_not_shuffled(spark):
+    """1,000 versions of one package in up to 1,000 ranges each: half a million findings, and no exchange has many rows."""
+    n = 1000
+    deps = spark.range(2 * n).selectExpr("concat('r', id % 10) AS repo", "'PyPI' AS ecosystem", "'hot' AS name", "concat(id % 1000 div 100, '.', id % 100) AS version")
+    adv = spark.range(n).selectExpr("concat('A', id) AS id", "'HIGH' AS severity", "array('CVE-1') AS aliases", "'s' AS summary", "array(named_struct('type', 'WEB', 'url', 'u')) AS refs", """array(named_struct(
+      'ecosystem', 'PyPI', 'name', 'hot', 'versions', array('0.0'), 'ranges', array(named_struct('introduced', concat(id div 100, '.', id % 100), 'fixed', cast(null AS string))), 'scores', array('1'))) AS affected""")
+    found = D.audit_deps(deps, adv, counted=True)
+    counts = found.groupBy("version").agg(F.count(F.lit(1)).alias("n"), F.sum("uses").alias("uses"))
+    rows = {r["version"]: (r["n"], r["uses"]) for r in counts.collect()}
+    # Version i is in the ranges 0 to i; version 0.0 is listed by all.
+    assert rows.pop("0.0") == (n, 2 * n) and rows == {f"{i // 100}.{i % 100}": (i + 1, 2 * i + 2) for i in range(1, n)}
+    assert _most_shuffled(counts._jdf.queryExecution().executedPlan()) <= 20 * n
