@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions import fixed
+from paperloom.functions.text import left, strip
 from paperloom.operators import intents as I
 from paperloom.operators import items as T
 from paperloom.operators import ledger as L
@@ -20,7 +21,7 @@ from paperloom.plans.filings_oracle import q
 from paperloom.plans.ledger import CALLS, MODEL, USER, _case
 from paperloom.plans.ledger import K as KEY
 from paperloom.plans.ledger import _PRICED
-from paperloom.session import cut_lineage
+from paperloom.session import cut_lineage, kept
 
 NL = "chr(10)"
 SITE_URLS = ["https://en.wikipedia.org/wiki/X", "https://arxiv.org/abs/1", "http://news.ycombinator.com", "https://developer.mozilla.org/en/Y", "https://pypi.org/project/z/", "https://GitHub.com/o/r",
@@ -128,7 +129,10 @@ def _run_checks(s, d):
 
 
 def _filing_scores(s, d):
-    items = T.extract_items(texts(s, d), validate=True)
+    # Three branches read the items; a few short columns of them are enough for all. Of a content only its first character, as
+    # it is tested for being empty.
+    items = kept(T.extract_items(texts(s, d), validate=True).select(
+        "filing_id", "item_number", "status", "ord", "range_start", "confidence", "issues", left(strip("content_text"), 1).alias("content_text")), "items")
     cases = A.bind(s, d, "SELECT doc_id AS case_id FROM {documents}").select(
         "case_id", (F.col("case_id") % 22).cast("int").alias("min_items"),
         F.when(F.col("case_id") % 3 == 0, F.array(F.lit("1"), F.lit("7"))).otherwise(F.array(F.lit("1A"))).alias("required_items"),

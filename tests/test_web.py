@@ -210,3 +210,21 @@ def test_the_query_gives_loops_of_two(spark, monkeypatch):
     monkeypatch.setattr(web, "_steps", lambda s, d: s.createDataFrame(rows, STEP))
     assert [(r["trace_id"], r["length"]) for r in web.QUERIES["stuck_loops"](spark, "").collect()] == [("a", 2)]
     assert web.ORACLE["stuck_loops"] == web.ORACLE["repeated_steps"]
+
+
+def test_filing_scores_makes_the_items_once(spark, tmp_path, monkeypatch):
+    """Three branches read the items; their patterns run in none of them. Null, empty and repeated documents among them."""
+    from paperloom.plans import web
+
+    docs = [(i, f"Text {i} of a filing, long enough to be cut. " * (i % 40) if i % 9 else None) for i in range(40)] + [(7, "again"), (None, "x")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = web.QUERIES["filing_scores"](spark, str(tmp_path))
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(str, found.collect()))
+    # The same with whole contents that every branch makes for itself.
+    monkeypatch.setattr(web, "kept", lambda df, name: df)
+    monkeypatch.setattr(web, "left", lambda c, n: c)
+    monkeypatch.setattr(web, "strip", F.col)
+    whole = web.QUERIES["filing_scores"](spark, str(tmp_path))
+    assert "ArrowEvalPython" in whole._jdf.queryExecution().executedPlan().toString()
+    assert got == sorted(map(str, whole.collect())) and len(got) >= 40
