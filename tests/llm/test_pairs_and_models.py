@@ -165,6 +165,18 @@ def test_search_in_blocks_and_ties(spark):
     assert [r["doc_id"] for r in one if r["query_id"] == 1] == list(range(1, 20, 2)) and {r["query_id"] for r in one} == {1, 2}
 
 
+def test_search_reads_the_documents_once_for_several_blocks(spark, monkeypatch):
+    docs = spark.createDataFrame([(i if i % 50 else None, prose(5 + i % 40, i)) for i in range(300)] + [(3, prose(8, 3)), (301, None)], "doc_id long, text string")
+    asked = docs.filter("doc_id % 40 = 1").withColumnRenamed("doc_id", "query_id")
+    passes = lambda found: found._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+    one = search.search(docs, asked)
+    many = search.search(docs, asked, query_block=1)  # seven blocks, none of them empty of work for all tasks
+    assert passes(one) == passes(many) == 1 and sorted(many.collect()) == sorted(one.collect()) and one.count() > 50
+    monkeypatch.setattr(search, "BLOCKS", 3)
+    parted = search.search(docs, asked, query_block=1)
+    assert passes(parted) == 3 and sorted(parted.collect()) == sorted(one.collect())
+
+
 def test_bundles_are_sums_of_bound_vectors():
     space = langid.Space(64)
     packed, counts = space.grams("Ab, b!")
